@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def digests(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of (doc_id, tokens, decoded)."""
+    joined = F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")
+    return encoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return digests(bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +50,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op5_mixing": op5_mixing,
+    "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -95,4 +114,31 @@ best AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY c
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM best
 """
 
-SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_mixing": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+OP8_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM base),
+win AS (
+  SELECT doc_id, i, lead(w, 7) OVER o IS NOT NULL AS full_window,
+         concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) AS v
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i, full_window AND count(*) OVER (PARTITION BY doc_id, v, full_window) > 1 AS again FROM win),
+covered AS (SELECT doc_id, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM twice),
+repeats AS (SELECT doc_id, sum(hit)::BIGINT AS n_repeat_words FROM covered GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM base),
+lines AS (
+  SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines
+  FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+facts AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS n_letters,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM base LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM facts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 100 * n_dup_lines > 35 * n_lines OR 2 * n_upper > word_chars OR 2 * n_letters < word_chars) AS kept
+FROM failed
+"""
+
+SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_mixing": OP5_SQL, "op8_quality": OP8_SQL, "op9_exact_dedup": OP9_SQL}

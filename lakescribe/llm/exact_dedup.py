@@ -67,7 +67,7 @@ def _settled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     maybe = flagged.filter("_x_maybe")
     best = F.max(F.struct(F.col("_x_chars"), F.col(id_col).isNotNull(), -F.col(id_col)))
     groups = maybe.groupBy(F.col("_x_key").alias("_x_group")).agg(best.alias("_x_best"), F.count(F.lit(1)).alias("_x_size"))
-    groups = groups.select("_x_group", (-F.col("_x_best.col3")).alias("_x_keep"), "_x_size")
+    groups = stored(groups.select("_x_group", (-F.col("_x_best.col3")).alias("_x_keep"), "_x_size"), "groups")
     joined = maybe.join(groups.hint("merge"), F.col("_x_key") == F.col("_x_group")).drop("_x_group")
     return once.unionByName(joined)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, mixing, near_dedup, quality, url_filter
+from . import bpe, exact_dedup, html_text, mixing, near_dedup, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.filter(toxicity.remainder(F.col("doc_id"), 4) != 2))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), machine)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """Counts and digests of (doc_id, tokens, decoded)."""
     joined = F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")
@@ -60,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_url_filter": op3_url_filter,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,

@@ -33,16 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = join_summary(both.filter("b > a"), low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stored(large.distinct(), "large-star")
+        large = stored(join_summary(both.filter("b > a"), low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = join_summary(large, low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        small = stored(small.select("e.a", "e.b").filter("a != b").distinct(), "small-star")
-        # a star forest: no centre hangs on another one, and no node on two
-        nodes = small.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        several = nodes.filter("n > 1").limit(1).count()
-        if not several and not join_summary(small.select(F.col("b").alias("a")), nodes, "a", "left_semi").limit(1).count():
+        hung = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+        small = join_summary(large, low, "a").select(F.explode(hung).alias("e")).select("e.a", "e.b").filter("a != b")
+        edges = stored(small.distinct(), "small-star")
+        # done when all are stars: no node hangs on two, and none that hangs is a centre
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low")).filter("up > 1 or (up = 1 and low = 0)").limit(1).count():
             break
-        edges = small
-    stars = small.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(small.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -5,15 +5,22 @@ hashes into ``BUCKETS`` buckets and keeps of each bucket's minimum the leading-z
 and the ``MANTISSA`` bits after it: 16 bits a register.
 
 1. Documents with equal sets form a class; one of each class goes on.
-2. Banding: ``BANDS`` bands of ``ROWS`` registers each, hashed; documents that share a band may be linked.
-   At similarity 0.85 a link shares no band with probability (1 - 0.85**6)**42, some 2e-9.
-3. In every band group, members are compared with a few pivots, and those found linked are merged.
-   Groups of one component are done; in the others more pivots follow (``PIVOT_GROWTH`` times as many
-   each round) until every member has been a pivot, so that no pair of a group is left out, while a
-   large group of near copies costs rows in proportion to its size instead of its square.
-4. Before a pair is verified, its similarity is estimated from the registers, corrected for chance
+2. Banding: the registers are cut into bands and hashed; documents that share a band may be linked.
+   Small sets get fewer and wider bands (``LEVELS``), else a band would hold a shingle or two and
+   group everything that shares a common phrase. Linked sets of size n differ in 0.15 / 0.85 * n
+   shingles at most; up to 127 that is fewer than there are bands, so one band at least is untouched.
+   From 128 on there are 42 bands of 6, which a link misses with probability (1 - 0.85**6)**42, some
+   2e-9. Sizes near a level's edge get the bands of both levels.
+3. In each band group, the member that shares most bands with others is the pivot: all members are
+   compared with it, and links merge them. A large group of near copies so costs rows in proportion to its size.
+4. Links between members that no pivot has merged are found exactly by an ordered prefix filter: in
+   every set the shingles are sorted from rare to frequent (by counts in ``FREQUENCY_SLOTS`` hashed
+   slots, any order being correct), and two sets of sizes n and m with overlap o or more, o =
+   0.85 / 1.85 * (n + m), share one of their first n - o + 1 and m - o + 1 shingles. Pairs come
+   from shared early shingles, of sets that are not merged yet.
+5. Before a pair is verified, its similarity is estimated from the registers, corrected for chance
    agreement; only pairs ``MARGIN`` standard deviations or more below the threshold are dropped.
-5. Verification: exact intersection and union of the two full sets.
+6. Verification: exact intersection and union of the two full sets.
 
 Words are runs without white space after lower-casing A-Z; a text with fewer words than a shingle
 is one shingle of all its words. Defined results: null, empty and blank texts have an empty set and
@@ -36,11 +43,14 @@ from .tokens import chunks, mix64, shingle_hashes
 
 SHINGLE = 5
 BUCKETS, MANTISSA = 256, 10
-ROWS, BANDS = 6, 42
+#: Smallest set size of each level, and its number of bands. Smaller sets link with equal ones only.
+LEVELS = ((6, 2), (8, 3), (16, 6), (32, 12), (64, 23), (128, 42))
+FREQUENCY_SLOTS = 1 << 21
+#: Ids of documents in groups are broadcast up to this number (8 bytes each), beyond it joined.
+BROADCAST_IDS = 500_000
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
 MARGIN = 6.0
-PIVOTS, PIVOT_GROWTH = 2, 8
 
 SKETCH = "doc_id long, n long, d1 long, d2 long, registers binary"
 
@@ -109,22 +119,88 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint16).reshape(-1, BUCKETS)
 
 
+def _bands(level: int) -> np.ndarray:
+    """First register of each band of a level, and the end of the last."""
+    count = LEVELS[level][1]
+    width, wider = (6, 0) if level == len(LEVELS) - 1 else divmod(BUCKETS, count)
+    return np.cumsum([0, *[width + (i < wider) for i in range(count)]])
+
+
 def band_keys(sketched: DataFrame) -> DataFrame:
     """(key, doc_id, n): a row for each band of each document that has a register in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = mix64(np.arange(7, 7 + ROWS, dtype=np.uint64)) | np.uint64(1)
+        weights = mix64(np.arange(7, 7 + BUCKETS, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             if not len(batch):
                 continue
-            grouped = _matrix(batch.column(2))[:, : ROWS * BANDS].reshape(-1, BANDS, ROWS)
-            keys = mix64((grouped.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + mix64(np.arange(BANDS, dtype=np.uint64)))
-            row, band = np.nonzero(grouped.any(axis=2))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["key", "doc_id", "n"])
+            sizes, registers = batch.column(1).to_numpy(), _matrix(batch.column(2))
+            for level, (least, _) in enumerate(LEVELS):
+                above = LEVELS[level + 1][0] if level + 1 < len(LEVELS) else np.inf
+                rows = np.flatnonzero((100 * sizes >= PERCENT * least) & (PERCENT * sizes < 100 * above) & (sizes >= LEVELS[0][0]))
+                if not len(rows):
+                    continue
+                cuts = _bands(level)
+                own = registers[rows]
+                products = own[:, : cuts[-1]] * weights[: cuts[-1]]
+                keys = mix64(np.add.reduceat(products, cuts[:-1], axis=1) + mix64(np.arange(len(cuts) - 1, dtype=np.uint64) + np.uint64(64 * level)))
+                row, band = np.nonzero(np.add.reduceat((own[:, : cuts[-1]] > 0).astype(np.int64), cuts[:-1], axis=1))
+                at = pa.array(rows[row])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "doc_id", "n"])
 
     return sketched.select("doc_id", "n", "registers").mapInArrow(run, "key long, doc_id long, n long")
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(FREQUENCY_SLOTS - 1)).astype(np.int64)
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many members of all sets fall into each of FREQUENCY_SLOTS slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCY_SLOTS, np.int64)
+        for batch in batches:
+            for members in batch.column(0):
+                np.add.at(total, _slot(np.frombuffer(members.as_py(), np.uint64)), 1)
+        used = np.flatnonzero(total)
+        for a in range(0, len(used), 1 << 16):
+            part = used[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+    counted = sets.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(FREQUENCY_SLOTS, np.int32)
+    counts[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), (1 << 31) - 1)
+    return counts
+
+
+def prefixes(sets: DataFrame, counts) -> DataFrame:
+    """(shingle, doc_id, n, at): the rarest shingles of each set that a link may need, and their places from 1.
+
+    A shingle that is alone in its slot is alone in the table and makes no pair, but keeps its place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            sizes = []
+            for members in batch.column(1):
+                hashes = np.frombuffer(members.as_py(), np.uint64)
+                n = len(hashes)
+                frequency = counts.value[_slot(hashes)]
+                first = np.lexsort((hashes, frequency))[: n + (-PERCENT * n // 100) + 1]
+                shared = frequency[first] > 1
+                out[0].append(hashes[first[shared]])
+                out[1].append(np.flatnonzero(shared) + 1)
+                out[2].append(np.full(len(out[0][-1]), len(sizes)))
+                sizes.append(n)
+            row = pa.array(np.concatenate(out[2]))
+            columns = [pa.array(np.concatenate(out[0]).view(np.int64)), batch.column(0).take(row), pa.array(sizes, pa.int64()).take(row), pa.array(np.concatenate(out[1]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "doc_id", "n", "at"])
+
+    return sets.select("doc_id", "members").mapInArrow(run, "shingle long, doc_id long, n long, at long")
+
+
 def agreement_by_chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Expected share of buckets in which unequal minima of two sets get the same register.
 
@@ -167,69 +243,77 @@ def _renamed(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for new, old in names.items()])
 
 
-def _linked(pairs: DataFrame, sketched: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs that the estimate left, those of them that are links) of (a, b)."""
+def _linked(pairs: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of (a, b) that are links: the estimate first, then the full sets."""
     with_a = pairs.join(_renamed(sketched, a="doc_id", na="n", ra="registers").hint("merge"), "a")
     with_both = with_a.join(_renamed(sketched, b="doc_id", nb="n", rb="registers").hint("merge"), "b")
-    likely = stored(with_both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate, "a long, b long"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(shingle_sets(texts.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
+    likely = with_both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate, "a long, b long")
     full = likely.join(_renamed(sets, a="doc_id", sa="members").hint("merge"), "a").join(_renamed(sets, b="doc_id", sb="members").hint("merge"), "b")
-    return likely, stored(full.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "links")
+    return stored(full.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "links")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every member of a band group with the group's pivot."""
+    weight = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weight.hint("merge"), "doc_id").groupBy("key").agg(F.max(F.struct("weight", -F.col("doc_id"), "n")).alias("p"))
+    pivots = pivots.select("key", (-F.col("p.col2")).alias("pivot"), F.col("p.n").alias("pn"))
+    pairs = join_summary(members, pivots, "key").filter((F.col("doc_id") != F.col("pivot")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
+    return pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b) not merged by ``labels`` that may be links.
+
+    Of a shingle's rows, those outside its most frequent component meet all others; a shingle of one component meets none.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(slot_counts(sets))
+    rows = prefixes(sets, counts).join(_renamed(labels, doc_id="node", label="component").hint("merge"), "doc_id", "left")
+    rows = stored(rows.withColumn("label", F.coalesce("label", "doc_id")), "prefixes")
+    main = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
+    main = main.filter("labels > 1").select("shingle", F.col("m.label").alias("main"))
+    rows = stored(join_summary(rows, main, "shingle"), "open-prefixes")
+    left = rows.filter("label != main").select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("label").alias("lx"))
+    right = rows.select("shingle", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
+    overlap = F.ceil(PERCENT * (F.col("nx") + F.col("ny")) / F.lit(100 + PERCENT) - 1e-9)
+    fits = (
+        (F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
+        & (F.col("ax") <= F.col("nx") - overlap + 1) & (F.col("ay") <= F.col("ny") - overlap + 1)
+    )
+    renamed = right.withColumnRenamed("shingle", "shingle_y")
+    pairs = left.join(renamed.hint("merge"), (F.col("shingle") == F.col("shingle_y")) & fits)
+    return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "prefix-pairs")
+
+
+def _grouped(docs: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among the distinct ``ids``."""
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row."""
     every = stored(sketches(docs, id_col, text_col), "sketches")
     slim = every.select("doc_id", "n", "d1", "d2")
-    classes = slim.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    # equal sets have equal registers
+    classes = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.any_value("registers").alias("registers"))
     classes = stored(classes, "classes")
-    first = every.join(_renamed(classes, doc_id="class_id").hint("merge"), "doc_id", "left_semi")
-    first = stored(first.select("doc_id", "n", "registers").dropDuplicates(["doc_id"]), "class-sketches")
 
-    bands = band_keys(first)
+    bands = band_keys(classes)
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(join_summary(bands, sizes, "key"), "members")
+    ids = stored(members.select("doc_id").distinct(), "grouped-ids")
+    few = ids.count() <= BROADCAST_IDS
+    sketched = stored(_grouped(classes.select("doc_id", "n", "registers"), ids, few), "grouped-sketches")
     texts = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    shared = stored(first.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "shared-sketches")
-
-    links = labels = None
-    tested = None
-    pivots = PIVOTS
-    members = members.withColumn("label", F.col("doc_id"))
-    while True:
-        state = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("lowest"))
-        open_groups = state.filter("low != high").select("key", "lowest")
-        members = stored(join_summary(members, open_groups, "key"), "open-members")
-        largest = members.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        lot = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 40)).cast("double") / float(1 << 40)
-        chosen = members.filter((F.col("doc_id") == F.col("lowest")) | (lot * F.col("size") < float(pivots)))
-        chosen = _renamed(chosen, key="key", p="doc_id", pn="n", plabel="label")
-        pairs = members.join(chosen.hint("merge"), "key").filter(
-            (F.col("label") != F.col("plabel")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
-        )
-        pairs = pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        _, found = _linked(pairs, shared, texts)
-        links = found if links is None else links.union(found)
-        labels = stored(components(links), "components")
-        if pivots >= largest:
-            break
-        pivots *= PIVOT_GROWTH
-        members = members.drop("label", "lowest").join(_renamed(labels, doc_id="node", label="component").hint("merge"), "doc_id", "left")
-        members = members.withColumn("label", F.coalesce("label", "doc_id"))
-
-    # classes is a written table, so a hot class is split over tasks here
-    joined = slim.join(classes.hint("merge"), ["n", "d1", "d2"], "left")
-    if labels is None:
-        joined = joined.withColumn("component", F.lit(None).cast("long"))
-    else:
-        joined = joined.join(_renamed(labels, class_id="node", component="component").hint("merge"), "class_id", "left")
+    sets = stored(shingle_sets(_grouped(texts, ids, few)), "grouped-sets")
+
+    labels = stored(components(_linked(_pivot_pairs(members), sketched, sets)), "components")
+    rest = _linked(_prefix_pairs(sets, labels), sketched, sets)
+    if rest.limit(1).count():
+        labels = stored(components(rest.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+
+    # classes and labels are written tables, so a hot class is split over tasks here
+    joined = slim.join(_renamed(classes, class_id="doc_id", n="n", d1="d1", d2="d2").hint("merge"), ["n", "d1", "d2"], "left")
+    joined = joined.join(_renamed(labels, class_id="node", component="component").hint("merge"), "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 

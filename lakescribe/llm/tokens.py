@@ -115,5 +115,5 @@ def shingle_hashes(words: np.ndarray, first_word: np.ndarray, n: int) -> tuple[n
         out += padded[at + k] * _MULT[k]
     for i in np.flatnonzero((counts > 0) & (counts < n)):
         own = words[first_word[i] : first_word[i + 1]]
-        out[first[i]] = (own * _MULT[: len(own)]).sum() + _MULT[63 - len(own)]
+        out[first[i] : first[i] + 1] = (own * _MULT[: len(own)]).sum(keepdims=True) + _MULT[63 - len(own) : 64 - len(own)]
     return mix64(out), first

@@ -8,6 +8,9 @@ as soon as the pairs at the window's two edges are stable, because all other pai
 already. An unstable edge grows the window on its side; at worst it spans the piece. Decoding is
 concatenation and goes up the same tree.
 
+The leaves of all pieces that a chunk of texts adds are encoded together: numpy holds a row of token
+ids per leaf and merges, in every step, each row's pair of lowest rank.
+
 Ranks are a plain dict (some 50,000 byte strings), shipped to the tasks as a broadcast of that
 bounded size. Special tokens are ordinary text here.
 
@@ -22,6 +25,7 @@ import base64
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,6 +33,8 @@ from .tokens import chunks
 
 LEAF = 16
 CACHE = 200_000
+LONGEST_KEPT = 64
+_NONE = 1 << 60
 SLICE = 1 << 16
 
 
@@ -38,42 +44,121 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class Memory(dict):
+    """Remembers up to ``2 * CACHE`` entries: when CACHE new ones have come, those not used since the last time are dropped."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class TreeEncoder:
     """Encodes one piece of bytes; ``ranks`` maps the bytes of each token to its id, lower ids merge first."""
 
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
         self.ranks, self.leaf = ranks, leaf
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable, self._short = Memory(), Memory()
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs.sort()
+        self._pairs, self._merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2  # noqa: B905
+        self._bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """Encoding by merging the pair of lowest rank, leftmost first, until none is left."""
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        none = 1 << 60
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        n, none = len(piece), 1 << 60
+        cuts = list(range(n + 1))
+        pairs = [ranks.get(piece[i : i + 2], none) for i in range(n - 1)]
         while pairs:
             low = min(pairs)
             if low == none:
                 break
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del cuts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = ranks.get(piece[cuts[i - 1] : cuts[i + 1]], none)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-        return [ranks[p] for p in parts]
+                pairs[i] = ranks.get(piece[cuts[i] : cuts[i + 2]], none)
+        return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what each pair of ids merges to, _NONE where it is no token."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where((self._pairs[at] == key) & (left >= 0) & (right >= 0), self._merged[at], _NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merge`` for many short pieces at a time."""
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        if not len(pieces) or not len(self._pairs):
+            return [self.merge(p) for p in pieces]
+        width = int(lengths.max())
+        place = np.arange(width + 1)
+        tokens = np.full((len(pieces), width + 1), -1, np.int64)
+        tokens[place < lengths[:, None]] = self._bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        ranks = np.full((len(pieces), width + 1), _NONE, np.int64)
+        ranks[:, :-1] = self._pair_ranks(tokens[:, :-1], tokens[:, 1:])
+        out, rows = [[]] * len(pieces), np.arange(len(pieces))
+        while len(rows):
+            at = ranks.argmin(1)
+            every = np.arange(len(rows))
+            low = ranks[every, at]
+            done = low == _NONE
+            if done.any():
+                for row, ids in zip(rows[done].tolist(), tokens[done].tolist()):  # noqa: B905
+                    out[row] = [i for i in ids if i >= 0]
+                rows, tokens, ranks, at, low = rows[~done], tokens[~done], ranks[~done], at[~done], low[~done]
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            tokens[every, at] = low
+            shift = np.minimum(place + (place > at[:, None]), width)
+            tokens, ranks = np.take_along_axis(tokens, shift, 1), np.take_along_axis(ranks, shift, 1)
+            tokens[:, width], ranks[:, width] = -1, _NONE
+            ranks[every, at] = self._pair_ranks(low, tokens[every, at + 1])
+            inner = np.flatnonzero(at)
+            ranks[inner, at[inner] - 1] = self._pair_ranks(tokens[inner, at[inner] - 1], low[inner])
+        return out
+
+    def _leaves(self, piece: bytes, into: dict[bytes, None]) -> None:
+        if len(piece) <= self.leaf:
+            into[piece] = None
+        elif piece not in self.ranks:
+            half = len(piece) // 2
+            self._leaves(piece[:half], into)
+            self._leaves(piece[half:], into)
+
+    def prepare(self, pieces: list[bytes]) -> None:
+        """Encode, together, the leaves of ``pieces`` that are not remembered."""
+        leaves: dict[bytes, None] = {}
+        for piece in pieces:
+            self._leaves(piece, leaves)
+        new = [x for x in leaves if self._short[x] is None]
+        for a in range(0, len(new), 1 << 15):
+            part = new[a : a + (1 << 15)]
+            for leaf, ids in zip(part, self.merge_all(part)):  # noqa: B905
+                self._short.put(leaf, ids)
 
     def stable(self, a: int, b: int) -> bool:
         """Does the pair of tokens, encoded alone, stay as it is?"""
-        known = self._stable.get((a, b))
+        known = self._stable[a, b]
         if known is None:
-            if len(self._stable) >= CACHE:
-                self._stable.clear()
-            known = self._stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            self._stable.put((a, b), known)
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -92,13 +177,22 @@ class TreeEncoder:
             j = min(len(right), j + max(1, j)) if grow_right else j
 
     def encode_window(self, tokens: list[int]) -> list[int]:
-        return self.merge(b"".join(map(self.bytes_of.__getitem__, tokens)))
+        return self.remembered(b"".join(map(self.bytes_of.__getitem__, tokens)))
+
+    def remembered(self, piece: bytes) -> list[int]:
+        """``merge``, looked up for short pieces seen before: leaves and windows repeat a lot."""
+        known = self._short[piece]
+        if known is None:
+            known = self.merge(piece)
+            if len(piece) <= LONGEST_KEPT:
+                self._short.put(piece, known)
+        return known
 
     def encode(self, piece: bytes) -> list[int]:
+        if len(piece) <= self.leaf:
+            return self.remembered(piece)
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(piece) <= self.leaf:
-            return self.merge(piece)
         half = len(piece) // 2
         return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
 
@@ -107,12 +201,13 @@ class TreeEncoder:
 
 
 class TextEncoder:
-    """Splits texts by ``pattern`` and encodes the pieces, remembering the encodings of pieces seen."""
+    """Splits texts by ``pattern`` and encodes the pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.tree, self.pattern, self.seen = TreeEncoder(ranks), regex.compile(pattern), {}
+        self.tree, self.pattern = TreeEncoder(ranks), regex.compile(pattern)
+        self.pieces = Memory()
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -124,15 +219,45 @@ class TextEncoder:
                 self._add(some, ids)
         return ids
 
-    def _add(self, pieces: list[str], ids: list[int]) -> None:
-        seen, extend = self.seen, ids.extend
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """``encode`` for each, a chunk's new pieces being prepared together."""
+        if sum(map(len, texts)) > 1 << 22:
+            return [self.encode(t) for t in texts]
+        split = [self.pattern.findall(t) for t in texts]
+        self._learn({p for pieces in split for p in pieces})
+        out: list[list[int]] = []
+        for pieces in split:
+            out.append([])
+            self._add(pieces, out[-1], learn=False)
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if self.pieces[p] is None]
+        coded = [p.encode() for p in new]
+        self.tree.prepare(coded)
+        for piece, code in zip(new, coded):  # noqa: B905
+            if len(piece) <= LONGEST_KEPT:
+                self.pieces.put(piece, tuple(self.tree.encode(code)))
+
+    def _add(self, pieces: list[str], ids: list[int], learn: bool = True) -> None:
+        if learn:
+            self._learn(set(pieces))
+        seen, extend = self.pieces, ids.extend
         for piece in pieces:
-            known = seen.get(piece)
-            if known is None:
-                if len(seen) >= CACHE:
-                    seen.clear()
-                known = seen[piece] = tuple(self.tree.encode(piece.encode()))
-            extend(known)
+            known = seen[piece]
+            extend(self.tree.encode(piece.encode()) if known is None else known)
+
+
+_encoders: dict[tuple[int, str], TextEncoder] = {}
+
+
+def _worker_encoder(ranks, pattern: str) -> TextEncoder:
+    """This Python worker's encoder for a broadcast of ranks, kept from task to task with what it remembers."""
+    key = (ranks._jbid if getattr(ranks, "_jbid", None) is not None else id(ranks.value), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = TextEncoder(ranks.value, pattern)
+    return _encoders[key]
 
 
 def _encoder(spark, ranks_path: str):
@@ -144,12 +269,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     ranks = _encoder(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(ranks.value, pattern)
+        encoder = _worker_encoder(ranks, pattern)
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 raw = memoryview(chunk.raw)
                 cuts = chunk.offsets.tolist()
-                ids = [encoder.encode(str(raw[a:b], "utf-8")) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+                ids = encoder.encode_all([str(raw[a:b], "utf-8") for a, b in zip(cuts, cuts[1:])])  # noqa: B905
                 columns = [batch.column(0).slice(chunk.first, len(chunk)), pa.array(ids, pa.list_(pa.int32()))]
                 if decoded:
                     columns.append(pa.array([encoder.tree.decode(x) for x in ids], pa.binary()))

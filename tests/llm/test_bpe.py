@@ -22,12 +22,13 @@ def test_pieces_match_the_library(library):
     rng = random.Random(1)
     texts = ["", " ", "a" * 5000, "ab" * 3000, "\n" * 700 + "x", "été" * 800, "<|endoftext|>", "日本語のテキスト" * 50, "0123456789" * 400, "don't we'll x"]
     for _ in range(1500):
-        alphabet = rng.choice(["ab", "thean ", "étèan", "01 .", "#*- \n", "".join(map(chr, range(32, 1200, 7)))])
+        alphabet = rng.choice(["ab", "thean ", "étèan", "01 .", "a \n", "aéb .\n\u00a0", "#*- \n", "".join(map(chr, range(32, 1200, 7)))])
         texts.append("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 300))))
     for text in texts:
         ids = encoder.encode(text)
         assert ids == library.encode_ordinary(text)
         assert encoder.tree.decode(ids) == text.encode()
+    assert bpe.TextEncoder(bpe.load_ranks(PATH), public_tokenizers.PATTERN).encode_all(texts) == list(map(library.encode_ordinary, texts))
 
 
 def test_every_token_encodes_to_itself():

@@ -320,5 +320,6 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: of each group the one with the smallest id, same columns."""
-    dropped = cluster(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_near_id"))
-    return docs.join(dropped.hint("merge"), F.col(id_col) == F.col("_near_id"), "left_anti")
+    dropped = stored(cluster(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_near_id")), "dropped-ids")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped.hint("merge")
+    return docs.join(dropped, F.col(id_col) == F.col("_near_id"), "left_anti")

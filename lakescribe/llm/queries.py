@@ -14,12 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(scan: DataFrame) -> DataFrame:
+    """A bare scan with fewer splits than there are cores (a small file of one row group) is dealt over the cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.cluster(_table(spark, sf_dir, "documents"))
+    return near_dedup.cluster(_spread(_table(spark, sf_dir, "documents")))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return html_text.extract(_spread(_table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(_table(spark, sf_dir, "documents"))
     found = pii.find(docs, pii.train(docs))
 
     def listed(spans: Column | str) -> Column:
@@ -50,7 +56,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = _spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels")
     machine = toxicity.train(docs, labels.filter(toxicity.remainder(F.col("doc_id"), 4) != 2))
     scored = toxicity.with_score(docs.select("doc_id", "text"), machine)
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
@@ -66,12 +72,12 @@ def digests(encoded: DataFrame) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(_table(spark, sf_dir, "documents"))
     return digests(bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents")).drop("rejected_by")
+    return quality.judge(_spread(_table(spark, sf_dir, "documents"))).drop("rejected_by")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +85,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(_table(spark, sf_dir, "documents"))
     scored = lm.score(docs, docs.filter(toxicity.remainder(F.col("doc_id"), 5) != 1))
     held_out = (toxicity.remainder(F.col("doc_id"), 5) == 1).alias("held_out")
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -115,14 +121,14 @@ spread AS (
     SELECT 's' AS up, n, bad FROM suffixes WHERE n > 0
     UNION ALL SELECT 'd.' || suffix, n, bad FROM domains WHERE n > 0
     UNION ALL SELECT 'h.' || domain, n, bad FROM hosts WHERE n > 0) GROUP BY up),
-variance AS (SELECT up, k, (b / t) * (1 - b / t) AS noise,
+variance AS (SELECT up, k, t, (b / t) * (1 - b / t) AS noise,
          CASE WHEN t - nn / t > 0 THEN (sq - b * (b / t) - (k - 1) * (b / t) * (1 - b / t)) / (t - nn / t) END AS v FROM spread),
-strength AS (SELECT up, least(greatest(coalesce(CASE WHEN k > 1 AND v > 0 THEN noise / v - 1 END, 200), 2), 200) AS m FROM variance),
+strength AS (SELECT up, least(greatest(coalesce(CASE WHEN k > 1 AND v > 0 THEN noise / v - 1 END, 200), 2), greatest(least(t, 200), 2)) AS m FROM variance),
 overall AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM suffixes),
-top AS (SELECT suffix, (bad + coalesce(m, 200) * mean) / (n + coalesce(m, 200)) AS mean FROM suffixes CROSS JOIN overall LEFT JOIN strength ON up = 's'),
-mid AS (SELECT domain, (bad + coalesce(m, 200) * mean) / (n + coalesce(m, 200)) AS mean FROM domains JOIN top USING (suffix) LEFT JOIN strength ON up = 'd.' || suffix),
-low AS (SELECT host, bad + coalesce(m, 200) * mean AS a, n - bad + coalesce(m, 200) * (1 - mean) AS b FROM hosts JOIN mid USING (domain) LEFT JOIN strength ON up = 'h.' || domain),
-bound AS (SELECT host, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM low),
+top AS (SELECT suffix, (bad + coalesce(m, 2) * mean) / (n + coalesce(m, 2)) AS mean FROM suffixes CROSS JOIN overall LEFT JOIN strength ON up = 's'),
+mid AS (SELECT domain, (bad + coalesce(m, 2) * mean) / (n + coalesce(m, 2)) AS mean FROM domains JOIN top USING (suffix) LEFT JOIN strength ON up = 'd.' || suffix),
+low AS (SELECT host, bad + coalesce(m, 2) * mean AS a, n - bad + coalesce(m, 2) * (1 - mean) AS b FROM hosts JOIN mid USING (domain) LEFT JOIN strength ON up = 'h.' || domain),
+bound AS (SELECT host, a / (a + b) - 3 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM low),
 ruled AS (
   SELECT page_id, host, path, CASE
       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'

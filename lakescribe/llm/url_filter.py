@@ -4,7 +4,7 @@ A page's outcome is bad when its label says toxic or low quality. The bad rate o
 towards the overall rate, that of a registered domain towards its suffix, that of a host towards its
 domain: each level's posterior mean is the next level's beta prior. A prior's strength is fitted by
 moments: within-level variance of the rates beyond binomial noise gives the precision, kept between
-``STRENGTH_MIN`` and ``STRENGTH_MAX``. A host is blocked when the lower bound of its posterior
+``STRENGTH_MIN`` and ``STRENGTH_MAX``, and never above the number of labels it rests on. A host is blocked when the lower bound of its posterior
 (mean - Z * standard deviation) is over ``BLOCK_RATE``. Fixed rules (host, path prefix) decide first.
 
 Defined results: a null url, or one without "://", has empty host and path; hosts without labelled
@@ -29,7 +29,7 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 STRENGTH_MIN, STRENGTH_MAX = 2.0, 200.0
-BLOCK_RATE, Z = 0.5, 2.0
+BLOCK_RATE, Z = 0.5, 3.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_HOSTS = 100_000
 
@@ -70,7 +70,8 @@ def _strength(rates: DataFrame, over: str | None) -> DataFrame:
     noise = p * (1 - p)
     spread = (F.col("_sq") - F.col("_b") * p - (F.col("_k") - 1) * noise) / (F.col("_t") - F.col("_nn") / F.col("_t"))
     fitted = F.when((F.col("_k") > 1) & (spread > 0), noise / spread - 1).otherwise(F.lit(STRENGTH_MAX))
-    return stats.select("_up", F.least(F.greatest(F.coalesce(fitted, F.lit(STRENGTH_MAX)), F.lit(STRENGTH_MIN)), F.lit(STRENGTH_MAX)).alias("_m"))
+    most = F.greatest(F.least(F.col("_t"), F.lit(STRENGTH_MAX)), F.lit(STRENGTH_MIN))
+    return stats.select("_up", F.least(F.greatest(F.coalesce(fitted, F.lit(STRENGTH_MAX)), F.lit(STRENGTH_MIN)), most).alias("_m"))
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
@@ -88,10 +89,10 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     seen = "_n > 0"
     mean = overall.first()["_mean"]
     fitted = _strength(suffixes.filter(seen), None).first()
-    m = F.lit(fitted["_m"] if fitted else STRENGTH_MAX)
+    m = F.lit(fitted["_m"] if fitted else STRENGTH_MIN)
     top = suffixes.withColumn("_mean", F.lit(0.5 if mean is None else mean))
     top = top.select("_suffix", ((F.col("_bad") + m * F.col("_mean")) / (F.col("_n") + m)).alias("_mean"))
-    m = F.coalesce(F.col("_m"), F.lit(STRENGTH_MAX))
+    m = F.coalesce(F.col("_m"), F.lit(STRENGTH_MIN))
     mid = domains.join(top.hint("merge"), "_suffix").join(_strength(domains.filter(seen), "_suffix").hint("merge"), F.col("_suffix") == F.col("_up"), "left")
     mid = mid.select("_domain", ((F.col("_bad") + m * F.col("_mean")) / (F.col("_n") + m)).alias("_mean"))
     low = hosts.join(mid.hint("merge"), "_domain").join(_strength(hosts.filter(seen), "_domain").hint("merge"), F.col("_domain") == F.col("_up"), "left")

@@ -123,11 +123,11 @@ spread AS (
     UNION ALL SELECT 'h.' || domain, n, bad FROM hosts WHERE n > 0) GROUP BY up),
 variance AS (SELECT up, k, t, (b / t) * (1 - b / t) AS noise,
          CASE WHEN t - nn / t > 0 THEN (sq - b * (b / t) - (k - 1) * (b / t) * (1 - b / t)) / (t - nn / t) END AS v FROM spread),
-strength AS (SELECT up, least(greatest(coalesce(CASE WHEN k > 1 AND v > 0 THEN noise / v - 1 END, 200), 2), greatest(least(t, 200), 2)) AS m FROM variance),
+strength AS (SELECT up, least(greatest(coalesce(CASE WHEN k > 1 AND v > 0 THEN noise / v - 1 END, 200), 4), greatest(least(t, 200), 4)) AS m FROM variance),
 overall AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM suffixes),
-top AS (SELECT suffix, (bad + coalesce(m, 2) * mean) / (n + coalesce(m, 2)) AS mean FROM suffixes CROSS JOIN overall LEFT JOIN strength ON up = 's'),
-mid AS (SELECT domain, (bad + coalesce(m, 2) * mean) / (n + coalesce(m, 2)) AS mean FROM domains JOIN top USING (suffix) LEFT JOIN strength ON up = 'd.' || suffix),
-low AS (SELECT host, bad + coalesce(m, 2) * mean AS a, n - bad + coalesce(m, 2) * (1 - mean) AS b FROM hosts JOIN mid USING (domain) LEFT JOIN strength ON up = 'h.' || domain),
+top AS (SELECT suffix, (bad + coalesce(m, 4) * mean) / (n + coalesce(m, 4)) AS mean FROM suffixes CROSS JOIN overall LEFT JOIN strength ON up = 's'),
+mid AS (SELECT domain, (bad + coalesce(m, 4) * mean) / (n + coalesce(m, 4)) AS mean FROM domains JOIN top USING (suffix) LEFT JOIN strength ON up = 'd.' || suffix),
+low AS (SELECT host, bad + coalesce(m, 4) * mean AS a, n - bad + coalesce(m, 4) * (1 - mean) AS b FROM hosts JOIN mid USING (domain) LEFT JOIN strength ON up = 'h.' || domain),
 bound AS (SELECT host, a / (a + b) - 3 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM low),
 ruled AS (
   SELECT page_id, host, path, CASE

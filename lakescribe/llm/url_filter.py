@@ -28,7 +28,7 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-STRENGTH_MIN, STRENGTH_MAX = 2.0, 200.0
+STRENGTH_MIN, STRENGTH_MAX = 4.0, 200.0
 BLOCK_RATE, Z = 0.5, 3.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_HOSTS = 100_000

@@ -9,6 +9,7 @@ and the ``MANTISSA`` bits after it: 16 bits a register.
    Small sets get fewer and wider bands (``LEVELS``), else a band would hold a shingle or two and
    group everything that shares a common phrase. Linked sets of size n differ in 0.15 / 0.85 * n
    shingles at most; up to 127 that is fewer than there are bands, so one band at least is untouched.
+   (It may be empty; sets of fewer than ``ALWAYS_FILTERED`` shingles, where that is likely, all take part in step 4.)
    From 128 on there are 42 bands of 6, which a link misses with probability (1 - 0.85**6)**42, some
    2e-9. Sizes near a level's edge get the bands of both levels.
 3. In each band group, the member that shares most bands with others is the pivot: all members are
@@ -45,6 +46,7 @@ SHINGLE = 5
 BUCKETS, MANTISSA = 256, 10
 #: Smallest set size of each level, and its number of bands. Smaller sets link with equal ones only.
 LEVELS = ((6, 2), (8, 3), (16, 6), (32, 12), (64, 23), (128, 42))
+ALWAYS_FILTERED = 32
 FREQUENCY_SLOTS = 1 << 21
 #: Ids of documents in groups are broadcast up to this number (8 bytes each), beyond it joined.
 BROADCAST_IDS = 500_000
@@ -300,7 +302,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bands = band_keys(classes)
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(join_summary(bands, sizes, "key"), "members")
-    ids = stored(members.select("doc_id").distinct(), "grouped-ids")
+    small = classes.filter((F.col("n") >= LEVELS[0][0]) & (F.col("n") < ALWAYS_FILTERED))
+    ids = stored(members.select("doc_id").union(small.select("doc_id")).distinct(), "grouped-ids")
     few = ids.count() <= BROADCAST_IDS
     sketched = stored(_grouped(classes.select("doc_id", "n", "registers"), ids, few), "grouped-sketches")
     texts = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")

@@ -76,6 +76,19 @@ def test_matches_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in brute(rows).items() if x[2])
 
 
+def test_small_sets_lose_no_link(spark):
+    """Pairs that differ in as many shingles as a link allows, at sizes where a band is often empty."""
+    rows, n = [], 0
+    for size, tail in ((10, 1), (11, 1), (16, 2), (17, 2), (23, 3), (30, 4)):
+        for case in range(40):
+            words = [f"s{size}x{case}x{i}" for i in range(size + 4)]
+            rows += [(n, " ".join(words)), (n + 1, " ".join(words[: len(words) - tail]))]
+            n += 2
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(not kept for _, _, kept in got.values()) > 100
+
+
 def test_empty_table(spark):
     assert nd.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

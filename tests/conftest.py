@@ -6,6 +6,7 @@ import pytest
 
 REPO = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(REPO))
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # numpy: one thread per Spark task
 os.environ["PYTHONPATH"] = f"{REPO}:{os.environ.get('PYTHONPATH', '')}"
 
 

@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from .tokens import chunks
 
 LEAF = 16
-CACHE = 200_000
+CACHE, LEAVES = 100_000, 40_000
 LONGEST_KEPT = 64
 _NONE = 1 << 60
 SLICE = 1 << 16
+CHUNK_BYTES = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,10 +46,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Memory(dict):
-    """Remembers up to ``2 * CACHE`` entries: when CACHE new ones have come, those not used since the last time are dropped."""
+    """Remembers up to twice ``size`` entries: when ``size`` new ones have come, those not used since the last time are dropped."""
 
-    def __init__(self):
-        self.old: dict = {}
+    def __init__(self, size: int = CACHE):
+        self.size, self.old = size, {}
 
     def __missing__(self, key):
         found = self.old.get(key)
@@ -57,7 +58,7 @@ class Memory(dict):
         return found
 
     def put(self, key, value) -> None:
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -69,7 +70,8 @@ class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
         self.ranks, self.leaf = ranks, leaf
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self._stable, self._short = Memory(), Memory()
+        self._stable, self._short = Memory(LEAVES), Memory(LEAVES)
+        self._same = {i: i for i in ranks.values()}  # one int object per id, however often it is remembered
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         pairs.sort()
         self._pairs, self._merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2  # noqa: B905
@@ -148,8 +150,8 @@ class TreeEncoder:
         for piece in pieces:
             self._leaves(piece, leaves)
         new = [x for x in leaves if self._short[x] is None]
-        for a in range(0, len(new), 1 << 15):
-            part = new[a : a + (1 << 15)]
+        for a in range(0, len(new), LEAVES // 2):
+            part = new[a : a + LEAVES // 2]
             for leaf, ids in zip(part, self.merge_all(part)):  # noqa: B905
                 self._short.put(leaf, ids)
 
@@ -237,7 +239,7 @@ class TextEncoder:
         self.tree.prepare(coded)
         for piece, code in zip(new, coded):  # noqa: B905
             if len(piece) <= LONGEST_KEPT:
-                self.pieces.put(piece, tuple(self.tree.encode(code)))
+                self.pieces.put(piece, tuple(map(self.tree._same.__getitem__, self.tree.encode(code))))
 
     def _add(self, pieces: list[str], ids: list[int], learn: bool = True) -> None:
         if learn:
@@ -271,7 +273,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(ranks, pattern)
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), size=CHUNK_BYTES):
                 raw = memoryview(chunk.raw)
                 cuts = chunk.offsets.tolist()
                 ids = encoder.encode_all([str(raw[a:b], "utf-8") for a, b in zip(cuts, cuts[1:])])  # noqa: B905

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import at_handle, bare_handle, base_language, cap_of
 from ..functions.schemas import ENUMS
+from ..functions.storage import fresh_folder
 from ..operators import analytics, ingest, lifecycle, normalize, quality, seeds, tenancy, usage
-from ..sources import bronze
+from ..sources import bronze, intake
 from ..sources import seeds as seed_source
 from ..streaming import jobs
 from . import views
@@ -679,3 +680,76 @@ def st2_run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ck2_source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("web", "rss", "arxiv", "podcast")]), (F.col("event_id") % 4 + 1).cast("int"))
     return quality.enum_violations(table(spark, sf_dir, "events").select("event_id", kind.alias("kind")), {"kind": ENUMS["source_kind"]}).select("event_id")
+
+
+# jobs that write
+
+
+@query("SELECT page_id, i AS pos, ref FROM (SELECT page_id, unnest([url, NULL, 'h' || page_id]) AS ref, unnest([0, 1, 2]) AS i FROM pages WHERE page_id % 3 < 2) WHERE ref IS NOT NULL")
+def src3_intake_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.parse_intake(_intake_files(spark, sf_dir))[0].select(F.col("path").cast("long").alias("page_id"), "pos", "ref")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 1 END AS pos, CASE WHEN page_id % 3 < 2 THEN 'no url, handle or channel' ELSE 'no list of channels' END AS error FROM pages")
+def src3_intake_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.parse_intake(_intake_files(spark, sf_dir))[1].select(F.col("path").cast("long").alias("page_id"), "pos", "error")
+
+
+def _intake_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dropped file per page: a list, an object with channels, or neither."""
+    p = table(spark, sf_dir, "pages")
+    listed = F.array(F.to_json(F.struct("url")), F.lit('{"nothing": 1}'), F.to_json(F.struct(F.lit("").alias("url"), F.concat(F.lit("h"), F.col("page_id")).alias("handle"))))
+    array = F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
+    shapes = F.array(array, F.concat(F.lit('{"channels": '), array, F.lit("}")), F.lit('{"other": 1}'))
+    return p.select(F.col("page_id").cast("string").alias("path"), F.lit(0).alias("mtime"), F.element_at(shapes, (F.col("page_id") % 3 + 1).cast("int")).alias("value"))
+
+
+@query("SELECT provider, count(*) AS n, sum(credits)::BIGINT AS credits FROM v_usage WHERE event_id % 5 <> 0 GROUP BY ALL")
+def snk4_usage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, events = fresh_folder(spark, "usage"), views.v_usage(spark, sf_dir)
+    usage.append_usage(events.filter("event_id % 5 = 1"), path)
+    usage.append_usage(events.filter("event_id % 5 > 1"), path)
+    return spark.read.parquet(path).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.sum("credits").alias("credits"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label % 2 = 1")
+def d6_version_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, vectors = fresh_folder(spark, "versions"), table(spark, sf_dir, "embeddings")
+    for version in (0, 1):
+        analytics.swap_version(vectors.filter(F.col("label") % 2 == version), path, f"m{version}")
+    return analytics.active_vectors(spark, path).select("vec_id", "label")
+
+
+@query("""
+SELECT 'documents' AS dataset, count(*) AS n FROM documents WHERE doc_id % 6 <> 5 UNION ALL SELECT 'bronze', count(*) FROM documents WHERE doc_id % 6 <> 5
+UNION ALL SELECT 'transcripts', count(*) FROM documents WHERE doc_id % 6 <> 5 AND doc_id % 4 <> 2
+UNION ALL SELECT 'segments', (SELECT count(*) FROM v_segments WHERE item % 6 <> 5 AND item % 4 = 0) + (SELECT count(*) FROM documents WHERE doc_id % 6 <> 5 AND doc_id % 4 = 1)""")
+def st4_ingest_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping batches and a replay leave every item once."""
+    path = fresh_folder(spark, "lake")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("native").alias("provider"), F.lit("transcript").alias("endpoint"), F.col("lang").alias("tenant_id"), F.col("source").alias("source_id"), "lang", F.lit(1).cast("long").alias("fetched_at"))
+    raw = _segment_payloads(spark, sf_dir).join(d, "doc_id").select("provider", "endpoint", "tenant_id", "source_id", "external_id", "lang", "fetched_at", "payload", "doc_id")
+    for part in ("doc_id % 6 < 3", "doc_id % 6 between 2 and 4", "doc_id % 6 < 3"):
+        jobs.ingest_batch(raw.filter(part).drop("doc_id"), path)
+    parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("dataset")) for n in ("documents", "bronze", "transcripts", "segments")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH RECURSIVE ordered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY event_id) AS k FROM v_requests),
+fold AS (
+  SELECT tenant_id, k, event_id, cost <= 60 AS admitted, CASE WHEN cost <= 60 THEN cost ELSE 0 END AS spent FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT o.tenant_id, o.k, o.event_id, f.spent + o.cost <= 60, CASE WHEN f.spent + o.cost <= 60 THEN f.spent + o.cost ELSE f.spent END
+  FROM fold f JOIN ordered o ON o.tenant_id = f.tenant_id AND o.k = f.k + 1)
+SELECT tenant_id, event_id AS position, admitted FROM fold""")
+def st3_admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over the events table, run until its input is used up."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, events = fresh_folder(spark, "admitted"), table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque*")
+    requests = stream.select(F.col("user_id").alias("tenant_id"), F.col("event_id").alias("position"), (1 + F.col("event_id") % 5).alias("cost"))
+    writer = jobs.admit_stream(requests, 60).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    writer.start(path).awaitTermination()
+    return spark.read.parquet(path).select("tenant_id", "position", "admitted")

@@ -3,7 +3,8 @@
 A page is cut at block-level tags into lines. A line's mass is the length of its text; lines of
 scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments have none
 (known by element, role, class or id), nor have lines that are mostly links, nor, on pages that mark
-their article, lines outside of it. Masses are summed over a window of ``WINDOW`` lines. A surge is
+their article (by <article> or <main>, else by a class or id such as "post-content" around
+``CONTENT_SHARE`` of the remaining text or more), lines outside of it. Masses are summed over a window of ``WINDOW`` lines. A surge is
 where the sum leaves zero, a dive where it falls back to zero; between the two lies a run. Runs whose
 peak reaches ``PEAK_SHARE`` of the page's highest are kept (all runs of a marked article), and their
 lines that have mass, in page order, are the text.
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 PEAK_SHARE = 0.25
 LINK_SHARE = 0.5
+CONTENT_SHARE = 0.4
 
 #: Elements that begin and end a line.
 BLOCK = set(
@@ -50,17 +52,19 @@ _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
 _MARK = re.compile(r"(?:^|[\s\"'])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"(?:^|[-_])(?:" + "|".join(NAMES) + r")(?:$|[-_])")
+_CONTENT = re.compile(r"^(?:(?:article|post|entry|story|main|page|blog)[-_]?)?(?:content|body|text)$|^(?:article|post|entry|story|main)$")
 _HEADING = re.compile(r"h[1-6]$")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(does it mark a part to drop, does it mark reader comments)"""
-    drop = comments = False
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """(does it mark a part to drop, reader comments, the article's text)"""
+    drop = comments = content = False
     for key, value in _MARK.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
             for name in value.split():
                 drop |= bool(_NAME.search(name))
+                content |= bool(_CONTENT.match(name))
                 comments |= not COMMENT_NAMES.isdisjoint(re.split("[-_]", name))
         elif key == "role":
             drop |= value in ROLES
@@ -68,17 +72,19 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
             drop |= key == "hidden" or value == "true"
-    return drop, comments
+    return drop, comments, content and not drop
 
 
 class Lines:
-    """The lines of a page: text, mass of link text, dropped or not, in a marked article or not."""
+    """The lines of a page: text, mass of link text, dropped or not, in a marked article (by element; by name) or not."""
 
     def __init__(self, page: str):
         self.texts: list[str] = []
         self.links: list[int] = []
         self.dropped: list[bool] = []
         self.inside: list[bool] = []
+        self.named: list[bool] = []
+        self._names: list[list] = []  # open elements named as content, with their depth in elements of that kind
         self._parts: list[str] = []
         self._link = 0
         self._read(_RAW.sub(" ", page))
@@ -90,6 +96,7 @@ class Lines:
             self.links.append(self._link)
             self.dropped.append(dropped)
             self.inside.append(inside)
+            self.named.append(bool(self._names))
         self._parts, self._link = [], 0
 
     def _read(self, page: str) -> None:
@@ -122,11 +129,15 @@ class Lines:
                     skip = ""
                 if skip:
                     continue
+            if self._names and name == self._names[-1][0]:
+                self._names[-1][1] += -1 if closing else 1
+                if not self._names[-1][1]:
+                    self._names.pop()
             if closing:
                 if name in ("article", "main"):
                     articles = max(0, articles - 1)
                 continue
-            drop, comments = _marks(attributes) if attributes else (False, False)
+            drop, comments, content = _marks(attributes) if attributes else (False, False, False)
             if name in ("html", "body", "main"):
                 drop = False
             elif name == "article":
@@ -135,6 +146,8 @@ class Lines:
                 skip, depth = name, 1
             elif name in ("article", "main"):
                 articles += 1
+            elif content and name in BLOCK and name != "body":
+                self._names.append([name, 1])
         self._text(page[at:], anchors)
         self._flush(bool(skip), articles > 0)
 
@@ -144,13 +157,14 @@ class Lines:
             if anchors:
                 self._link += len(" ".join(html.unescape(text).split()))
 
-    def masses(self) -> list[int]:
-        marked = any(i and not d for i, d in zip(self.inside, self.dropped))  # noqa: B905
-        out = []
-        for text, link, dropped, inside in zip(self.texts, self.links, self.dropped, self.inside):  # noqa: B905
-            fits = inside if marked else link <= LINK_SHARE * len(text)
-            out.append(len(text) if fits and not dropped else 0)
-        return out
+    def masses(self) -> tuple[list[int], bool]:
+        """The mass of every line, and whether the page marks its article."""
+        own = [0 if dropped else len(text) for text, dropped in zip(self.texts, self.dropped)]  # noqa: B905
+        for mark, share in ((self.inside, 0.0), (self.named, CONTENT_SHARE)):
+            within = [mass if m else 0 for mass, m in zip(own, mark)]  # noqa: B905
+            if sum(within) > share * sum(own):
+                return within, True
+        return [mass if link <= LINK_SHARE * mass else 0 for mass, link in zip(own, self.links)], False  # noqa: B905
 
 
 def runs(masses: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -173,8 +187,7 @@ def runs(masses: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
 
 def main_text(page: str | None) -> str:
     lines = Lines(page or "")
-    masses = lines.masses()
-    marked = any(i and not d for i, d in zip(lines.inside, lines.dropped))  # noqa: B905
+    masses, marked = lines.masses()
     found = runs(masses)
     least = 0 if marked else PEAK_SHARE * max((peak for *_, peak in found), default=0)
     return "\n".join(lines.texts[i] for first, last, peak in found if peak >= least for i in range(first, last) if masses[i])

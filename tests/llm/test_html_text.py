@@ -18,6 +18,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<main><h2>H</h2><ul><li>a<li>b</ul><blockquote>q</blockquote><!-- <p>no</p> --></main>", "H\na\nb\nq"),
         ("<div><h1>Head</h1><p>A long paragraph of plain text.</p><p>And <i>another</i> one follows here.</p></div>", "Head\nA long paragraph of plain text.\nAnd another one follows here."),
         ("<article><header><h1>Inner</h1><span>by me</span></header><p>Text.</p><footer>tags</footer></article>", "Inner\nText."),
+        ("<div class='top'>Hello!</div><div id='content'><div><p>One paragraph of text, quite long.</p></div><p>End.</p></div><div>Tail of the page</div>", "One paragraph of text, quite long.\nEnd."),
         ("<article></article>", ""),
     ],
 )

@@ -108,3 +108,55 @@ def test_marginals_sum_to_one():
     network = pii.Network()
     probable, _ = network.marginals(network.emissions(np.stack([pii.symbols("a@b.cd 1.2.3.4")]))[0])
     assert probable.sum(2) == pytest.approx(np.ones(probable.shape[:2]), abs=1e-3)
+
+
+@pytest.fixture(scope="module")
+def trained(corpus):
+    stretches = [t[max(0, m.start() - 150) : m.end() + 150] for t in corpus for m in list(re.finditer("[0-9@]", t))[:1]]
+    network = pii.Network()
+    network.train(*pii.examples(stretches))
+    return network
+
+
+def test_whole_texts_are_read(trained):
+    """An address without digits and "@" is found anywhere in a text, in ASCII and other prose."""
+    for prose in ("the plain words go on ", "die Wörter gehen weiter "):
+        for n in (0, 7, 40):
+            text = prose * n + "write to anna.berg(at)example.com for help, " + prose * n
+            at = text.index("anna")
+            assert not re.search("[0-9@]", text)
+            found = pii.added_spans([text], [[]], trained)[0]
+            assert any(kind == 0 and a < at + 24 and b > at for kind, a, b in found), (n, found)
+    for n in range(600):
+        starts = pii.windows("x" * n)
+        assert all(any(s <= j < s + pii.WINDOW for s in starts) for j in range(n))
+        assert all(any(s <= j and j + 48 <= s + pii.WINDOW for s in starts) for j in range(n - 47))
+
+
+def test_spans_cut_by_every_window_are_joined(trained):
+    class Marks:
+        """Tags exactly the stretches of 'x'."""
+
+        def decode(self, codes):
+            return [[(0, m.start(), m.end(), 1.0) for m in re.finditer("x[^ ]*", bytes(c.astype(np.uint8)).decode())] for c in codes]
+
+    for before in (0, 1, 47, 48, 100, 400):
+        for length in (20, 47, 48, 49, 60, 95, 96, 97, 150, 700, 3000):
+            own = "x" * length + "(at)" + "x" * length
+            text = "a " * before + own + " b" * before
+            found = pii.added_spans([text], [[]], Marks())[0]
+            assert (0, 2 * before, 2 * before + len(own)) in found, (before, length, found)
+
+
+def test_digits_of_other_scripts():
+    arabic = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    text = "call 766 555 3022 now"
+    assert (pii.symbols(text) == pii.symbols(text.translate(arabic))).all()
+    assert pii.plausible(3, "766 555 3022".translate(arabic)) and pii.plausible(1, "10:0:0:1".translate(arabic))
+    assert pii.plausible(2, "4539.5787.6362.1486".translate(arabic))
+
+
+def test_scores_are_the_emissions():
+    network = pii.Network()
+    codes = np.random.default_rng(3).integers(0, pii.SYMBOLS, (7, 50))
+    assert np.allclose(network.scores(codes), network.emissions(codes)[0], atol=1e-4)

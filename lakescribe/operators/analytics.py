@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_folder
 from .ingest import fan_out
 from .normalize import normalize_segments_ms
 
 #: Date precisions from fine to coarse.
 PRECISION = ("exact", "date", "month", "year")
-#: Query vectors are broadcast up to this number.
+#: Query vectors are broadcast in blocks of this number.
 BROADCAST_QUERIES = 10_000
 
 
@@ -62,15 +63,33 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k vectors of highest cosine per query (query_id, q) among (vec_id, v), ties by vec_id; exact.
 
-    A stated set of queries meets all vectors: up to BROADCAST_QUERIES they are broadcast, and each
-    task keeps k rows per query before anything is shuffled.
+    Queries meet all vectors in blocks of BROADCAST_QUERIES at most: a block is broadcast, and each
+    task keeps k rows per query before anything is shuffled. Several blocks run one after the other,
+    each over all vectors, and their rows are written before they are ranked together.
     """
-    n = queries.count()
-    if n > BROADCAST_QUERIES:
-        raise ValueError(f"{n} queries: ask in blocks of {BROADCAST_QUERIES}")
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def ranked(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        return ranked(vectors.join(F.broadcast(block)).select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score")))
+
+    if queries.count() <= BROADCAST_QUERIES:
+        return best(queries)
+    spark, path = queries.sparkSession, fresh_folder(queries.sparkSession, "topk")
+    queries.select("query_id", "q", F.monotonically_increasing_id().alias("_at")).write.parquet(f"{path}/queries")
+    numbered = spark.read.parquet(f"{path}/queries")
+    # a number is its partition's number times 2^33, and the place in the partition
+    parts = sorted((r["_part"], r["n"]) for r in numbered.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    firsts, before = [], 0
+    for part, n in parts:
+        firsts += [(part << 33) + at for at in range(-before % BROADCAST_QUERIES, n, BROADCAST_QUERIES)]
+        before += n
+    for first, end in zip(firsts, [*firsts[1:], 1 << 62], strict=True):
+        block = numbered.filter((F.col("_at") >= first) & (F.col("_at") < end)).drop("_at")
+        best(block).drop("rank").write.mode("append").parquet(f"{path}/best")
+    return ranked(spark.read.parquet(f"{path}/best"))
 
 
 def swap_version(df: DataFrame, path: str, version: str) -> None:

@@ -215,3 +215,15 @@ def test_empty_tables(spark):
     assert ingest.new_items(items, docs).count() == 0
     assert quality.unique_violations(items, ["external_id"]).count() == 0
     assert analytics.alias_match(spark.createDataFrame([], "surface string"), spark.createDataFrame([], "alias string")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_topk_in_blocks(spark, monkeypatch, parts):
+    """More queries than one broadcast holds, one id among them twice, give the same rows as one block."""
+    vectors = spark.range(60).select(F.col("id").alias("vec_id"), F.array(*[F.sin((F.col("id") + 1) * i).cast("float") for i in (1, 2, 3)]).alias("v"))
+    queries = vectors.filter("vec_id < 23").union(vectors.filter("vec_id = 3")).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).repartition(parts)
+    whole = rows(analytics.vector_topk(queries, vectors, 4))
+    assert len(whole) == 23 * 4
+    for block in (5, 8, 24):
+        monkeypatch.setattr(analytics, "BROADCAST_QUERIES", block)
+        assert rows(analytics.vector_topk(queries, vectors, 4)) == whole

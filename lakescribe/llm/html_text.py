@@ -3,8 +3,11 @@
 A page is cut at block-level tags into lines. A line's mass is the length of its text; lines of
 scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments have none
 (known by element, role, class or id), nor have lines that are mostly links, nor, on pages that mark
-their article (by <article> or <main>, else by a class or id such as "post-content" around
-``CONTENT_SHARE`` of the remaining text or more), lines outside of it. Masses are summed over a window of ``WINDOW`` lines. A surge is
+their article (by <article> or <main>, else by a class or id such as "post-content", around
+``CONTENT_SHARE`` of the remaining text or more), lines outside of it. A name such as "no-sidebar" or
+"has-comments" tells of the page and marks nothing. A link is an <a href> up to its </a>, or without
+one up to the next <a> or block. A part marked by class or id that holds an <article> or <main> and
+most of the text is not dropped. Masses are summed over a window of ``WINDOW`` lines. A surge is
 where the sum leaves zero, a dive where it falls back to zero; between the two lies a run. Runs whose
 peak reaches ``PEAK_SHARE`` of the page's highest are kept (all runs of a marked article), and their
 lines that have mass, in page order, are the text.
@@ -52,7 +55,11 @@ _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
 _MARK = re.compile(r"(?:^|[\s\"'])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"(?:^|[-_])(?:" + "|".join(NAMES) + r")(?:$|[-_])")
+#: Names that tell whether the page has such a part, not that the element is one.
+_LAYOUT = re.compile(r"(?:^|[-_])(?:no|has|with|without)[-_]")
 _CONTENT = re.compile(r"^(?:(?:article|post|entry|story|main|page|blog)[-_]?)?(?:content|body|text)$|^(?:article|post|entry|story|main)$")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _HEADING = re.compile(r"h[1-6]$")
 
 
@@ -63,6 +70,8 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
             for name in value.split():
+                if _LAYOUT.search(name):
+                    continue
                 drop |= bool(_NAME.search(name))
                 content |= bool(_CONTENT.match(name))
                 comments |= not COMMENT_NAMES.isdisjoint(re.split("[-_]", name))
@@ -84,26 +93,40 @@ class Lines:
         self.dropped: list[bool] = []
         self.inside: list[bool] = []
         self.named: list[bool] = []
+        self.held: list[int] = []  # start of the part, dropped by its class or id, that a line is in; -1 without one
+        self._kept: set[int] = set()  # starts of such parts that are not dropped
         self._names: list[list] = []  # open elements named as content, with their depth in elements of that kind
         self._parts: list[str] = []
         self._link = 0
-        self._read(_RAW.sub(" ", page))
+        page = _RAW.sub(" ", page)
+        while (part := self._read(page)) is not None:
+            self._kept.add(part)
 
-    def _flush(self, dropped: bool, inside: bool) -> None:
+    def _flush(self, dropped: bool, inside: bool, held: int) -> None:
         text = " ".join(html.unescape("".join(self._parts)).split())
         if text:
             self.texts.append(text)
             self.links.append(self._link)
             self.dropped.append(dropped)
             self.inside.append(inside)
+            self.held.append(held)
             self.named.append(bool(self._names))
         self._parts, self._link = [], 0
 
-    def _read(self, page: str) -> None:
+    def _read(self, page: str) -> int | None:
+        """Read the lines; the start of a dropped part that holds an article and most of the text, if there is one."""
+        for own in (self.texts, self.links, self.dropped, self.inside, self.named, self.held, self._names):
+            own.clear()
+        held, holding = -1, set()
         skip, depth = "", 0  # the element whose part is dropped, and how deep in elements of its name
-        articles, heading, anchors, at = 0, False, 0, 0
+        articles, heading, link, ends, at = 0, False, False, False, 0
+        closed, opened = set(), -1  # starts of the <a> that a </a> closes before the next <a>
+        for m in _ANCHOR.finditer(page):
+            if m[1]:
+                closed.add(opened)
+            opened = -1 if m[1] else m.start()
         for m in _TAG.finditer(page):
-            self._text(page[at : m.start()], anchors)
+            self._text(page[at : m.start()], link)
             at = m.end()
             closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             name = name.lower()
@@ -111,11 +134,13 @@ class Lines:
                 self._parts.append(" ")
                 continue
             if name in BLOCK or name in DROPPED:
-                self._flush(bool(skip) and not (skip == "header" and articles and heading), articles > 0)
+                self._flush(bool(skip) and not (skip == "header" and articles and heading), articles > 0, held)
+                link = link and ends
             if name in ("td", "th"):
                 self._parts.append(" ")
             if name == "a":
-                anchors = max(0, anchors + (-1 if closing else 1))
+                link = not closing and bool(_HREF.search(attributes))
+                ends = m.start() in closed
             if _HEADING.match(name):
                 heading = not closing
             if skip:
@@ -123,12 +148,16 @@ class Lines:
                     depth -= name == skip
                     if depth == 0 or (skip == "head" and name == "html"):
                         skip = ""
+                elif name in ("article", "main") and held >= 0 and not _marks(attributes)[1]:
+                    holding.add(held)
+                    depth += name == skip
                 elif name == skip and skip not in ("p", "li"):
                     depth += 1
                 elif skip == "head" and name == "body" or skip == "p" and name in BLOCK or skip == "li" and name == "li":
                     skip = ""
                 if skip:
                     continue
+                held = -1
             if self._names and name == self._names[-1][0]:
                 self._names[-1][1] += -1 if closing else 1
                 if not self._names[-1][1]:
@@ -143,24 +172,31 @@ class Lines:
             elif name == "article":
                 drop = comments
             if (drop or name in DROPPED or name == "header") and name not in VOID and not attributes.endswith("/"):
-                skip, depth = name, 1
+                if m.start() not in self._kept or name in DROPPED:
+                    skip, depth = name, 1
+                    held = m.start() if drop and not comments and name not in DROPPED and name != "header" else -1
             elif name in ("article", "main"):
                 articles += 1
             elif content and name in BLOCK and name != "body":
                 self._names.append([name, 1])
-        self._text(page[at:], anchors)
-        self._flush(bool(skip), articles > 0)
-
-    def _text(self, text: str, anchors: int) -> None:
+        self._text(page[at:], link)
+        self._flush(bool(skip), articles > 0, held)
+        mass: dict[int, int] = {}
+        for text, dropped, part in zip(self.texts, self.dropped, self.held):  # noqa: B905
+            if part >= 0 or not dropped:
+                mass[part] = mass.get(part, 0) + len(text)
+        return next((part for part in holding if 2 * mass.get(part, 0) > sum(mass.values())), None)
+
+    def _text(self, text: str, link: bool) -> None:
         if text:
             self._parts.append(text)
-            if anchors:
+            if link:
                 self._link += len(" ".join(html.unescape(text).split()))
 
     def masses(self) -> tuple[list[int], bool]:
         """The mass of every line, and whether the page marks its article."""
         own = [0 if dropped else len(text) for text, dropped in zip(self.texts, self.dropped)]  # noqa: B905
-        for mark, share in ((self.inside, 0.0), (self.named, CONTENT_SHARE)):
+        for mark, share in ((self.inside, CONTENT_SHARE), (self.named, CONTENT_SHARE)):
             within = [mass if m else 0 for mass, m in zip(own, mark)]  # noqa: B905
             if sum(within) > share * sum(own):
                 return within, True

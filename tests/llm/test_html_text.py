@@ -61,3 +61,32 @@ def test_query_matches_template(spark):
 
 def test_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+TEXT = "A long paragraph of the article's own text, which has to stay."
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-comments", "with-header", "layout-no-sidebar"])
+def test_layout_names_drop_nothing(name):
+    assert main_text(f"<div class='{name}'><article><p>{TEXT}</p></article></div>") == TEXT
+    assert main_text(f"<div class='{name}'><p>{TEXT}</p></div>") == TEXT
+
+
+def test_card_does_not_discard_the_text():
+    assert TEXT in main_text(f"<div><p>{TEXT}</p><p>{TEXT}</p></div><article><p>A card.</p></article>")
+
+
+@pytest.mark.parametrize("anchor", ["<a name='x'>", "<a id=top>", "<p><a href='/x'>x</p>"])
+def test_unclosed_anchors_are_no_links(anchor):
+    assert TEXT in main_text(f"<div>{anchor}</div><div><p>{TEXT}</p><p>{TEXT}</p></div>")
+
+
+def test_part_that_holds_the_article_stays():
+    card = "<div class='related'><article><p>A card.</p></article></div>"
+    assert main_text(f"<div class='sidebar-page'><div class='ad'>Buy!</div><div id='promo'><article><p>{TEXT}</p></article></div></div>{card}") == TEXT
+    assert main_text(f"<article><p>{TEXT}</p></article>{card}") == TEXT
+
+
+def test_closed_link_around_blocks():
+    page = f"<div><p>{TEXT}</p></div><div><a href='/x'><h3>Other</h3><p>Its teaser is here</p></a></div>"
+    assert main_text(page) == TEXT

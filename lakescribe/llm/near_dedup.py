@@ -15,18 +15,20 @@ and the ``MANTISSA`` bits after it: 16 bits a register.
 3. In each band group, the member that shares most bands with others is the pivot: all members are
    compared with it, and links merge them. A large group of near copies so costs rows in proportion to its size.
 4. Links between members that no pivot has merged are found exactly by an ordered prefix filter: in
-   every set the shingles are sorted from rare to frequent (by counts in ``FREQUENCY_SLOTS`` hashed
-   slots, any order being correct), and two sets of sizes n and m with overlap o or more, o =
-   0.85 / 1.85 * (n + m), share one of their first n - o + 1 and m - o + 1 shingles. Pairs come
-   from shared early shingles, of sets that are not merged yet.
-5. Before a pair is verified, its similarity is estimated from the registers, corrected for chance
-   agreement; only pairs ``MARGIN`` standard deviations or more below the threshold are dropped.
+   every set the shingles are sorted from rare to frequent, by exact counts over all sets, and two
+   sets of sizes n and m with overlap o or more, o = 0.85 / 1.85 * (n + m), share one of their first
+   n - o + 1 and m - o + 1 shingles. Shingles of one set only come first and make no pair, so most
+   sets have no row here. Pairs come from shared early shingles, of sets that are not merged yet.
+5. Before a pair is verified, its similarity is estimated from the registers, less the agreement that
+   HyperMinHash expects by chance; only pairs ``MARGIN`` standard deviations or more below the
+   threshold are dropped.
 6. Verification: exact intersection and union of the two full sets.
 
 Words are runs without white space after lower-casing A-Z; a text with fewer words than a shingle
 is one shingle of all its words. Defined results: null, empty and blank texts have an empty set and
 are linked with nothing; an empty table gives no rows; rows with the same id and set are one
-document; extra columns are ignored (``dedup`` keeps them).
+document; extra columns of any name are ignored (``dedup`` keeps them). A text's set is held whole, so
+memory is in proportion to the longest text.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, join_summary
@@ -47,7 +49,6 @@ BUCKETS, MANTISSA = 256, 10
 #: Smallest set size of each level, and its number of bands. Smaller sets link with equal ones only.
 LEVELS = ((6, 2), (8, 3), (16, 6), (32, 12), (64, 23), (128, 42))
 ALWAYS_FILTERED = 32
-FREQUENCY_SLOTS = 1 << 21
 #: Ids of documents in groups are broadcast up to this number (8 bytes each), beyond it joined.
 BROADCAST_IDS = 500_000
 #: Link when 100 * intersection >= PERCENT * union.
@@ -153,64 +154,44 @@ def band_keys(sketched: DataFrame) -> DataFrame:
     return sketched.select("doc_id", "n", "registers").mapInArrow(run, "key long, doc_id long, n long")
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(FREQUENCY_SLOTS - 1)).astype(np.int64)
-
-
-def slot_counts(sets: DataFrame) -> np.ndarray:
-    """How many members of all sets fall into each of FREQUENCY_SLOTS slots."""
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(doc_id, shingle): a row for each member of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FREQUENCY_SLOTS, np.int64)
         for batch in batches:
-            for members in batch.column(0):
-                np.add.at(total, _slot(np.frombuffer(members.as_py(), np.uint64)), 1)
-        used = np.flatnonzero(total)
-        for a in range(0, len(used), 1 << 16):
-            part = used[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+            for a in range(0, len(batch), 64):
+                members = [x.as_py() for x in batch.column(1).slice(a, 64)]
+                row = pa.array(np.repeat(np.arange(len(members)), [len(m) // 8 for m in members]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 64).take(row), pa.array(np.frombuffer(b"".join(members), np.int64))], names=["doc_id", "shingle"])
 
-    counted = sets.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(FREQUENCY_SLOTS, np.int32)
-    counts[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), (1 << 31) - 1)
-    return counts
+    return sets.select("doc_id", "members").mapInArrow(run, "doc_id long, shingle long")
 
 
-def prefixes(sets: DataFrame, counts) -> DataFrame:
+def prefixes(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """(shingle, doc_id, n, at): the rarest shingles of each set that a link may need, and their places from 1.
 
-    A shingle that is alone in its slot is alone in the table and makes no pair, but keeps its place.
+    A shingle of one set only makes no pair, but keeps its place. Counts are partial aggregates, and
+    they are written, so that adaptive execution can split the rows of a frequent shingle in the join.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-            sizes = []
-            for members in batch.column(1):
-                hashes = np.frombuffer(members.as_py(), np.uint64)
-                n = len(hashes)
-                frequency = counts.value[_slot(hashes)]
-                first = np.lexsort((hashes, frequency))[: n + (-PERCENT * n // 100) + 1]
-                shared = frequency[first] > 1
-                out[0].append(hashes[first[shared]])
-                out[1].append(np.flatnonzero(shared) + 1)
-                out[2].append(np.full(len(out[0][-1]), len(sizes)))
-                sizes.append(n)
-            row = pa.array(np.concatenate(out[2]))
-            columns = [pa.array(np.concatenate(out[0]).view(np.int64)), batch.column(0).take(row), pa.array(sizes, pa.int64()).take(row), pa.array(np.concatenate(out[1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "doc_id", "n", "at"])
-
-    return sets.select("doc_id", "members").mapInArrow(run, "shingle long, doc_id long, n long, at long")
+    rows = shingle_rows(sets)
+    counts = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shingle-counts")
+    own = Window.partitionBy("doc_id")
+    shared = rows.join(counts.hint("merge"), "shingle").withColumns({"_place": F.row_number().over(own.orderBy("c", "shingle")), "_shared": F.count(F.lit(1)).over(own)})
+    placed = shared.join(sizes.select("doc_id", "n").hint("merge"), "doc_id").withColumn("at", F.col("n") - F.col("_shared") + F.col("_place"))
+    return placed.filter(F.col("at") <= F.col("n") - F.ceil(PERCENT * F.col("n") / F.lit(100.0) - 1e-9) + 1).select("shingle", "doc_id", "n", "at")
 
 
 def agreement_by_chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Expected share of buckets in which unequal minima of two sets get the same register.
+    """Expected share of the filled buckets in which the minima of two disjoint sets get the same register.
 
-    A bucket's minimum lies near 1 / load; registers agree by chance when exponent and mantissa do,
-    which for minima of like scale is about 1 / 2**MANTISSA a bucket, less for unlike scales.
+    A bucket holds n / BUCKETS hashes, so its minimum has density a * exp(-a x), a being that load. A
+    register is a cell of width 2**-(zeros + MANTISSA); the product of both densities, summed over the
+    cells of each number of leading zeros, is an integral over [2**-zeros, 2**(1 - zeros)).
     """
-    like = 2 * np.minimum(n_a, n_b) / np.maximum(n_a + n_b, 1)
-    return like / (1 << MANTISSA)
+    a, b = np.maximum(n_a, 1) / BUCKETS, np.maximum(n_b, 1) / BUCKETS
+    edges = np.exp(-np.multiply.outer(a + b, 2.0 ** -np.arange(57)))
+    octaves = (edges[:, 1:] - edges[:, :-1]) @ (2.0 ** -(np.arange(1, 57) + MANTISSA))
+    return octaves * a * b / (a + b) / -np.expm1(-(a + b))
 
 
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +244,12 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
 
 
-def _prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b) not merged by ``labels`` that may be links.
 
     Of a shingle's rows, those outside its most frequent component meet all others; a shingle of one component meets none.
     """
-    counts = sets.sparkSession.sparkContext.broadcast(slot_counts(sets))
-    rows = prefixes(sets, counts).join(_renamed(labels, doc_id="node", label="component").hint("merge"), "doc_id", "left")
+    rows = prefixes(sets, sizes).join(_renamed(labels, doc_id="node", label="component").hint("merge"), "doc_id", "left")
     rows = stored(rows.withColumn("label", F.coalesce("label", "doc_id")), "prefixes")
     main = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
     main = main.filter("labels > 1").select("shingle", F.col("m.label").alias("main"))
@@ -310,7 +290,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = stored(shingle_sets(_grouped(texts, ids, few)), "grouped-sets")
 
     labels = stored(components(_linked(_pivot_pairs(members), sketched, sets)), "components")
-    rest = _linked(_prefix_pairs(sets, labels), sketched, sets)
+    rest = _linked(_prefix_pairs(sets, sketched, labels), sketched, sets)
     if rest.limit(1).count():
         labels = stored(components(rest.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
 
@@ -323,6 +303,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: of each group the one with the smallest id, same columns."""
-    dropped = stored(cluster(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_near_id")), "dropped-ids")
+    name = "_near_id"
+    while name in docs.columns:
+        name += "_"
+    dropped = stored(cluster(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(name)), "dropped-ids")
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped.hint("merge")
-    return docs.join(dropped, F.col(id_col) == F.col("_near_id"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped[name], "left_anti")

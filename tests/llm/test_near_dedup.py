@@ -119,3 +119,35 @@ def test_components(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)} | {i: 200 for i in range(200, 260)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chance_agreement_matches_disjoint_sets():
+    rng = np.random.default_rng(5)
+    for n_a, n_b in ((60, 60), (300, 300), (300, 1200), (20_000, 20_000)):
+        agreed = filled = 0
+        for _ in range(400):
+            rows = []
+            for n in (n_a, n_b):
+                hashes = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+                bucket = (hashes >> np.uint64(56)).astype(np.int64)
+                first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+                registers = np.zeros(nd.BUCKETS, np.uint16)
+                registers[bucket[first]] = nd._float_bits(hashes[first] & np.uint64((1 << 56) - 1))
+                rows.append(registers)
+            agreed += int(((rows[0] == rows[1]) & (rows[0] > 0)).sum())
+            filled += int(((rows[0] > 0) | (rows[1] > 0)).sum())
+        want = float(nd.agreement_by_chance(np.array([n_a]), np.array([n_b]))[0])
+        assert abs(agreed / filled - want) < 4 * (want / filled) ** 0.5 + 1e-9
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Rows repeated with and without the same id, a text of 300,000 words beside a near copy, clashing columns."""
+    long = [f"w{i}" for i in range(300_000)]
+    near = " ".join([*long[:150_000], "other", *long[150_001:]])
+    rows = [(1, " ".join(long)), (2, near), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, "a b c d e f g"), (5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_near_id": F.lit(1), "shingle": F.lit("x"), "component": F.lit(0)})
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.cluster(docs).collect())
+    assert got == [(1, 299_996, 1, True), (2, 299_996, 1, False), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False), (5, 1, 5, True)]
+    kept = nd.dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 3, 5]

@@ -4,17 +4,22 @@ Two layers find spans of e-mail addresses, IP addresses, payment cards and phone
 
 * Base: exact patterns over the whole text, leftmost and non-overlapping per kind; card numbers must
   pass Luhn, IP parts be at most 255; failing matches are dropped without retries. They always stay.
-* Method: the network reads every text whole, in windows of ``WINDOW`` characters that overlap by half.
-  Each window is decoded by Viterbi with CRF transitions. A span cut by a window's edge is left to the
-  neighbour that holds it whole; where none does, the cut pieces are joined and their stretch, with
-  ``REACH`` characters on both sides, is decoded in one piece, and again with more around it as long as
-  a span is still cut. Of all spans of a text, those of higher confidence win overlaps. A span is added
-  when its confidence reaches ``CONFIDENT``, it has its kind's digits (decimal digits of any script, but
-  not digits spelled out as words), and no base span overlaps it.
-
-The network is trained in numpy on the driver, from the base spans of a bounded sample of
-``TRAIN_DOCS`` documents and from respelt copies of them (phone without prefix, other separators,
-"(at)"), with the sample's other digits as counter-examples. Positions are code points, end exclusive.
+* Method: every text is laid out in windows of ``WINDOW`` characters that overlap by ``OVERLAP``. A first
+  pass over the whole text leaves out the windows in which no span could be accepted (see ``plausible``:
+  without a decimal digit of any script, an "@" or a spelling of "at" or "dot"), which changes no result.
+  The network reads the others, and each is decoded by Viterbi with CRF transitions, but for windows in
+  which no span can gain over "outside", whatever the transitions.
+  A span cut by a window's edge is left to the neighbour that holds it whole; where none does, the cut
+  pieces are joined and their stretch, with ``REACH`` characters on both sides, is decoded in one piece,
+  and again with more around it as long as a span is still cut. Of all spans of a text, those of higher
+  confidence win overlaps. A span is added when its confidence reaches ``CONFIDENT``, it has its kind's
+  digits (decimal digits of any script, but not digits spelled out as words), and no base span overlaps it.
+
+The network is trained in numpy on the driver, from a bounded sample of ``TRAIN_DOCS`` documents, of
+each ``STRETCHES`` stretches near digits or "@" and one elsewhere. Its examples are the sample's base
+spans, copies of them with other digits and in other spellings (phone without prefix, other separators,
+"(at)"), in place or put between other words, and the sample's other digits as counter-examples.
+Positions are code points, end exclusive.
 
 Defined results: null and empty text have no spans; without any training window only base spans are
 returned; an empty table gives no rows; repeated rows give repeated results; extra columns are ignored.
@@ -24,7 +29,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -35,9 +40,13 @@ from pyspark.sql import functions as F
 from .tokens import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, REACH, CONFIDENT = 96, 40, 0.9
-TRAIN_DOCS, TRAIN_WINDOWS = 4000, 3000
-EMBED, HIDDEN, STEPS, BATCH, RATE = 12, 20, 400, 32, 0.01
+WINDOW, OVERLAP, REACH, CONFIDENT = 192, 96, 40, 0.9
+#: A text's last window is padded to a multiple of this.
+PAD = 64
+#: Windows that are read at a time.
+AT_ONCE = 512
+TRAIN_DOCS, STRETCHES, TRAIN_WINDOW, TRAIN_WINDOWS = 4000, 3, 112, 4000
+EMBED, HIDDEN, STEPS, BATCH, RATE = 12, 20, 450, 48, 0.015
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and further characters of each kind
 SYMBOLS = 130  # ASCII, other letters, other characters
 
@@ -48,6 +57,11 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
+_AT = r"[(\[{<] ?at ?[)\]}>]"
+#: What an added address needs, and what any added span has at least one of.
+_ADDRESS = re.compile(rf"\w ?(?:[@\uff20]|{_AT}) ?\w|\w at \w.*?\bdot\b.*?\w", re.I | re.S)
+_SIGN = re.compile(r"[\d@\uff20(\[{<]")
+_BRACKETED_AT, _DOT = re.compile(_AT, re.I), re.compile(r"\bdot\b", re.I)
 
 Span = tuple[int, int, int]  # kind's number, start, end
 
@@ -90,7 +104,7 @@ def plausible(kind: int, text: str) -> bool:
     """Does an added span have the digits and signs of its kind?"""
     digits = "".join(c for c in text if c.isdecimal())
     if kind == 0:
-        return bool(re.search(r"\w ?(?:@|[(\[] ?at ?[)\]]) ?\w", text))
+        return bool(_ADDRESS.search(text))
     if kind == 1:
         parts = re.findall(r"\d+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -98,8 +112,29 @@ def plausible(kind: int, text: str) -> bool:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows to read: half-overlapping ones over the whole text."""
-    return list(range(0, max(1, len(text) - WINDOW // 2), WINDOW // 2)) if text else []
+    """Starts of the windows to read: overlapping ones over the whole text."""
+    return list(range(0, max(1, len(text) - OVERLAP), WINDOW - OVERLAP)) if text else []
+
+
+def signs(text: str) -> Iterator[tuple[int, int]]:
+    """Places (start, end) of what a span must have for ``plausible`` to accept it: digits, "@", bracketed "at", the word "dot"."""
+    for m in _SIGN.finditer(text):
+        if text[m.start()] not in "([{<":
+            yield m.span()
+        elif at := _BRACKETED_AT.match(text, m.start()):
+            yield at.span()
+    if "dot" in text.lower():
+        yield from (m.span() for m in _DOT.finditer(text))
+
+
+def candidates(text: str) -> list[int]:
+    """Those of ``windows`` that hold one of ``signs``, or a part of it."""
+    starts = windows(text)
+    step, last = WINDOW - OVERLAP, len(starts) - 1
+    wanted: set[int] = set()
+    for a, b in signs(text):
+        wanted.update(range(max(0, (a - WINDOW) // step + 1), min(last, (b - 1) // step) + 1))
+    return [starts[i] for i in sorted(wanted)]
 
 
 @cache
@@ -109,7 +144,7 @@ def _other_digits() -> tuple[np.ndarray, np.ndarray]:
     return np.array(found, np.uint32), np.array([48 + int(chr(i)) for i in found], np.uint32)
 
 
-def symbols(text: str, size: int = WINDOW) -> np.ndarray:
+def symbols(text: str, size: int) -> np.ndarray:
     """Numbers of ``size`` characters, padded with spaces; a digit of any script counts as the ASCII one."""
     codes = np.frombuffer(text.ljust(size).encode("utf-32-le", "surrogatepass"), np.uint32)[:size]
     if not text.isascii():
@@ -119,22 +154,17 @@ def symbols(text: str, size: int = WINDOW) -> np.ndarray:
     return np.where(codes < 128, codes, np.where(codes < 0x250, 128, 129)).astype(np.int64)
 
 
-def tags(spans: list[Span], start: int) -> np.ndarray:
-    out = np.zeros(WINDOW, np.int64)
+def tags(spans: list[Span], start: int, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
     for kind, a, b in spans:
         a, b = a - start, b - start
-        if b > 0 and a < WINDOW:
-            out[max(a, 0) : min(b, WINDOW)] = 2 + 2 * kind
+        if b > 0 and a < size:
+            out[max(a, 0) : min(b, size)] = 2 + 2 * kind
             if a >= 0:
                 out[a] = 1 + 2 * kind
     return out
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -158,79 +188,98 @@ class Network:
             blocked[[inside - 1, inside], inside] = 0
         self.blocked = blocked
 
-    def _lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _both(self, name: str) -> np.ndarray:
+        return np.stack([self.p[f"{name}f"], self.p[f"{name}b"]])
+
+    def _lstm(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """States (direction, time, window, HIDDEN) of both directions, each in its own order of time."""
         t, n, _ = x.shape
-        w, h, c = self.p[f"w{d}"], np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        inputs = x @ w[:EMBED] + self.p[f"b{d}"]
-        out, tape = np.empty((t, n, HIDDEN), np.float32), []
-        for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = inputs[i] + h @ w[EMBED:]
-            gates = _sigmoid(z[:, : 3 * HIDDEN])
-            g = np.tanh(z[:, 3 * HIDDEN :])
-            before, old = h, c
-            c = gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * g
-            tc = np.tanh(c)
-            h = gates[:, 2 * HIDDEN :] * tc
-            out[i] = h
-            tape.append((i, gates, g, before, old, tc))
-        return out, tape
-
-    def _lstm_back(self, x: np.ndarray, grad: np.ndarray, tape: list, d: str, grads: dict) -> np.ndarray:
-        w, n, s = self.p[f"w{d}"], x.shape[1], HIDDEN
-        dh, dc, dx = np.zeros((n, s), np.float32), np.zeros((n, s), np.float32), np.empty_like(x)
-        dw, db = np.zeros_like(w), np.zeros(4 * s, np.float32)
-        for i, gates, g, before, old, tc in reversed(tape):
-            a, f, o = gates[:, :s], gates[:, s : 2 * s], gates[:, 2 * s :]
-            dh = dh + grad[i]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * a * (1 - a), dc * old * f * (1 - f), dh * tc * o * (1 - o), dc * a * (1 - g * g)], 1)
-            dw[:EMBED] += x[i].T @ dz
-            dw[EMBED:] += before.T @ dz
-            db += dz.sum(0)
-            dx[i], dh, dc = dz @ w[:EMBED].T, dz @ w[EMBED:].T, dc * f
-        grads[f"w{d}"], grads[f"b{d}"] = dw, db
-        return dx
+        w, own = self._both("w"), np.stack([x, x[::-1]])
+        inputs = (own.reshape(2, t * n, EMBED) @ w[:, :EMBED] + self._both("b")[:, None]).reshape(2, t, n, 4 * HIDDEN)
+        h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        states, cells, gates = (np.empty((2, t, n, k), np.float32) for k in (HIDDEN, HIDDEN, 4 * HIDDEN))
+        for i in range(t):
+            z = inputs[:, i] + h @ w[:, EMBED:]
+            gate = gates[:, i]
+            gate[..., : 3 * HIDDEN] = _sigmoid(z[..., : 3 * HIDDEN])
+            gate[..., 3 * HIDDEN :] = np.tanh(z[..., 3 * HIDDEN :])
+            c = gate[..., HIDDEN : 2 * HIDDEN] * c + gate[..., :HIDDEN] * gate[..., 3 * HIDDEN :]
+            h = gate[..., 2 * HIDDEN : 3 * HIDDEN] * np.tanh(c)
+            states[:, i], cells[:, i] = h, c
+        return states, (own, cells, gates)
+
+    def _lstm_back(self, grad: np.ndarray, states: np.ndarray, tape: tuple, grads: dict) -> np.ndarray:
+        """Gradient of the inputs (time, window, EMBED), given that of the states."""
+        own, cells, gates = tape
+        _, t, n, s = states.shape
+        w = self._both("w")
+        again = np.ascontiguousarray(w[:, EMBED:].transpose(0, 2, 1))
+        a, f, o, g = (gates[..., k * s : (k + 1) * s] for k in range(4))
+        tc, none = np.tanh(cells), np.zeros((2, 1, n, s), np.float32)
+        old, before = np.concatenate([none, cells[:, :-1]], 1), np.concatenate([none, states[:, :-1]], 1)
+        # what dc and dh are multiplied with
+        by_c = np.concatenate([g * a * (1 - a), old * f * (1 - f), a * (1 - g * g)], 3)
+        by_h, through = tc * o * (1 - o), o * (1 - tc * tc)
+        dz, dh, dc = np.empty_like(gates), np.zeros((2, n, s), np.float32), np.zeros((2, n, s), np.float32)
+        for i in range(t - 1, -1, -1):
+            dh = dh + grad[:, i]
+            dc = dc + dh * through[:, i]
+            now = dz[:, i]
+            now[..., : 2 * s] = np.concatenate([dc, dc], 2) * by_c[:, i, :, : 2 * s]
+            now[..., 2 * s : 3 * s] = dh * by_h[:, i]
+            now[..., 3 * s :] = dc * by_c[:, i, :, 2 * s :]
+            dh, dc = now @ again, dc * f[:, i]
+        flat = dz.reshape(2, t * n, 4 * s)
+        dw = np.concatenate([own.reshape(2, t * n, EMBED).transpose(0, 2, 1) @ flat, before.reshape(2, t * n, s).transpose(0, 2, 1) @ flat], 1)
+        for k, d in enumerate("fb"):
+            grads[f"w{d}"], grads[f"b{d}"] = dw[k], flat[k].sum(0)
+        dx = (flat @ w[:, :EMBED].transpose(0, 2, 1)).reshape(2, t, n, EMBED)
+        return dx[0] + dx[1, ::-1]
 
     def emissions(self, codes: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Tag scores (time, window, tag) of (window, time) symbols, and what the gradient needs."""
-        x = self.p["embed"][codes.T]
-        (forth, tape_f), (back, tape_b) = self._lstm(x, "f"), self._lstm(x, "b")
-        h = np.concatenate([forth, back], 2)
-        return h @ self.p["out"] + self.p["bias"], (x, h, tape_f, tape_b)
+        states, tape = self._lstm(self.p["embed"][codes.T])
+        h = np.concatenate([states[0], states[1, ::-1]], 2)
+        return h @ self.p["out"] + self.p["bias"], (h, states, tape)
 
     def marginals(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Posterior tag probabilities (time, window, tag), and expected transitions."""
-        step = self.p["next"] + self.blocked
-        t = len(scores)
-        alpha, beta = np.empty_like(scores), np.zeros_like(scores)
-        alpha[0] = scores[0] + self.p["first"] + self.blocked[0]
-        for i in range(1, t):
-            alpha[i] = _logsum(alpha[i - 1][:, :, None] + step, 1) + scores[i]
-        for i in range(t - 2, -1, -1):
-            beta[i] = _logsum(step + (scores[i + 1] + beta[i + 1])[:, None, :], 2)
-        total = _logsum(alpha[-1], 1)
-        pairs = np.zeros_like(step)
-        for i in range(1, t):
-            pairs += np.exp(alpha[i - 1][:, :, None] + step + (scores[i] + beta[i] - total[:, None])[:, None, :]).sum(0)
-        return np.exp(alpha + beta - total[:, None]), pairs
+        """Posterior tag probabilities (time, window, tag), and expected transitions, by forward and backward sums that are scaled at each step."""
+        step = np.exp(np.maximum(self.p["next"] + self.blocked, -80).astype(np.float64))
+        own = np.exp((scores - scores.max(2, keepdims=True)).astype(np.float64))
+        alpha, beta = np.empty_like(own), np.ones_like(own)
+        own[0] *= np.exp(np.maximum(self.p["first"] + self.blocked[0], -80))
+        alpha[0] = own[0] / own[0].sum(1, keepdims=True)
+        for i in range(1, len(own)):
+            a = (alpha[i - 1] @ step) * own[i]
+            alpha[i] = a / a.sum(1, keepdims=True)
+        for i in range(len(own) - 2, -1, -1):
+            b = (own[i + 1] * beta[i + 1]) @ step.T
+            beta[i] = b / b.sum(1, keepdims=True)
+        probable = alpha * beta
+        probable /= probable.sum(2, keepdims=True)
+        later = own[1:] * beta[1:]
+        later /= ((alpha[:-1] @ step) * later).sum(2, keepdims=True)
+        pairs = step * (alpha[:-1].reshape(-1, TAGS).T @ later.reshape(-1, TAGS))
+        return probable.astype(np.float32), pairs.astype(np.float32)
 
     def gradients(self, codes: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood of the tags ``wanted`` (window, time)."""
         n, grads = len(codes), {}
-        scores, (x, h, tape_f, tape_b) = self.emissions(codes)
-        probable, pairs = self.marginals(scores)
+        scores, (h, states, tape) = self.emissions(codes)
+        d, pairs = self.marginals(scores)
         goal = wanted.T
-        d = probable
         grads["first"] = (d[0].sum(0) - np.bincount(goal[0], minlength=TAGS)) / n
         np.add.at(pairs, (goal[:-1].ravel(), goal[1:].ravel()), -1)
         grads["next"] = pairs / n
         d[np.arange(len(goal))[:, None], np.arange(n), goal] -= 1
         d /= n
-        grads["out"], grads["bias"] = np.einsum("tbh,tbk->hk", h, d), d.sum((0, 1))
+        flat = d.reshape(-1, TAGS)
+        grads["out"], grads["bias"] = h.reshape(-1, 2 * HIDDEN).T @ flat, flat.sum(0)
         dh = d @ self.p["out"].T
-        dx = self._lstm_back(x, dh[:, :, :HIDDEN], tape_f, "f", grads) + self._lstm_back(x, dh[:, :, HIDDEN:], tape_b, "b", grads)
+        dx = self._lstm_back(np.stack([dh[:, :, :HIDDEN], dh[::-1, :, HIDDEN:]]), states, tape, grads)
         grads["embed"] = np.zeros_like(self.p["embed"])
-        np.add.at(grads["embed"], codes.T, dx)
+        for k in range(EMBED):
+            grads["embed"][:, k] = np.bincount(codes.T.ravel(), dx[..., k].ravel(), SYMBOLS)
         return grads
 
     def train(self, codes: np.ndarray, wanted: np.ndarray, steps: int = STEPS, seed: int = 9) -> None:
@@ -248,47 +297,78 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] -= (RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        """What emissions() gives, without what the gradient needs: both directions in one pass, all gates by one exponential."""
+    def states(self, codes: np.ndarray) -> np.ndarray:
+        """States (time, window, 2 * HIDDEN) as in emissions(), without what the gradient needs: both directions in one pass, gates apart, all by one exponential."""
         n, t = codes.shape
         scale = np.repeat(np.float32([-1, -2]), [3 * HIDDEN, HIDDEN])  # tanh(x) = 2 / (1 + exp(-2 x)) - 1
-        inputs = np.stack([(self.p["embed"] @ self.p[f"w{d}"][:EMBED] + self.p[f"b{d}"]) * scale for d in "fb"])
-        again = np.stack([self.p[f"w{d}"][EMBED:] * scale for d in "fb"])
-        h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
-        z, state = np.empty((2, n, 4 * HIDDEN), np.float32), np.empty((t, n, 2 * HIDDEN), np.float32)
+        inputs = [((self.p["embed"] @ self.p[f"w{d}"][:EMBED] + self.p[f"b{d}"]) * scale).reshape(SYMBOLS, 4, HIDDEN).transpose(1, 0, 2).copy() for d in "fb"]
+        again = np.stack([(self.p[f"w{d}"][EMBED:] * scale).reshape(HIDDEN, 4, HIDDEN).transpose(1, 0, 2) for d in "fb"])
+        h, c = np.zeros((2, 1, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        z, own, state = np.empty((2, 4, n, HIDDEN), np.float32), np.empty((2, 4, n, HIDDEN), np.float32), np.empty((t, n, 2 * HIDDEN), np.float32)
+        taken, forget, shown, new = (z[:, k] for k in range(4))
+        out = h[:, 0]
         order = np.ascontiguousarray(codes.T)
         with np.errstate(over="ignore"):
             for i in range(t):
                 np.matmul(h, again, out=z)
-                z[0] += inputs[0].take(order[i], 0)
-                z[1] += inputs[1].take(order[t - 1 - i], 0)
+                np.take(inputs[0], order[i], 1, own[0], "clip")
+                np.take(inputs[1], order[t - 1 - i], 1, own[1], "clip")
+                z += own
                 np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)
-                c *= z[:, :, HIDDEN : 2 * HIDDEN]
-                c += z[:, :, :HIDDEN] * (2 * z[:, :, 3 * HIDDEN :] - 1)
-                h = np.exp(-2 * c)
-                h += 1
-                np.divide(2, h, out=h)
-                h -= 1
-                h *= z[:, :, 2 * HIDDEN : 3 * HIDDEN]
-                state[i, :, :HIDDEN], state[t - 1 - i, :, HIDDEN:] = h
-        return state @ self.p["out"] + self.p["bias"]
+                new *= 2
+                new -= 1
+                new *= taken
+                c *= forget
+                c += new
+                np.multiply(c, -2, out=out)
+                np.exp(out, out=out)
+                out += 1
+                np.divide(2, out, out=out)
+                out -= 1
+                out *= shown
+                state[i, :, :HIDDEN], state[t - 1 - i, :, HIDDEN:] = out
+        return state
+
+    def _open(self, states: np.ndarray) -> np.ndarray:
+        """Numbers of the windows in which a path with a span may be the best one.
+
+        A span's gain over "outside" is that of its first character, its further ones and the transitions
+        between, into and out of them. It is bounded from above for all starts and ends at once, with the
+        best transitions. Where no span can gain, the path that is outside all along is the best.
+        """
+        step = self.p["next"] + self.blocked - self.p["next"][0, 0]
+        begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        t, n, size = states.shape
+        gain = states.reshape(t * n, size) @ (self.p["out"][:, 1:] - self.p["out"][:, :1])
+        gain += self.p["bias"][1:] - self.p["bias"][0]
+        gain = gain.reshape(t, n, TAGS - 1)
+        start = gain[:, :, ::2] + step[:, begin].max(0)
+        start[0] += np.maximum(self.p["first"][begin] - self.p["first"][0], 0)
+        further = gain[:, :, 1::2] + np.maximum(step[begin, inside], step[inside, inside])
+        upto = np.cumsum(further, 0)
+        best = upto + np.maximum.accumulate(start - upto, 0) + np.maximum(np.maximum(step[begin, 0], step[inside, 0]), 0)
+        return np.flatnonzero((best > -0.1).any((0, 2)))  # 0.1 is for rounding
 
     def decode(self, codes: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
         """Per window the spans (kind, start, end, confidence) of the best tag sequence."""
-        scores = self.scores(codes)
+        out: list[list[tuple[int, int, int, float]]] = [[] for _ in codes]
+        states = self.states(codes)
+        maybe = self._open(states)
+        if not len(maybe):
+            return out
+        scores = states[:, maybe] @ self.p["out"] + self.p["bias"]
         step, t = self.p["next"] + self.blocked, len(scores)
         across = np.ascontiguousarray(scores.transpose(0, 2, 1))
         best = np.empty_like(across)
         best[0] = across[0] + (self.p["first"] + self.blocked[0])[:, None]
         for i in range(1, t):
             best[i] = (best[i - 1][:, None, :] + step[:, :, None]).max(0) + across[i]
-        path = np.empty((t, len(codes)), np.int64)
+        path = np.empty((t, len(maybe)), np.int64)
         path[-1] = best[-1].argmax(0)
         for i in range(t - 1, 0, -1):
             path[i - 1] = (best[i - 1] + step[:, path[i]]).argmax(0)
-        out: list[list[tuple[int, int, int, float]]] = [[] for _ in codes]
         some = np.flatnonzero(path.any(0))
         if not len(some):
             return out
@@ -300,7 +380,7 @@ class Network:
                 end = i + 1
                 while end < t and tag[end] == tag[i] + 1:
                     end += 1
-                out[w].append((int(tag[i]) // 2, int(i), int(end), float(sure[i:end, k].mean())))
+                out[maybe[w]].append((int(tag[i]) // 2, int(i), int(end), float(sure[i:end, k].mean())))
         return out
 
 
@@ -328,7 +408,7 @@ def _whole(texts: list[str], pieces: list[list[Span]], network: Network) -> Iter
             by_size.setdefault(-(-(x[2] - x[1]) // WINDOW) * WINDOW, []).append(x)
         todo = []
         for size, every in by_size.items():
-            at_once = max(1, 1024 * WINDOW // size)
+            at_once = max(1, AT_ONCE * WINDOW // size)
             for first in range(0, len(every), at_once):
                 part = every[first : first + at_once]
                 for (i, a, b, grow), spans in zip(part, network.decode(np.stack([symbols(texts[i][a:b], size) for i, a, b, _ in part]))):  # noqa: B905
@@ -344,24 +424,31 @@ def _whole(texts: list[str], pieces: list[list[Span]], network: Network) -> Iter
                         todo.append((i, *wider, 2 * grow))
 
 
-def added_spans(texts: list[str], base: list[list[Span]], network: Network) -> list[list[Span]]:
-    """Per text the spans that the network adds to the base."""
-    where: list[tuple[int, int, int]] = []  # text, start, number of the window's content
-    distinct: dict[bytes, int] = {}
+def added_spans(texts: list[str], base: list[list[Span]], network: Network, places: Callable[[str], list[int]] = candidates) -> list[list[Span]]:
+    """Per text the spans that the network adds to the base; ``places`` tells where a text's windows are."""
+    where: list[tuple[int, int, int, int]] = []  # text, start, size, number of the window's content among those of its size
+    distinct: dict[int, dict[bytes, int]] = {}
     for i, text in enumerate(texts):
-        if starts := windows(text):
-            coded = symbols(text, starts[-1] + WINDOW).astype(np.uint8).tobytes()
-            where += [(i, s, distinct.setdefault(coded[s : s + WINDOW], len(distinct))) for s in starts]
-    contents, decoded = list(distinct), []
-    for a in range(0, len(contents), 512):
-        decoded += network.decode(np.frombuffer(b"".join(contents[a : a + 512]), np.uint8).reshape(-1, WINDOW))
+        if starts := places(text):
+            coded = symbols(text, len(text) + PAD - 1).astype(np.uint8).tobytes()
+            for s in starts:
+                size = min(WINDOW, -(-(len(text) - s) // PAD) * PAD)
+                same = distinct.setdefault(size, {})
+                where.append((i, s, size, same.setdefault(coded[s : s + size], len(same))))
+    decoded: dict[int, list] = {}
+    for size, same in distinct.items():
+        contents, decoded[size] = list(same), []
+        for a in range(0, len(contents), AT_ONCE):
+            decoded[size] += network.decode(np.frombuffer(b"".join(contents[a : a + AT_ONCE]), np.uint8).reshape(-1, size))
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
     whole: list[list[Span]] = [[] for _ in texts]
     pieces: list[list[Span]] = [[] for _ in texts]
-    for i, start, content in where:
-        for kind, x, y, sure in decoded[content]:
-            cut = (x == 0 and start > 0) or (y == WINDOW and start + WINDOW < len(texts[i]))
+    for i, start, size, content in where:
+        for kind, x, y, sure in decoded[size][content]:
+            cut = (x == 0 and start > 0) or (y == size and start + size < len(texts[i]))
             span = (kind, start + x, min(start + y, len(texts[i])))
+            if span[1] >= span[2]:
+                continue
             (pieces if cut else whole)[i].append(span)
             if sure >= CONFIDENT and not cut and plausible(kind, texts[i][span[1] : span[2]]):
                 found[i].append((-sure, span))
@@ -385,83 +472,127 @@ def added_spans(texts: list[str], base: list[list[Span]], network: Network) -> l
 def _respelt(kind: int, text: str, rng: random.Random) -> str:
     """The same number or address in a spelling that the base patterns don't know."""
     if kind == 0:
-        return text.replace("@", rng.choice(["(at)", "[at]", " @ ", " (at) "]))
+        local, _, domain = text.partition("@")
+        if rng.random() < 0.4:
+            domain = domain.replace(".", rng.choice([" dot ", " (dot) ", "(dot)", "[dot]", " . "]))
+        return local + rng.choice(["(at)", "[at]", " @ ", " (at) ", " [at] "]) + domain
     if kind == 1:
-        return text.replace(".", rng.choice([" . ", ". ", ":"]))
+        return text.replace(".", rng.choice([" . ", ". ", ":", ", ", "[.]", "-"]))
     if kind == 2:
         digits = _NO_DIGIT.sub("", text)
-        return rng.choice([".", "_", "/", "  "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return rng.choice([".", "_", "/", "  ", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
     bare = re.sub(r"^\+[0-9]{1,2} ?", "", text)
-    return rng.choice([bare, "00" + text[1:], text.replace("-", "/").replace(" ", "/"), text.replace(" ", "_")])
+    if rng.random() < 0.5:  # other groups of digits
+        digits, parts = rng.choice(["", "0", "00"]) + _NO_DIGIT.sub("", text), []
+        while digits:
+            cut = rng.randrange(2, 5) if len(digits) > 5 else len(digits)
+            parts.append(digits[:cut])
+            digits = digits[cut:]
+        return rng.choice(["+", "", "", ""]) + rng.choice([" ", "-", "/", "."]).join(parts)
+    return rng.choice([bare, "00" + text[1:], text.replace("-", "/").replace(" ", "/"), text.replace(" ", "_"), text.replace(" ", ".")])
+
+
+def _varied(kind: int, text: str, rng: random.Random) -> str:
+    """The span with other digits, an address also with its names' letters shifted."""
+    if kind == 0:
+        shift = rng.randrange(26)
+        return re.sub(r"[a-z]", lambda m: chr(97 + (ord(m[0]) - 97 + shift) % 26), text) if rng.random() < 0.5 else text
+    if kind == 1:
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    return re.sub(r"[0-9]", lambda m: str(rng.randrange(10)), text)
 
 
-def _near(text: str, spans: list[Span]) -> list[int]:
-    """Starts of windows that cover what lies within REACH characters of a span, a digit or "@"."""
-    starts: list[int] = []
-    covered = 0
-    for a, b in sorted([m.span() for m in _ANCHOR.finditer(text)] + [(a, b) for _, a, b in spans]):
-        while covered < min(len(text), b + REACH):
-            start = max(covered - WINDOW // 2, a - REACH, 0)
-            if starts and start <= starts[-1]:
-                start = starts[-1] + WINDOW // 2
-            starts.append(start)
-            covered = start + WINDOW
-    return starts
+def _filled(text: str, spans: list[tuple[int, int, int, str]]) -> tuple[str, list[Span]]:
+    """``text`` with stretches (kind, start, end, new text) replaced, and the spans of the new texts."""
+    parts, at, length, out = [], 0, 0, []
+    for kind, a, b, own in sorted(spans, key=lambda s: s[1:3]):
+        if a < at:
+            continue
+        parts += [text[at:a], own]
+        length += a - at
+        out.append((kind, length, length + len(own)))
+        length += len(own)
+        at = b
+    return "".join([*parts, text[at:]]), out
 
 
 def examples(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and their tags from texts and their base spans, some of them respelt."""
+    """Windows and their tags from texts and their base spans: as they are, varied and respelt in place, and put between other words."""
     rng = random.Random(seed)
+    every = [(text, base_spans(text)) for text in texts]
+    pool: list[list[str]] = [[text[a:b] for text, own in every for kind, a, b in own if kind == k] for k in range(len(KINDS))]
+    kinds = [k for k in range(len(KINDS)) if pool[k]]
     codes, wanted = [], []
-    for text in texts:
-        for _ in range(2):
-            spans, parts, at, length = [], [], 0, 0
-            for kind, a, b in base_spans(text):
-                if a < at:
-                    continue
-                own = text[a:b] if rng.random() < 0.6 else _respelt(kind, text[a:b], rng)
-                parts += [text[at:a], own]
-                length += a - at
-                spans.append((kind, length, length + len(own)))
-                length += len(own)
-                at = b
-            whole = "".join([*parts, text[at:]])
-            near = _near(whole, spans)
-            other = [x for x in windows(whole) if all(abs(x - y) >= WINDOW for y in near)]
-            for start in near[:8] + rng.sample(other, min(1, len(other))):
-                start = max(0, start + rng.randrange(-20, 21))
-                codes.append(symbols(whole[start : start + WINDOW]))
-                wanted.append(tags(spans, start))
-    return (np.stack(codes), np.stack(wanted)) if codes else (np.zeros((0, WINDOW), np.int64),) * 2
+
+    def add(text: str, spans: list[Span], at: int) -> None:
+        start = max(0, at - rng.randrange(TRAIN_WINDOW))
+        codes.append(symbols(text[start : start + TRAIN_WINDOW], TRAIN_WINDOW))
+        wanted.append(tags(spans, start, TRAIN_WINDOW))
+
+    for text, own in every:
+        for change in (False, True) if own else (False,):
+            new, spans = _filled(text, [(k, a, b, _changed(k, text[a:b], rng) if change else text[a:b]) for k, a, b in own])
+            for _, a, b in spans:
+                add(new, spans, (a + b) // 2)
+            add(new, spans, rng.randrange(len(new) + 1))
+        gaps = [m.end() for m in re.finditer(r"\s", text) if all(m.end() < a - 1 or m.end() > b for _, a, b in own)]
+        if kinds and gaps:
+            put = []
+            for at in {rng.choice(gaps) for _ in range(2)}:
+                kind = rng.choice(kinds)
+                put += [(kind, at, at, _changed(kind, rng.choice(pool[kind]), rng)) for _ in range(rng.choice([1, 1, 1, 2]))]
+            padded = [(k, a, b, t) for k, a, b, t in put] + [(k, a, b, text[a:b]) for k, a, b in own]
+            new, spans = _filled(text, padded)
+            # a space after each inserted span, so that it stands between words
+            shift, spaced, marks = 0, new, []
+            for kind, a, b in spans:
+                a, b = a + shift, b + shift
+                marks.append((kind, a, b))
+                if b < len(spaced) and spaced[b].isalnum():
+                    spaced, shift = spaced[:b] + rng.choice([" ", " ", ", ", ". "]) + spaced[b:], shift
+                    shift += len(spaced) - len(new) - shift
+            add(spaced, marks, (marks[0][1] + marks[0][2]) // 2)
+    return (np.stack(codes), np.stack(wanted)) if codes else (np.zeros((0, TRAIN_WINDOW), np.int64),) * 2
+
+
+def _changed(kind: int, text: str, rng: random.Random) -> str:
+    text = _varied(kind, text, rng) if rng.random() < 0.7 else text
+    return _respelt(kind, text, rng) if rng.random() < 0.6 else text
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three stretches of each text at most that hold a digit or "@"."""
+    """STRETCHES stretches of each text at most that hold a digit or "@", and one from a place that depends on the id."""
     for batch in batches:
         ids, out = [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):  # noqa: B905
             text, at = text.as_py(), 0
-            for _ in range(3):
+            start = random.Random(i or 0).randrange(len(text) + 1)
+            found = [text[start : start + 2 * TRAIN_WINDOW]]
+            for _ in range(STRETCHES):
                 if not (m := _ANCHOR.search(text, at)):
                     break
-                ids.append(i)
-                out.append(text[max(at, m.start() - 2 * WINDOW) : m.end() + 2 * WINDOW])
-                at = m.end() + 2 * WINDOW
+                found.append(text[max(at, m.start() - TRAIN_WINDOW) : m.end() + TRAIN_WINDOW])
+                at = m.end() + TRAIN_WINDOW
+            ids += [i] * len(found)
+            out += found
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "stretch"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
-    """A network trained on about TRAIN_DOCS documents picked by a hash of their id."""
+    """A network trained on about TRAIN_DOCS documents picked by a hash of their id; None without any base span."""
     part = min(1.0, TRAIN_DOCS / max(1, docs.count()))
     lot = F.pmod(F.xxhash64(F.lit(23), F.col(id_col)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     some = docs.filter((lot < part) & F.col(text_col).isNotNull()).selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text").mapInArrow(_stretches, "id long, stretch string")
-    texts = [r.stretch for r in some.orderBy(F.xxhash64(F.lit(29), "id"), "id", "stretch").limit(TRAIN_WINDOWS).collect()]
+    # some kilobytes of a document at most, and documents whose id repeats are as many rows
+    texts = [r.stretch for r in some.orderBy(F.xxhash64(F.lit(29), "id"), "id", "stretch").limit((1 + STRETCHES) * TRAIN_DOCS).collect()]
     codes, wanted = examples(texts)
-    if not len(codes):
+    if not wanted.any():
         return None
     network = Network()
-    keep = np.random.default_rng(1).permutation(len(codes))[:TRAIN_WINDOWS]
-    network.train(codes[keep], wanted[keep])
+    order = np.random.default_rng(1).permutation(len(codes))
+    held = wanted[order].any(1)
+    order = np.concatenate([order[held][: 2 * TRAIN_WINDOWS // 3], order[~held][: TRAIN_WINDOWS // 3]])
+    network.train(codes[order], wanted[order])
     return network
 
 

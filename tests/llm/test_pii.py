@@ -106,15 +106,17 @@ def test_query_base_matches_brute_force(spark):
 
 def test_marginals_sum_to_one():
     network = pii.Network()
-    probable, _ = network.marginals(network.emissions(np.stack([pii.symbols("a@b.cd 1.2.3.4")]))[0])
+    probable, _ = network.marginals(network.emissions(np.stack([pii.symbols("a@b.cd 1.2.3.4", 32)]))[0])
     assert probable.sum(2) == pytest.approx(np.ones(probable.shape[:2]), abs=1e-3)
 
 
 @pytest.fixture(scope="module")
 def trained(corpus):
-    stretches = [t[max(0, m.start() - 150) : m.end() + 150] for t in corpus for m in list(re.finditer("[0-9@]", t))[:1]]
+    stretches = [t[max(0, m.start() - 150) : m.end() + 150] for t in corpus for m in list(re.finditer("[0-9@]", t))[:1]] + [t[:220] for t in corpus[:2000]]
     network = pii.Network()
-    network.train(*pii.examples(stretches))
+    codes, wanted = pii.examples(stretches)
+    pick = np.random.default_rng(2).permutation(len(codes))[: pii.TRAIN_WINDOWS]
+    network.train(codes[pick], wanted[pick])
     return network
 
 
@@ -151,7 +153,7 @@ def test_spans_cut_by_every_window_are_joined(trained):
 def test_digits_of_other_scripts():
     arabic = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
     text = "call 766 555 3022 now"
-    assert (pii.symbols(text) == pii.symbols(text.translate(arabic))).all()
+    assert (pii.symbols(text, 32) == pii.symbols(text.translate(arabic), 32)).all()
     assert pii.plausible(3, "766 555 3022".translate(arabic)) and pii.plausible(1, "10:0:0:1".translate(arabic))
     assert pii.plausible(2, "4539.5787.6362.1486".translate(arabic))
 
@@ -159,4 +161,75 @@ def test_digits_of_other_scripts():
 def test_scores_are_the_emissions():
     network = pii.Network()
     codes = np.random.default_rng(3).integers(0, pii.SYMBOLS, (7, 50))
-    assert np.allclose(network.scores(codes), network.emissions(codes)[0], atol=1e-4)
+    assert np.allclose(network.states(codes) @ network.p["out"] + network.p["bias"], network.emissions(codes)[0], atol=1e-4)
+
+
+def test_gradients_are_slopes():
+    network = pii.Network()
+    network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    rng = np.random.default_rng(0)
+    codes, wanted = rng.integers(32, 127, (3, 10)), np.zeros((3, 10), int)
+    wanted[0, 2], wanted[0, 3:6], wanted[1, 0], wanted[1, 1:3] = 3, 4, 1, 2
+
+    def loss():
+        scores, step = network.emissions(codes)[0], network.p["next"] + network.blocked
+        sums = scores[0] + network.p["first"] + network.blocked[0]
+        goal, each = wanted.T, np.arange(3)
+        own = sums[each, goal[0]]
+        for i in range(1, len(scores)):
+            sums = np.log(np.exp(sums[:, :, None] + step).sum(1)) + scores[i]
+            own = own + step[goal[i - 1], goal[i]] + scores[i][each, goal[i]]
+        return (np.log(np.exp(sums).sum(1)) - own).mean()
+
+    grads = network.gradients(codes, wanted)
+    for name, values in network.p.items():
+        flat, got = values.ravel(), np.asarray(grads[name]).ravel()
+        for at in np.argsort(-abs(got))[:3]:
+            old = flat[at]
+            flat[at] = old + 1e-3
+            up = loss()
+            flat[at] = old - 1e-3
+            slope = (up - loss()) / 2e-3
+            flat[at] = old
+            assert got[at] == pytest.approx(slope, rel=0.02, abs=1e-4), name
+
+
+def test_windows_without_a_path_of_gain_hold_no_span(trained, corpus):
+    """The bound never closes a window whose best path has a span."""
+    texts = [t for t in corpus if re.search("[0-9@]", t)][:60]
+    codes = np.stack([pii.symbols(t[s : s + pii.WINDOW], pii.WINDOW) for t in texts for s in pii.windows(t)[:20]])
+    free = pii.Network()
+    free.p, free._open = trained.p, lambda states: np.arange(states.shape[1])
+    assert len(trained._open(trained.states(codes))) < 0.6 * len(codes)
+    assert [[s[:3] for s in w] for w in trained.decode(codes)] == [[s[:3] for s in w] for w in free.decode(codes)]
+
+
+def test_first_pass_loses_nothing(trained, corpus):
+    """Spans from the windows that the first pass picks are those of reading every window."""
+    rng = random.Random(5)
+    texts = [t for t in corpus if re.search("[0-9@]", t)][:40] + corpus[:40]
+    for text in corpus[40:140]:
+        gaps = [m.end() for m in re.finditer(r"\s", text)] or [0]
+        at = rng.choice(gaps)
+        own = rng.choice(["anna.berg(at)example.com", "tom [at] example dot org", "10 . 0 . 20 . 7", "4539.5787.6362.1486", "0766/555/3022", "one three five"])
+        texts.append(f"{text[:at]}{own} {text[at:]}")
+    base = [pii.base_spans(t) for t in texts]
+    picked = pii.added_spans(texts, base, trained)
+    assert picked == pii.added_spans(texts, base, trained, pii.windows)
+    assert sum(map(len, picked)) > 40
+    assert sum(len(pii.candidates(t)) for t in texts) < 0.5 * sum(len(pii.windows(t)) for t in texts)
+
+
+def test_planted_spellings_without_base_spans(trained, corpus):
+    """Recall and precision of what the network adds, on spellings put into prose without digits."""
+    rng = random.Random(6)
+    prose = [t for t in corpus if 300 < len(t) < 3000 and not re.search("[0-9@]", t)][:200]
+    found = exact = elsewhere = 0
+    for i, text in enumerate(prose):
+        at = rng.choice([m.end() for m in re.finditer(r"\s", text)])
+        own = [f"mia.{'abcdefgh'[i % 8]}olm(at)example.org", f"{i % 256} . 20 . 3 . {i % 9}", "4539/5787/6362/1486", f"1 (766) 555-{3000 + i}"][i % 4]
+        planted = f"{text[:at]}{own} {text[at:]}"
+        spans = pii.added_spans([planted], [pii.base_spans(planted)], trained)[0]
+        hits = [(a, b) for _, a, b in spans if a < at + len(own) and b > at]
+        found, exact, elsewhere = found + bool(hits), exact + ((at, at + len(own)) in hits), elsewhere + len(spans) - len(hits)
+    assert found >= 0.85 * len(prose) and exact >= 0.7 * len(prose) and elsewhere <= 0.01 * len(prose), (found, exact, elsewhere)

@@ -28,7 +28,41 @@ def test_pieces_match_the_library(library):
         ids = encoder.encode(text)
         assert ids == library.encode_ordinary(text)
         assert encoder.tree.decode(ids) == text.encode()
-    assert bpe.TextEncoder(bpe.load_ranks(PATH), public_tokenizers.PATTERN).encode_all(texts) == list(map(library.encode_ordinary, texts))
+    tokens, offsets = bpe.TextEncoder(bpe.load_ranks(PATH), public_tokenizers.PATTERN).encode_all(texts)
+    assert [tokens[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == list(map(library.encode_ordinary, texts))
+    data, cuts = encoder.tree.decode_all(tokens, offsets)
+    assert [data[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)] == texts
+
+
+def test_joins_are_the_way_of_most_pieces(library):
+    """Every piece that is no token itself goes through joins; windows stay small."""
+    tree = bpe.TreeEncoder(bpe.load_ranks(PATH))
+    rng = random.Random(3)
+    pieces = ["".join(rng.choice("etaoinshrdlué") for _ in range(rng.randrange(2, 40))).encode() for _ in range(4000)]
+    tokens, offsets = tree.encode_all(pieces)
+    for piece, a, b in zip(pieces, offsets, offsets[1:], strict=False):
+        assert tokens[a:b].tolist() == library._encode_single_piece(piece), piece
+    split = [p for p in pieces if p not in tree.ranks]
+    assert tree.seams == sum(len(p) - 1 for p in split)  # a tree over bytes has one join less than leaves
+    assert tree.stable_seams > 0.1 * tree.seams and tree.grown < tree.seams
+
+
+def test_memories_may_be_lost(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "PAIRS", 5)
+    encoder = bpe.TextEncoder(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
+    for text in ("some words here", "and other words here again", "thaner mentle évioi lentim", "some words here"):
+        assert encoder.encode(text) == library.encode_ordinary(text)
+
+
+def test_long_pieces(library):
+    """Pieces of 200,000 to 1,000,000 bytes, and a text in many slices."""
+    encoder = bpe.TextEncoder(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    for text in ("".join(rng.choice("abcdeé") for _ in range(200_000)), "ab" * 100_000, "lorem ipsum, 12 \n" * 300_000):
+        assert encoder.encode(text) == library.encode_ordinary(text)
+    ids = encoder.encode("a" * 1_000_000)
+    assert encoder.tree.decode(ids) == b"a" * 1_000_000
 
 
 def test_every_token_encodes_to_itself():

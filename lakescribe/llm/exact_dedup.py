@@ -1,21 +1,30 @@
-"""Exact dedup by two Bloom passes (operator 9), DataFrame functions only.
+"""Exact dedup by two Bloom passes (operator 9).
 
-Texts are equal when they agree after all white space is deleted. Pass one counts, for every
-document, the two filter positions of its text's hash; positions counted once cannot belong to a
-repeated text, so only those counted twice or more are kept, packed into 64-bit words. Pass two
-probes each document: with a position missing it is unique and passes straight through; the others
-(repeated ones and false alarms) are shuffled by hash and settled exactly. The filter has
-``BITS_PER_ROW`` bits a document and ``MAX_BITS`` at most, so its broadcast is bounded; a filter too
-small for the table only sends more rows to the exact step.
+Texts are equal when they agree after all white space is deleted. The text of each row is read and
+hashed once, into a slim table (id, key, length, 64-bit hash of the key) that all else works on.
+
+Pass one counts, for every row, the two filter positions of its hash; positions counted once cannot
+belong to a repeated text, so the filter holds only those counted twice or more. Pass two probes
+each row: with a position missing its text is unique and it passes straight through; the others
+(repeated ones and false alarms) are shuffled by key and settled exactly, without their texts.
+
+The filter has ``BITS_PER_ROW`` bits a row at any size, so that some 2 % of the unique rows are false alarms.
+It is cut into blocks by hash, of ``BLOCK_BITS`` bits (a broadcast of 32 MB) at most; a table of more than
+some 17 million rows has several, and each block is a pass of its own over its rows of the slim table.
+
+``dedup`` drops rows by a filter of the ids that go; only rows that it hits are hashed again and compared.
 
 Of equal texts the row with most code points stays, then the smallest id. Defined results: null text
 is the empty text; an empty table gives no rows; a null id loses to any other; rows with the same id
-count as that many copies and share their fate; extra columns pass through ``dedup`` and working
-columns are prefixed ``_x_``.
+count as that many copies and share their fate; extra columns pass through ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,64 +32,96 @@ from .scratch import stored
 
 SPACE = "".join(map(chr, [0x20, *range(0x09, 0x0E)]))
 BITS_PER_ROW = 16
-#: 2**26 bits are 2**20 words: a broadcast table of some 50 MB at most.
-MAX_BITS = 1 << 26
+BLOCK_BITS = 1 << 28
 
 
 def text_key(text: Column) -> Column:
     """Hex SHA-256 of the text without white space."""
-    return F.sha2(F.translate(F.coalesce(text, F.lit("")), SPACE, ""), 256)
+    bare = reduce(lambda t, space: F.replace(t, F.lit(space), F.lit("")), SPACE, F.coalesce(text, F.lit("")))
+    return F.sha2(bare, 256)
+
+
+def slim_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, chars, hash) of every row, written once."""
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.length(text_col), F.lit(0)).alias("chars"))
+    return stored(rows.withColumn("hash", F.xxhash64("key")), "slim")
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in (1, 2)]
+def filter_shape(rows: int) -> tuple[int, int]:
+    """(number of blocks, bits of each) of a filter for so many rows; both are powers of two."""
+    bits = 1 << max(10, (rows * BITS_PER_ROW - 1).bit_length())
+    return max(1, bits // BLOCK_BITS), min(bits, BLOCK_BITS)
 
 
-def repeated_filter(keys: DataFrame, bits: int) -> DataFrame:
-    """(word, mask): the filter positions that two or more rows of ``keys`` (_x_key) have hit."""
-    hit = keys.select(F.explode(F.array(*_positions(F.col("_x_key"), bits))).alias("position"))
-    twice = hit.groupBy("position").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def block_of(hashed: Column, blocks: int) -> Column:
+    return F.shiftrightunsigned(hashed, 48).bitwiseAND(F.lit(blocks - 1)) if blocks > 1 else F.lit(0).cast("long")
+
+
+def _positions(hashed: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), hashed), F.lit(bits)) for i in (1, 2)]
+
+
+def bitmap(hits: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Words of ``bits`` bits that are set where ``least`` or more rows of ``hits`` (hash) have a position."""
+    positions = hits.select(F.explode(F.array(*_positions(F.col("hash"), bits))).alias("position"))
+    counted = positions.groupBy("position").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     bit = F.expr("shiftleft(1L, cast(position % 64 as int))")
-    return twice.groupBy((F.col("position") / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("mask"))
+    words = counted.groupBy((F.col("position") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def hit_by(hashed: Column, bits: int, words: np.ndarray, spark) -> Column:
+    """Are both positions of the hash set? The bitmap is a broadcast of bits / 8 bytes."""
+    shared = spark.sparkContext.broadcast(words)
 
+    @F.arrow_udf("boolean")
+    def both(a: pa.Array, b: pa.Array) -> pa.Array:
+        known = shared.value
+        found = [(known[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in (a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False))]
+        return pa.array((found[0] & found[1]).astype(bool))
 
-def filter_bits(rows: int) -> int:
-    return min(MAX_BITS, 1 << max(10, (rows * BITS_PER_ROW).bit_length()))
+    return both(*_positions(hashed, bits))
 
 
-def probed(docs: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
-    """``docs`` with _x_maybe: true when both filter positions of _x_key are set. ``repeated`` has bits / 64 rows at most."""
-    for i, position in enumerate(_positions(F.col("_x_key"), bits)):
-        words = F.broadcast(repeated.select(F.col("word").alias(f"_x_w{i}"), F.col("mask").alias(f"_x_m{i}")))
-        docs = docs.withColumn(f"_x_p{i}", position).join(words, (F.col(f"_x_p{i}") / 64).cast("long") == F.col(f"_x_w{i}"), "left")
-    found = [F.coalesce(F.col(f"_x_m{i}").bitwiseAND(F.expr(f"shiftleft(1L, cast(_x_p{i} % 64 as int))")) != 0, F.lit(False)) for i in (0, 1)]
-    return docs.withColumn("_x_maybe", found[0] & found[1]).drop(*[f"_x_{x}{i}" for x in "wmp" for i in (0, 1)])
+def probed(slim: DataFrame, rows: int) -> DataFrame:
+    """``slim`` with a column maybe: may the row's key occur again?"""
+    blocks, bits = filter_shape(rows)
+    parts = []
+    for b in range(blocks):
+        own = slim.filter(block_of(F.col("hash"), blocks) == b)
+        parts.append(own.withColumn("maybe", hit_by(F.col("hash"), bits, bitmap(own, bits, 2), slim.sparkSession)))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _settled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with _x_key, _x_keep (id of the row that stays) and _x_size (rows of equal text)."""
-    keyed = docs.withColumn("_x_key", text_key(F.col(text_col))).withColumn("_x_chars", F.coalesce(F.length(text_col), F.lit(0)))
-    keys = stored(docs.select(text_key(F.col(text_col)).alias("_x_key")), "text-keys")
-    bits = filter_bits(keys.count())
-    flagged = probed(keyed, stored(repeated_filter(keys, bits), "repeated"), bits)
-    once = flagged.filter(~F.col("_x_maybe")).withColumns({"_x_keep": F.col(id_col), "_x_size": F.lit(1).cast("long")})
-    maybe = flagged.filter("_x_maybe")
-    best = F.max(F.struct(F.col("_x_chars"), F.col(id_col).isNotNull(), -F.col(id_col)))
-    groups = maybe.groupBy(F.col("_x_key").alias("_x_group")).agg(best.alias("_x_best"), F.count(F.lit(1)).alias("_x_size"))
-    groups = stored(groups.select("_x_group", (-F.col("_x_best.col3")).alias("_x_keep"), "_x_size"), "groups")
-    joined = maybe.join(groups.hint("merge"), F.col("_x_key") == F.col("_x_group")).drop("_x_group")
-    return once.unionByName(joined)
+def _settled(slim: DataFrame) -> DataFrame:
+    """``slim`` with keep (id of the row that stays) and size (rows of equal text)."""
+    flagged = stored(probed(slim, slim.count()), "flagged")
+    once = flagged.filter("not maybe").withColumns({"keep": F.col("id"), "size": F.lit(1).cast("long")})
+    maybe = flagged.filter("maybe")
+    best = F.max(F.struct(F.col("chars"), F.col("id").isNotNull(), -F.col("id")))
+    groups = maybe.groupBy(F.col("key").alias("_group")).agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
+    # written, so that adaptive execution can split the rows of a hot key in the join
+    groups = stored(groups.select("_group", (-F.col("best.col3")).alias("keep"), "size"), "groups")
+    return once.unionByName(maybe.join(groups.hint("merge"), F.col("key") == F.col("_group")).drop("_group"))
 
 
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _settled(slim, "doc_id", "text").select(
-        "doc_id", F.col("_x_keep").alias("keep_id"), F.col("_x_size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("_x_keep")).alias("kept"), F.col("_x_key").alias("text_sha256")
-    )
+    kept = F.col("id").eqNullSafe(F.col("keep"))
+    return _settled(slim_rows(docs, id_col, text_col)).select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), F.col("key").alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the same columns; rows of unrepeated texts do not shuffle."""
-    kept = _settled(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("_x_keep")))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, with the same columns; rows whose id the filter misses do not shuffle."""
+    settled = _settled(slim_rows(docs, id_col, text_col)).filter(~F.col("id").eqNullSafe(F.col("keep")))
+    gone = stored(settled.select("id", "key", F.xxhash64("id").alias("hash")), "dropped-copies")
+    bits = min(BLOCK_BITS, 1 << max(10, (gone.count() * BITS_PER_ROW).bit_length()))
+    maybe = hit_by(F.xxhash64(id_col), bits, bitmap(gone, bits, 1), docs.sparkSession)
+    held = docs.select(F.struct("*").alias("row"), maybe.alias("maybe"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    stay = held.filter("not maybe").select("row.*")
+    left = held.filter("maybe").select("row", "id", text_key(F.col("text")).alias("key")).alias("a")
+    pairs = gone.select("id", "key").distinct().hint("merge").alias("b")
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.key") == F.col("b.key"))
+    return stay.unionAll(left.join(pairs, same, "left_anti").select("row.*"))

@@ -31,8 +31,8 @@ def brute_dedup(rows):
 
 @pytest.mark.parametrize("bits", [None, 64])
 def test_exact_dedup(spark, monkeypatch, bits):
-    if bits:  # a filter far too small only sends more rows to the exact step
-        monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows: bits)
+    if bits:  # a filter far too small only sends more rows to the exact step; several blocks cover all rows
+        monkeypatch.setattr(exact_dedup, "filter_shape", lambda rows: (4, bits))
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("ab \t\n\u00a0é") for _ in range(rng.randrange(6))), "s") for i in range(300)]
     rows += [(1000, None, None), (1001, "", "s"), (1002, " \n", "s"), (1003, "x" * 200_000, "s"), (1004, "x " * 200_000, "s"), (5, rows[5][1], "s")]
@@ -47,11 +47,22 @@ def test_exact_dedup(spark, monkeypatch, bits):
 
 
 def test_unique_rows_do_not_shuffle(spark):
-    df = docs_of(spark, [(i, f"text {i}", "s") for i in range(3000)])
-    keys = df.select(exact_dedup.text_key(F.col("text")).alias("_x_key"))
-    bits = exact_dedup.filter_bits(3000)
-    flagged = exact_dedup.probed(df.withColumn("_x_key", exact_dedup.text_key(F.col("text"))), exact_dedup.repeated_filter(keys, bits), bits)
-    assert flagged.filter("_x_maybe").count() < 0.1 * 3000
+    df = docs_of(spark, [(i, f"text {i}", "s") for i in range(30_000)])
+    slim = exact_dedup.slim_rows(df, "doc_id", "text")
+    assert exact_dedup.probed(slim, 30_000).filter("maybe").count() < 0.03 * 30_000
+
+
+def test_false_alarms_do_not_grow(monkeypatch, spark):
+    """The filter's bits follow the rows at any size; beyond a block's size there are more blocks, and alarms stay as few."""
+    for rows in (1, 1000, 10**6, 10**8, 10**10):
+        blocks, bits = exact_dedup.filter_shape(rows)
+        assert bits <= exact_dedup.BLOCK_BITS and blocks * bits >= exact_dedup.BITS_PER_ROW * rows
+    monkeypatch.setattr(exact_dedup, "BLOCK_BITS", 1 << 15)
+    slim = exact_dedup.slim_rows(docs_of(spark, [(i, f"text {i % 19_000}", "s") for i in range(20_000)]), "doc_id", "text")
+    assert exact_dedup.filter_shape(20_000) == (16, 1 << 15)
+    flagged = exact_dedup.probed(slim, 20_000)
+    assert flagged.count() == 20_000
+    assert 2000 <= flagged.filter("maybe").count() < 2000 + 0.03 * 18_000
 
 
 # 5

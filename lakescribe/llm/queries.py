@@ -110,10 +110,13 @@ WITH split AS (
          regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 outcome AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-hosts AS (
-  SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix,
-         count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
+counted AS (
+  SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
   FROM split LEFT JOIN outcome ON page_id = doc_id GROUP BY host),
+parts AS (SELECT *, string_split(name, '.') AS p, list_contains(@SUFFIXES@, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.')) AS two FROM counted),
+hosts AS (
+  SELECT host, n, bad, CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN name ELSE array_to_string(list_slice(p, CASE WHEN two THEN -3 ELSE -2 END, -1), '.') END AS domain,
+         CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN name ELSE array_to_string(list_slice(p, CASE WHEN two THEN -2 ELSE -1 END, -1), '.') END AS suffix FROM parts),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 spread AS (
@@ -128,7 +131,7 @@ overall AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM suffixes),
 top AS (SELECT suffix, (bad + coalesce(m, 4) * mean) / (n + coalesce(m, 4)) AS mean FROM suffixes CROSS JOIN overall LEFT JOIN strength ON up = 's'),
 mid AS (SELECT domain, (bad + coalesce(m, 4) * mean) / (n + coalesce(m, 4)) AS mean FROM domains JOIN top USING (suffix) LEFT JOIN strength ON up = 'd.' || suffix),
 low AS (SELECT host, bad + coalesce(m, 4) * mean AS a, n - bad + coalesce(m, 4) * (1 - mean) AS b FROM hosts JOIN mid USING (domain) LEFT JOIN strength ON up = 'h.' || domain),
-bound AS (SELECT host, a / (a + b) - 3 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM low),
+bound AS (SELECT host, a / (a + b) - 1.28 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM low),
 ruled AS (
   SELECT page_id, host, path, CASE
       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -136,9 +139,9 @@ ruled AS (
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM split)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > (SELECT mean FROM overall) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN bound USING (host)
-"""
+""".replace("@SUFFIXES@", str(url_filter.SUFFIXES))
 
 OP5_SQL = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),

@@ -135,6 +135,61 @@ def test_bad_hosts_are_blocked(spark):
     assert {r.verdict for r in judged if "rare" in r.host} == {"allow"}
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.com": ("b.com", "com"), "a.b.co.uk": ("b.co.uk", "co.uk"), "me.github.io": ("me.github.io", "github.io"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "u@a.b.org:80": ("b.org", "org"), "com": ("com", "com"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = {r.h: (r.d, r.s) for r in df.select("h", url_filter.domain_of(F.col("h")).alias("d"), url_filter.suffix_of(F.col("h")).alias("s")).collect()}
+    assert got == hosts
+
+
+def test_posterior_matches_plain_python(spark):
+    """The three levels worked out again by hand, on hosts whose bad rates differ by design."""
+    rng = random.Random(2)
+    rates = {f"{h}.{d}": rate for d, base in (("a.co.uk", 0.1), ("b.co.uk", 0.6), ("c.org", 0.2), ("d.org", 0.3)) for h, rate in (("x", base), ("y", min(1, base + 0.3)), ("z", base))}
+    pages, labels = [], []
+    for i in range(3000):
+        host = rng.choice(sorted(rates))
+        pages.append((i, f"http://{host}/en/{i}" + "p" * (50_000 if i == 7 else 0)))
+        if i % 3:
+            labels.append((i, int(rng.random() < rates[host]), 1))
+    bad = {i: t for i, t, _ in labels}
+    count = {}
+    for i, url in pages:
+        n, b = count.get(host := url.split("/")[2], (0, 0))
+        count[host] = (n + (i in bad), b + bad.get(i, 0))
+
+    def strength(rows):
+        t, b, k = sum(n for n, _ in rows), sum(b for _, b in rows), len(rows)
+        p = b / t
+        left = t - sum(n * n for n, _ in rows) / t
+        v = (sum(b * b / n for n, b in rows) - b * p - (k - 1) * p * (1 - p)) / left if k > 1 and left else 0
+        return min(max(p * (1 - p) / v - 1 if v > 0 else 200, 4), max(min(t, 200), 4))
+
+    def up(rows, cut):
+        out = {}
+        for name, (n, b) in rows.items():
+            key = cut(name)
+            out[key] = (out.get(key, (0, 0))[0] + n, out.get(key, (0, 0))[1] + b)
+        return out
+
+    def prior(rows, below, cut, mean, m):
+        return {k: ((b + m(k) * mean(k)) / (n + m(k)), strength([x for name, x in below.items() if cut(name) == k])) for k, (n, b) in rows.items()}
+
+    domains = up(count, lambda h: h.split(".", 1)[1])
+    suffixes = up(domains, lambda d: d.split(".", 1)[1])
+    overall = (sum(b for _, b in count.values()) + 0.5) / (sum(n for n, _ in count.values()) + 1)
+    top = prior(suffixes, domains, lambda d: d.split(".", 1)[1], lambda _: overall, lambda _: strength(list(suffixes.values())))
+    mid = prior(domains, count, lambda h: h.split(".", 1)[1], lambda d: top[d.split(".", 1)[1]][0], lambda d: top[d.split(".", 1)[1]][1])
+    want = {}
+    for host, (n, b) in count.items():
+        mean, m = mid[host.split(".", 1)[1]]
+        a, c = b + m * mean, n - b + m * (1 - mean)
+        want[host] = "block" if a / (a + c) - 1.28 * (a * c / ((a + c) ** 2 * (a + c + 1))) ** 0.5 > overall else "allow"
+    judged = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"), rules=()).collect()
+    assert {r.host: r.verdict for r in judged} == want
+    assert want["y.b.co.uk"] == want["x.b.co.uk"] == "block" and want["x.a.co.uk"] == want["x.c.org"] == "allow"
+
+
 # 8
 
 

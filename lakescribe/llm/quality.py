@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade (operator 8).
 
 Base figures of a text come from one vectorised pass. The method's rules are then run one after the
-other, each only on the texts that no earlier rule has rejected. Their order is planned on a bounded
-sample: every rule's cost per text and rejection rate are measured there, and rules go by rejection
-per cost, highest first. The order changes the work, never the verdict.
+other, each only on the texts that no earlier rule has rejected; some work out figures of their own,
+such as word statistics, for those texts alone. Their order is planned on a sample: in every task,
+one text of ``SAMPLE`` (by a hash of its id) is put to all rules, which are timed and counted, and
+the other texts of the chunk meet the rules by rejection per cost so far, highest first. So the
+sample covers the whole table, needs no pass of its own, and nothing goes to the driver. The order
+changes the work, and which of several failing rules is named, never the verdict.
 
 Defined results: null is the empty text; a text without words has zeros everywhere, fails the base
 rules and is not kept; an empty table gives no rows; repeated rows are judged alike; extra columns
@@ -23,8 +26,8 @@ from .tokens import Chunk, chunks, mix64
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Rows of the sample that plans the order of the rules.
-PLAN_ROWS = 500
+#: One text of so many plans the order of the rules.
+SAMPLE = 16
 #: The symbols that n_symbols counts.
 SYMBOLS = "#*$%&|<>"
 
@@ -33,7 +36,8 @@ _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
+#: First bytes of letters: ASCII ones, and code points from U+00C0 without U+2000-U+2FFF (signs) and from U+10000 on (pictures).
+_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE2), *range(0xE3, 0xF0)]] = True
 _FIRST = np.ones(256, bool)
 _FIRST[0x80:0xC0] = False
 
@@ -60,6 +64,20 @@ class Facts:
         total = np.concatenate([[0], np.cumsum(table[self.chunk.data])])[self.chunk.offsets]
         return np.diff(total) if rows is None else np.diff(total)[rows]
 
+    def word_groups(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text in ``rows``: number of distinct words, and how often its most frequent word occurs."""
+        counts = self.n_words[rows]
+        text = np.repeat(np.arange(len(rows)), counts)
+        at = np.arange(counts.sum()) + np.repeat(self.first[rows] - np.cumsum(counts) + counts, counts)
+        key = mix64(self.chunk.hashes(self.starts[at], self.ends[at]) + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        order = np.argsort(key)
+        key = key[order]
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        owner, size = text[order[lead]], np.diff(np.append(lead, len(key)))
+        top = np.zeros(len(rows), np.int64)
+        np.maximum.at(top, owner, size)
+        return np.bincount(owner, minlength=len(rows)), top
+
     def _lines(self) -> None:
         """Lines with a word, and those among them equal to an earlier line of the text."""
         c = self.chunk
@@ -115,22 +133,54 @@ def _few_letters(f: Facts, rows: np.ndarray) -> np.ndarray:
     return 2 * f.count_bytes(_LETTER, rows) < f.word_chars[rows]
 
 
+def _one_word(f: Facts, rows: np.ndarray) -> np.ndarray:
+    """One word makes up over 30 % of the text."""
+    return 100 * f.word_groups(rows)[1] > 30 * f.n_words[rows]
+
+
+def _few_distinct(f: Facts, rows: np.ndarray) -> np.ndarray:
+    """Under 2 % of the words are distinct."""
+    return 100 * f.word_groups(rows)[0] < 2 * f.n_words[rows]
+
+
 Rule = Callable[[Facts, np.ndarray], np.ndarray]
 #: A rule takes the figures and the numbers of the texts still in play, and says which it rejects.
-RULES: dict[str, Rule] = {"symbols": _symbols, "word_length": _word_length, "dup_lines": _dup_lines, "shouting": _shouting, "few_letters": _few_letters}
+RULES: dict[str, Rule] = {"symbols": _symbols, "word_length": _word_length, "dup_lines": _dup_lines, "shouting": _shouting, "few_letters": _few_letters, "one_word": _one_word, "few_distinct": _few_distinct}
+
+
+class Plan:
+    """What a task has measured of each rule on its sample."""
+
+    def __init__(self, rules: dict[str, Rule]):
+        self.rules, self.spent, self.rejected = rules, dict.fromkeys(rules, 1e-9), dict.fromkeys(rules, 0)
 
+    def order(self) -> list[str]:
+        return sorted(self.rules, key=lambda n: -self.rejected[n] / self.spent[n])
 
-def plan(docs: DataFrame, text_col: str = "text", rules: dict[str, Rule] = RULES, rows: int = PLAN_ROWS) -> list[str]:
-    """Names of the rules, by rejections per second on ``rows`` rows of ``docs``."""
-    sample = pa.array([r[0] for r in docs.select(text_col).limit(rows).collect()], pa.string())
-    spent, rejected = dict.fromkeys(rules, 1e-9), dict.fromkeys(rules, 0)
-    for chunk in chunks(sample):
-        facts, every = Facts(chunk), np.arange(len(chunk))
-        for name, rule in rules.items():
+    def measure(self, facts: Facts, rows: np.ndarray) -> dict[str, np.ndarray]:
+        """What each rule says of the sampled texts."""
+        said = {}
+        for name, rule in self.rules.items():
             began = time.perf_counter()
-            rejected[name] += int(rule(facts, every).sum())
-            spent[name] += time.perf_counter() - began
-    return sorted(rules, key=lambda n: (-rejected[n] / spent[n], n))
+            said[name] = rule(facts, rows)
+            self.spent[name] += time.perf_counter() - began
+            self.rejected[name] += int(said[name].sum())
+        return said
+
+    def reasons(self, facts: Facts, picked: np.ndarray) -> np.ndarray:
+        """Per text "base", the rule that rejects it, or None; texts that are ``picked`` are the sample."""
+        why = np.full(len(facts.n_words), None, object)
+        why[facts.base_failed] = "base"
+        sample, alive = np.flatnonzero(~facts.base_failed & picked), np.flatnonzero(~facts.base_failed & ~picked)
+        said = self.measure(facts, sample) if len(sample) else {}
+        for name in self.order():
+            if said:
+                hit = sample[said[name]]
+                why[hit[why[hit] == None]] = name  # noqa: E711  elementwise
+            if len(alive):
+                hit = self.rules[name](facts, alive)
+                why[alive[hit]], alive = name, alive[~hit]
+        return why
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
@@ -138,19 +188,14 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, Rule] = RULES) -> DataFrame:
     """Per row the base figures, base_failed, kept, and the rule that rejected it in planned order."""
-    order = plan(docs, text_col, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Plan(rules)
         for batch in batches:
+            drawn = mix64(batch.column(0).fill_null(0).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(SAMPLE) == 0
             for chunk in chunks(batch.column(1)):
                 f = Facts(chunk)
-                why = np.full(len(chunk), None, object)
-                why[f.base_failed] = "base"
-                for name in order:
-                    alive = np.flatnonzero(why == None)  # noqa: E711  elementwise
-                    if not len(alive):
-                        break
-                    why[alive[rules[name](f, alive)]] = name
+                why = plan.reasons(f, drawn[chunk.first : chunk.last])
                 ids = batch.column(0).slice(chunk.first, len(chunk))
                 figures = [pa.array(x.astype(np.int64)) for x in (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words)]
                 yield pa.RecordBatch.from_arrays(

@@ -177,19 +177,20 @@ twice AS (SELECT doc_id, i, full_window AND count(*) OVER (PARTITION BY doc_id,
 covered AS (SELECT doc_id, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM twice),
 repeats AS (SELECT doc_id, sum(hit)::BIGINT AS n_repeat_words FROM covered GROUP BY doc_id),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM base),
+top AS (SELECT doc_id, max(c) AS top, count(*) AS n_distinct FROM (SELECT doc_id, w, count(*) AS c FROM word GROUP BY doc_id, w) GROUP BY doc_id),
 lines AS (
   SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines
   FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 facts AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS n_letters,
-         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-  FROM base LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id)),
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{1FFF}\x{3000}-\x{FFFF}]', '', 'g')) AS n_letters,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(top, 0) AS top, coalesce(n_distinct, 0) AS n_distinct
+  FROM base LEFT JOIN repeats USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN lines USING (doc_id)),
 failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM facts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 100 * n_dup_lines > 35 * n_lines OR 2 * n_upper > word_chars OR 2 * n_letters < word_chars) AS kept
+            OR 100 * n_dup_lines > 35 * n_lines OR 2 * n_upper > word_chars OR 2 * n_letters < word_chars OR 100 * top > 30 * n_words OR 100 * n_distinct < 2 * n_words) AS kept
 FROM failed
 """
 

@@ -220,10 +220,36 @@ def test_quality(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_order_follows_rejections_per_cost():
+    import time
+
+    def slow(f, rows):
+        time.sleep(0.002)
+        return rows % 2 == 0
+
+    rules = {"never": lambda f, rows: rows < 0, "slow": slow, "quick": lambda f, rows: rows % 2 == 1}
+    plan = quality.Plan(rules)
+    for chunk in tokens.chunks(pa.array(["one two three four " * 4 + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(64)])):
+        why = plan.reasons(quality.Facts(chunk), np.arange(64) < 8)
+    assert plan.order() == ["quick", "slow", "never"]
+    assert list(why) == ["slow", "quick"] * 32
+
+
+def test_word_groups():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(60))) for _ in range(50)]
+    for chunk in tokens.chunks(pa.array(texts)):
+        rows = np.array([3, 7, 8, 20, 49])
+        distinct, top = quality.Facts(chunk).word_groups(rows)
+        words = [texts[i].split() for i in rows]
+        assert distinct.tolist() == [len(set(w)) for w in words]
+        assert top.tolist() == [max((w.count(x) for x in set(w)), default=0) for w in words]
+
+
 def test_order_of_rules_does_not_change_verdicts(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = sorted((r.doc_id, r.kept) for r in quality.judge(df).collect())
-    monkeypatch.setattr(quality, "plan", lambda *_: sorted(quality.RULES))
+    monkeypatch.setattr(quality.Plan, "order", lambda plan: sorted(plan.rules, reverse=True))
     assert sorted((r.doc_id, r.kept) for r in quality.judge(df).collect()) == one
 
 

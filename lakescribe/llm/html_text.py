@@ -5,7 +5,8 @@ scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and
 (known by element, role, class or id), nor have lines that are mostly links, nor, on pages that mark
 their article (by <article> or <main>, else by a class or id such as "post-content", around
 ``CONTENT_SHARE`` of the remaining text or more), lines outside of it. A name such as "no-sidebar" or
-"has-comments" tells of the page and marks nothing. A link is an <a href> up to its </a>, or without
+"has-comments" tells of the page and marks nothing; inside an article only whole names count, so that
+"related-work" is text there. Buttons, pictures and advert parts inside a line go without ending it. A link is an <a href> up to its </a>, or without
 one up to the next <a> or block. A part marked by class or id that holds an <article> or <main> and
 most of the text is not dropped. Masses are summed over a window of ``WINDOW`` lines. A surge is
 where the sum leaves zero, a dive where it falls back to zero; between the two lies a run. Runs whose
@@ -13,7 +14,7 @@ peak reaches ``PEAK_SHARE`` of the page's highest are kept (all runs of a marked
 lines that have mass, in page order, are the text.
 
 Inside a line, tags go, character references are decoded, white space becomes one space, and <br>
-is white space. Defined results: null and empty html give the empty text; broken or cut-off markup
+is white space. A page is read in linear time. Defined results: null and empty html give the empty text; broken or cut-off markup
 is read as far as it goes; an empty table gives no rows; repeated rows give repeated results; extra
 columns are ignored.
 """
@@ -39,6 +40,8 @@ BLOCK = set(
 )
 #: Elements without readable text of the article.
 DROPPED = set("nav footer aside form button select option textarea input iframe object canvas audio video svg noscript template dialog menu head title search".split())
+#: Those of them that stand inside a line.
+INLINE_DROPPED = set("button select option textarea input iframe object canvas audio video svg noscript".split())
 #: Elements that never close.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Names in class and id that mark such parts.
@@ -47,24 +50,53 @@ NAMES = (
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments reply replies respond disqus discussion pagination pager toolbar skip skiplink hidden copyright legal disclaimer search"
 ).split()
+#: Such names that a part of an article's own text may have.
+OWN_NAMES = set("legal header search".split())
+WHOLE_NAMES = set(NAMES) - OWN_NAMES
 COMMENT_NAMES = set("comment comments reply replies respond disqus discussion".split())
 #: Roles that mark such parts.
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_RAW = re.compile(r"<!--|<!\[CDATA\[|<(script|style)\b|<[!?]", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
 _MARK = re.compile(r"(?:^|[\s\"'])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"(?:^|[-_])(?:" + "|".join(NAMES) + r")(?:$|[-_])")
 #: Names that tell whether the page has such a part, not that the element is one.
-_LAYOUT = re.compile(r"(?:^|[-_])(?:no|has|with|without)[-_]")
+_LAYOUT = re.compile(r"(?:^|[-_])(?:no|has|with|without)[-_]|[-_](?:free|off|less|none)$")
 _CONTENT = re.compile(r"^(?:(?:article|post|entry|story|main|page|blog)[-_]?)?(?:content|body|text)$|^(?:article|post|entry|story|main)$")
 _ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _HEADING = re.compile(r"h[1-6]$")
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
-    """(does it mark a part to drop, reader comments, the article's text)"""
+def _without_raw(page: str) -> str:
+    """The page with a space for each comment, script, style and declaration; what is cut off goes to the end.
+
+    Every end is looked for once: where there is none, there is none further on either.
+    """
+    parts, at, closes = [], 0, True
+    m = _RAW.search(page)
+    while m:
+        if m[0] in ("<!--", "<![CDATA[") or m[0].upper() == "<![CDATA[":
+            mark = "-->" if m[0] == "<!--" else "]]>"
+            end = page.find(mark, m.end())
+            end = len(page) if end < 0 else end + len(mark)
+        else:
+            end = page.find(">", m.end()) + 1 if closes else 0
+            closes = end > 0
+            if end and m[1]:
+                close = _RAW_END[m[1].lower()].search(page, end)
+                end = close.end() if close else len(page)
+        if end:
+            parts += [page[at : m.start()], " "]
+            at = end
+        m = _RAW.search(page, end or m.end())
+    return "".join([*parts, page[at:]])
+
+
+def _marks(attributes: str, within: bool = False) -> tuple[bool, bool, bool]:
+    """(does it mark a part to drop, reader comments, the article's text); ``within`` an article only whole names mark a part."""
     drop = comments = content = False
     for key, value in _MARK.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -72,7 +104,7 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
             for name in value.split():
                 if _LAYOUT.search(name):
                     continue
-                drop |= bool(_NAME.search(name))
+                drop |= name in WHOLE_NAMES if within else bool(_NAME.search(name))
                 content |= bool(_CONTENT.match(name))
                 comments |= not COMMENT_NAMES.isdisjoint(re.split("[-_]", name))
         elif key == "role":
@@ -98,7 +130,7 @@ class Lines:
         self._names: list[list] = []  # open elements named as content, with their depth in elements of that kind
         self._parts: list[str] = []
         self._link = 0
-        page = _RAW.sub(" ", page)
+        page = _without_raw(page)
         while (part := self._read(page)) is not None:
             self._kept.add(part)
 
@@ -119,6 +151,7 @@ class Lines:
             own.clear()
         held, holding = -1, set()
         skip, depth = "", 0  # the element whose part is dropped, and how deep in elements of its name
+        inline, inner = "", 0  # the same for a part inside a line
         articles, heading, link, ends, at = 0, False, False, False, 0
         closed, opened = set(), -1  # starts of the <a> that a </a> closes before the next <a>
         for m in _ANCHOR.finditer(page):
@@ -126,14 +159,27 @@ class Lines:
                 closed.add(opened)
             opened = -1 if m[1] else m.start()
         for m in _TAG.finditer(page):
-            self._text(page[at : m.start()], link)
+            if not inline:
+                self._text(page[at : m.start()], link)
             at = m.end()
             closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             name = name.lower()
+            if inline:
+                if name == inline and name not in VOID and not attributes.endswith("/"):
+                    inner += -1 if closing else 1
+                if not inner or (name in BLOCK and inline not in INLINE_DROPPED):
+                    inline = ""
+                if inline or name not in BLOCK:
+                    continue
             if name == "br":
                 self._parts.append(" ")
                 continue
-            if name in BLOCK or name in DROPPED:
+            if not skip and not closing and name not in VOID and name not in BLOCK and not attributes.endswith("/"):
+                if name in INLINE_DROPPED or (attributes and name != "a" and _marks(attributes, articles > 0)[0]):
+                    self._parts.append(" ")
+                    inline, inner = name, 1
+                    continue
+            if (name in BLOCK or name in DROPPED) and name not in INLINE_DROPPED:
                 self._flush(bool(skip) and not (skip == "header" and articles and heading), articles > 0, held)
                 link = link and ends
             if name in ("td", "th"):
@@ -166,7 +212,7 @@ class Lines:
                 if name in ("article", "main"):
                     articles = max(0, articles - 1)
                 continue
-            drop, comments, content = _marks(attributes) if attributes else (False, False, False)
+            drop, comments, content = _marks(attributes, articles > 0) if attributes else (False, False, False)
             if name in ("html", "body", "main"):
                 drop = False
             elif name == "article":
@@ -179,7 +225,8 @@ class Lines:
                 articles += 1
             elif content and name in BLOCK and name != "body":
                 self._names.append([name, 1])
-        self._text(page[at:], link)
+        if not inline:
+            self._text(page[at:], link)
         self._flush(bool(skip), articles > 0, held)
         mass: dict[int, int] = {}
         for text, dropped, part in zip(self.texts, self.dropped, self.held):  # noqa: B905

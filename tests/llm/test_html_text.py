@@ -90,3 +90,43 @@ def test_part_that_holds_the_article_stays():
 def test_closed_link_around_blocks():
     page = f"<div><p>{TEXT}</p></div><div><a href='/x'><h3>Other</h3><p>Its teaser is here</p></a></div>"
     assert main_text(page) == TEXT
+
+
+LONG = "Here the story goes on with many plain words, one after the other, until the line is long enough. " * 4
+
+
+def test_parts_inside_a_line_and_inside_an_article():
+    page = f"""<html><body><nav><a href='/'>Home</a></nav><article><h1>Title</h1>
+    <p>{LONG}</p><p>Before<button>Share me</button> the <b>middle</b> <svg><text>icon</text></svg>after.</p>
+    <p>One <span class='ad'>Buy now!</span>two <em>three</em>.</p>
+    <div class='related-work'><p>Earlier papers did this. {LONG}</p></div><section class='legal'><p>The law of rivers is old. {LONG}</p></section>
+    <div class='notice'><p>We use cookies.</p></div><aside>More stories</aside><p>{LONG}</p></article><footer>Imprint</footer></body></html>"""
+    lines = html_text.main_text(page).split("\n")
+    story = " ".join(LONG.split())
+    assert lines == ["Title", story, "Before the middle after.", "One two three.", f"Earlier papers did this. {story}", f"The law of rivers is old. {story}", story]
+
+
+def test_layouts_around_an_article():
+    for wrapper in ("layout has-sidebar", "no-sidebar", "with-banner", "search-result-page", "site-header-below content", "comment-free"):
+        page = f"<body><div class='{wrapper}'><article><p>{LONG}</p></article></div><div class='sidebar'>Side</div></body>"
+        assert html_text.main_text(page) == " ".join(LONG.split()), wrapper
+
+
+def test_hostile_markup_is_linear():
+    import time
+
+    for piece in ("<script ", "<!", "<style>", "<!--", "<a '", "</", "<p class='"):
+        page, began = piece * (1_000_000 // len(piece)), time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 20, piece
+    began = time.perf_counter()
+    assert html_text._without_raw("<script " * 125_000) == "<script " * 125_000
+    assert html_text._without_raw("a<script>x</SCRIPT >b<!--c-->d<!doctype html>e<![CDATA[f]]>g<style") == "a b d e g<style"
+    assert time.perf_counter() - began < 2
+
+
+def test_repeated_rows_and_extra_columns(spark):
+    rows = [(1, "u", f"<p>{LONG}</p>")] * 2 + [(2, None, None), (3, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
+    got = sorted((r.page_id, r.url or "", r.text) for r in html_text.extract(pages).collect())
+    assert got == [(1, "u", " ".join(LONG.split()))] * 2 + [(2, "", ""), (3, "v", "")]

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_folder
-from .ingest import fan_out
-from .normalize import normalize_segments_ms
+from .ingest import fan_out, normalized_items
 
 #: Date precisions from fine to coarse.
 PRECISION = ("exact", "date", "month", "year")
@@ -18,9 +17,9 @@ BROADCAST_QUERIES = 10_000
 
 
 def rebuild(bronze: DataFrame):
-    """The silver tables of all archived millisecond transcripts."""
-    items, _ = normalize_segments_ms(bronze)
-    return fan_out(items)
+    """(silver tables, rejected records) of all archived responses of all providers, by the same rules as the ingest."""
+    items, rejects = normalized_items(bronze)
+    return fan_out(items), rejects
 
 
 def content_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +38,7 @@ def mention_counts(mentions: DataFrame, domain: str | None = None, cross_domain:
             raise ValueError("name a domain, or ask for cross_domain")
         mentions = mentions.filter(F.col("domain") == domain)
     if hidden is not None:
-        mentions = mentions.join(hidden.select("source_id"), "source_id", "left_anti")
+        mentions = mentions.join(hidden.select("source_id").distinct().hint("merge"), "source_id", "left_anti")
     by_document = mentions.groupBy("entity", "domain", "document").agg(F.count(F.lit(1)).alias("_n"))
     return by_document.groupBy("entity", "domain").agg(F.sum("_n").alias("mentions"), F.count(F.lit(1)).alias("documents"))
 
@@ -93,19 +92,31 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def swap_version(df: DataFrame, path: str, version: str) -> None:
-    """Write a model version beside the others, then point the active-version row at it."""
+    """Write a model version beside the others, then append a pointer to it; readers take the latest pointer.
+
+    Nothing is overwritten but the version's own partition, so a crash leaves the version that was active before.
+    """
     spark = df.sparkSession
     df.withColumn("model_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_version").parquet(f"{path}/vectors")
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}/active")
+    pointers = f"{path}/active"
+    last = spark.read.parquet(pointers).agg(F.max("at")).first()[0] if _exists(spark, pointers) else 0
+    spark.range(1).select(F.lit(last + 1).alias("at"), F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(pointers)
+
+
+def _exists(spark, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def active_vectors(spark, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/active").first()["version"]
+    version = spark.read.parquet(f"{path}/active").agg(F.max_by("version", "at")).first()[0]
     return spark.read.parquet(f"{path}/vectors").filter(F.col("model_version") == version)
 
 
 def chunk_segments(segments: DataFrame, max_tokens: int = 400, key: str = "document", speaker: str = "speaker", idx: str = "idx") -> DataFrame:
-    """Chunks of consecutive segments of one speaker: (key, chunk, speaker, first_idx, last_idx, token_count, text).
+    """Chunks of consecutive segments of one speaker: (key, chunk, speaker, first_idx, last_idx, token_count, text, start_ms, end_ms).
+
+    ``segments`` has offset_ms and duration_ms; a chunk runs from its first segment's start to its last one's end.
 
     Within a speaker's island a segment goes to window floor((tokens before it) / max_tokens), so a
     chunk starts below each multiple of max_tokens and no segment is cut. Documents are independent.
@@ -118,7 +129,7 @@ def chunk_segments(segments: DataFrame, max_tokens: int = 400, key: str = "docum
     before = Window.partitionBy(key, "_island").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
     packed = islands.withColumn("_window", F.floor(F.coalesce(F.sum("_tokens").over(before), F.lit(0)) / max_tokens))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(idx, "text"))), lambda s: s["text"]), " ")
-    chunks = packed.groupBy(key, "_island", "_window").agg(F.first(speaker).alias(speaker), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"), F.sum("_tokens").alias("token_count"), texts.alias("text"))
+    chunks = packed.groupBy(key, "_island", "_window").agg(F.first(speaker).alias(speaker), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"), F.sum("_tokens").alias("token_count"), texts.alias("text"), F.min("offset_ms").alias("start_ms"), F.max(F.col("offset_ms") + F.col("duration_ms")).alias("end_ms"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("first_idx")) - 1
     return chunks.withColumn("chunk", number).drop("_island", "_window")
 
@@ -133,7 +144,7 @@ def crossed_over(mentions: DataFrame, a: str, b: str) -> DataFrame:
 def stale_flows(expected: DataFrame, heartbeat: DataFrame, now: Column, max_age_hours: int) -> DataFrame:
     """Expected flows without a heartbeat in time; never_run tells those that have none at all."""
     last = heartbeat.groupBy("tenant_id", "flow_name").agg(F.max("last_success_at").alias("last_success_at"))
-    joined = expected.join(last, ["tenant_id", "flow_name"], "left").withColumn("never_run", F.col("last_success_at").isNull())
+    joined = expected.join(last.hint("merge"), ["tenant_id", "flow_name"], "left").withColumn("never_run", F.col("last_success_at").isNull())
     return joined.filter(F.col("never_run") | (F.col("last_success_at") < now - F.make_interval(hours=F.lit(max_age_hours))))
 
 
@@ -157,12 +168,12 @@ def alias_match(surfaces: DataFrame, aliases: DataFrame, threshold: float = 0.5)
     counts = left.select(F.explode("g").alias("gram")).union(right.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.select(name, "m", F.explode("g").alias("gram")).join(counts, "gram").groupBy(name).agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("o"))
+        ranked = df.select(name, "m", F.explode("g").alias("gram")).join(counts.hint("merge"), "gram").groupBy(name).agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("o"))
         first = F.slice("o", F.lit(1), (F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1).cast("int"))
         return ranked.select(name, F.explode(F.transform(first, lambda s: s["gram"])).alias("gram"))
 
-    pairs = prefix(left, "surface").join(prefix(right, "alias"), "gram").select("surface", "alias").distinct()
-    full = pairs.join(left.select("surface", F.col("g").alias("ga")), "surface").join(right.select("alias", F.col("g").alias("gb")), "alias")
+    pairs = prefix(left, "surface").join(prefix(right, "alias").hint("merge"), "gram").select("surface", "alias").distinct()
+    full = pairs.join(left.select("surface", F.col("g").alias("ga")).hint("merge"), "surface").join(right.select("alias", F.col("g").alias("gb")).hint("merge"), "alias")
     shared = F.size(F.array_intersect("ga", "gb"))
     similarity = shared / (F.size("ga") + F.size("gb") - shared)
     return full.select("surface", "alias", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import truthy
+from .normalize import METADATA, TRANSCRIPTS, assign_provenance, document_fields, outcome_of
 
 ITEM = ["tenant_id", "source_id", "external_id"]
+#: Columns of a document and of a transcript beside keys and status; NULL is unknown.
+DOCUMENT = {"url": "string", "title": "string", "description": "string", "duration_s": "bigint", "published_at": "timestamp", "published_at_precision": "string", "published_at_source": "string"}
+TRANSCRIPT = {"is_auto_generated": "boolean", "provenance_confidence": "string", "available_langs": "array<string>"}
+#: What a record may carry beside key, payload and time.
+OPTIONAL = {"http_status": "int", "is_generated": "boolean", "available_langs": "array<string>"}
 #: Outcomes that end the failover.
 TERMINAL = ("ok", "unavailable", "invalid")
 
@@ -104,7 +111,7 @@ def cross_check(a: DataFrame, b: DataFrame) -> DataFrame:
     fields = ["text", "offset_ms", "duration_ms"]
     left = a.select("item", "idx", F.struct(*fields).alias("a"))
     right = b.select("item", "idx", F.struct(*fields).alias("b"))
-    return left.join(right, ["item", "idx"], "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return left.join(right.hint("merge"), ["item", "idx"], "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
 
 
 class Silver(NamedTuple):
@@ -113,33 +120,93 @@ class Silver(NamedTuple):
     segments: DataFrame
 
 
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
+
+
+def latest_records(records: DataFrame) -> DataFrame:
+    """One record per item, provider and endpoint: the latest by (fetched_at, key), so that every run picks the same."""
+    by = [*ITEM, "provider", "endpoint"]
+    rest = [c for c in records.columns if c not in by]
+    return records.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("fetched_at", "key")).alias("_r")).select(*by, "_r.*")
+
+
+def normalized_items(records: DataFrame, order: Sequence[str] = tuple(TRANSCRIPTS)) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of bronze records of all providers: an item's transcript by failover in ``order``, and its metadata.
+
+    A record without a transcript stands for the outcome of its http_status (none: unavailable), a
+    rejected one for an error, on which the next provider is asked. ``records`` may have http_status,
+    is_generated and available_langs. Missing metadata leaves NULLs, never a guess.
+    """
+    check_order(order, tuple(TRANSCRIPTS))
+    own = latest_records(_with(records, OPTIONAL))
+    spoken = own.filter("endpoint = 'transcript'")
+    items, rejects = [], []
+    for provider in order:
+        read, unit = TRANSCRIPTS[provider]
+        good, bad = read(spoken.filter(F.col("provider") == provider))
+        items.append(good.select(*ITEM, "provider", "lang", "segments", *OPTIONAL, F.lit(unit).alias("provider_unit")))
+        rejects.append(bad)
+    found, refused = reduce(DataFrame.unionByName, items), reduce(DataFrame.unionByName, rejects)
+    said = outcome_of(F.col("http_status"))
+    outcome = F.when(F.col("segments").isNotNull(), F.lit("ok")).when(F.col("http_status").isNotNull() & (said != "ok"), said).otherwise(F.lit("unavailable"))
+    tried = found.select(F.struct(*ITEM).alias("item"), "provider", outcome.alias("outcome")).union(refused.select(F.struct(*ITEM).alias("item"), "provider", F.lit("error")))
+    settled = resolve_attempts(tried, order).select("item.*", F.col("chosen_provider").alias("provider"), "error")
+
+    dated = []
+    for place, (provider, read) in enumerate(METADATA.items()):
+        part = read(document_fields(own.filter((F.col("endpoint") == "metadata") & (F.col("provider") == provider))))
+        renamed = part.withColumnsRenamed({"precision": "published_at_precision", "date_source": "published_at_source"})
+        dated.append(renamed.select(*ITEM, F.lit(place).alias("_place"), F.struct(*DOCUMENT).alias("_d")))
+    known = reduce(DataFrame.unionByName, dated).groupBy(*ITEM).agg(F.min_by("_d", "_place").alias("_d"))
+    every = settled.join(known, ITEM, "full_outer").select(*ITEM, "provider", F.coalesce("error", F.when(F.col("provider").isNull(), F.lit("no-provider-available"))).alias("error"), "_d.*")
+    joined = every.join(assign_provenance(found).drop("provider_unit", "http_status", "is_generated"), [*ITEM, "provider"], "left")
+    return joined, refused
+
+
 def fan_out(items: DataFrame) -> Silver:
     """SNK3, PRJ8: documents (enriched with a transcript, else failed), transcripts, and segments of normalized items.
 
-    Surrogate ids hash the natural keys, so a replay writes the same rows.
+    Items may have the columns of ``DOCUMENT`` and ``TRANSCRIPT``; those they lack are NULL. Surrogate
+    ids hash the natural keys, so a replay writes the same rows.
     """
     document_id = F.sha2(F.concat_ws("|", *ITEM), 256)
-    keyed = items.withColumn("document_id", document_id)
+    keyed = _with(items, DOCUMENT | TRANSCRIPT).withColumn("document_id", document_id)
     status = F.when(F.col("segments").isNotNull(), F.lit("enriched")).otherwise(F.lit("failed"))
-    documents = keyed.select("document_id", *ITEM, status.alias("status"))
+    documents = keyed.select("document_id", *ITEM, *DOCUMENT, status.alias("status"))
     version = keyed.filter("segments is not null").withColumn("transcript_id", F.sha2(F.concat_ws("|", "document_id", "provider", "lang"), 256))
-    transcripts = version.select("transcript_id", "document_id", "tenant_id", "provider", "lang")
+    transcripts = version.select("transcript_id", "document_id", "tenant_id", "provider", "lang", *TRANSCRIPT)
     segments = version.select("transcript_id", "tenant_id", F.explode("segments").alias("s")).select("transcript_id", "tenant_id", "s.*")
     return Silver(documents, transcripts, segments)
 
 
-def write_silver(silver: Silver, path: str) -> None:
-    """Segments first and documents last: a document's presence marks the item as done."""
-    for name in ("segments", "transcripts", "documents"):
-        getattr(silver, name).write.mode("append").parquet(f"{path}/{name}")
+#: Key by which a silver table's rows are known to be written already.
+SILVER_KEYS = {"segments": "transcript_id", "transcripts": "transcript_id", "documents": "document_id"}
+
+
+def write_silver(silver: Silver, path: str, held: dict[str, DataFrame] | None = None) -> None:
+    """Segments first and documents last: a document's presence marks the item as done.
+
+    Rows whose key is in ``held`` (by table) are there from a run that broke off, and are not written again.
+    A Parquet append of one table is committed as a whole or not at all.
+    """
+    for name, key in SILVER_KEYS.items():
+        rows = getattr(silver, name)
+        if held and name in held:
+            rows = rows.join(held[name].select(key).distinct(), key, "left_anti").select(rows.columns)
+        rows.write.mode("append").parquet(f"{path}/{name}")
+
+
+def ingest_errors(outcomes: DataFrame, source: str = "source_id") -> DataFrame:
+    """AG2: (source, error) of every failed item, a row each."""
+    return outcomes.filter("outcome = 'failed'").select(source, "error")
 
 
 def ingest_summary(outcomes: DataFrame, source: str = "source_id") -> DataFrame:
-    """AG2: per source the items discovered, known already, fetched and failed, and the errors; refused items are in no bucket."""
+    """AG2: per source the items discovered, known already, fetched and failed; refused items are in no bucket. Errors are in ``ingest_errors``."""
     count = lambda kind: F.count_if(F.col("outcome") == kind)
     return outcomes.groupBy(source).agg(
-        F.count(F.lit(1)).alias("discovered"), count("already").alias("already"), count("fetched").alias("fetched"), count("failed").alias("failed"),
-        F.array_sort(F.collect_list(F.when(F.col("outcome") == "failed", F.col("error")))).alias("errors"),
+        F.count(F.lit(1)).alias("discovered"), count("already").alias("already"), count("fetched").alias("fetched"), count("failed").alias("failed")
     )
 
 

@@ -47,13 +47,32 @@ def normalize_segments_ms(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(~F.col("_bad")).drop("_v", "_list", "_plain", "_bad"), parsed.filter("_bad").select(bronze.columns)
 
 
-def normalize_segments_s(bronze: DataFrame) -> DataFrame:
-    """``bronze`` with segments from ``snippets`` in seconds, rounded half to even; missing duration 0."""
+def normalize_segments_s(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects): ``bronze`` with segments from ``snippets`` in seconds, rounded half to even; missing duration 0.
+
+    Without ``snippets`` there is no transcript; an element without text or start rejects the item.
+    """
     listed = _get("$.snippets", "array<struct<text:string,start:double,duration:double>>")
+    parsed = _parsed(bronze).withColumn("_list", listed)
+    bad = F.coalesce(F.exists("_list", lambda e: e.isNull() | e["text"].isNull() | e["start"].isNull()), F.lit(False))
     many = F.transform(
-        listed, lambda e, i: F.struct(i.alias("idx"), e["text"].alias("text"), ms_of(e["start"]).alias("offset_ms"), F.coalesce(ms_of(e["duration"]), F.lit(0)).alias("duration_ms"))
+        "_list", lambda e, i: F.struct(i.alias("idx"), e["text"].alias("text"), ms_of(e["start"]).alias("offset_ms"), F.coalesce(ms_of(e["duration"]), F.lit(0)).alias("duration_ms"))
     )
-    return _parsed(bronze).withColumn("segments", many).drop("_v")
+    parsed = parsed.withColumns({"segments": many, "_bad": bad})
+    return parsed.filter(~F.col("_bad")).drop("_v", "_list", "_bad"), parsed.filter("_bad").select(bronze.columns)
+
+
+def document_fields(bronze: DataFrame) -> DataFrame:
+    """``bronze`` (a metadata payload) with url, title, description and duration_s of the document."""
+    own = F.coalesce(F.nullif(_get("$.id", "string"), F.lit("")), F.col("external_id"))
+    return (
+        _parsed(bronze)
+        .withColumns({
+            "url": F.concat(F.lit("https://www.youtube.com/watch?v="), own), "title": _get("$.title", "string"),
+            "description": _get("$.description", "string"), "duration_s": _get("$.duration", "double").cast("long"),
+        })
+        .drop("_v")
+    )
 
 
 def normalize_metadata(bronze: DataFrame) -> DataFrame:
@@ -129,10 +148,7 @@ def assign_provenance(items: DataFrame) -> DataFrame:
     })
 
 
-#: Normalizers by (provider, endpoint); adding a source adds an entry.
-REGISTRY = {
-    ("supadata", "transcript"): lambda bronze: normalize_segments_ms(bronze)[0],
-    ("ytapi", "transcript"): normalize_segments_s,
-    ("ytdlp", "metadata"): normalize_metadata,
-    ("supadata", "metadata"): normalize_metadata_api,
-}
+#: Transcript normalizers by provider, with the unit of its times: (items, rejects) of records. Adding a source adds an entry.
+TRANSCRIPTS = {"supadata": (normalize_segments_ms, "ms"), "native": (normalize_segments_ms, "ms"), "ytapi": (normalize_segments_s, "s")}
+#: Metadata normalizers by provider, the preferred one first.
+METADATA = {"ytdlp": normalize_metadata, "supadata": normalize_metadata_api}

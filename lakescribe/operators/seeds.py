@@ -49,7 +49,7 @@ def append_seeds(incoming: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Data
     keyed = incoming.withColumn("_key", bare_handle(F.col("handle")))
     first = F.row_number().over(Window.partitionBy("_key").orderBy("position"))
     held = seeds.select(bare_handle(F.col("handle")).alias("_key")).distinct().withColumn("_held", F.lit(True))
-    judged = keyed.withColumn("_first", first).join(held, "_key", "left")
+    judged = keyed.withColumn("_first", first).join(held.hint("merge"), "_key", "left")
     fresh = F.col("_held").isNull() & (F.col("_first") == 1)
     return judged.filter(fresh).select(incoming.columns), judged.filter(~fresh).select(*incoming.columns, F.lit("duplicate handle").alias("reason"))
 
@@ -86,17 +86,19 @@ def priority_merge(frames: Sequence[tuple[str, DataFrame]], fill: Sequence[str]
     """
     ranked = [f.withColumns({"_list": F.lit(i), "_name": F.lit(name)}) for i, (name, f) in enumerate(frames)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked).withColumn("_key", bare_handle(F.col(key)))
-    order = Window.partitionBy("_key").orderBy("_list", position)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = {c: F.first(truthy(F.col(c)), ignorenulls=True).over(whole) for c in fill}
-    rows = rows.withColumn("_rank", F.row_number().over(order)).withColumns({**filled, "_names": F.collect_list("_name").over(whole)})
-    merged = rows.filter("_rank = 1").withColumn("also_in", F.slice("_names", F.lit(2), F.greatest(F.size("_names") - 1, F.lit(0))))
-    return merged.drop("_key", "_rank", "_list", "_names").withColumnRenamed("_name", "from_list")
-
-
-def order_seeds(seeds: DataFrame) -> DataFrame:
-    """SO1: by domain, phase, then videos, most first and NULL as 0."""
-    return seeds.orderBy("domain", "phase", F.coalesce("videos", F.lit(0)).desc())
+    place = F.struct("_list", position)
+    filled = [F.min_by(truthy(F.col(c)), F.when(truthy(F.col(c)).isNotNull(), place)).alias(c) for c in fill]
+    own = [c for c in rows.columns if c not in ("_key", "_list", "_name", *fill)]
+    # partial aggregates; a key's lists are counted, one number per list
+    merged = rows.groupBy("_key").agg(F.min_by(F.struct(*own, "_name"), place).alias("_best"), *filled, *[F.count_if(F.col("_list") == i).alias(f"_n{i}") for i in range(len(frames))])
+    first = F.array_position(F.array(*[F.lit(name) for name, _ in frames]), F.col("_best._name")) - 1
+    names = F.flatten(F.array(*[F.array_repeat(F.lit(name), (F.col(f"_n{i}") - (first == i).cast("long")).cast("int")) for i, (name, _) in enumerate(frames)]))
+    return merged.select(*[F.col("_best")[c].alias(c) for c in own], *fill, F.col("_best._name").alias("from_list"), names.alias("also_in"))
+
+
+def order_seeds(seeds: DataFrame, *ties: str) -> DataFrame:
+    """SO1: by domain, phase, then videos, most first and NULL as 0, then ``ties``."""
+    return seeds.orderBy("domain", "phase", F.coalesce("videos", F.lit(0)).desc(), *ties)
 
 
 def seed_stats(seeds: DataFrame) -> DataFrame:

@@ -162,14 +162,15 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH r AS (SELECT source, doc_id % 500 AS x, doc_id % 2 AS f, text, lang, doc_id FROM documents),
 held AS (SELECT DISTINCT source, x, text, lang, f FROM r WHERE doc_id % 3 = 0), h AS (SELECT source, x, text, lang, min(f) AS f0, count(*) AS n FROM held GROUP BY ALL),
-inc AS (SELECT DISTINCT source, x, text, lang, f FROM r WHERE doc_id % 3 <> 0 OR doc_id % 2 = 1),
+inc AS (SELECT source, x, text, lang, f FROM r WHERE doc_id % 3 <> 0 OR doc_id % 2 = 1 UNION SELECT source, x, text, lang, f + 7 FROM r WHERE doc_id % 21 = 0),
 one AS (SELECT i.*, h.f0, h.n, min(i.f) OVER (PARTITION BY i.source, i.x, i.text, i.lang) AS first FROM inc i LEFT JOIN h USING (source, x, text, lang))
 SELECT CASE WHEN f0 IS NULL AND f = first THEN 'new' WHEN f0 IS NOT NULL AND f = f0 THEN 'noop' ELSE 'conflict' END AS result, count(*) AS n FROM one GROUP BY ALL""")
 def snk1_bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = bronze.bronze_records(_responses(spark, sf_dir))
     held = records.filter("doc_id % 3 = 0")
     held = held.groupBy("key").agg(F.min_by("record_hash", "fetched_at").alias("record_hash"))
-    parts = bronze.bronze_append(records.filter("doc_id % 3 <> 0 or doc_id % 2 = 1"), held)._asdict()
+    late = bronze.bronze_records(_responses(spark, sf_dir).filter("doc_id % 21 = 0").withColumn("fetched_at", F.col("fetched_at") + 7))
+    parts = bronze.bronze_append(records.filter("doc_id % 3 <> 0 or doc_id % 2 = 1").unionByName(late), held)._asdict()
     marked = [df.select(F.lit(name).alias("result")) for name, df in parts.items()]
     return marked[0].union(marked[1]).union(marked[2]).groupBy("result").agg(F.count(F.lit(1)).alias("n"))
 
@@ -180,11 +181,14 @@ def snk2_bronze_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.bronze_exists(records, records.filter("doc_id % 3 = 0")).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE source = 'src3' AND doc_id % 4 = 0")
+@query("SELECT doc_id FROM documents d WHERE source = (SELECT min(source) FROM documents) AND EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 4 = 0 AND o.source = d.source AND o.doc_id % 500 = d.doc_id % 500 AND o.text = d.text AND o.lang = d.lang)")
 def src2_bronze_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = bronze.bronze_records(_responses(spark, sf_dir))
-    keys = records.filter("doc_id % 4 = 0").select("key")
-    return records.filter("provider = 'src3'").join(keys, "key", "left_semi").select("doc_id")
+    """The archive of all responses, written, and read back for one provider and some keys."""
+    path, records = fresh_folder(spark, "bronze"), bronze.bronze_records(_responses(spark, sf_dir))
+    bronze.write_bronze(records, path)
+    provider = table(spark, sf_dir, "documents").agg(F.min("source")).first()[0]
+    keys = records.filter("doc_id % 4 = 0").select("key").distinct()
+    return bronze.read_bronze(spark, path, provider, keys).select("doc_id")
 
 
 @query("SELECT handle, phase, videos FROM v_seeds WHERE phase = 'p2'")
@@ -226,7 +230,7 @@ def prj2_segments_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.round("value", 4)
     snippet = F.struct(F.lit("t").alias("text"), start.alias("start"), F.when(F.col("event_id") % 2 == 0, start / 2).alias("duration"))
     e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.array(snippet).alias("snippets"))).alias("payload"))
-    return normalize.normalize_segments_s(e).select("event_id", F.explode("segments").alias("s")).select("event_id", "s.offset_ms", "s.duration_ms")
+    return normalize.normalize_segments_s(e)[0].select("event_id", F.explode("segments").alias("s")).select("event_id", "s.offset_ms", "s.duration_ms")
 
 
 def _epoch(col: str):
@@ -388,29 +392,77 @@ def snk3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silver(spark, sf_dir).segments.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("segments"), F.sum("offset_ms").alias("offsets"))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN doc_id % 4 = 2 THEN 'failed' ELSE 'enriched' END AS status FROM documents) GROUP BY ALL")
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of three providers: supadata (blocked for every fifth document, four shapes), ytapi where that is blocked, metadata for two thirds."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("tenant_id"), F.col("source").alias("source_id"), "lang", "n_chars", "text")
+    d, blocked = d.withColumn("fetched_at", F.col("doc_id") % 3), F.col("doc_id") % 5 == 0
+    none, langs = F.lit(None).cast("boolean"), F.lit(None).cast("array<string>")
+    key = ["tenant_id", "source_id", "external_id", "lang", "fetched_at"]
+    one = _segment_payloads(spark, sf_dir).join(d, "doc_id").select(
+        F.lit("supadata").alias("provider"), F.lit("transcript").alias("endpoint"), *key, F.when(blocked, F.lit("{}")).otherwise(F.col("payload")).alias("payload"),
+        F.when(blocked, 429).otherwise(200).alias("http_status"), none.alias("is_generated"), langs.alias("available_langs"),
+    )
+    d = d.withColumn("external_id", F.col("doc_id").cast("string"))
+    snippet = F.to_json(F.struct(F.array(F.struct("text", F.lit(1.5).alias("start"))).alias("snippets")))
+    two = d.filter(blocked).select(F.lit("ytapi"), F.lit("transcript"), *key, snippet, F.lit(200), F.col("doc_id") % 2 == 0, F.array("lang"))
+    about = F.to_json(F.struct(F.col("external_id").alias("id"), F.col("lang").alias("title"), F.col("n_chars").alias("duration"), (F.lit(1704067200) + F.col("doc_id")).alias("timestamp")))
+    three = d.filter("doc_id % 3 <> 0").select(F.lit("ytdlp"), F.lit("metadata"), *key, about, F.lit(200), none, langs)
+    return one.union(two).union(three)
+
+
+_WHOLE = """
+SELECT doc_id::VARCHAR AS external_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 4 <> 2 THEN 'enriched' ELSE 'failed' END AS status, CASE WHEN doc_id % 3 <> 0 THEN 'https://www.youtube.com/watch?v=' || doc_id END AS url,
+       CASE WHEN doc_id % 3 <> 0 THEN lang END AS title, CASE WHEN doc_id % 3 <> 0 THEN n_chars END::BIGINT AS duration_s, CASE WHEN doc_id % 3 <> 0 THEN 1704067200 + doc_id END::BIGINT AS published,
+       CASE WHEN doc_id % 3 <> 0 THEN 'exact' END AS published_at_precision, CASE WHEN doc_id % 5 = 0 THEN 'ytapi' WHEN doc_id % 4 <> 2 THEN 'supadata' END AS provider,
+       CASE WHEN doc_id % 5 = 0 THEN doc_id % 2 = 0 END AS is_auto_generated, CASE WHEN doc_id % 5 = 0 THEN 'known' WHEN doc_id % 4 <> 2 THEN 'unknown' END AS provenance_confidence,
+       CASE WHEN doc_id % 5 = 0 THEN lang END AS langs FROM documents"""
+
+
+def _whole(silver: ingest.Silver) -> DataFrame:
+    t = silver.transcripts.select("document_id", "provider", "is_auto_generated", "provenance_confidence", F.array_join("available_langs", ",").alias("langs"))
+    joined = silver.documents.join(t.hint("merge"), "document_id", "left")
+    return joined.select("external_id", "status", "url", "title", "duration_s", F.unix_timestamp("published_at").alias("published"), "published_at_precision", "provider", "is_auto_generated", "provenance_confidence", "langs")
+
+
+@query(_WHOLE)
 def d1_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("tenant_id"), F.col("source").alias("source_id"), "lang", F.lit("native").alias("provider"))
-    return analytics.rebuild(_segment_payloads(spark, sf_dir).join(d, "doc_id")).documents.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Silver rows of archived responses of all providers, with the failover and the metadata."""
+    return _whole(analytics.rebuild(bronze.bronze_records(_recorded(spark, sf_dir)))[0])
+
+
+@query(_WHOLE)
+def st4_ingest_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same responses through the incremental ingest, in two batches by item, the second replayed."""
+    path, raw = fresh_folder(spark, "lake"), _recorded(spark, sf_dir)
+    for part in ("cast(external_id as long) % 2 = 0", "cast(external_id as long) % 2 = 1", "cast(external_id as long) % 2 = 1"):
+        jobs.ingest_batch(raw.filter(part), path)
+    return _whole(ingest.Silver(*[spark.read.parquet(f"{path}/{n}") for n in ingest.Silver._fields]))
 
 
 @query("""
-SELECT event_type AS source_id, count(*) AS discovered, count(*) FILTER (event_id % 4 = 0) AS already, count(*) FILTER (event_id % 4 = 1) AS fetched, count(*) FILTER (event_id % 4 = 2) AS failed,
-       coalesce(string_agg('e' || event_id, ',' ORDER BY 'e' || event_id) FILTER (event_id % 4 = 2), '') AS errors FROM events GROUP BY ALL""")
+SELECT event_type AS source_id, count(*) AS discovered, count(*) FILTER (event_id % 4 = 0) AS already, count(*) FILTER (event_id % 4 = 1) AS fetched, count(*) FILTER (event_id % 4 = 2) AS failed FROM events GROUP BY ALL""")
 def ag2_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest_summary(_outcomes(spark, sf_dir))
+
+
+@query("SELECT event_type AS source_id, 'e' || event_id AS error FROM events WHERE event_id % 4 = 2")
+def ag2_ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest_errors(_outcomes(spark, sf_dir))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.element_at(F.array(*[F.lit(x) for x in ("already", "fetched", "failed", "budget_exceeded")]), (F.col("event_id") % 4 + 1).cast("int"))
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), outcome.alias("outcome"), F.concat(F.lit("e"), F.col("event_id")).alias("error"))
-    return ingest.ingest_summary(e).withColumn("errors", F.array_join("errors", ","))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), outcome.alias("outcome"), F.concat(F.lit("e"), F.col("event_id")).alias("error"))
 
 
 @query("""
-WITH s AS (SELECT user_id AS tenant_id, event_type AS source_id, max(event_id) AS cursor, max(ts) AS at FROM events WHERE event_id % 2 = 0 GROUP BY ALL), t AS (SELECT DISTINCT user_id AS tenant_id, event_type AS source_id FROM events WHERE event_id % 3 = 0)
+WITH s AS (SELECT user_id AS tenant_id, event_type AS source_id, max(event_id) AS cursor, max(ts) AS at FROM events WHERE event_id % 2 = 0 GROUP BY ALL), t AS (SELECT DISTINCT user_id AS tenant_id, event_type AS source_id FROM events WHERE event_id % 2 = 1)
 SELECT coalesce(s.tenant_id, t.tenant_id) AS tenant_id, coalesce(s.source_id, t.source_id) AS source_id, s.cursor, floor(epoch(CASE WHEN t.tenant_id IS NOT NULL THEN TIMESTAMP '2024-02-20 12:00:00' ELSE s.at END))::BIGINT AS updated
 FROM s FULL JOIN t ON s.tenant_id = t.tenant_id AND s.source_id = t.source_id""")
 def se2_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumnsRenamed({"user_id": "tenant_id", "event_type": "source_id"})
     state = e.filter("event_id % 2 = 0").groupBy("tenant_id", "source_id").agg(F.max("event_id").alias("cursor"), F.max("ts").cast("timestamp").alias("updated_at"))
-    return ingest.upsert_state(state, e.filter("event_id % 3 = 0"), now()).select("tenant_id", "source_id", "cursor", F.unix_timestamp("updated_at").alias("updated"))
+    return ingest.upsert_state(state, e.filter("event_id % 2 = 1"), now()).select("tenant_id", "source_id", "cursor", F.unix_timestamp("updated_at").alias("updated"))
 
 
 # seeds
@@ -445,33 +497,34 @@ def prj11_survey_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT '@' || source AS handle, doc_id AS position FROM documents WHERE doc_id % 2 = 0), j AS (SELECT *, row_number() OVER (PARTITION BY lower(handle) ORDER BY position) AS k FROM i)
+WITH i AS (SELECT '@' || source AS handle, doc_id AS position FROM documents), j AS (SELECT *, row_number() OVER (PARTITION BY lower(handle) ORDER BY position) AS k FROM i)
 SELECT handle, position, CASE WHEN k > 1 OR lower(handle) IN (SELECT lower(handle) FROM v_seeds WHERE phase = 'p1') THEN 'duplicate handle' ELSE 'added' END AS result FROM j""")
 def jn4_append_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incoming = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(at_handle(F.col("source")).alias("handle"), F.col("doc_id").alias("position"))
+    incoming = table(spark, sf_dir, "documents").select(at_handle(F.col("source")).alias("handle"), F.col("doc_id").alias("position"))
     added, rejected = seeds.append_seeds(incoming, views.v_seeds(spark, sf_dir).filter("phase = 'p1'"))
     return added.withColumn("result", F.lit("added")).union(rejected.withColumnRenamed("reason", "result"))
 
 
 @query("""
-SELECT n_name AS handle, r_name AS category, 'tier' || r_regionkey AS tier, CASE WHEN n_nationkey % 5 = 0 THEN 'research-p1' ELSE 'phase' || r_regionkey END AS phase
-FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 AND n_nationkey % 4 <> 0""")
+SELECT c_name AS handle, r_name AS category, 'tier' || r_regionkey AS tier, CASE WHEN c_custkey % 5 = 0 THEN 'research-p1' ELSE 'phase' || r_regionkey END AS phase
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 AND c_custkey % 4 <> 0""")
 def jn5_classify_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
     mapping = r.filter("r_regionkey < 4").select(F.col("r_name").alias("category"), F.when(F.col("r_regionkey") < 3, F.concat(F.lit("tier"), F.col("r_regionkey"))).alias("tier"), F.concat(F.lit("phase"), F.col("r_regionkey")).alias("phase"))
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("handle"), F.col("r_name").alias("category"), (F.col("n_nationkey") % 4 != 0).alias("resolved"))
-    early = n.filter("n_nationkey % 5 = 0").select(F.concat(F.lit("@"), F.lower("n_name")).alias("handle"))
+    of = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("category"))
+    rows = c.join(F.broadcast(of), "c_nationkey").select(F.col("c_name").alias("handle"), "category", (F.col("c_custkey") % 4 != 0).alias("resolved"))
+    early = c.filter("c_custkey % 5 = 0").select(F.concat(F.lit("@"), F.lower("c_name")).alias("handle"))
     return seeds.classify_candidates(rows, mapping, early).select("handle", "category", "tier", "phase")
 
 
 @query("""
-SELECT n_name AS handle, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 100 WHEN n_nationkey % 2 = 0 THEN n_nationkey + 1 END::BIGINT AS n FROM nation""")
+SELECT c_name AS handle, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 100 WHEN c_custkey % 2 = 0 THEN c_custkey + 1 END::BIGINT AS n FROM customer""")
 def jn6_lookup2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    first = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("@"), F.lower("n_name")).alias("handle"), (F.col("n_nationkey") + 1).cast("long").alias("n"))
-    second = n.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("handle"), (F.col("n_nationkey") + 100).cast("long").alias("n"))
-    zero = n.select(F.col("n_name").alias("handle"), F.lit(0).cast("long").alias("n")).filter("handle = 'none'")
-    return seeds.lookup2(n.select(F.col("n_name").alias("handle")), [zero, first, second])
+    c = table(spark, sf_dir, "customer")
+    first = c.filter("c_custkey % 2 = 0").select(F.concat(F.lit("@"), F.lower("c_name")).alias("handle"), (F.col("c_custkey") + 1).cast("long").alias("n"))
+    second = c.filter("c_custkey % 3 = 0").select(F.col("c_name").alias("handle"), (F.col("c_custkey") + 100).cast("long").alias("n"))
+    zero = c.select(F.col("c_name").alias("handle"), F.lit(0).cast("long").alias("n")).filter("handle = 'none'")
+    return seeds.lookup2(c.select(F.col("c_name").alias("handle")), [zero, first, second])
 
 
 @query("""
@@ -504,10 +557,27 @@ def ag4_resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_type, coalesce(nullif(p_size % 6, 0), 0) DESC, p_partkey)::INT AS place FROM part")
 def so1_order_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("domain"), F.col("p_type").alias("phase"), F.nullif(F.col("p_size") % 6, F.lit(0)).alias("videos"))
-    within = Window.partitionBy("domain").orderBy("phase", F.coalesce("videos", F.lit(0)).desc(), "p_partkey")
-    before = p.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("domain").rowsBetween(Window.unboundedPreceding, -1)))
-    ordered = seeds.order_seeds(p).withColumn("place", F.row_number().over(within))
-    return ordered.join(before, "domain").select("p_partkey", (F.col("place") + F.coalesce("before", F.lit(0))).cast("int").alias("place"))
+    path = fresh_folder(spark, "ordered")
+    seeds.order_seeds(p, "p_partkey").select("p_partkey", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    # a number is its partition's number times 2^33, and the place in the partition
+    ordered = spark.read.parquet(path).withColumn("part", F.shiftright("at", 33))
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    return ordered.join(before.hint("merge"), "part").select("p_partkey", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int").alias("place"))
+
+
+@query("SELECT tenant_id, source_id, external_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY position) AS k FROM v_items) WHERE k <= 3")
+def so2_discovery_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.limit_per_source(views.v_items(spark, sf_dir), 3).select(ingest.ITEM)
+
+
+@query("SELECT DISTINCT unnest(['@h' || page_id % 50, '@c' || page_id]) AS handle, 'unknown' AS domain, 'manual-review' AS phase FROM pages")
+def st1_intake_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch that the intake stream hands on: a dropped file per page, with a handle that many share and a channel's URL."""
+    p = table(spark, sf_dir, "pages")
+    listed = F.array(F.to_json(F.struct(F.concat(F.lit("@h"), F.col("page_id") % 50).alias("handle"))), F.to_json(F.struct(F.concat(F.lit("https://youtube.com/@c"), F.col("page_id")).alias("url"))), F.lit('{"url": "junk"}'))
+    files = p.select(F.col("page_id").cast("string").alias("path"), F.lit(0).alias("mtime"), F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("value"))
+    return jobs.intake_rows(files, views.v_seeds(spark, sf_dir))[0].select("handle", "domain", "phase")
 
 
 @query("""
@@ -614,10 +684,10 @@ WITH t AS (SELECT conv_id AS document, turn, role, text, len(regexp_extract_all(
 m AS (SELECT *, CASE WHEN lag(role) OVER o IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM t WINDOW o AS (PARTITION BY document ORDER BY turn)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY document ORDER BY turn) AS island FROM m),
 w AS (SELECT *, floor(coalesce(sum(tokens) OVER (PARTITION BY document, island ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 40) AS win FROM i),
-c AS (SELECT document, island, win, min(role) AS speaker, min(turn) AS first_idx, max(turn) AS last_idx, sum(tokens)::BIGINT AS token_count, string_agg(text, ' ' ORDER BY turn) AS text FROM w GROUP BY ALL)
-SELECT document, speaker, first_idx, last_idx, token_count, text, (row_number() OVER (PARTITION BY document ORDER BY first_idx) - 1)::INT AS chunk FROM c""")
+c AS (SELECT document, island, win, min(role) AS speaker, min(turn) AS first_idx, max(turn) AS last_idx, sum(tokens)::BIGINT AS token_count, string_agg(text, ' ' ORDER BY turn) AS text, min(turn * 1000)::BIGINT AS start_ms, max(turn * 1000 + coalesce(length(text), 0))::BIGINT AS end_ms FROM w GROUP BY ALL)
+SELECT document, speaker, first_idx, last_idx, token_count, text, start_ms, end_ms, (row_number() OVER (PARTITION BY document ORDER BY first_idx) - 1)::INT AS chunk FROM c""")
 def d7_chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), F.col("turn").alias("idx"), F.col("role").alias("speaker"), "text", (F.col("turn") * 1000).cast("long").alias("offset_ms"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("duration_ms"))
     return analytics.chunk_segments(c, 40)
 
 
@@ -641,13 +711,12 @@ def d10_stale_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_name AS surface, list_distinct(list_transform(range(1, length('  ' || lower(p_name) || ' ') - 1), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part WHERE p_partkey % 20 = 0),
-a AS (SELECT DISTINCT p_name AS alias, list_distinct(list_transform(range(1, length('  ' || lower(p_name) || ' ') - 1), lambda i: substr('  ' || lower(p_name) || ' ', i, 3))) AS g FROM part),
-j AS (SELECT surface, alias, len(list_intersect(s.g, a.g)) AS c, len(s.g) + len(a.g) AS t FROM s CROSS JOIN a)
-SELECT surface, alias, c::DOUBLE / (t - c) AS similarity FROM j WHERE c::DOUBLE / (t - c) >= 0.6""")
+WITH g AS (SELECT name, unnest(list_distinct(list_transform(range(1, length('  ' || lower(name) || ' ') - 1), lambda i: substr('  ' || lower(name) || ' ', i, 3)))) AS gram FROM (SELECT DISTINCT p_name AS name FROM part)),
+n AS (SELECT name, count(*) AS m FROM g GROUP BY name), c AS (SELECT a.name AS surface, b.name AS alias, count(*) AS c FROM g a JOIN g b USING (gram) GROUP BY ALL)
+SELECT surface, alias, c::DOUBLE / (x.m + y.m - c) AS similarity FROM c JOIN n x ON x.name = surface JOIN n y ON y.name = alias WHERE c::DOUBLE / (x.m + y.m - c) >= 0.6""")
 def d12_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return analytics.alias_match(p.filter("p_partkey % 20 = 0").select(F.col("p_name").alias("surface")), p.select(F.col("p_name").alias("alias")), 0.6)
+    return analytics.alias_match(p.select(F.col("p_name").alias("surface")), p.select(F.col("p_name").alias("alias")), 0.6)
 
 
 @query("""
@@ -704,11 +773,11 @@ def _intake_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("page_id").cast("string").alias("path"), F.lit(0).alias("mtime"), F.element_at(shapes, (F.col("page_id") % 3 + 1).cast("int")).alias("value"))
 
 
-@query("SELECT provider, count(*) AS n, sum(credits)::BIGINT AS credits FROM v_usage WHERE event_id % 5 <> 0 GROUP BY ALL")
+@query("SELECT provider, count(*) AS n, sum(credits)::BIGINT AS credits FROM v_usage GROUP BY ALL")
 def snk4_usage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, events = fresh_folder(spark, "usage"), views.v_usage(spark, sf_dir)
-    usage.append_usage(events.filter("event_id % 5 = 1"), path)
-    usage.append_usage(events.filter("event_id % 5 > 1"), path)
+    usage.append_usage(events.filter("event_id % 5 < 2"), path)
+    usage.append_usage(events.filter("event_id % 5 >= 2"), path)
     return spark.read.parquet(path).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.sum("credits").alias("credits"))
 
 
@@ -721,15 +790,15 @@ def d6_version_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'documents' AS dataset, count(*) AS n FROM documents WHERE doc_id % 6 <> 5 UNION ALL SELECT 'bronze', count(*) FROM documents WHERE doc_id % 6 <> 5
-UNION ALL SELECT 'transcripts', count(*) FROM documents WHERE doc_id % 6 <> 5 AND doc_id % 4 <> 2
-UNION ALL SELECT 'segments', (SELECT count(*) FROM v_segments WHERE item % 6 <> 5 AND item % 4 = 0) + (SELECT count(*) FROM documents WHERE doc_id % 6 <> 5 AND doc_id % 4 = 1)""")
+SELECT 'documents' AS dataset, count(*) AS n FROM documents UNION ALL SELECT 'bronze', count(*) FROM documents
+UNION ALL SELECT 'transcripts', count(*) FROM documents WHERE doc_id % 4 <> 2
+UNION ALL SELECT 'segments', (SELECT count(*) FROM v_segments WHERE item % 4 = 0) + (SELECT count(*) FROM documents WHERE doc_id % 4 = 1)""")
 def st4_ingest_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping batches and a replay leave every item once."""
     path = fresh_folder(spark, "lake")
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("native").alias("provider"), F.lit("transcript").alias("endpoint"), F.col("lang").alias("tenant_id"), F.col("source").alias("source_id"), "lang", F.lit(1).cast("long").alias("fetched_at"))
     raw = _segment_payloads(spark, sf_dir).join(d, "doc_id").select("provider", "endpoint", "tenant_id", "source_id", "external_id", "lang", "fetched_at", "payload", "doc_id")
-    for part in ("doc_id % 6 < 3", "doc_id % 6 between 2 and 4", "doc_id % 6 < 3"):
+    for part in ("doc_id % 6 < 3", "doc_id % 6 >= 2", "doc_id % 6 < 3"):
         jobs.ingest_batch(raw.filter(part).drop("doc_id"), path)
     parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("dataset")) for n in ("documents", "bronze", "transcripts", "segments")]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
@@ -746,10 +815,14 @@ SELECT tenant_id, event_id AS position, admitted FROM fold""")
 def st3_admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the events table, run until its input is used up."""
     provider = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = spark.conf.get(provider)
     path, events = fresh_folder(spark, "admitted"), table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque*")
+    stream = spark.readStream.schema(events.schema).option("maxBytesPerTrigger", str(1 << 30)).parquet(f"{sf_dir}/events.parque[t]")
     requests = stream.select(F.col("user_id").alias("tenant_id"), F.col("event_id").alias("position"), (1 + F.col("event_id") % 5).alias("cost"))
     writer = jobs.admit_stream(requests, 60).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
-    writer.start(path).awaitTermination()
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer.start(path).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.parquet(path).select("tenant_id", "position", "admitted")

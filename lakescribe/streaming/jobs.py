@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..operators.ingest import Silver, fan_out, new_items, write_silver
-from ..operators.normalize import normalize_segments_ms
+from ..functions.storage import fresh_folder
+from ..operators.ingest import SILVER_KEYS, Silver, fan_out, new_items, normalized_items, write_silver
 from ..operators.seeds import append_seeds, classify_ref, seed_defaults
 from ..sources.bronze import bronze_append, bronze_records, write_bronze
 from ..sources.intake import parse_intake
@@ -45,7 +45,7 @@ class _Admission(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        frame = pd.concat(list(rows)).sort_values("position")  # one micro-batch of one tenant
+        frame = pd.concat(list(rows)).sort_values("position")  # one tenant's rows of a micro-batch, which the source's trigger bounds
         spent = self.spent.get()[0] if self.spent.exists() else 0
         admitted = []
         for cost in frame["cost"]:
@@ -61,7 +61,9 @@ class _Admission(StatefulProcessor):
 def admit_stream(requests: DataFrame, budget: int) -> DataFrame:
     """ST3: requests (tenant_id, position, cost) admitted while the tenant's budget lasts; the state is one number per tenant.
 
-    Batches must come in order of position. Needs the RocksDB state store.
+    Batches must come in order of position, and a tenant's rows of one batch are ordered in memory:
+    bound the batch at the source (``maxBytesPerTrigger``, ``maxFilesPerTrigger``). Needs the RocksDB
+    state store. ``operators.usage.admit`` is the batch form, which holds no rows.
     """
     return requests.groupBy("tenant_id").transformWithStateInPandas(_Admission(budget), "tenant_id long, position long, cost long, admitted boolean", "Append", "None")
 
@@ -74,20 +76,24 @@ def _present(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def ingest_batch(raw: DataFrame, path: str) -> Silver:
-    """ST4 for one batch of recorded transcripts (provider, endpoint, tenant_id, source_id, external_id, lang, fetched_at, payload).
+    """ST4 for one batch of recorded responses (provider, endpoint, tenant_id, source_id, external_id, lang, fetched_at, payload).
 
     Archives what is new, keeps the items without a document, and writes their silver rows, documents
-    last. Replaying a batch changes nothing; a run that broke off before the documents were written is
-    made good by the next, whose rows have the same ids.
+    last. The records of all providers are read, in the failover's order; metadata fills the documents.
+    The batch's new items are normalized once and written before the three tables are, so all see the
+    same rows. Replaying a batch changes nothing. A run that broke off after some tables were written is
+    made good by the next: rows whose ids are there already are not written again.
     """
     spark = raw.sparkSession
     records = bronze_records(raw)
-    held = _present(spark, f"{path}/bronze", records.schema)
-    write_bronze(bronze_append(records, held, "keep_first").new, f"{path}/bronze")
-    items, _ = normalize_segments_ms(records.dropDuplicates(["tenant_id", "source_id", "external_id"]))
-    documents = _present(spark, f"{path}/documents", "document_id string, tenant_id string, source_id string, external_id string, status string")
-    silver = fan_out(new_items(items, documents))
-    write_silver(silver, path)
+    write_bronze(bronze_append(records, _present(spark, f"{path}/bronze", records.schema), "keep_first").new, f"{path}/bronze")
+    items, _ = normalized_items(records)
+    documents = _present(spark, f"{path}/documents", "tenant_id string, source_id string, external_id string, document_id string")
+    batch = fresh_folder(spark, "ingest-batch")
+    new_items(items, documents).write.parquet(batch)
+    silver = fan_out(spark.read.parquet(batch))
+    held = {name: _present(spark, f"{path}/{name}", f"{key} string") for name, key in SILVER_KEYS.items()}
+    write_silver(silver, path, held)
     return silver
 
 

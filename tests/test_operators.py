@@ -53,7 +53,7 @@ def payloads(spark, *values):
 
 def test_segments_of_both_providers_agree(spark):
     ms = normalize.normalize_segments_ms(payloads(spark, {"lang": "en", "content": [{"lang": "en", "text": "hi", "offset": 1360, "duration": 1680}]}))[0].first()
-    s = normalize.normalize_segments_s(payloads(spark, {"snippets": [{"text": "hi", "start": 1.36, "duration": 1.68}]})).first()
+    s = normalize.normalize_segments_s(payloads(spark, {"snippets": [{"text": "hi", "start": 1.36, "duration": 1.68}]}))[0].first()
     assert [tuple(x) for x in ms.segments] == [tuple(x) for x in s.segments] == [(0, "hi", 1360, 1680)]
 
 

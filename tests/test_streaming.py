@@ -55,6 +55,49 @@ def test_ingest_twice_is_once(spark, tmp_path):
     assert counts(spark, path) == [5, 5, 3, 3]
 
 
+def test_a_run_that_broke_off_is_made_good(spark, tmp_path, monkeypatch):
+    """Broken off before the documents are written, then run again: every row is there once."""
+    path = str(tmp_path / "lake")
+    write = jobs.write_silver
+
+    def broken(silver, path, held):
+        write(silver._replace(documents=silver.documents.select(F.raise_error(F.lit("gone")))), path, held)
+
+    monkeypatch.setattr(jobs, "write_silver", broken)
+    with pytest.raises(Exception, match="gone"):
+        jobs.ingest_batch(raw(spark, 1, 2, 3), path)
+    monkeypatch.setattr(jobs, "write_silver", write)
+    jobs.ingest_batch(raw(spark, 1, 2, 3), path)
+    assert counts(spark, path) == [3, 3, 2, 2]
+
+
+def test_the_latest_record_of_an_item_counts(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    old, new = raw(spark, 1), raw(spark, 1).withColumns({"fetched_at": F.lit(5).cast("long"), "payload": F.lit(json.dumps({"content": "later"}))})
+    jobs.ingest_batch(old.union(new).repartition(3), path)
+    assert [r.text for r in spark.read.parquet(f"{path}/segments").collect()] == ["later"]
+    assert counts(spark, path) == [2, 1, 1, 1]
+
+
+def test_failover_between_providers(spark, tmp_path):
+    """A blocked provider falls through, an unavailable one ends the search, a rejected record counts as an error."""
+    path, rows = str(tmp_path / "lake"), []
+
+    def add(item, provider, payload, status):
+        rows.append((provider, "transcript", "t", "s", item, "en", 1, json.dumps(payload), status))
+
+    snippets = {"snippets": [{"text": "s", "start": 2.0004}]}
+    add("blocked", "supadata", {}, 429), add("blocked", "ytapi", snippets, 200)
+    add("none", "supadata", {}, 404), add("none", "ytapi", snippets, 200)
+    add("broken", "supadata", {"content": [{"offset": 1}]}, 200), add("broken", "ytapi", snippets, 200)
+    add("all", "supadata", {}, 500), add("all", "ytapi", {"snippets": [{"text": "no start"}]}, 200)
+    jobs.ingest_batch(spark.createDataFrame(rows, RAW + ", http_status int"), path)
+    documents = {r.external_id: r.status for r in spark.read.parquet(f"{path}/documents").collect()}
+    assert documents == {"blocked": "enriched", "none": "failed", "broken": "enriched", "all": "failed"}
+    assert sorted(r.provider for r in spark.read.parquet(f"{path}/transcripts").collect()) == ["ytapi", "ytapi"]
+    assert {r.offset_ms for r in spark.read.parquet(f"{path}/segments").collect()} == {2000}
+
+
 def test_ingest_stream_equals_batches(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "lake")
     for part in ((1, 2), (2, 3), (4,)):

@@ -4,13 +4,14 @@ A text's terms are its words and the words' beginnings (for inflected and compou
 into ``1 << TERM_BITS`` slots. The machine scores w0 + sum of w_j + sum over pairs of <v_j, v_k>, so a
 pair such as an insult and a group mention can count for more, or less, than both alone. It is
 trained with numpy on the driver on a bounded sample of labelled rows: at most about ``TRAIN_ROWS``,
-picked by a hash of the id. Of the slots only the ``MAX_TERMS`` that tell the classes apart best
+picked by a hash of the id, each with ``DOC_TERMS`` of its distinct terms at most, picked by a hash too, so
+that what the driver holds is bounded in bytes. (Scoring uses all terms.) Of the slots only the ``MAX_TERMS`` that tell the classes apart best
 (chi-squared) get parameters, so the broadcast model is a few megabytes at any input size. Terms come
 from the text alone: labels, language, source and id are no inputs of a score.
 
 Defined results: null is the empty text, scored by the bias; unlabelled rows, null labels and rows
 outside the training part teach nothing; without two classes the score is the smoothed base rate;
-an empty table gives no rows; repeated rows are scored alike; extra columns pass through.
+an empty table gives no rows; repeated rows are scored alike; extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .tokens import Chunk, chunks, mix64
 TERM_BITS = 20
 #: Word beginnings of so many bytes are terms, for words that are longer.
 PREFIXES = (4, 5)
-TRAIN_ROWS, MAX_TERMS, MIN_ROWS = 16_000, 8192, 3
+TRAIN_ROWS, DOC_TERMS, MAX_TERMS, MIN_ROWS = 16_000, 4000, 8192, 3
 RANK, EPOCHS, BATCH, RATE, DECAY = 4, 12, 256, 0.1, 1e-4
 THRESHOLD = 0.3
 
@@ -55,6 +56,24 @@ def _distinct(text: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pair >> 32, pair & 0xFFFFFFFF
 
 
+def _fewer(text: np.ndarray, slot: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (text, slot) pairs with ``most`` slots of a text at most: those of least hash."""
+    keep = np.ones(len(text), bool)
+    for i in np.flatnonzero(np.bincount(text) > most):
+        a, b = np.searchsorted(text, [i, i + 1])
+        keep[a:b] = False
+        keep[a + np.argsort(mix64(slot[a:b].astype(np.uint64)), kind="stable")[:most]] = True
+    return text[keep], slot[keep]
+
+
+def _counted(slot: np.ndarray) -> np.ndarray:
+    """How often each slot occurs, counted piece by piece to save memory."""
+    out = np.zeros(1 << TERM_BITS)
+    for a in range(0, len(slot), 1 << 20):
+        out += np.bincount(slot[a : a + (1 << 20)], minlength=1 << TERM_BITS)
+    return out
+
+
 @dataclass
 class Machine:
     """index: slot to parameter row, -1 where none."""
@@ -93,7 +112,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1), lower=True):
-                text, slot = _distinct(*_term_slots(chunk))
+                text, slot = _fewer(*_distinct(*_term_slots(chunk)), DOC_TERMS)
                 cuts = np.searchsorted(text, np.arange(len(chunk) + 1)).astype(np.int32)
                 slots = pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), slots, batch.column(2).slice(chunk.first, len(chunk))], names=["doc", "slots", "label"])
@@ -114,9 +133,9 @@ def fit(terms: pa.Table, seed: int = 7) -> Machine:
     slots = terms["slots"].combine_chunks()
     slots = slots.chunk(0) if isinstance(slots, pa.ChunkedArray) else slots
     counts = np.diff(slots.offsets.to_numpy())
-    slot, text = slots.flatten().to_numpy(), np.repeat(np.arange(len(labels)), counts)
-    total = np.bincount(slot, minlength=1 << TERM_BITS).astype(np.float64)
-    hits = np.bincount(slot, labels[text], 1 << TERM_BITS)
+    slot, text = slots.flatten().to_numpy(), np.repeat(np.arange(len(labels), dtype=np.int32), counts)
+    total = _counted(slot)
+    hits = _counted(slot[(labels > 0)[text]])
     share = positive / len(labels)
     expected = total * share
     chi = np.where(total >= min(MIN_ROWS, positive), (hits - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
@@ -183,5 +202,8 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` scored below ``threshold``, same columns."""
     machine = train(docs, labels, id_col, text_col)
-    kept = with_score(docs, machine, text_col, "_toxicity").filter(F.col("_toxicity") < threshold)
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    kept = with_score(docs, machine, text_col, name).filter(F.col(name) < threshold)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -63,3 +63,20 @@ def test_query_on_held_out_rows(spark):
     yes, no = [s for s, y in held if y], [s for s, y in held if not y]
     assert np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no]) > 0.97
     assert np.mean([s >= 0.3 for s in no]) < 0.01
+
+
+def test_terms_of_a_training_text_are_bounded():
+    text, slot = toxicity._distinct(np.repeat([0, 1, 2], [3, 50, 4]), np.concatenate([np.arange(3), np.arange(50) * 7, np.arange(4)]))
+    t, s = toxicity._fewer(text, slot, 10)
+    assert np.bincount(t).tolist() == [3, 10, 4]
+    assert (np.diff(t) >= 0).all() and set(s[t == 1]) < set(slot[text == 1])
+    again = toxicity._fewer(text, slot, 10)
+    assert (again[1] == s).all()
+
+
+def test_drop_toxic_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "you fool" if i % 2 else "a calm day") for i in range(40)], "doc_id long, text string").withColumn("_toxicity", F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r._toxicity for r in kept.collect()} == {"mine"}

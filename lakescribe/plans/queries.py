@@ -170,9 +170,8 @@ def snk1_bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = records.filter("doc_id % 3 = 0")
     held = held.groupBy("key").agg(F.min_by("record_hash", "fetched_at").alias("record_hash"))
     late = bronze.bronze_records(_responses(spark, sf_dir).filter("doc_id % 21 = 0").withColumn("fetched_at", F.col("fetched_at") + 7))
-    parts = bronze.bronze_append(records.filter("doc_id % 3 <> 0 or doc_id % 2 = 1").unionByName(late), held)._asdict()
-    marked = [df.select(F.lit(name).alias("result")) for name, df in parts.items()]
-    return marked[0].union(marked[1]).union(marked[2]).groupBy("result").agg(F.count(F.lit(1)).alias("n"))
+    judged = bronze.bronze_judged(records.filter("doc_id % 3 <> 0 or doc_id % 2 = 1").unionByName(late), held)
+    return judged.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND o.source = d.source AND o.doc_id % 500 = d.doc_id % 500 AND o.text = d.text AND o.lang = d.lang)")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import canonical_json, content_key
@@ -27,25 +27,32 @@ def bronze_records(responses: DataFrame) -> DataFrame:
     return keyed.withColumn("record_hash", content_key(F.col("key"), F.col("fetched_at").cast("string")))
 
 
-def bronze_append(incoming: DataFrame, bronze: DataFrame, on_conflict: str = "error") -> Appended:
-    """What an append of ``incoming`` records would do against ``bronze``.
+def bronze_judged(incoming: DataFrame, bronze: DataFrame, on_conflict: str = "error") -> DataFrame:
+    """``incoming`` records, equal ones once, with what an append against ``bronze`` would make of them: result new, noop or conflict.
 
     Unknown keys are new, known keys with an equal record are no-ops, known keys with another record
-    conflict. Of several incoming records of one new key the earliest by fetched_at is new, equal
-    ones are no-ops and the others conflict. ``on_conflict``: "error" keeps conflicts apart for the
-    caller to refuse; "keep_first" counts them as no-ops.
+    conflict. Of several incoming records of one new key the earliest by fetched_at is new and the
+    others conflict. ``on_conflict``: "error" keeps conflicts apart for the caller to refuse;
+    "keep_first" counts them as no-ops.
+
+    Records are judged by their hashes alone, equal ones folded before the shuffle; payloads meet the
+    verdicts in one shuffle, and not at all where the caller does not read them.
     """
-    held = bronze.select("key", F.col("record_hash").alias("_held")).dropDuplicates(["key"])
-    first = incoming.groupBy("key").agg(F.min_by("record_hash", F.struct("fetched_at", "record_hash")).alias("_first"))
-    judged = incoming.join(held, "key", "left").join(first, "key").dropDuplicates(["key", "record_hash"])
+    held = bronze.groupBy("key").agg(F.min("record_hash").alias("_held"))
+    slim = incoming.select("key", "record_hash", "fetched_at").distinct()
+    first = F.min(F.struct("fetched_at", "record_hash")).over(Window.partitionBy("key"))["record_hash"]
     known = F.col("_held").isNotNull()
-    new = ~known & (F.col("record_hash") == F.col("_first"))
-    same = known & (F.col("record_hash") == F.col("_held"))
-    columns = incoming.columns
-    other = ~new & ~same
-    if on_conflict == "keep_first":
-        same, other = same | other, F.lit(False)
-    return Appended(judged.filter(new).select(columns), judged.filter(same).select(columns), judged.filter(other).select(columns))
+    new, same = ~known & (F.col("record_hash") == F.col("_first")), known & (F.col("record_hash") == F.col("_held"))
+    other = "noop" if on_conflict == "keep_first" else "conflict"
+    result = F.when(new, F.lit("new")).when(same, F.lit("noop")).otherwise(F.lit(other))
+    judged = slim.withColumn("_first", first).join(held, "key", "left").select("key", "record_hash", result.alias("result"))
+    return incoming.dropDuplicates(["key", "record_hash"]).join(judged.hint("merge"), ["key", "record_hash"]).select(*incoming.columns, "result")
+
+
+def bronze_append(incoming: DataFrame, bronze: DataFrame, on_conflict: str = "error") -> Appended:
+    """The records of ``bronze_judged`` by result."""
+    judged = bronze_judged(incoming, bronze, on_conflict)
+    return Appended(*[judged.filter(F.col("result") == r).drop("result") for r in Appended._fields])
 
 
 def bronze_exists(incoming: DataFrame, bronze: DataFrame) -> DataFrame:

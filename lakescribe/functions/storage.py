@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the cluster's checkpoints; a local temporary one only where none are configured."""
+    """A new folder beside the cluster's checkpoints; a temporary one only where none are configured and all runs on one machine."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='lakescribe-')}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lakescribe-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_folder
+
 #: A reference: (child, column, parent, parent column, "cascade" or "set_null").
 Reference = tuple[str, str, str, str, str]
 
@@ -15,32 +18,32 @@ Reference = tuple[str, str, str, str, str]
 def cascade_purge(tables: dict[str, DataFrame], references: Sequence[Reference], root: str, doomed: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """(kept tables, counts): delete from ``root`` the rows whose key is in ``doomed``, and what references demand below.
 
-    References are listed parents first. Children of deleted rows are deleted, or their column is set
-    to NULL. Counts has (table_name, kept, deleted) per table.
+    ``tables`` come parents first. Children of deleted rows are deleted, or their column is set to
+    NULL. Counts has (table_name, kept, deleted) per table. A table is read once: its rows are flagged
+    by left joins with the keys of deleted parents, which are written level by level, so that no level
+    computes those above it again.
     """
-    key = doomed.columns[0]
-    gone: dict[str, DataFrame] = {root: tables[root].join(doomed, key, "left_semi")}
-    kept = {root: tables[root].join(doomed, key, "left_anti")}
+    key, folder = doomed.columns[0], fresh_folder(doomed.sparkSession, "purge")
+    gone: dict[str, DataFrame] = {}
+    kept, counts = {}, []
     for name, table in tables.items():
+        hits = [(c, action, gone[parent].select(F.col(k).alias(c))) for child, c, parent, k, action in references if child == name and parent in gone]
         if name == root:
-            continue
-        own = [r for r in references if r[0] == name and r[2] in gone]
-        hit = {r: gone[r[2]].select(F.col(r[3]).alias(r[1])).distinct() for r in own}
-        stay, lost = table, []
-        for reference, keys in hit.items():
-            if reference[4] == "cascade":
-                lost.append(stay.join(keys, reference[1], "left_semi"))
-                stay = stay.join(keys, reference[1], "left_anti")
-        for reference, keys in hit.items():
-            if reference[4] == "set_null":
-                marked = stay.join(keys.withColumn("_hit", F.lit(True)), reference[1], "left")
-                stay = marked.withColumn(reference[1], F.when(F.col("_hit").isNull(), F.col(reference[1]))).select(table.columns)
-        gone[name] = reduce(DataFrame.unionByName, lost) if lost else table.limit(0)
-        kept[name] = stay
-    marks = [df.select(F.lit(n).alias("table_name"), F.lit(int(stays)).alias("k"), F.lit(int(not stays)).alias("d")) for part, stays in ((kept, True), (gone, False)) for n, df in part.items()]
-    found = reduce(DataFrame.unionByName, marks).groupBy("table_name").agg(F.sum("k").alias("kept"), F.sum("d").alias("deleted"))
-    names = doomed.sparkSession.createDataFrame([(n,) for n in tables], "table_name string")
-    return kept, names.join(found, "table_name", "left").fillna(0, ["kept", "deleted"])
+            hits = [(key, "cascade", doomed)]
+        marked = table
+        for at, (column, _, keys) in enumerate(hits):
+            marked = marked.join(keys.distinct().withColumn(f"_hit{at}", F.lit(True)), column, "left")
+        hit = {at: F.col(f"_hit{at}").isNotNull() for at in range(len(hits))}
+        lost = reduce(or_, [hit[at] for at, (_, action, _) in enumerate(hits) if action == "cascade"], F.lit(False))
+        cleared = {c: reduce(or_, [hit[at] for at, (column, action, _) in enumerate(hits) if action == "set_null" and column == c], F.lit(False)) for c in table.columns}
+        flagged = marked.select(*[F.when(~cleared[c], F.col(c)).alias(c) for c in table.columns], lost.alias("_gone"))
+        kept[name] = flagged.filter(~F.col("_gone")).drop("_gone")
+        counts.append(flagged.agg(F.lit(name).alias("table_name"), F.count_if(~F.col("_gone")).alias("kept"), F.count_if("_gone").alias("deleted")))
+        below = sorted({k for child, _, parent, k, _ in references if parent == name and child in tables and child != name})
+        if below:
+            flagged.filter("_gone").select(*below).write.parquet(f"{folder}/{name}")
+            gone[name] = doomed.sparkSession.read.schema(table.select(*below).schema).parquet(f"{folder}/{name}")
+    return kept, reduce(DataFrame.unionByName, counts)
 
 
 def purge_source(sources: DataFrame, tables: dict[str, DataFrame], references: Sequence[Reference], source_id, now: Column) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from .ingest import fan_out, normalized_items
 PRECISION = ("exact", "date", "month", "year")
 #: Query vectors are broadcast in blocks of this number.
 BROADCAST_QUERIES = 10_000
+#: Pairs of a query and a vector that a task scores at once, and those whose scores it checks at once.
+PAIRS, CHECKED = 1 << 22, 1 << 16
+#: More than the rounding error of a cosine.
+SLACK = 1e-9
 
 
 def rebuild(bronze: DataFrame):
@@ -52,31 +59,78 @@ def term_velocity(mentions: DataFrame, grain: str = "week", min_precision: str =
     return counted.withColumn("change", F.col("mentions") - before)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+def _best(k: int, blocks):
+    """A task's part of ``vector_topk``: per batch and query at most k rows that can still be among the best.
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    A matrix product finds the candidates, rows within SLACK of the k-th best so far. Their scores are then
+    summed from left to right, so that equal vectors have equal scores wherever they stand.
+    """
+
+    def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.cumsum(a * b, axis=1)[:, -1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [(ids, q, dots(q, q)) for ids, q in blocks.value]
+        floors = [np.full(len(q), -np.inf) for _, q, _ in ready]
+        for batch in batches:
+            starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            for (ids, q, squares), floor in zip(ready, floors, strict=True):
+                fit = np.flatnonzero(np.diff(starts) == q.shape[1])
+                step = max(1, PAIRS // len(q))
+                for at in range(0, len(fit), step):
+                    rows = fit[at : at + step]
+                    v = flat[starts[rows][:, None] + np.arange(q.shape[1])]
+                    own = dots(v, v)
+                    rows, v, own = rows[own > 0], v[own > 0], own[own > 0]
+                    near = (v / np.sqrt(own)[:, None]) @ (q / np.sqrt(squares)[:, None]).T
+                    if len(rows) >= k:
+                        np.maximum(floor, np.partition(near, len(rows) - k, axis=0)[len(rows) - k] - SLACK, out=floor)
+                    row, query = np.nonzero(near >= floor)
+                    score = np.empty(len(row))
+                    for p in range(0, len(row), CHECKED):
+                        i, j = row[p : p + CHECKED], query[p : p + CHECKED]
+                        score[p : p + CHECKED] = dots(q[j], v[i]) / np.sqrt(squares[j] * own[i])
+                    vec_ids = batch.column(0).take(pa.array(rows[row]))
+                    rank = np.empty(len(row), np.int64)
+                    rank[pc.array_sort_indices(vec_ids).to_numpy()] = np.arange(len(row))
+                    order = np.lexsort((rank, -score, query))
+                    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+                    order = order[place < k]
+                    columns = [ids.take(pa.array(query[order])), vec_ids.take(pa.array(order)), pa.array(score[order])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k vectors of highest cosine per query (query_id, q) among (vec_id, v), ties by vec_id; exact.
 
-    Queries meet all vectors in blocks of BROADCAST_QUERIES at most: a block is broadcast, and each
-    task keeps k rows per query before anything is shuffled. Several blocks run one after the other,
-    each over all vectors, and their rows are written before they are ranked together.
+    Queries meet all vectors in blocks of BROADCAST_QUERIES at most: a block is broadcast as a matrix, and each
+    task keeps k rows per query and batch before anything is shuffled. Several blocks run one after the other,
+    each over all vectors, and their rows are written before they are ranked together. Vectors that are NULL,
+    hold a NULL, have no length, or have another dimension than the query have no cosine and are in no result.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark, order = queries.sparkSession, Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull()) & (F.size(c) > 0)
+    targets = vectors.filter(whole("v")).select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    id_type = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))}
+
+    def best(block: DataFrame) -> DataFrame:
+        rows = block.filter(whole("q")).select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()
+        sized: dict[int, list[int]] = {}
+        values = [np.array(q) for q in rows["q"].to_pylist()]
+        for at, q in enumerate(values):
+            if q.any():
+                sized.setdefault(len(q), []).append(at)
+        matrices = [(rows["query_id"].take(part).combine_chunks(), np.array([values[at] for at in part])) for part in sized.values()]
+        return targets.mapInArrow(_best(k, spark.sparkContext.broadcast(matrices)), f"query_id {id_type['query_id']}, vec_id {id_type['vec_id']}, score double")
 
     def ranked(scored: DataFrame) -> DataFrame:
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    def best(block: DataFrame) -> DataFrame:
-        return ranked(vectors.join(F.broadcast(block)).select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score")))
-
     if queries.count() <= BROADCAST_QUERIES:
-        return best(queries)
-    spark, path = queries.sparkSession, fresh_folder(queries.sparkSession, "topk")
+        return ranked(best(queries))
+    path = fresh_folder(spark, "topk")
     queries.select("query_id", "q", F.monotonically_increasing_id().alias("_at")).write.parquet(f"{path}/queries")
     numbered = spark.read.parquet(f"{path}/queries")
     # a number is its partition's number times 2^33, and the place in the partition
@@ -87,7 +141,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         before += n
     for first, end in zip(firsts, [*firsts[1:], 1 << 62], strict=True):
         block = numbered.filter((F.col("_at") >= first) & (F.col("_at") < end)).drop("_at")
-        best(block).drop("rank").write.mode("append").parquet(f"{path}/best")
+        ranked(best(block)).drop("rank").write.mode("append").parquet(f"{path}/best")
     return ranked(spark.read.parquet(f"{path}/best"))
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +228,29 @@ def test_topk_in_blocks(spark, monkeypatch, parts):
     for block in (5, 8, 24):
         monkeypatch.setattr(analytics, "BROADCAST_QUERIES", block)
         assert rows(analytics.vector_topk(queries, vectors, 4)) == whole
+
+
+def test_topk_ties_and_odd_vectors(spark):
+    """Equal vectors tie by id over batches and tasks; vectors without a cosine are in no result."""
+    table = [(i, [float(i % 7 - 3), 1.0, 0.1 * (i % 5)]) for i in range(400)] + [(900 + i, v) for i, v in enumerate([None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0]])]
+    vectors = spark.createDataFrame(table, "vec_id long, v array<float>").repartition(5)
+    queries = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [-1.0, 0.5, 0.0]), ("c", None), ("d", [2.0, 1.0]), ("e", [0.0, 0.0, 0.0])], "query_id string, q array<float>")
+
+    def cos(a, b):
+        a, b = np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float)
+        return a @ b / np.sqrt(a @ a * (b @ b))
+
+    want = [(n, i) for n, q in (("a", [1, 2, 3]), ("b", [-1, 0.5, 0])) for _, i in sorted((-round(cos(q, v), 12), i) for i, v in table[:400])[:9]] + [("d", 904)]
+    got = analytics.vector_topk(queries, vectors, 9).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == want
+    assert analytics.vector_topk(queries, vectors.limit(0), 9).count() == 0
+    assert analytics.vector_topk(queries.limit(0), vectors, 9).count() == 0
+
+
+def test_purge_keeps_columns_and_clears_references(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "a_id int, name string")
+    b = spark.createDataFrame([(10, 1, None), (11, 2, 1), (12, None, 2), (12, None, 2)], "b_id int, a_id int, other int")
+    refs = [("b", "a_id", "a", "a_id", "cascade"), ("b", "other", "a", "a_id", "set_null")]
+    kept, counts = lifecycle.cascade_purge({"a": a, "b": b}, refs, "a", spark.createDataFrame([(1,), (1,)], "a_id int"))
+    assert rows(kept["b"]) == [(11, 2, None), (12, None, 2), (12, None, 2)] and kept["b"].columns == b.columns
+    assert rows(counts) == [("a", 1, 1), ("b", 3, 1)]

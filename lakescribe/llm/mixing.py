@@ -41,7 +41,8 @@ def source_targets(sized: DataFrame, source: str, size: str, weights: Sequence[i
 
     Sources are ranked by code point, null last, and get ``weights`` in turn. Filling stops for the
     sources of least ``cap * size / weight`` first, so the level of all others follows from running
-    sums over the sources in that order. The windows run over one row per source.
+    sums over the sources in that order. The windows run over one row per source, in one task that
+    sorts and spills; each is a running sum or a whole one, so their work is linear in the sources.
     """
     n = len(weights)
     totals = sized.groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("long").alias("source_size"))
@@ -49,13 +50,14 @@ def source_targets(sized: DataFrame, source: str, size: str, weights: Sequence[i
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("_rank") - 1) % n + 1).cast("int"))
     ranked = ranked.withColumn("_weight", weight.cast("long")).withColumn("_cap", F.col("source_size") * cap)
     order = Window.orderBy(F.col("_ratio"), F.col("_rank"))
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     leveled = (
         ranked.withColumn("_ratio", F.col("_cap") / F.col("_weight"))
         .withColumn("_all", F.sum("source_size").over(whole))
         .withColumn("_left", F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
-        .withColumn("_level", F.col("_left") / F.sum("_weight").over(rest))
+        .withColumn("_rest", F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(before), F.lit(0)))
+        .withColumn("_level", F.col("_left") / F.col("_rest"))
         .withColumn("_open", F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_rank", "_level")))
     )
     level = F.min("_open").over(whole)["_level"]

@@ -15,10 +15,13 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests, local mode)."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="lakescribe-"))
     return _local[0]

@@ -17,7 +17,7 @@ ENUMS: dict[str, tuple[str, ...]] = {
     "summary_method": ("extractive_textrank", "abstractive_llm"),
 }
 
-#: Unique keys by table.
+#: Unique keys by table.
 UNIQUE: dict[str, tuple[str, ...]] = {
     "tenant": ("slug",),
     "source": ("tenant_id", "kind", "external_id"),
@@ -32,7 +32,7 @@ UNIQUE: dict[str, tuple[str, ...]] = {
     "chunk_embedding": ("model_version", "chunk_id"),
 }
 
-#: References as (child, column, parent, what happens to the child's rows when the parent goes).
+#: References as (child, column, parent, what happens to the child's rows when the parent goes).
 REFERENCES: tuple[tuple[str, str, str, str], ...] = (
     ("source", "tenant_id", "tenant", "cascade"),
     ("document", "source_id", "source", "cascade"),
@@ -54,6 +54,3 @@ REFERENCES: tuple[tuple[str, str, str, str], ...] = (
     ("ingest_state", "source_id", "source", "cascade"),
     ("chunk_embedding", "chunk_id", "chunk", "cascade"),
 )
-
-SEGMENTS = "array<struct<idx:int,text:string,offset_ms:bigint,duration_ms:bigint>>"
-VECTOR_DIMENSION = 768

@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.schemas import REFERENCES, UNIQUE
+
 
 def provenance_violations(df: DataFrame) -> DataFrame:
     """CK1: is_auto_generated must be NULL exactly when provenance_confidence is unknown."""
@@ -36,3 +38,17 @@ def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fk_violations(child: DataFrame, parent: DataFrame, column: str, parent_column: str) -> DataFrame:
     """JN9: child rows whose reference is not NULL and has no parent."""
     return child.filter(F.col(column).isNotNull()).join(parent.select(F.col(parent_column).alias(column)), column, "left_anti")
+
+
+def model_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """AG7, JN9 over the data model: (table_name, rule, violations) for each unique key and reference whose tables and columns are given.
+
+    ``tables`` have the model's names; the key of a table t is its column t_id. A unique key counts the
+    keys that occur more than once, a reference the rows without a parent.
+    """
+    found = [(t, "unique " + ",".join(keys), unique_violations(tables[t].select(*keys), keys)) for t, keys in UNIQUE.items() if t in tables and set(keys) <= set(tables[t].columns)]
+    for child, column, parent, _ in REFERENCES:
+        if child in tables and parent in tables and column in tables[child].columns:
+            found.append((child, f"{column} in {parent}", fk_violations(tables[child].select(column), tables[parent], column, f"{parent}_id")))
+    counted = [bad.agg(F.lit(t).alias("table_name"), F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("violations")) for t, rule, bad in found]
+    return reduce(DataFrame.unionByName, counted)

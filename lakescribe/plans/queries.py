@@ -438,6 +438,22 @@ def st4_ingest_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(ingest.Silver(*[spark.read.parquet(f"{path}/{n}") for n in ingest.Silver._fields]))
 
 
+@query("""
+WITH t AS (SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR doc_id % 4 <> 2),
+s AS (SELECT count(*) AS n FROM documents WHERE doc_id % 5 = 0 OR doc_id % 4 = 1 UNION ALL SELECT count(DISTINCT item) FROM v_segments WHERE item % 4 = 0 AND item % 5 <> 0 AND idx = 0)
+SELECT 'document' AS table_name, 'unique tenant_id,source_id,external_id' AS rule, 0 AS violations UNION ALL SELECT 'transcript_version', 'unique tenant_id,document_id,provider,lang', 0
+UNION ALL SELECT 'segment', 'unique transcript_version_id,idx', sum(n)::BIGINT FROM s UNION ALL SELECT 'segment', 'transcript_version_id in transcript_version', 0
+UNION ALL SELECT 'transcript_version', 'document_id in document', count(*) FROM t WHERE doc_id % 7 = 0""")
+def ag7_jn9_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's keys and references over rebuilt silver tables that lack every seventh document and have first segments twice."""
+    silver = analytics.rebuild(bronze.bronze_records(_recorded(spark, sf_dir)))[0]
+    segments = silver.segments.withColumnRenamed("transcript_id", "transcript_version_id")
+    return quality.model_violations({
+        "document": silver.documents.filter("cast(external_id as long) % 7 <> 0"), "transcript_version": silver.transcripts.withColumnRenamed("transcript_id", "transcript_version_id"),
+        "segment": segments.union(segments.filter("idx = 0")),
+    })
+
+
 @query("""
 SELECT event_type AS source_id, count(*) AS discovered, count(*) FILTER (event_id % 4 = 0) AS already, count(*) FILTER (event_id % 4 = 1) AS fetched, count(*) FILTER (event_id % 4 = 2) AS failed FROM events GROUP BY ALL""")
 def ag2_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, lm, mixing, near_dedup, pii, quality, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, lm, merkle, mixing, near_dedup, packing, pii, quality, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,26 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pieces(_spread(_table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf_hash(*[F.col(c) for c in fields[:-1]], lowered)
+    manifest = merkle.build(_spread(_table(spark, sf_dir, "documents")), altered=F.when(F.col("doc_id").isNotNull() & (toxicity.remainder(F.col("doc_id"), 5) == 0), tampered))
+    found = merkle.proofs(manifest, full=False).withColumnRenamed("id", "doc_id")
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_spread(_table(spark, sf_dir, "embeddings"))).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_html_text": op2_html_text,
@@ -102,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm": op10_lm,
+    "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
+    "op13_whitening": op13_whitening,
 }
 
 OP3_SQL = r"""

@@ -7,8 +7,10 @@ their article (by <article> or <main>, else by a class or id such as "post-conte
 ``CONTENT_SHARE`` of the remaining text or more), lines outside of it. A name such as "no-sidebar" or
 "has-comments" tells of the page and marks nothing; inside an article only whole names count, so that
 "related-work" is text there. Buttons, pictures and advert parts inside a line go without ending it. A link is an <a href> up to its </a>, or without
-one up to the next <a> or block. A part marked by class or id that holds an <article> or <main> and
-most of the text is not dropped. Masses are summed over a window of ``WINDOW`` lines. A surge is
+one up to the next <a> or block. A part marked by class, id or role that holds an <article> or <main> and
+most of the text is not dropped, whatever its name; nor is one with most of the text that holds the page's heading (h1),
+or, where only part of a name tells ("layout-sidebar", "comment-page"), one outside of which no paragraph (for comments: no
+line) is left. So names decide after the masses are known. Masses are summed over a window of ``WINDOW`` lines. A surge is
 where the sum leaves zero, a dive where it falls back to zero; between the two lies a run. Runs whose
 peak reaches ``PEAK_SHARE`` of the page's highest are kept (all runs of a marked article), and their
 lines that have mass, in page order, are the text.
@@ -32,6 +34,10 @@ WINDOW = 3
 PEAK_SHARE = 0.25
 LINK_SHARE = 0.5
 CONTENT_SHARE = 0.4
+#: Share of the page's text, links apart, over which a part that is marked by name may be the page's own.
+PART_SHARE = 0.5
+#: Characters, links apart, that make a line a paragraph.
+PARAGRAPH = 80
 
 #: Elements that begin and end a line.
 BLOCK = set(
@@ -65,6 +71,7 @@ _NAME = re.compile(r"(?:^|[-_])(?:" + "|".join(NAMES) + r")(?:$|[-_])")
 #: Names that tell whether the page has such a part, not that the element is one.
 _LAYOUT = re.compile(r"(?:^|[-_])(?:no|has|with|without)[-_]|[-_](?:free|off|less|none)$")
 _CONTENT = re.compile(r"^(?:(?:article|post|entry|story|main|page|blog)[-_]?)?(?:content|body|text)$|^(?:article|post|entry|story|main)$")
+_POST = re.compile(r"^(?:article|post|entry|story|main)[-_]?(?:content|body|text)$")
 _ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _HEADING = re.compile(r"h[1-6]$")
@@ -95,27 +102,38 @@ def _without_raw(page: str) -> str:
     return "".join([*parts, page[at:]])
 
 
-def _marks(attributes: str, within: bool = False) -> tuple[bool, bool, bool]:
-    """(does it mark a part to drop, reader comments, the article's text); ``within`` an article only whole names mark a part."""
-    drop = comments = content = False
+def _marks(attributes: str, within: bool = False) -> tuple[int, bool, bool]:
+    """(does it mark a part to drop: 2 by a whole name, 1 by part of a name; reader comments; the article's text); ``within`` an article only whole names mark a part."""
+    drop, comments, content = 0, False, False
     for key, value in _MARK.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
             for name in value.split():
                 if _LAYOUT.search(name):
                     continue
-                drop |= name in WHOLE_NAMES if within else bool(_NAME.search(name))
+                drop = max(drop, 2 if name in WHOLE_NAMES or not within and name in OWN_NAMES else 0 if within else int(bool(_NAME.search(name))))
                 content |= bool(_CONTENT.match(name))
                 comments |= not COMMENT_NAMES.isdisjoint(re.split("[-_]", name))
         elif key == "role":
-            drop |= value in ROLES
+            drop = 2 if value in ROLES else drop
         elif key == "style":
-            drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            drop = 2 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else drop
         else:
-            drop |= key == "hidden" or value == "true"
+            drop = 2 if key == "hidden" or value == "true" else drop
     return drop, comments, content and not drop
 
 
+class Part:
+    """A part that is marked as one to drop: where it lies, and what decides whether it is the page's own."""
+
+    __slots__ = ("parent", "comments", "whole", "article", "heading", "mass", "dropped", "outside", "lines")
+
+    def __init__(self, parent: int, comments: bool, whole: bool):
+        self.parent, self.comments, self.whole = parent, comments, whole
+        self.article = self.heading = self.dropped = False
+        self.mass = self.outside = self.lines = 0  # own text; paragraphs, and lines, outside
+
+
 class Lines:
     """The lines of a page: text, mass of link text, dropped or not, in a marked article (by element; by name) or not."""
 
@@ -125,31 +143,51 @@ class Lines:
         self.dropped: list[bool] = []
         self.inside: list[bool] = []
         self.named: list[bool] = []
-        self.held: list[int] = []  # start of the part, dropped by its class or id, that a line is in; -1 without one
-        self._kept: set[int] = set()  # starts of such parts that are not dropped
+        self.held: list[int] = []  # the innermost marked part that a line is in; -1 without one
+        self.parts: list[Part] = []
         self._names: list[list] = []  # open elements named as content, with their depth in elements of that kind
+        self._open: list[tuple[str, int, int]] = []  # open block elements: name, the part that each begins or -1, articles open before
+        self._count: dict[str, int] = {}
+        self._part = -1
         self._parts: list[str] = []
         self._link = 0
-        page = _without_raw(page)
-        while (part := self._read(page)) is not None:
-            self._kept.add(part)
+        self._read(_without_raw(page))
+        self._judge()
 
-    def _flush(self, dropped: bool, inside: bool, held: int) -> None:
+    def _flush(self, dropped: bool, inside: bool) -> None:
         text = " ".join(html.unescape("".join(self._parts)).split())
         if text:
             self.texts.append(text)
             self.links.append(self._link)
             self.dropped.append(dropped)
             self.inside.append(inside)
-            self.held.append(held)
+            self.held.append(self._part)
             self.named.append(bool(self._names))
         self._parts, self._link = [], 0
 
-    def _read(self, page: str) -> int | None:
-        """Read the lines; the start of a dropped part that holds an article and most of the text, if there is one."""
-        for own in (self.texts, self.links, self.dropped, self.inside, self.named, self.held, self._names):
-            own.clear()
-        held, holding = -1, set()
+    def _pop(self, articles: int) -> int:
+        name, part, before = self._open.pop()
+        self._count[name] -= 1
+        if part >= 0:
+            self._part = self.parts[part].parent
+        return before if part >= 0 or name in ("article", "main") else articles
+
+    def _nest(self, name: str, closing: bool, articles: int) -> int:
+        """Close what a block's tag closes; the number of open articles then. Each element is closed once, so this is linear over a page."""
+        while self._open and (self._open[-1][0] == "p" or self._open[-1][0] == "li" and name in ("li", "ul", "ol") and (closing or name == "li")) and not (closing and name == self._open[-1][0]):
+            articles = self._pop(articles)
+        if closing and self._count.get(name):
+            while self._open[-1][0] != name:
+                articles = self._pop(articles)
+            articles = self._pop(articles)
+        return articles
+
+    def _push(self, name: str, part: int, articles: int) -> None:
+        self._open.append((name, part, articles))
+        self._count[name] = self._count.get(name, 0) + 1
+
+    def _read(self, page: str) -> None:
+        """Read the lines and the marked parts."""
         skip, depth = "", 0  # the element whose part is dropped, and how deep in elements of its name
         inline, inner = "", 0  # the same for a part inside a line
         articles, heading, link, ends, at = 0, False, False, False, 0
@@ -180,7 +218,7 @@ class Lines:
                     inline, inner = name, 1
                     continue
             if (name in BLOCK or name in DROPPED) and name not in INLINE_DROPPED:
-                self._flush(bool(skip) and not (skip == "header" and articles and heading), articles > 0, held)
+                self._flush(bool(skip) and not (skip == "header" and articles and heading), articles > 0)
                 link = link and ends
             if name in ("td", "th"):
                 self._parts.append(" ")
@@ -189,50 +227,82 @@ class Lines:
                 ends = m.start() in closed
             if _HEADING.match(name):
                 heading = not closing
+                if name == "h1" and self._part >= 0 and not skip:
+                    self.parts[self._part].heading = True
             if skip:
                 if closing:
                     depth -= name == skip
                     if depth == 0 or (skip == "head" and name == "html"):
                         skip = ""
-                elif name in ("article", "main") and held >= 0 and not _marks(attributes)[1]:
-                    holding.add(held)
-                    depth += name == skip
                 elif name == skip and skip not in ("p", "li"):
                     depth += 1
                 elif skip == "head" and name == "body" or skip == "p" and name in BLOCK or skip == "li" and name == "li":
                     skip = ""
-                if skip:
+                if skip or closing:
                     continue
-                held = -1
+            if name in BLOCK and name not in VOID:
+                articles = self._nest(name, bool(closing), articles)
             if self._names and name == self._names[-1][0]:
                 self._names[-1][1] += -1 if closing else 1
                 if not self._names[-1][1]:
                     self._names.pop()
             if closing:
-                if name in ("article", "main"):
-                    articles = max(0, articles - 1)
                 continue
-            drop, comments, content = _marks(attributes, articles > 0) if attributes else (False, False, False)
+            drop, comments, content = _marks(attributes, articles > 0) if attributes else (0, False, False)
             if name in ("html", "body", "main"):
-                drop = False
+                drop = 0
             elif name == "article":
-                drop = comments
-            if (drop or name in DROPPED or name == "header") and name not in VOID and not attributes.endswith("/"):
-                if m.start() not in self._kept or name in DROPPED:
-                    skip, depth = name, 1
-                    held = m.start() if drop and not comments and name not in DROPPED and name != "header" else -1
-            elif name in ("article", "main"):
+                drop = drop if comments else 0
+            whole = name not in VOID and not attributes.endswith("/")
+            if whole and (name in DROPPED or name == "header"):
+                skip, depth = name, 1
+                continue
+            if name in BLOCK and whole:
+                self._push(name, len(self.parts) if drop else -1, articles)
+                if drop:
+                    self.parts.append(Part(self._part, comments, drop == 2))
+                    self._part = len(self.parts) - 1
+            if name in ("article", "main") and not drop:
                 articles += 1
+                if self._part >= 0 and not comments:
+                    self.parts[self._part].article = True
             elif content and name in BLOCK and name != "body":
                 self._names.append([name, 1])
+                if self._part >= 0 and not self.parts[self._part].comments and any(_POST.match(c) for _, v in _MARK.findall(attributes) for c in v.strip("\"'").lower().split()):
+                    self.parts[self._part].article = True
         if not inline:
             self._text(page[at:], link)
-        self._flush(bool(skip), articles > 0, held)
-        mass: dict[int, int] = {}
-        for text, dropped, part in zip(self.texts, self.dropped, self.held):  # noqa: B905
-            if part >= 0 or not dropped:
-                mass[part] = mass.get(part, 0) + len(text)
-        return next((part for part in holding if 2 * mass.get(part, 0) > sum(mass.values())), None)
+        self._flush(bool(skip), articles > 0)
+
+    def _judge(self) -> None:
+        """Decide which marked parts go: those that are not the page's own text."""
+        if not self.parts:
+            return
+        total, free = 0, [0, 0]
+        for text, link, dropped, part in zip(self.texts, self.links, self.dropped, self.held):  # noqa: B905
+            mass = 0 if dropped else max(0, len(text) - link)
+            total += mass
+            if part >= 0:
+                self.parts[part].mass += mass
+                self.parts[part].outside += mass >= PARAGRAPH
+                self.parts[part].lines += mass > 0
+            else:
+                free = [free[0] + (mass >= PARAGRAPH), free[1] + (mass > 0)]
+        # what lies outside of a part, but in no other part than those around it
+        own = [(p.outside, p.lines) for p in self.parts]
+        for p in self.parts:
+            p.outside, p.lines = free if p.parent < 0 else (self.parts[p.parent].outside + own[p.parent][0], self.parts[p.parent].lines + own[p.parent][1])
+        for p in reversed(self.parts):
+            if p.parent >= 0:
+                up = self.parts[p.parent]
+                up.mass += p.mass
+                up.article |= p.article and not p.comments
+                up.heading |= p.heading
+        for p in self.parts:
+            most = p.mass > PART_SHARE * total
+            alone = not p.whole and not (p.lines if p.comments else p.outside)
+            p.dropped = not (most and (p.article or p.heading or alone)) or (p.parent >= 0 and self.parts[p.parent].dropped)
+        self.dropped = [dropped or (part >= 0 and self.parts[part].dropped) for dropped, part in zip(self.dropped, self.held)]  # noqa: B905
 
     def _text(self, text: str, link: bool) -> None:
         if text:

@@ -130,3 +130,48 @@ def test_repeated_rows_and_extra_columns(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
     got = sorted((r.page_id, r.url or "", r.text) for r in html_text.extract(pages).collect())
     assert got == [(1, "u", " ".join(LONG.split()))] * 2 + [(2, "", ""), (3, "v", "")]
+
+
+WORDS = "layout-sidebar sidebar-layout banner-page page-header-large legal-document search-results social-post header-fixed ad-supported login-required cookie-policy sponsored-content comment-page promo-article story-share menu-open hidden-gems notice-text"
+AROUND = ["post-comments-enabled", "comments-open", "reply-enabled-post", "discussion-page", *WORDS.split()]
+FULL = """<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><div class='top-menu'><ul><li><a href='/a'>A</a><li><a href='/b'>B</a></ul></div>
+<div class='X'>%s<div class='ad-box'>Buy this now, it is very cheap today and only today, dear reader.</div></div>
+<div id='comments' class='comments-area'><h2>2 replies</h2><article class='comment'><p>%s</p></article></div><div class='sidebar-right'><p>About us, in a few words.</p></div><footer>us</footer></body></html>"""
+BODY = "A paragraph that tells the story in a good many words, so that it is longer than a line of a menu. "
+
+
+@pytest.mark.parametrize("name", WORDS.split())
+@pytest.mark.parametrize("holds", ["", "<div class='post-content'>"])
+def test_containers_with_names_of_other_parts_keep_their_text(name, holds):
+    own = f"{holds}<h2>Head</h2><p>{BODY * 2}</p><p>{BODY * 3}</p>{'</div>' if holds else ''}"
+    page = (FULL % (own, "Nice.")).replace("class='X'", f"class='{name}'").replace("<div id='comments'", "<div hidden><div id='comments'").replace("<footer>", "</div><footer>") if "comment" in name else (FULL % (own, "Nice read.")).replace("class='X'", f"class='{name}'")
+    assert main_text(page) == "\n".join(["Head", (BODY * 2).strip(), (BODY * 3).strip()])
+
+
+@pytest.mark.parametrize("name", AROUND)
+def test_articles_in_such_containers_stay(name):
+    own = f"<article><h1>Head</h1><p>{BODY * 2}</p><p>{BODY * 3}</p></article>"
+    page = (FULL % (own, BODY)).replace("class='X'", f"class='{name}'")
+    assert main_text(page) == "\n".join(["Head", (BODY * 2).strip(), (BODY * 3).strip()])
+
+
+@pytest.mark.parametrize("name", ["sidebar", "sidebar-right", "comments", "comment-list", "ad", "ad-box", "cookie-notice", "related-posts", "newsletter-signup"])
+def test_long_other_parts_go(name):
+    """Even with more text than the article, beside it."""
+    page = f"<body><div class='entry'><h1>Head</h1><p>{BODY}</p></div><div class='{name}'><h3>More</h3><p>{BODY * 4}</p></div></body>"
+    assert main_text(page) == f"Head\n{BODY.strip()}"
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "p", "li"])
+def test_nested_parts_take_linear_time(tag):
+    import time
+
+    page = f"<{tag} class='sidebar'>" * 5000 + f"<article><p>{BODY}</p></article>" + f"</{tag}>" * 5000
+    began = time.perf_counter()
+    assert main_text(page) == BODY.strip() and time.perf_counter() - began < 1
+
+
+def test_unclosed_and_crossed_elements():
+    assert main_text(f"<div><p class='notice'>Cookies.<div><p>{BODY}</div></div>") == BODY.strip()
+    assert main_text(f"<div class='ad'><section><p>Buy.</div><p>{BODY}</p>") == BODY.strip()
+    assert main_text(f"<article><p>{BODY}</p><article class='comment'><p>No.</p></article><p>End.</p></article>") == f"{BODY.strip()}\nEnd."

@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the cluster's checkpoints; a temporary one only where none are configured and all runs on one machine."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

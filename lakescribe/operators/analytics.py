@@ -237,3 +237,29 @@ def lineage(versions: DataFrame, id_col: str = "transcript_id", parent_col: str
     """Derived versions beside their parents; a parent that is missing leaves NULLs."""
     parents = versions.select(F.col(id_col).alias(parent_col), *[F.col(c).alias(f"parent_{c}") for c in columns])
     return versions.filter(F.col(parent_col).isNotNull()).join(parents, parent_col, "left")
+
+
+def lineage_roots(versions: DataFrame, id_col: str = "transcript_id", parent_col: str = "derived_from_id") -> DataFrame:
+    """(id, root, depth) of every version: the oldest version that is there on its chain of parents, and the steps to it.
+
+    By pointer jumping: in each round an unfinished version takes over where its pointer points, so rounds are the logarithm of the
+    longest chain. A round in which none finishes has only cycles, and what hangs on them, left: their root and depth are NULL. Ids
+    are unique and not NULL. Every round writes all pointers; joins are by id, over written tables, so that a parent of very many
+    versions is split over tasks.
+    """
+    spark, folder = versions.sparkSession, fresh_folder(versions.sparkSession, "lineage")
+    ids = versions.select(F.col(id_col).alias("up"), F.lit(True).alias("_there"))
+    slim = versions.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up")).join(ids.hint("merge"), "up", "left")
+    top = F.coalesce(F.col("_there"), F.lit(False)) == F.lit(False)
+    slim.select("id", F.when(top, F.col("id")).otherwise(F.col("up")).alias("up"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done")).write.parquet(f"{folder}/round=0")
+    at, left = 0, None
+    while True:
+        now = spark.read.parquet(f"{folder}/round={at}")
+        before, left = left, now.filter("not done").count()
+        if not left or left == before:
+            return now.select(F.col("id").alias(id_col), F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+        there = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        open_ = now.filter("not done").join(there.hint("merge"), F.col("up") == F.col("_id"))
+        jumped = open_.select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        at += 1
+        now.filter("done").unionByName(jumped).write.parquet(f"{folder}/round={at}")

@@ -120,7 +120,8 @@ class Silver(NamedTuple):
     segments: DataFrame
 
 
-def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with NULL in those of ``columns`` (name: type) that it lacks."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
 
 
@@ -139,7 +140,7 @@ def normalized_items(records: DataFrame, order: Sequence[str] = tuple(TRANSCRIPT
     is_generated and available_langs. Missing metadata leaves NULLs, never a guess.
     """
     check_order(order, tuple(TRANSCRIPTS))
-    own = latest_records(_with(records, OPTIONAL))
+    own = latest_records(with_columns(records, OPTIONAL))
     spoken = own.filter("endpoint = 'transcript'")
     items, rejects = [], []
     for provider in order:
@@ -171,32 +172,15 @@ def fan_out(items: DataFrame) -> Silver:
     ids hash the natural keys, so a replay writes the same rows.
     """
     document_id = F.sha2(F.concat_ws("|", *ITEM), 256)
-    keyed = _with(items, DOCUMENT | TRANSCRIPT).withColumn("document_id", document_id)
+    keyed = with_columns(items, DOCUMENT | TRANSCRIPT).withColumn("document_id", document_id)
     status = F.when(F.col("segments").isNotNull(), F.lit("enriched")).otherwise(F.lit("failed"))
     documents = keyed.select("document_id", *ITEM, *DOCUMENT, status.alias("status"))
     version = keyed.filter("segments is not null").withColumn("transcript_id", F.sha2(F.concat_ws("|", "document_id", "provider", "lang"), 256))
     transcripts = version.select("transcript_id", "document_id", "tenant_id", "provider", "lang", *TRANSCRIPT)
-    segments = version.select("transcript_id", "tenant_id", F.explode("segments").alias("s")).select("transcript_id", "tenant_id", "s.*")
+    segments = version.select("transcript_id", "document_id", "tenant_id", F.explode("segments").alias("s")).select("transcript_id", "document_id", "tenant_id", "s.*")
     return Silver(documents, transcripts, segments)
 
 
-#: Key by which a silver table's rows are known to be written already.
-SILVER_KEYS = {"segments": "transcript_id", "transcripts": "transcript_id", "documents": "document_id"}
-
-
-def write_silver(silver: Silver, path: str, held: dict[str, DataFrame] | None = None) -> None:
-    """Segments first and documents last: a document's presence marks the item as done.
-
-    Rows whose key is in ``held`` (by table) are there from a run that broke off, and are not written again.
-    A Parquet append of one table is committed as a whole or not at all.
-    """
-    for name, key in SILVER_KEYS.items():
-        rows = getattr(silver, name)
-        if held and name in held:
-            rows = rows.join(held[name].select(key).distinct(), key, "left_anti").select(rows.columns)
-        rows.write.mode("append").parquet(f"{path}/{name}")
-
-
 def ingest_errors(outcomes: DataFrame, source: str = "source_id") -> DataFrame:
     """AG2: (source, error) of every failed item, a row each."""
     return outcomes.filter("outcome = 'failed'").select(source, "error")

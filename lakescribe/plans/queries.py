@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import at_handle, bare_handle, base_language, cap_of
-from ..functions.schemas import ENUMS
+from ..functions.schemas import ENUMS, REFERENCES
 from ..functions.storage import fresh_folder
 from ..operators import analytics, ingest, lifecycle, normalize, quality, seeds, tenancy, usage
-from ..sources import bronze, intake
+from ..sources import bronze, intake, lake
 from ..sources import seeds as seed_source
 from ..streaming import jobs
 from . import views
@@ -435,7 +436,20 @@ def st4_ingest_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, raw = fresh_folder(spark, "lake"), _recorded(spark, sf_dir)
     for part in ("cast(external_id as long) % 2 = 0", "cast(external_id as long) % 2 = 1", "cast(external_id as long) % 2 = 1"):
         jobs.ingest_batch(raw.filter(part), path)
-    return _whole(ingest.Silver(*[spark.read.parquet(f"{path}/{n}") for n in ingest.Silver._fields]))
+    return _whole(lake.read_silver(spark, path))
+
+
+@query(f"SELECT 'forward' AS fed, * FROM ({_WHOLE}) UNION ALL SELECT 'backward', * FROM ({_WHOLE}) UNION ALL SELECT 'compacted', * FROM ({_WHOLE})")
+def st4_late_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each provider's responses come in a batch of their own, in two orders; the tables equal a rebuild, before and after they are compacted."""
+    raw, batches, found = _recorded(spark, sf_dir), ["supadata", "ytapi", "ytdlp"], []
+    for fed, order in (("forward", batches), ("backward", batches[::-1])):
+        path = fresh_folder(spark, "lake")
+        for provider in order:
+            jobs.ingest_batch(raw.filter(F.col("provider") == provider), path)
+        found.append(_whole(lake.read_silver(spark, path)).select(F.lit(fed).alias("fed"), "*"))
+    lake.compact(spark, path, bronze.bronze_records(ingest.with_columns(raw, ingest.OPTIONAL)).schema, 16)  # a reader from before still reads its runs
+    return found[0].union(found[1]).union(_whole(lake.read_silver(spark, path)).select(F.lit("compacted").alias("fed"), "*"))
 
 
 @query("""
@@ -742,6 +756,54 @@ def d13_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.lineage(versions).select("transcript_id", "text", "parent_text")
 
 
+#: Versions: a chain of turns per conversation; every seventh conversation's first turn derives from its last (a cycle), every fifth one's from a version that is not there.
+_VERSIONS = """
+versions AS (
+  SELECT conv_id || ':' || turn AS id, conv_id, turn, text, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) WHEN conv_id % 7 = 3 THEN conv_id || ':' || max(turn) OVER (PARTITION BY conv_id) WHEN conv_id % 5 = 1 THEN 'lost' END AS up
+  FROM conversations)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    up = F.when(F.col("turn") > 0, F.concat_ws(":", "conv_id", F.col("turn") - 1)).when(F.col("conv_id") % 7 == 3, F.concat_ws(":", "conv_id", "last")).when(F.col("conv_id") % 5 == 1, F.lit("lost"))
+    return c.join(last.hint("merge"), "conv_id").select(F.concat_ws(":", "conv_id", "turn").alias("transcript_version_id"), up.alias("derived_from_id"), "conv_id", "turn", "text")
+
+
+@query(f"""
+WITH RECURSIVE {_VERSIONS},
+walk AS (
+  SELECT id, id AS root, 0 AS depth FROM versions WHERE up IS NULL OR up NOT IN (SELECT id FROM versions)
+  UNION ALL
+  SELECT v.id, w.root, w.depth + 1 FROM walk w JOIN versions v ON v.up = w.id)
+SELECT v.id AS transcript_version_id, root, depth::BIGINT AS depth FROM versions v LEFT JOIN walk w USING (id)""")
+def d13_lineage_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.lineage_roots(_versions(spark, sf_dir), "transcript_version_id")
+
+
+_MODEL_CASCADE: list[lifecycle.Reference] = [(child, column, parent, f"{parent}_id", action) for child, column, parent, action in REFERENCES if {child, parent} <= {"transcript_version", "segment", "chunk"}]
+
+
+@query(f"""
+WITH RECURSIVE {_VERSIONS},
+gone AS (SELECT id FROM versions WHERE conv_id % 3 = 0 AND turn = 2 UNION SELECT v.id FROM gone g JOIN versions v ON v.up = g.id),
+part AS (SELECT v.id, g.id IS NOT NULL AS gone, len(string_split(text, ' ')) AS words FROM versions v LEFT JOIN gone g USING (id))
+SELECT 'transcript_version' AS table_name, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS deleted, 0 AS dangling FROM part
+UNION ALL SELECT 'segment', coalesce(sum(words) FILTER (NOT gone), 0)::BIGINT, coalesce(sum(words) FILTER (gone), 0)::BIGINT, 0 FROM part
+UNION ALL SELECT 'chunk', count(*) FILTER (NOT gone), count(*) FILTER (gone), 0 FROM part""")
+def jn10_self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions go with the versions they derive from, through chains and cycles, and take segments and chunks along; dangling counts references into what went."""
+    versions = _versions(spark, sf_dir)
+    segments = versions.select("transcript_version_id", F.posexplode(F.split("text", " ")).alias("idx", "text"))
+    tables = {"transcript_version": versions, "segment": segments, "chunk": versions.select("transcript_version_id", F.lit(0).alias("idx"))}
+    doomed = versions.filter("conv_id % 3 = 0 and turn = 2").select("transcript_version_id")
+    kept, counts = lifecycle.cascade_purge(tables, _MODEL_CASCADE, "transcript_version", doomed)
+    went = versions.join(kept["transcript_version"].select("transcript_version_id").hint("merge"), "transcript_version_id", "left_anti").select(F.col("transcript_version_id").alias("ref"))
+    refs = [kept[child].select(F.lit(child).alias("table_name"), F.col(column).alias("ref")) for child, column, *_ in _MODEL_CASCADE]
+    dangling = reduce(DataFrame.union, refs).join(went.hint("merge"), "ref").groupBy("table_name").agg(F.count(F.lit(1)).alias("dangling"))
+    return counts.join(dangling.hint("merge"), "table_name", "left").select("table_name", "kept", "deleted", F.coalesce("dangling", F.lit(0)).alias("dangling"))
+
+
 # streaming folds, in batch
 
 
@@ -815,7 +877,9 @@ def st4_ingest_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _segment_payloads(spark, sf_dir).join(d, "doc_id").select("provider", "endpoint", "tenant_id", "source_id", "external_id", "lang", "fetched_at", "payload", "doc_id")
     for part in ("doc_id % 6 < 3", "doc_id % 6 >= 2", "doc_id % 6 < 3"):
         jobs.ingest_batch(raw.filter(part).drop("doc_id"), path)
-    parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("dataset")) for n in ("documents", "bronze", "transcripts", "segments")]
+    silver = lake.read_silver(spark, path)
+    tables = {"documents": silver.documents, "bronze": lake.read_archive(spark, path, bronze.bronze_records(raw.drop("doc_id")).schema), "transcripts": silver.transcripts, "segments": silver.segments}
+    parts = [rows.select(F.lit(n).alias("dataset")) for n, rows in tables.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -829,15 +893,41 @@ fold AS (
 SELECT tenant_id, event_id AS position, admitted FROM fold""")
 def st3_admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the events table, run until its input is used up."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    path, events = fresh_folder(spark, "admitted"), table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("maxBytesPerTrigger", str(1 << 30)).parquet(f"{sf_dir}/events.parque[t]")
     requests = stream.select(F.col("user_id").alias("tenant_id"), F.col("event_id").alias("position"), (1 + F.col("event_id") % 5).alias("cost"))
-    writer = jobs.admit_stream(requests, 60).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+    return _run_admission(spark, jobs.admit_stream(requests, 60), fresh_folder(spark, "admitted")).select("tenant_id", "position", "admitted")
+
+
+def _run_admission(spark: SparkSession, admitted: DataFrame, path: str) -> DataFrame:
+    """What the stream has written to ``path`` when its input is used up."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    writer = admitted.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         writer.start(path).awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return spark.read.parquet(path).select("tenant_id", "position", "admitted")
+    return spark.read.parquet(path)
+
+
+@query("""
+WITH RECURSIVE ordered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY event_id) AS k FROM v_requests),
+fold AS (
+  SELECT tenant_id, k, cost <= 60 AS admitted, CASE WHEN cost <= 60 THEN cost ELSE 0 END AS spent FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT o.tenant_id, o.k, f.spent + o.cost <= 60, CASE WHEN f.spent + o.cost <= 60 THEN f.spent + o.cost ELSE f.spent END
+  FROM fold f JOIN ordered o ON o.tenant_id = f.tenant_id AND o.k = f.k + 1)
+SELECT tenant_id, k AS position, admitted FROM fold""")
+def st3_admission_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests numbered per tenant arrive in three runs of the stream, the first ones last: the result is that of the right order."""
+    path, out, place = fresh_folder(spark, "requests"), fresh_folder(spark, "admitted"), F.row_number().over(Window.partitionBy("tenant_id").orderBy("event_id"))
+    numbered = views.v_requests(spark, sf_dir).select("tenant_id", place.cast("long").alias("position"), "cost", F.col("ts").cast("timestamp").alias("at"))
+    numbered.write.parquet(f"{path}-all")
+    numbered = spark.read.parquet(f"{path}-all")
+    for third in (2, 1, 0):
+        numbered.filter(F.col("position") % 3 == third).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(numbered.schema).option("maxBytesPerTrigger", str(1 << 30)).parquet(path).withWatermark("at", "3650 days")
+        found = _run_admission(spark, jobs.admit_stream_ordered(stream, 60, first=1), out)
+    return found.select("tenant_id", "position", "admitted")

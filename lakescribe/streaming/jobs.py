@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 
-from ..functions.storage import fresh_folder
-from ..operators.ingest import SILVER_KEYS, Silver, fan_out, new_items, normalized_items, write_silver
+from ..functions.storage import exists, fresh_folder
+from ..operators.ingest import ITEM, OPTIONAL, fan_out, known_items, normalized_items, with_columns
+from ..operators.normalize import TRANSCRIPTS
 from ..operators.seeds import append_seeds, classify_ref, seed_defaults
-from ..sources.bronze import bronze_append, bronze_records, write_bronze
+from ..sources import lake
+from ..sources.bronze import bronze_append, bronze_records
 from ..sources.intake import parse_intake
 
 
@@ -68,33 +71,127 @@ def admit_stream(requests: DataFrame, budget: int) -> DataFrame:
     return requests.groupBy("tenant_id").transformWithStateInPandas(_Admission(budget), "tenant_id long, position long, cost long, admitted boolean", "Append", "None")
 
 
+class _OrderedAdmission(StatefulProcessor):
+    def __init__(self, budget: int, first: int, patience_ms: int):
+        self.budget, self.first, self.patience_ms = budget, first, patience_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "spent long, next long")
+        self.held = handle.getMapState("held", "position long", "cost long")
+
+    def _judge(self, cost: int) -> bool:
+        fits = self.spent + cost <= self.budget
+        self.spent += cost if fits else 0
+        return bool(fits)
+
+    def _drain(self, out: list) -> None:
+        """Take the held rows that are next in turn."""
+        while self.held.containsKey((self.next,)):
+            cost = self.held.getValue((self.next,))[0]
+            self.held.removeKey((self.next,))
+            out.append((self.next, cost, self._judge(cost)))
+            self.next += 1
+
+    def _restore(self) -> None:
+        self.spent, self.next = self.progress.get() if self.progress.exists() else (0, self.first)
+
+    def _result(self, key, out: list):
+        import pandas as pd
+
+        self.progress.update((self.spent, self.next))
+        return pd.DataFrame({"tenant_id": [key[0]] * len(out), "position": [p for p, *_ in out], "cost": [c for _, c, _ in out], "admitted": [a for *_, a in out]})
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        self._restore()
+        for frame in rows:
+            out: list = []
+            for position, cost in sorted(zip(frame["position"].tolist(), frame["cost"].tolist(), strict=True)):
+                if position > self.next:
+                    self.held.updateValue((position,), (cost,))
+                    continue
+                out.append((position, cost, self._judge(cost)))  # in turn, or given up and late
+                self.next = max(self.next, position + 1)
+                self._drain(out)
+            yield self._result(key, out)
+            if self.held.exists():
+                self.handle.registerTimer(int(frame["at"].max().value // 10**6) + self.patience_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        """The gap's rows do not come: go on behind it."""
+        self._restore()
+        out: list = []
+        waiting = sorted(k[0] for k in self.held.keys())  # noqa: SIM118
+        if waiting:
+            self.next = waiting[0]
+            self._drain(out)
+        if self.held.exists():
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.patience_ms)
+        yield self._result(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream_ordered(requests: DataFrame, budget: int, first: int = 0, patience_ms: int = 600_000) -> DataFrame:
+    """ST3 for requests (tenant_id, position, cost, at) that come in any order; a tenant's positions count up from ``first``.
+
+    ``at`` is an event time with a watermark, which bounds how late a row may come. A row that comes early is held, keyed by
+    position in the state store, until its predecessors have come. If they don't by the time that the watermark is
+    ``patience_ms`` past the rows that wait, a timer gives up the gap and goes on behind it; a row that still comes then is judged by
+    what is spent. Rows are taken batch by batch of Arrow, so a task holds one batch, and the state one row for each that is
+    early: memory is bounded by the gap, not by the micro-batch. Needs the RocksDB state store.
+    """
+    shape = "tenant_id long, position long, cost long, admitted boolean"
+    return requests.groupBy("tenant_id").transformWithStateInPandas(_OrderedAdmission(budget, first, patience_ms), shape, "Append", "EventTime")
+
+
 def _present(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``; empty where nothing has been written yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def ingest_batch(raw: DataFrame, path: str) -> Silver:
+def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCRIPTS)) -> lake.Lake:
     """ST4 for one batch of recorded responses (provider, endpoint, tenant_id, source_id, external_id, lang, fetched_at, payload).
 
-    Archives what is new, keeps the items without a document, and writes their silver rows, documents
-    last. The records of all providers are read, in the failover's order; metadata fills the documents.
-    The batch's new items are normalized once and written before the three tables are, so all see the
-    same rows. Replaying a batch changes nothing. A run that broke off after some tables were written is
-    made good by the next: rows whose ids are there already are not written again.
+    Archives what is new, then settles every item that has unsettled records over all that the archive
+    knows of it, whichever batch that came in. So an answer that comes late replaces the item's rows, a retried
+    fetch does the same, and the tables equal ``rebuild`` of the archive whatever the batches were. The records of all
+    providers are read, in the failover's ``order``; metadata fills the documents. Replaying a batch changes nothing.
+
+    Archive and tables are each made visible by one pointer row (sources.lake). A run that breaks off
+    between them is made good by the next batch, even an empty one.
     """
-    spark = raw.sparkSession
-    records = bronze_records(raw)
-    write_bronze(bronze_append(records, _present(spark, f"{path}/bronze", records.schema), "keep_first").new, f"{path}/bronze")
-    items, _ = normalized_items(records)
-    documents = _present(spark, f"{path}/documents", "tenant_id string, source_id string, external_id string, document_id string")
+    spark, now = raw.sparkSession, lake.open_lake(raw.sparkSession, path)
     batch = fresh_folder(spark, "ingest-batch")
-    new_items(items, documents).write.parquet(batch)
-    silver = fan_out(spark.read.parquet(batch))
-    held = {name: _present(spark, f"{path}/{name}", f"{key} string") for name, key in SILVER_KEYS.items()}
-    write_silver(silver, path, held)
-    return silver
+    bronze_records(with_columns(raw, OPTIONAL)).write.parquet(f"{batch}/records")
+    records = spark.read.parquet(f"{batch}/records")
+    own = lake.buckets_of(records, now)
+    new = bronze_append(records, lake.archive(spark, now, records.schema, own).drop("run", "bucket"), "keep_first").new
+    new.write.parquet(f"{batch}/new")
+    if spark.read.parquet(f"{batch}/new").limit(1).count():
+        lake.write_run(spark.read.parquet(f"{batch}/new"), now, lake.BRONZE, now.bronze + 1)
+        now = lake.commit(spark, now._replace(bronze=now.bronze + 1))
+    return settle(spark, now, records.schema, order) if now.covered < now.bronze else now
+
+
+def settle(spark: SparkSession, now: lake.Lake, schema: StructType, order: Sequence[str] = tuple(TRANSCRIPTS)) -> lake.Lake:
+    """Settle the items of the archive's runs that the silver tables don't cover yet, over all their records."""
+    touched = lake.archive(spark, now, schema, after=now.covered).select(*ITEM).distinct()
+    batch = fresh_folder(spark, "settled")
+    touched.write.parquet(f"{batch}/touched")
+    touched = spark.read.parquet(f"{batch}/touched")
+    own = lake.buckets_of(touched, now)
+    # written once, as every provider's normalizer reads it
+    lake.archive(spark, now, schema, own).drop("run", "bucket").join(touched.hint("merge"), ITEM, "left_semi").write.parquet(f"{batch}/known")
+    items, _ = normalized_items(spark.read.schema(schema).parquet(f"{batch}/known"), order)
+    items.write.parquet(f"{batch}/items")
+    silver = fan_out(spark.read.parquet(f"{batch}/items"))
+    held = lake.held_documents(spark, now, own)
+    replaced = known_items(silver.documents, held.hint("merge")).select("document_id")
+    for table, rows in (("segments", silver.segments), ("transcripts", silver.transcripts), ("replaced", replaced), ("documents", silver.documents)):
+        lake.write_run(rows, now, table, now.silver + 1)
+    return lake.commit(spark, now._replace(silver=now.silver + 1, covered=now.bronze))
 
 
 def ingest_stream(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -254,3 +254,77 @@ def test_purge_keeps_columns_and_clears_references(spark):
     kept, counts = lifecycle.cascade_purge({"a": a, "b": b}, refs, "a", spark.createDataFrame([(1,), (1,)], "a_id int"))
     assert rows(kept["b"]) == [(11, 2, None), (12, None, 2), (12, None, 2)] and kept["b"].columns == b.columns
     assert rows(counts) == [("a", 1, 1), ("b", 3, 1)]
+
+
+CHAIN = [("a0", None), *[(f"a{i}", f"a{i - 1}") for i in range(1, 12)], ("c1", "c3"), ("c2", "c1"), ("c3", "c2"), ("c4", "c2"), ("b", "lost"), ("b1", "b"), ("self", "self")]
+
+
+def test_lineage_roots_of_chains_cycles_and_lost_parents(spark):
+    got = {r.id: (r.root, r.depth) for r in analytics.lineage_roots(spark.createDataFrame(CHAIN, "id string, up string"), "id", "up").collect()}
+    want = {f"a{i}": ("a0", i) for i in range(12)} | {f"c{i}": (None, None) for i in range(1, 5)} | {"b": ("b", 0), "b1": ("b", 1), "self": (None, None)}
+    assert got == want
+    assert analytics.lineage_roots(spark.createDataFrame([], "id string, up string"), "id", "up").count() == 0
+
+
+@pytest.mark.parametrize("doomed, gone", [("a9", {"a9", "a10", "a11"}), ("a0", {f"a{i}" for i in range(12)}), ("c3", {"c1", "c2", "c3", "c4"}), ("b", {"b", "b1"}), ("self", {"self"}), ("none", set())])
+def test_a_purge_follows_self_references(spark, doomed, gone):
+    versions = spark.createDataFrame(CHAIN, "id string, up string")
+    segments = spark.createDataFrame([(i, n) for i, _ in CHAIN for n in range(2)], "id string, n int")
+    references = [("version", "up", "version", "id", "cascade"), ("segment", "id", "version", "id", "cascade")]
+    kept, counts = lifecycle.cascade_purge({"version": versions, "segment": segments}, references, "version", spark.createDataFrame([(doomed,)], "id string"))
+    assert {r.id for r in kept["version"].collect()} == {i for i, _ in CHAIN} - gone
+    assert {r.table_name: (r.kept, r.deleted) for r in counts.collect()} == {"version": (len(CHAIN) - len(gone), len(gone)), "segment": (2 * (len(CHAIN) - len(gone)), 2 * len(gone))}
+
+
+def test_self_references_may_be_cleared(spark):
+    """Set-null within a table: direct children lose their parent, and stay; with a cascade from outside at the same time."""
+    tables = {"doc": spark.createDataFrame([("d1",), ("d2",)], "doc string"), "version": spark.createDataFrame([("a", "d1", None), ("b", "d2", "a"), ("c", "d2", "b"), (None, "d2", "a")], "id string, doc string, up string")}
+    references = [("version", "doc", "doc", "doc", "cascade"), ("version", "up", "version", "id", "set_null")]
+    kept, _ = lifecycle.cascade_purge(tables, references, "doc", spark.createDataFrame([("d1",)], "doc string"))
+    assert rows(kept["version"]) == [(None, "d2", None), ("b", "d2", None), ("c", "d2", "b")] or rows(kept["version"]) == sorted([("b", "d2", None), ("c", "d2", "b"), (None, "d2", None)], key=str)
+
+
+def folded(requests, budget):
+    spent, out = {}, []
+    for tenant, position, cost in sorted(requests, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        fits = spent.get(tenant, 0) + cost <= budget
+        spent[tenant] = spent.get(tenant, 0) + cost * fits
+        out.append((tenant, position, cost, fits))
+    return out
+
+
+@pytest.mark.parametrize("budget, share", [(0, 0.5), (7, 0.5), (60, 0.5), (3000, 0.9), (3000, 0.0)])
+def test_a_hot_tenant_is_split_over_tasks(spark, budget, share):
+    import random
+
+    rng = random.Random(budget)
+    requests = [(None if rng.random() < 0.01 else 7 if rng.random() < share else rng.randrange(40), i, rng.choice([0, 1, 2, 5, 70])) for i in range(3000)]
+    df = spark.createDataFrame(requests, "tenant_id long, position long, cost long").repartition(5)
+    got = usage.admit(df, budget)
+    assert sorted(map(tuple, got.select("tenant_id", "position", "cost", "admitted").collect()), key=str) == sorted(folded(requests, budget), key=str)
+
+
+def test_no_task_reads_a_hot_tenant_whole(spark):
+    """Ranges of a tenant with nearly all rows: every task of both folds sees a part."""
+    df = spark.range(4000).select((F.col("id") < 20).cast("long").alias("tenant_id"), F.col("id").alias("position"), (F.col("id") % 3).alias("cost"))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = usage.admit(df, 50)
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_a_stretch_maps_what_was_spent(spark):
+    stretch, costs = usage._Stretch(30), [3, 7, 1, 0, 9, 31, 2] * 40
+    for c in costs:
+        stretch.add(c)
+    want = []
+    for start in range(31):
+        spent = start
+        for c in costs:
+            spent += c if spent + c <= 30 else 0
+        want.append(spent)
+    assert stretch.map().tolist() == want

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lakescribe.operators import usage
+from lakescribe.operators import analytics, usage
+from lakescribe.sources import lake
 from lakescribe.streaming import jobs
 
 
@@ -34,6 +35,35 @@ def test_admission_stream(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_admission_in_any_order(spark, tmp_path):
+    """Rows come in reversed order, in three runs; the gap that a missing one leaves is given up when the watermark has passed it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, schema = str(tmp_path / "in"), "tenant_id long, position long, cost long, at timestamp"
+
+    def run(rows):
+        timed = spark.createDataFrame(rows, "tenant_id long, position long, cost long").withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("position")))
+        timed.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("at", "1 hour")
+        admitted = jobs.admit_stream_ordered(stream, 25, patience_ms=60_000)
+        query = admitted.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert query.awaitTermination(60)
+        return sorted(map(tuple, spark.read.schema("tenant_id long, position long, cost long, admitted boolean").parquet(str(tmp_path / "out")).collect()))
+
+    try:
+        rows = [(t, i, (i * 7 + t) % 5 + 1) for t in range(3) for i in range(20)]
+        lost = (2, 3)
+        for third in (2, 1):
+            assert run([r for r in rows if r[1] % 3 == third]) == []
+        want = sorted(map(tuple, usage.admit(spark.createDataFrame(rows, "tenant_id long, position long, cost long"), 25).select("tenant_id", "position", "cost", "admitted").collect()))
+        got = run([r for r in rows if r[1] % 3 == 0 and r[:2] != lost])
+        assert [r for r in got if r[0] < 2] == [r for r in want if r[0] < 2] and [r[1] for r in got if r[0] == 2] == [0, 1, 2]
+        got = run([(7, 0, 1), (7, 20_000, 1)])
+        assert [r[1] for r in got if r[0] == 2] == [0, 1, 2, *range(4, 20)]
+        assert sum(c for t, _, c, ok in got if t == 2 and ok) <= 25
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 RAW = "provider string, endpoint string, tenant_id string, source_id string, external_id string, lang string, fetched_at long, payload string"
 
 
@@ -42,7 +72,12 @@ def raw(spark, *ids):
 
 
 def counts(spark, path):
-    return [spark.read.parquet(f"{path}/{n}").count() for n in ("bronze", "documents", "transcripts", "segments")]
+    silver = lake.read_silver(spark, path)
+    return [archived(spark, path).count(), silver.documents.count(), silver.transcripts.count(), silver.segments.count()]
+
+
+def archived(spark, path):
+    return lake.read_archive(spark, path, spark.createDataFrame([], RAW + ", http_status int, is_generated boolean, available_langs array<string>, key string, record_hash string").schema)
 
 
 def test_ingest_twice_is_once(spark, tmp_path):
@@ -58,24 +93,120 @@ def test_ingest_twice_is_once(spark, tmp_path):
 def test_a_run_that_broke_off_is_made_good(spark, tmp_path, monkeypatch):
     """Broken off before the documents are written, then run again: every row is there once."""
     path = str(tmp_path / "lake")
-    write = jobs.write_silver
-
-    def broken(silver, path, held):
-        write(silver._replace(documents=silver.documents.select(F.raise_error(F.lit("gone")))), path, held)
-
-    monkeypatch.setattr(jobs, "write_silver", broken)
+    break_off(monkeypatch, "documents")
     with pytest.raises(Exception, match="gone"):
         jobs.ingest_batch(raw(spark, 1, 2, 3), path)
-    monkeypatch.setattr(jobs, "write_silver", write)
+    monkeypatch.undo()
+    assert counts(spark, path) == [3, 0, 0, 0]  # archived, but none of the three tables shows
     jobs.ingest_batch(raw(spark, 1, 2, 3), path)
     assert counts(spark, path) == [3, 3, 2, 2]
 
 
+def break_off(monkeypatch, table):
+    write = lake.write_run
+
+    def broken(rows, now, name, run):
+        write(rows.select(F.raise_error(F.lit("gone")).cast("string").alias("external_id")) if name == table else rows, now, name, run)
+
+    monkeypatch.setattr(lake, "write_run", broken)
+
+
+def responses(spark, *records):
+    """(item, provider, payload, status)"""
+    rows = [(p, "metadata" if p == "ytdlp" else "transcript", "t", "s", item, "en", 1, json.dumps(payload), status) for item, p, payload, status in records]
+    return spark.createDataFrame(rows, RAW + ", http_status int")
+
+
+SAYS, SNIPPETS = {"content": [{"text": "one", "offset": 0}]}, {"snippets": [{"text": "two", "start": 1.0}]}
+ANSWERS = [
+    ("late", "supadata", {}, 429), ("late", "ytapi", SNIPPETS, 200), ("late", "ytdlp", {"id": "late", "title": "T"}, 200),
+    ("better", "supadata", SAYS, 200), ("better", "ytapi", SNIPPETS, 200), ("gone", "supadata", {}, 404), ("gone", "ytapi", SNIPPETS, 200), ("other", "supadata", SAYS, 200),
+]
+
+
+def shown(silver):
+    return [sorted(map(str, (r.asDict() for r in t.select(sorted(t.columns)).collect()))) for t in silver]
+
+
+@pytest.mark.parametrize("order, breaks", [(("supadata", "ytapi", "ytdlp"), "documents"), (("ytdlp", "ytapi", "supadata"), "bronze")])
+def test_late_answers_equal_a_rebuild(spark, tmp_path, monkeypatch, order, breaks):
+    """Whatever the batches' order, and wherever the second one breaks off."""
+    path = str(tmp_path / "lake")
+    for at, provider in enumerate(order):
+        batch = responses(spark, *[a for a in ANSWERS if a[1] == provider])
+        if at == 1 and breaks:
+            before = shown(lake.read_silver(spark, path))
+            break_off(monkeypatch, breaks)
+            with pytest.raises(Exception, match="gone"):
+                jobs.ingest_batch(batch, path)
+            monkeypatch.undo()
+            assert shown(lake.read_silver(spark, path)) == before
+        jobs.ingest_batch(batch, path)
+    want = analytics.rebuild(archived(spark, path))[0]
+    assert shown(lake.read_silver(spark, path)) == shown(want)
+    assert {r.external_id: r.status for r in lake.read_silver(spark, path).documents.collect()} == {"late": "enriched", "better": "enriched", "gone": "failed", "other": "enriched"}
+    lake.compact(spark, path, archived(spark, path).schema, 4)
+    assert shown(lake.read_silver(spark, path)) == shown(want) and archived(spark, path).count() == len(ANSWERS)
+
+
+def test_a_broken_batch_is_settled_by_another_one(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lake")
+    break_off(monkeypatch, "transcripts")
+    with pytest.raises(Exception, match="gone"):
+        jobs.ingest_batch(raw(spark, 1, 2, 3), path)
+    monkeypatch.undo()
+    jobs.ingest_batch(raw(spark, 5), path)
+    assert counts(spark, path) == [4, 4, 3, 3]
+
+
+def test_a_retried_item_replaces_its_rows(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    jobs.ingest_batch(responses(spark, ("x", "supadata", {}, 500)), path)
+    assert [r.status for r in lake.read_silver(spark, path).documents.collect()] == ["failed"]
+    jobs.ingest_batch(responses(spark, ("x", "supadata", SAYS, 200)).withColumn("fetched_at", F.lit(7).cast("long")), path)
+    assert [r.status for r in lake.read_silver(spark, path).documents.collect()] == ["enriched"]
+    assert counts(spark, path) == [2, 1, 1, 1]
+
+
+def files_read(df):
+    """Files that the plan's scans read, by their metrics."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+        if plan.metrics().contains("numFiles"):
+            found += plan.metrics().apply("numFiles").value()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())] + ([plan.plan()] if plan.nodeName().endswith("QueryStage") else [])
+    return found
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    """The plan prunes to the batch's buckets; what comes to other buckets adds nothing to what a batch reads."""
+    path, own, read = str(tmp_path / "lake"), raw(spark, 1), []
+    jobs.ingest_batch(own, path)
+    schema = archived(spark, path).schema
+    for extra in (range(100, 120), range(200, 300)):
+        now = lake.open_lake(spark, path)
+        bucket = lake.buckets_of(own, now)
+        others = [r.external_id for r in raw(spark, *extra).filter(lake.bucket_of(F.col("external_id"), now.buckets) != bucket[0]).collect()]
+        jobs.ingest_batch(raw(spark, *others), path)
+        now = lake.open_lake(spark, path)
+        looked_up, held = lake.archive(spark, now, schema, bucket), lake.held_documents(spark, now, bucket)
+        for rows in (looked_up, held):
+            plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+            assert "bucket#" in plan.split("PartitionFilters")[1].split("\n")[0]
+        read.append((files_read(looked_up), files_read(held)))
+    assert read == [(1, 1), (1, 1)]
+    assert files_read(lake.archive(spark, now, schema)) > 20
+
+
 def test_the_latest_record_of_an_item_counts(spark, tmp_path):
     path = str(tmp_path / "lake")
     old, new = raw(spark, 1), raw(spark, 1).withColumns({"fetched_at": F.lit(5).cast("long"), "payload": F.lit(json.dumps({"content": "later"}))})
     jobs.ingest_batch(old.union(new).repartition(3), path)
-    assert [r.text for r in spark.read.parquet(f"{path}/segments").collect()] == ["later"]
+    assert [r.text for r in lake.read_silver(spark, path).segments.collect()] == ["later"]
     assert counts(spark, path) == [2, 1, 1, 1]
 
 
@@ -92,10 +223,11 @@ def test_failover_between_providers(spark, tmp_path):
     add("broken", "supadata", {"content": [{"offset": 1}]}, 200), add("broken", "ytapi", snippets, 200)
     add("all", "supadata", {}, 500), add("all", "ytapi", {"snippets": [{"text": "no start"}]}, 200)
     jobs.ingest_batch(spark.createDataFrame(rows, RAW + ", http_status int"), path)
-    documents = {r.external_id: r.status for r in spark.read.parquet(f"{path}/documents").collect()}
+    silver = lake.read_silver(spark, path)
+    documents = {r.external_id: r.status for r in silver.documents.collect()}
     assert documents == {"blocked": "enriched", "none": "failed", "broken": "enriched", "all": "failed"}
-    assert sorted(r.provider for r in spark.read.parquet(f"{path}/transcripts").collect()) == ["ytapi", "ytapi"]
-    assert {r.offset_ms for r in spark.read.parquet(f"{path}/segments").collect()} == {2000}
+    assert sorted(r.provider for r in silver.transcripts.collect()) == ["ytapi", "ytapi"]
+    assert {r.offset_ms for r in silver.segments.collect()} == {2000}
 
 
 def test_ingest_stream_equals_batches(spark, tmp_path):

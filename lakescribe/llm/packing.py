@@ -38,14 +38,26 @@ from .scratch import stored
 CAPACITY = 2048
 END = 0
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: White space to Python, not to the tokenizer: texts with it are cut at ASCII white space only.
+_NO_SPACE = re.compile(r"[\x1C-\x1F]")
+#: ASCII marks but the apostrophe, at a word's end.
+_TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: A character of no text, as a rule, between words that are encoded together, and how many are.
+_MARK, _TOGETHER = "\uE000", 256
 #: Words of at most so many characters whose ids a worker keeps, and how many.
-MEMO_CHARS, MEMO_WORDS = 32, 1 << 18
+MEMO_CHARS, MEMO_WORDS = 32, 1 << 19
 _CHUNK_CHARS = 1 << 20
 _tokenizers: dict[str, tuple] = {}
 
 
 class WordEncoder:
-    """Ids of texts as bytes. The vocabulary's pattern never crosses white space, so texts are encoded word by word, each word once."""
+    """Ids of texts as bytes, each word encoded once.
+
+    The vocabulary's pattern never crosses white space, and never goes on from ASCII letters to ASCII marks other than the
+    apostrophe, so words are cut there. New ones are encoded many at a time, parted by a character whose ids tell where each ends;
+    words that hold that character, or could hold one of the tokenizer's special tokens, are encoded alone. A worker keeps the ids of
+    short words in two generations of some MEMO_WORDS each: when one is full, the one before it goes.
+    """
 
     def __init__(self, path: str):
         import os
@@ -53,7 +65,8 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.older = Tokenizer.from_file(path), {}, {}
+        self.mark = self._ids([_MARK])
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -61,15 +74,51 @@ class WordEncoder:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, from texts of many."""
+        ids = self._ids([f" {_MARK} ".join([*words[at : at + _TOGETHER], ""]) for at in range(0, len(words), _TOGETHER)])
+        marks = np.flatnonzero(ids[: len(ids) - len(self.mark) + 1] == self.mark[0])
+        for k in range(1, len(self.mark)):
+            marks = marks[ids[marks + k] == self.mark[k]]
+        starts = [0, *(4 * (marks[:-1] + len(self.mark))).tolist()]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(starts, (4 * marks).tolist(), strict=True)]
+
+    def _look_up(self, words: list[str]) -> None:
+        """Put ``words`` into the memo."""
+        for w in words:
+            if (ids := self.older.get(w)) is not None:
+                self.memo[w] = ids
+        new = [w for w in words if w not in self.memo]
+        alone = [w for w in new if _MARK in w or "<|" in w]
+        if alone:
+            self.memo |= {w: self._ids([w]).tobytes() for w in alone}
+            new = [w for w in new if w not in self.memo]
+        if new:
+            self.memo.update(zip(new, self._together(new), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [_WORD.findall(t) for t in texts]
-        new = list({w for own in words for w in own}.difference(self.memo))
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        found = [b"".join([m[w] if w in m else fresh[w] for w in own]) for own in words] if (m := self.memo) else [b"".join(map(fresh.__getitem__, own)) for own in words]
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo = {}
-        self.memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_CHARS)
+        words = [_WORD.findall(t) if _NO_SPACE.search(t) else t.split() for t in texts]
+        distinct = set().union(*words)
+        cut, rest, parts = [], [], set()
+        for w in distinct.difference(self.memo):
+            bare = w.rstrip(_TAIL)
+            if len(bare) < len(w) and bare.isascii() and bare.isalpha():
+                cut.append((w, bare, tail := w[len(bare) :]))
+                parts |= {bare, tail}
+            else:
+                rest.append(w)
+        self._look_up(list(parts.difference(self.memo).union(rest)))
+        self.memo.update((w, self.memo[bare] + self.memo[tail]) for w, bare, tail in cut)
+        found = [b"".join(map(self.memo.__getitem__, own)) for own in words]
+        for w in [w for w in distinct.union(parts) if len(w) > MEMO_CHARS]:
+            del self.memo[w]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
         return found
 
 

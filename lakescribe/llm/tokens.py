@@ -7,12 +7,15 @@ a chunk of its own), so memory is bounded by the longest text, not by the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Bytes from which a range is hashed as a whole.
+LONG = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -69,12 +72,18 @@ class Chunk:
         return self.bounds(_SPACE[self.data])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range."""
+        """A 64-bit hash of each byte range: a polynomial modulo 2**64, and of ranges of ``LONG`` bytes or more a BLAKE2b digest.
+
+        Long strings can be built that agree under any polynomial modulo a power of two (Thue-Morse strings do, from 1024 bytes on).
+        """
         up, down = _power_tables(len(self.data) + 1)
         if self._sums is None:
             self._sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(_CODES[self.data] * up[: len(self.data)], out=self._sums[1:])
-        return mix64((self._sums[ends] - self._sums[starts]) * down[starts])
+        out = mix64((self._sums[ends] - self._sums[starts]) * down[starts])
+        for i in np.flatnonzero(ends - starts >= LONG):
+            out[i] = int.from_bytes(blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def per_text(self, first_run: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Sum of ``values`` over the runs of each text."""

@@ -105,6 +105,8 @@ def test_mixing(spark):
     mixed = mixing.mix_documents(df)
     assert mixed.columns == df.columns
     assert mixed.count() == sum(r._mix_copies for r in got)
+    clash = mixing.mix_documents(df.withColumns({"_mix_size": F.lit("mine"), "_mix_copies": F.lit("own"), "row": F.lit("r"), "id": F.lit("i")}))
+    assert {(r._mix_size, r._mix_copies, r["row"], r["id"]) for r in clash.collect()} == {("mine", "own", "r", "i")} and clash.count() == mixed.count()
     assert sorted(map(str, mixing.with_copies(df.repartition(3)).select("doc_id", "_mix_copies").collect())) == sorted(str(r) for r in mixing.with_copies(df).select("doc_id", "_mix_copies").collect())
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
@@ -275,3 +277,21 @@ def test_tokens_match_regex():
     assert len(set(seen.values())) == len(seen)
     assert list(tokens.chunks(pa.array([], pa.string()))) == []
     assert np.array_equal(np.diff(tokens.shingle_hashes(np.arange(12, dtype=np.uint64), np.array([0, 0, 3, 12]), 5)[1]), [0, 1, 5])
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 2048, 4096])
+def test_constructed_texts_do_not_collide(spark, n):
+    """Strings that agree under polynomials modulo a power of two: as lines, and as words of windows."""
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    words = " ".join(f"w{i}" for i in range(7))
+    texts = [f"{one}\n{two}", f"{one}\n{two}\n{one}", f"{one} {words} {two} {words} {one}", f"{words} {one} x {words} {one}"]
+    for r in quality.judge(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(texts[r.doc_id])
+    chunk = next(tokens.chunks(pa.array([f"{one} {two}"])))
+    starts, ends, _ = chunk.words()
+    a, b = chunk.hashes(starts, ends)
+    assert a != b

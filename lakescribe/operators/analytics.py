@@ -212,7 +212,8 @@ def alias_match(surfaces: DataFrame, aliases: DataFrame, threshold: float = 0.5)
     """(surface, alias, similarity) with shared 3-grams / all 3-grams at least ``threshold``.
 
     Only the rarest 3-grams of each string are joined on (a prefix filter): strings of m grams that
-    reach the threshold t share one of the first m - ceil(t * m) + 1 in any common order. Exact.
+    reach the threshold t share one of the first m - ceil(t * m) + 1 in any common order, and their numbers of grams
+    are within the factor t. Exact.
     """
 
     def grams(df: DataFrame, name: str) -> DataFrame:
@@ -224,9 +225,11 @@ def alias_match(surfaces: DataFrame, aliases: DataFrame, threshold: float = 0.5)
     def prefix(df: DataFrame, name: str) -> DataFrame:
         ranked = df.select(name, "m", F.explode("g").alias("gram")).join(counts.hint("merge"), "gram").groupBy(name).agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("o"))
         first = F.slice("o", F.lit(1), (F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1).cast("int"))
-        return ranked.select(name, F.explode(F.transform(first, lambda s: s["gram"])).alias("gram"))
+        return ranked.select(name, F.col("m").alias(f"m_{name}"), F.explode(F.transform(first, lambda s: s["gram"])).alias("gram"))
 
-    pairs = prefix(left, "surface").join(prefix(right, "alias").hint("merge"), "gram").select("surface", "alias").distinct()
+    own, other = prefix(left, "surface"), prefix(right, "alias")
+    near = F.least("m_surface", "m_alias") >= F.greatest("m_surface", "m_alias") * threshold - 1e-9
+    pairs = own.join(other.hint("merge"), (own["gram"] == other["gram"]) & near).select("surface", "alias").distinct()
     full = pairs.join(left.select("surface", F.col("g").alias("ga")).hint("merge"), "surface").join(right.select("alias", F.col("g").alias("gb")).hint("merge"), "alias")
     shared = F.size(F.array_intersect("ga", "gb"))
     similarity = shared / (F.size("ga") + F.size("gb") - shared)

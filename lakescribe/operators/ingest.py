@@ -42,14 +42,21 @@ def upsert_sources(seeds: DataFrame, sources: DataFrame) -> DataFrame:
 def limit_per_source(discovered: DataFrame, limit: int | None = None, caps: DataFrame | None = None, source: str = "source_id", position: str = "position") -> DataFrame:
     """WN3: the first items in listing order per source: the smaller of ``limit`` and the source's cap, 0 or NULL being no limit.
 
-    ``caps`` has (source, cap), a row per source at most.
+    ``caps`` has (source, cap), a row per source at most. Sources without a limit are not ranked; of the others the window keeps
+    the first rows up to the largest limit in every task, before anything is shuffled.
     """
-    ranked = discovered.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(position)))
     if caps is None:
-        return (ranked.filter(F.col("_rank") <= limit) if limit else ranked).drop("_rank")
-    most = F.least(truthy(F.lit(limit).cast("int")), truthy(F.col("_cap")))
-    joined = ranked.join(caps.select(source, F.col("cap").alias("_cap")), source, "left")
-    return joined.filter(most.isNull() | (F.col("_rank") <= most)).drop("_rank", "_cap")
+        rows, most = discovered, truthy(F.lit(limit).cast("int"))
+        largest = limit
+    else:
+        rows = discovered.join(caps.select(source, F.col("cap").alias("_cap")), source, "left")
+        most = F.least(truthy(F.lit(limit).cast("int")), truthy(F.col("_cap")))
+        largest = limit or caps.agg(F.max(truthy(F.col("cap")))).first()[0]
+    if not largest:
+        return rows.drop("_cap")
+    ranked = rows.filter(most.isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(position)))
+    first = ranked.filter(F.col("_rank") <= largest).filter(F.col("_rank") <= most).drop("_rank")
+    return (first if limit else first.unionByName(rows.filter(most.isNull()))).drop("_cap")
 
 
 def select_track(tracks: DataFrame, language: str, item: str = "item") -> DataFrame:

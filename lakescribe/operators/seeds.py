@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.expr import bare_handle, truthy
 
 
+#: Categories of a mapping that are broadcast at most.
+BROADCAST_CATEGORIES = 10_000
+
+
 def classify_ref(refs: DataFrame, col: str = "raw") -> DataFrame:
     """PRJ9: ``refs`` with kind (video or handle), ref and error; a video id goes before a handle in a URL, that before a bare handle."""
     text = F.trim(F.coalesce(F.col(col), F.lit("")))
@@ -57,10 +61,12 @@ def append_seeds(incoming: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Data
 def classify_candidates(candidates: DataFrame, mapping: DataFrame, first_phase: DataFrame, phase: str = "research-p1") -> DataFrame:
     """JN5: resolved candidates with tier and phase of their category; unmapped or excluded categories go.
 
-    ``mapping`` (category, tier, phase; NULL tier excludes) is small by contract and broadcast;
+    ``mapping`` (category, tier, phase; NULL tier excludes) is broadcast up to BROADCAST_CATEGORIES rows, and merged beyond;
     handles in ``first_phase`` get ``phase``.
     """
-    joined = candidates.filter("resolved").join(F.broadcast(mapping.filter("tier is not null").withColumnRenamed("phase", "_phase")), "category")
+    tiers = mapping.filter("tier is not null").withColumnRenamed("phase", "_phase")
+    small = tiers.limit(BROADCAST_CATEGORIES + 1).count() <= BROADCAST_CATEGORIES
+    joined = candidates.filter("resolved").join(F.broadcast(tiers) if small else tiers.hint("merge"), "category")
     early = first_phase.select(bare_handle(F.col("handle")).alias("_key")).distinct().withColumn("_early", F.lit(True))
     joined = joined.withColumn("_key", bare_handle(F.col("handle"))).join(early, "_key", "left")
     return joined.withColumn("phase", F.when(F.col("_early"), F.lit(phase)).otherwise(F.col("_phase"))).drop("_key", "_early", "_phase")

@@ -328,3 +328,33 @@ def test_a_stretch_maps_what_was_spent(spark):
             spent += c if spent + c <= 30 else 0
         want.append(spent)
     assert stretch.map().tolist() == want
+
+
+def test_model_rules_read_each_table_once(spark, tmp_path):
+    """Keys and references of all tables share one shuffle of keys; NULL parts are exempt, and a table may refer to itself."""
+    frames = {
+        "document": ("document_id string, tenant_id string, source_id string, external_id string", [("d1", "t", "s", "x"), ("d2", "t", "s", "x"), ("d3", None, "s", "x"), ("d4", None, "s", "x")]),
+        "transcript_version": ("transcript_version_id string, document_id string, derived_from_id string", [("v1", "d1", None), ("v2", "d9", "v1"), ("v3", "d9", "v8")]),
+        "segment": ("transcript_version_id string, idx int", [("v1", 0), ("v1", 0), ("v1", 0), ("v7", 1), ("v7", 2), (None, 1)]),
+    }
+    for name, (shape, own) in frames.items():
+        spark.createDataFrame(own, shape).write.parquet(str(tmp_path / name))
+    found = quality.model_violations({name: spark.read.parquet(str(tmp_path / name)) for name in frames})
+    assert {(r.table_name, r.rule): r.violations for r in found.collect()} == {
+        ("document", "unique tenant_id,source_id,external_id"): 1, ("segment", "unique transcript_version_id,idx"): 1, ("transcript_version", "document_id in document"): 2,
+        ("transcript_version", "derived_from_id in transcript_version"): 1, ("segment", "transcript_version_id in transcript_version"): 2,
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
+
+
+def test_limits_and_caps(spark):
+    items = spark.createDataFrame([(s, i) for s in "abcd" for i in range(10)], "source_id string, position int")
+    caps = spark.createDataFrame([("a", 3), ("b", 0), ("c", None), ("d", 8)], "source_id string, cap int")
+    count = lambda df: {r["source_id"]: (r["n"], r["last"]) for r in df.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last")).collect()}
+    assert count(ingest.limit_per_source(items, caps=caps)) == {"a": (3, 2), "b": (10, 9), "c": (10, 9), "d": (8, 7)}
+    assert count(ingest.limit_per_source(items, 5, caps)) == {"a": (3, 2), "b": (5, 4), "c": (5, 4), "d": (5, 4)}
+    assert count(ingest.limit_per_source(items, 5)) == {s: (5, 4) for s in "abcd"}
+    assert count(ingest.limit_per_source(items)) == count(ingest.limit_per_source(items, 0, caps.filter("cap = 0"))) == {s: (10, 9) for s in "abcd"}
+    assert ingest.limit_per_source(items, caps=caps).columns == items.columns
+    assert "WindowGroupLimit" in ingest.limit_per_source(items, caps=caps)._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +60,43 @@ def term_velocity(mentions: DataFrame, grain: str = "week", min_precision: str =
     return counted.withColumn("change", F.col("mentions") - before)
 
 
-def _best(k: int, blocks):
-    """A task's part of ``vector_topk``: per batch and query at most k rows that can still be among the best.
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row products, summed from left to right."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _scored(batch: pa.RecordBatch, rows: np.ndarray, starts: np.ndarray, flat: np.ndarray, ids: pa.Array, q: np.ndarray, squares: np.ndarray, floor: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of ``rows`` per query that can still be among the best of all; raises ``floor``.
 
     A matrix product finds the candidates, rows within SLACK of the k-th best so far. Their scores are then
     summed from left to right, so that equal vectors have equal scores wherever they stand.
     """
+    v = flat[starts[rows][:, None] + np.arange(q.shape[1])]
+    own = _dots(v, v)
+    rows, v, own = rows[own > 0], v[own > 0], own[own > 0]
+    near = (v / np.sqrt(own)[:, None]) @ (q / np.sqrt(squares)[:, None]).T
+    if len(rows) >= k:
+        np.maximum(floor, np.partition(near, len(rows) - k, axis=0)[len(rows) - k] - SLACK, out=floor)
+    row, query = np.nonzero(near >= floor)
+    score = np.empty(len(row))
+    for p in range(0, len(row), CHECKED):
+        i, j = row[p : p + CHECKED], query[p : p + CHECKED]
+        score[p : p + CHECKED] = _dots(q[j], v[i]) / np.sqrt(squares[j] * own[i])
+    vec_ids = batch.column(0).take(pa.array(rows[row]))
+    rank = np.empty(len(row), np.int64)
+    rank[pc.array_sort_indices(vec_ids).to_numpy()] = np.arange(len(row))
+    order = np.lexsort((rank, -score, query))
+    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    order = order[place < k]
+    columns = [ids.take(pa.array(query[order])), vec_ids.take(pa.array(order)), pa.array(score[order])]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.cumsum(a * b, axis=1)[:, -1]
+
+def _best(k: int, blocks):
+    """A task's part of ``vector_topk``: per batch and query at most k rows that can still be among the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(ids, q, dots(q, q)) for ids, q in blocks.value]
+        ready = [(ids, q, _dots(q, q)) for ids, q in blocks.value]
         floors = [np.full(len(q), -np.inf) for _, q, _ in ready]
         for batch in batches:
             starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
@@ -78,26 +104,7 @@ def _best(k: int, blocks):
                 fit = np.flatnonzero(np.diff(starts) == q.shape[1])
                 step = max(1, PAIRS // len(q))
                 for at in range(0, len(fit), step):
-                    rows = fit[at : at + step]
-                    v = flat[starts[rows][:, None] + np.arange(q.shape[1])]
-                    own = dots(v, v)
-                    rows, v, own = rows[own > 0], v[own > 0], own[own > 0]
-                    near = (v / np.sqrt(own)[:, None]) @ (q / np.sqrt(squares)[:, None]).T
-                    if len(rows) >= k:
-                        np.maximum(floor, np.partition(near, len(rows) - k, axis=0)[len(rows) - k] - SLACK, out=floor)
-                    row, query = np.nonzero(near >= floor)
-                    score = np.empty(len(row))
-                    for p in range(0, len(row), CHECKED):
-                        i, j = row[p : p + CHECKED], query[p : p + CHECKED]
-                        score[p : p + CHECKED] = dots(q[j], v[i]) / np.sqrt(squares[j] * own[i])
-                    vec_ids = batch.column(0).take(pa.array(rows[row]))
-                    rank = np.empty(len(row), np.int64)
-                    rank[pc.array_sort_indices(vec_ids).to_numpy()] = np.arange(len(row))
-                    order = np.lexsort((rank, -score, query))
-                    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
-                    order = order[place < k]
-                    columns = [ids.take(pa.array(query[order])), vec_ids.take(pa.array(order)), pa.array(score[order])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                    yield _scored(batch, fit[at : at + step], starts, flat, ids, q, squares, floor, k)
 
     return run
 
@@ -145,6 +152,118 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return ranked(spark.read.parquet(f"{path}/best"))
 
 
+class Cells(NamedTuple):
+    """Vectors (vec_id, v, cell, angle) written by cell: that of the pivot of smallest angle. ``stats``: cell -> (least angle, largest, vectors)."""
+
+    path: str
+    pivots: np.ndarray
+    stats: dict[int, tuple[float, float, int]]
+
+
+#: Angles may be off by rounding near 0 and pi, where the cosine is flat.
+ANGLE_SLACK = 1e-6
+
+
+def vector_cells(vectors: DataFrame, pivots: int = 256) -> Cells:
+    """Cells of (vec_id, v) around ``pivots`` vectors that a hash of the id picks; vectors of another dimension than theirs are in cell -1."""
+    spark, path = vectors.sparkSession, fresh_folder(vectors.sparkSession, "cells")
+    whole = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()) & (F.size("v") > 0) & F.exists("v", lambda x: x != 0)
+    rows = vectors.filter(whole).select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    picked = [np.array(r["v"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
+    size = len(picked[0]) if picked else 0
+    own = np.array([p for p in picked if len(p) == size]) if size else np.zeros((0, 0))
+    own = own / np.linalg.norm(own, axis=1, keepdims=True)
+    shared = spark.sparkContext.broadcast(own)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            fit = np.flatnonzero(np.diff(starts) == size)
+            cell, angle = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            v = flat[starts[fit][:, None] + np.arange(size)]
+            near = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ shared.value.T
+            cell[fit], angle[fit] = near.argmax(axis=1), np.arccos(np.clip(near.max(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], names=["vec_id", "v", "cell", "angle"])
+
+    placed = rows.mapInArrow(assign, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, v array<double>, cell int, angle double") if size else rows.select("*", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle"))
+    placed.write.parquet(f"{path}/placed")
+    # by ranges of cell and angle, so that a cell with very many vectors is several tasks
+    spark.read.parquet(f"{path}/placed").repartitionByRange("cell", "angle").sortWithinPartitions("cell").write.parquet(f"{path}/cells")
+    stats = spark.read.parquet(f"{path}/cells").groupBy("cell").agg(F.min("angle"), F.max("angle"), F.count(F.lit(1))).collect()  # a row a pivot
+    return Cells(f"{path}/cells", own, {r[0]: (r[1], r[2], r[3]) for r in stats})
+
+
+def _in_cells(k: int, block):
+    """A task's part of ``pruned_topk``: each cell's rows meet the queries that are open for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, open_, floor = block.value
+        squares, floor = _dots(q, q), floor.copy()
+        for batch in batches:
+            starts, flat, cells = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(), batch.column(2).to_numpy()
+            for cell in np.unique(cells):
+                asked = open_.get(int(cell))
+                if asked is None:
+                    continue
+                fit = np.flatnonzero((cells == cell) & (np.diff(starts) == q.shape[1]))
+                step = max(1, PAIRS // len(asked))
+                for at in range(0, len(fit), step):
+                    part = floor[asked]
+                    yield _scored(batch, fit[at : at + step], starts, flat, ids.take(pa.array(asked)), q[asked], squares[asked], part, k)
+                    floor[asked] = part
+
+    return run
+
+
+def pruned_topk(queries: DataFrame, cells: Cells, k: int) -> tuple[DataFrame, float]:
+    """D5 over cells: (result of ``vector_topk``, share of all pairs of a query and a vector that were scored); exact.
+
+    A vector of a cell with angles lo to hi from its pivot is at least max(angle - hi, lo - angle) from a query at ``angle`` from
+    the pivot. A first pass scores each query in its nearest cells, up to k vectors, and so learns what the k-th
+    best is at least; a second one reads the cells, and scores the pairs, that can still reach it. Queries are of the pivots' dimension,
+    BROADCAST_QUERIES at most: others are for ``vector_topk``.
+    """
+    spark = queries.sparkSession
+    whole = F.col("q").isNotNull() & F.forall("q", lambda x: x.isNotNull()) & F.exists("q", lambda x: x != 0)
+    table = spark.read.parquet(cells.path)
+    shape = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {table.schema['vec_id'].dataType.simpleString()}, score double"
+    if not cells.stats or not queries.filter(whole).limit(1).count():
+        return spark.createDataFrame([], f"{shape}, rank int"), 0.0
+    if queries.count() > BROADCAST_QUERIES or queries.filter(whole & (F.size("q") != cells.pivots.shape[1])).limit(1).count():
+        raise ValueError("too many queries for one block, or of another dimension")
+    rows = queries.filter(whole).select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow()
+    ids, q = rows["query_id"].combine_chunks(), np.array(rows["q"].to_pylist())
+    numbers, sizes = sorted(cells.stats), np.array([cells.stats[c][2] for c in sorted(cells.stats)])
+    low, high = (np.array([cells.stats[c][i] for c in numbers]) for i in (0, 1))
+    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    angle = np.stack([np.arccos(np.clip(unit @ cells.pivots[c], -1, 1)) if c >= 0 else np.zeros(len(q)) for c in numbers], axis=1)
+    least = np.maximum(0, np.maximum(angle - high, low - angle)) - ANGLE_SLACK
+    reach = np.where(least > 0, np.cos(np.clip(least, 0, np.pi)), 1.0) + ANGLE_SLACK  # the best cosine that a cell may hold
+    reach[:, [i for i, c in enumerate(numbers) if c < 0]] = -np.inf  # of another dimension
+
+    def passed(asked: np.ndarray, floor: np.ndarray, name: str) -> DataFrame:
+        open_ = {c: np.flatnonzero(asked[:, i]) for i, c in enumerate(numbers) if asked[:, i].any()}
+        block = spark.sparkContext.broadcast((ids, q, open_, floor))
+        found = table.filter(F.col("cell").isin(list(open_))).select("vec_id", "v", "cell").mapInArrow(_in_cells(k, block), shape)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+        path = fresh_folder(spark, name)
+        ranked.write.parquet(path)
+        return spark.read.parquet(path)
+
+    nearest = np.argsort(np.where(np.isinf(reach), np.inf, angle), axis=1, kind="stable")
+    before = np.cumsum(sizes[nearest], axis=1) - sizes[nearest]
+    first = np.zeros_like(reach, bool)
+    np.put_along_axis(first, nearest, before < k, axis=1)
+    first &= ~np.isinf(reach)
+    one = passed(first, np.full(len(q), -np.inf), "nearest-cells")
+    known = {r["query_id"]: r["score"] for r in one.filter(F.col("rank") == k).collect()}  # one number a query
+    floor = np.array([known.get(i, -np.inf) for i in ids.to_pylist()]) - SLACK
+    rest = (reach >= floor[:, None]) & ~first & ~np.isinf(reach)
+    best = one.unionByName(passed(rest, floor, "open-cells")) if rest.any() else one
+    share = float(((first | rest) * sizes).sum() / (len(q) * sizes.sum()))
+    return best.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k), share
+
+
 def swap_version(df: DataFrame, path: str, version: str) -> None:
     """Write a model version beside the others, then append a pointer to it; readers take the latest pointer.
 

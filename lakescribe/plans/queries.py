@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import at_handle, bare_handle, base_language, cap_of
 from ..functions.schemas import ENUMS, REFERENCES
 from ..functions.storage import fresh_folder
-from ..operators import analytics, ingest, lifecycle, normalize, quality, seeds, tenancy, usage
+from ..operators import analytics, ingest, lifecycle, mentions, normalize, quality, seeds, tenancy, usage
 from ..sources import bronze, intake, lake
 from ..sources import seeds as seed_source
 from ..streaming import jobs
@@ -468,6 +468,20 @@ def ag7_jn9_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+@query("""
+WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 OR doc_id % 4 <> 2 THEN 1 ELSE 0 END AS good, 1 + (doc_id % 5 = 0)::INT + (doc_id % 3 <> 0)::INT AS records FROM documents),
+b AS (SELECT 'first' AS batch, *, false AS known FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 'second', *, doc_id % 2 = 0 FROM d)
+SELECT batch || ':' || source AS run_id, count(*) AS total, count(*) AS current, count(*) FILTER (good = 1 AND NOT known) AS fetched, count(*) FILTER (known) AS skipped, count(*) FILTER (good = 0 AND NOT known) AS failed,
+       CASE WHEN count(*) FILTER (good = 0 AND NOT known) > 0 THEN 'partial' ELSE 'complete' END AS status, coalesce(sum(records) FILTER (NOT known), 0)::BIGINT AS credits
+FROM b GROUP BY batch, source""")
+def st2_ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress rows that two overlapping batches of an ingest write, folded: per batch and source the AG2 summary."""
+    path, raw = fresh_folder(spark, "lake"), _recorded(spark, sf_dir)
+    for run, batch in (("first", raw.filter("cast(external_id as long) % 2 = 0")), ("second", raw)):
+        jobs.ingest_batch(batch, path, sink=f"{path}/progress", run=run)
+    return jobs.run_progress(spark.read.parquet(f"{path}/progress")).drop("detail")
+
+
 @query("""
 SELECT event_type AS source_id, count(*) AS discovered, count(*) FILTER (event_id % 4 = 0) AS already, count(*) FILTER (event_id % 4 = 1) AS fetched, count(*) FILTER (event_id % 4 = 2) AS failed FROM events GROUP BY ALL""")
 def ag2_ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -698,6 +712,32 @@ def d4_term_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.term_velocity(views.v_mentions(spark, sf_dir)).withColumn("bucket", F.unix_timestamp("bucket"))
 
 
+def _maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mention counts after three batches, between which one source is hidden and restored, another hidden, and a third purged."""
+    path, rows = fresh_folder(spark, "mention-counts"), views.v_mentions(spark, sf_dir)
+    for third in range(3):
+        mentions.add_batch(rows.filter(F.col("document") % 3 == third), path, 10 * third)
+        if third == 0:
+            mentions.retract(spark, path, 1, ["src3"])
+            mentions.restore(spark, path, 2, 1)
+    mentions.retract(spark, path, 21, ["src0"])
+    mentions.retract(spark, path, 22, ["src1", "src5"])
+    mentions.retract(spark, path, 22, ["src1", "src5"])  # a step that runs again
+    return mentions.current(spark, path)
+
+
+@query("SELECT entity, domain, count(*) AS mentions, count(DISTINCT document) AS documents FROM v_mentions WHERE source_id NOT IN ('src0', 'src1', 'src5') GROUP BY ALL")
+def d3_mention_counts_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.counts(_maintained(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT entity, domain, epoch(date_trunc('week', published_at))::BIGINT AS bucket, count(*) AS mentions FROM v_mentions WHERE precision IN ('exact', 'date') AND source_id NOT IN ('src0', 'src1', 'src5') GROUP BY ALL)
+SELECT *, mentions - lag(mentions) OVER (PARTITION BY entity, domain ORDER BY bucket) AS change FROM c""")
+def d4_term_velocity_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.velocity(_maintained(spark, sf_dir)).withColumn("bucket", F.unix_timestamp("bucket"))
+
+
 @query("""
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM q CROSS JOIN embeddings)
@@ -708,6 +748,15 @@ def d5_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(SQL["d5_vector_topk"])
+def d5_vector_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over cells, leaving out those that cannot reach the k-th best."""
+    v = table(spark, sf_dir, "embeddings")
+    cells = analytics.vector_cells(v.select("vec_id", F.col("embedding").alias("v")))
+    found, _ = analytics.pruned_topk(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), cells, 5)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("""
 WITH t AS (SELECT conv_id AS document, turn, role, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM conversations),
 m AS (SELECT *, CASE WHEN lag(role) OVER o IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM t WINDOW o AS (PARTITION BY document ORDER BY turn)),

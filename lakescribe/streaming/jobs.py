@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.storage import exists, fresh_folder
-from ..operators.ingest import ITEM, OPTIONAL, fan_out, known_items, normalized_items, with_columns
+from ..operators.ingest import ITEM, OPTIONAL, fan_out, ingest_summary, known_items, normalized_items, with_columns
 from ..operators.normalize import TRANSCRIPTS
 from ..operators.seeds import append_seeds, classify_ref, seed_defaults
 from ..sources import lake
 from ..sources.bronze import bronze_append, bronze_records
+from ..sources.dropped import DroppedFiles
 from ..sources.intake import parse_intake
 
 
 def run_progress(events: DataFrame) -> DataFrame:
     """ST2, in batch or as a stream in update mode: per run its total, position, counters, last detail, status and credits.
 
-    ``events``: run_id, seq, kind, current, total, detail, status, credits. Values are taken by the
-    highest seq, so late events change nothing they should not.
+    ``events``: run_id, seq, kind, current, total, detail, status, credits, and optionally n, how many items an event
+    stands for (1). Values are taken by the highest seq, so late events change nothing they should not.
     """
     kind = F.col("kind")
     moving = kind.isin("fetching", "fetched", "skipped", "failed")
+
+    def count(name: str) -> Column:
+        return (F.coalesce(F.sum(F.when(kind == name, F.col("n"))), F.lit(0)) if "n" in events.columns else F.count_if(kind == name)).alias(name)
+
     return events.groupBy("run_id").agg(
         F.max_by("total", F.when(kind == "discovered", F.col("seq"))).alias("total"),
         F.max_by("current", F.when(moving, F.col("seq"))).alias("current"),
-        F.count_if(kind == "fetched").alias("fetched"),
-        F.count_if(kind == "skipped").alias("skipped"),
-        F.count_if(kind == "failed").alias("failed"),
+        *[count(name) for name in ("fetched", "skipped", "failed")],
         F.max_by("detail", F.when(kind != "skipped", F.col("seq"))).alias("detail"),
         F.max_by("status", F.when(kind == "run_complete", F.col("seq"))).alias("status"),
         F.max_by("credits", F.when(kind == "run_complete", F.col("seq"))).alias("credits"),
@@ -151,7 +155,31 @@ def _present(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCRIPTS)) -> lake.Lake:
+def progress_rows(outcomes: DataFrame, credits: DataFrame, run: str) -> DataFrame:
+    """Event rows of an ingest for ``run_progress``: per source a run of its own, with one row for each kind that counts its items.
+
+    ``outcomes``: (source_id, outcome) as AG2 has them, ``credits``: (source_id, credits). A run is complete, or partial if items failed.
+    """
+    summed = ingest_summary(outcomes).join(credits.hint("merge"), "source_id", "left")
+    done = F.col("fetched") + F.col("already")
+
+    def event(seq: int, kind: str, n: Column | None = None, **values: Column) -> Column:
+        none = {"current": "long", "total": "long", "detail": "string", "status": "string", "credits": "long"}
+        own = [values.get(name, F.lit(None)).cast(t).alias(name) for name, t in none.items()]
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), (F.lit(1) if n is None else n).cast("long").alias("n"), *own)
+
+    status = F.when(F.col("failed") > 0, F.lit("partial")).otherwise(F.lit("complete"))
+    events = F.array(
+        event(0, "discovered", total=F.col("discovered")),
+        event(1, "fetched", F.col("fetched"), current=F.col("fetched")),
+        event(2, "skipped", F.col("already"), current=done),
+        event(3, "failed", F.col("failed"), current=done + F.col("failed"), detail=F.concat(F.col("failed"), F.lit(" failed"))),
+        event(4, "run_complete", status=status, detail=status, credits=F.coalesce("credits", F.lit(0))),
+    )
+    return summed.select(F.concat_ws(":", F.lit(run), "source_id").alias("run_id"), F.explode(events).alias("e")).select("run_id", "e.*")
+
+
+def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCRIPTS), sink: str | None = None, run: str | None = None) -> lake.Lake:
     """ST4 for one batch of recorded responses (provider, endpoint, tenant_id, source_id, external_id, lang, fetched_at, payload).
 
     Archives what is new, then settles every item that has unsettled records over all that the archive
@@ -161,6 +189,9 @@ def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCR
 
     Archive and tables are each made visible by one pointer row (sources.lake). A run that breaks off
     between them is made good by the next batch, even an empty one.
+
+    ``sink``: a table of progress rows; those of the batch, as ``run``, are appended last. They count what the run has written, not
+    what tasks have seen, so tasks that ran twice do not tell; a run that breaks off before them leaves none.
     """
     spark, now = raw.sparkSession, lake.open_lake(raw.sparkSession, path)
     batch = fresh_folder(spark, "ingest-batch")
@@ -172,7 +203,16 @@ def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCR
     if spark.read.parquet(f"{batch}/new").limit(1).count():
         lake.write_run(spark.read.parquet(f"{batch}/new"), now, lake.BRONZE, now.bronze + 1)
         now = lake.commit(spark, now._replace(bronze=now.bronze + 1))
-    return settle(spark, now, records.schema, order) if now.covered < now.bronze else now
+    settled = now.covered < now.bronze
+    if settled:
+        now = settle(spark, now, records.schema, order)
+    if sink:
+        documents = spark.read.schema(lake.SHAPES["documents"]).parquet(f"{path}/documents/run={now.silver}") if settled else spark.createDataFrame([], lake.SHAPES["documents"])
+        known = records.select(*ITEM).distinct().join(documents.select(*ITEM).hint("merge"), ITEM, "left_anti").select("source_id", F.lit("already").alias("outcome"))
+        outcomes = documents.select("source_id", F.when(F.col("status") == "enriched", "fetched").otherwise("failed").alias("outcome")).unionByName(known)
+        paid = spark.read.schema(records.schema).parquet(f"{batch}/new").groupBy("source_id").agg(F.count(F.lit(1)).alias("credits"))
+        progress_rows(outcomes, paid, run or uuid.uuid4().hex).write.mode("append").parquet(sink)
+    return now
 
 
 def settle(spark: SparkSession, now: lake.Lake, schema: StructType, order: Sequence[str] = tuple(TRANSCRIPTS)) -> lake.Lake:
@@ -209,9 +249,17 @@ def intake_rows(files: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFram
     return seed_defaults(added), errors.unionByName(unread)
 
 
-def intake_stream(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
-    """ST1: new files of ``folder`` become seed rows in ``path``. A rewritten file is not read again; read_intake with its ledger does that."""
-    files = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+def intake_stream(spark: SparkSession, folder: str, path: str, checkpoint: str, rewritten: bool = False) -> StreamingQuery:
+    """ST1: new files of ``folder`` become seed rows in ``path``.
+
+    Spark's file source does not read a rewritten file again. With ``rewritten`` a source does that knows files by name and time
+    (sources.dropped); ``folder`` is then a URI. Rows that a file had before are there already, so it gives its new rows only.
+    """
+    if rewritten:
+        spark.dataSource.register(DroppedFiles)
+        files = spark.readStream.format("dropped_files").option("folder", folder).load()
+    else:
+        files = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
 
     def take(batch: DataFrame, _: int) -> None:
         added, _errors = intake_rows(batch, _present(spark, path, "handle string"))

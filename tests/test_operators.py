@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakescribe.functions import expr
-from lakescribe.operators import analytics, ingest, lifecycle, normalize, quality, seeds, tenancy, usage
+from lakescribe.operators import analytics, ingest, lifecycle, mentions, normalize, quality, seeds, tenancy, usage
 from lakescribe.sources import bronze, intake
 from lakescribe.sources import seeds as seed_source
 
@@ -358,3 +358,45 @@ def test_limits_and_caps(spark):
     assert count(ingest.limit_per_source(items)) == count(ingest.limit_per_source(items, 0, caps.filter("cap = 0"))) == {s: (10, 9) for s in "abcd"}
     assert ingest.limit_per_source(items, caps=caps).columns == items.columns
     assert "WindowGroupLimit" in ingest.limit_per_source(items, caps=caps)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_maintained_counts_equal_a_recount(spark, tmp_path):
+    """Appends, a hide, its undoing and a purge, in that order, each once more after a break; entities that are gone have no row."""
+    import random
+
+    rng, path = random.Random(6), str(tmp_path / "counts")
+    documents = [(d, rng.choice("ab"), f"s{d % 4}", d % 60, rng.choice(["exact", "date", "month"])) for d in range(80)]
+    said = [(rng.choice("uvwx") if s != "s3" else "only3", d, domain, s, at, p) for d, domain, s, at, p in documents for _ in range(rng.randrange(4))]
+    every = spark.createDataFrame(said, "entity string, document int, domain string, source_id string, at int, precision string").withColumn("published_at", F.timestamp_seconds(1_700_000_000 + F.col("at") * 86400))
+    for step in (0, 1, 1):
+        mentions.add_batch(every.filter(F.col("document") % 2 == step), path, step)
+    mentions.retract(spark, path, 2, ["s1"])
+    mentions.restore(spark, path, 3, 2)
+    for _ in range(2):
+        mentions.retract(spark, path, 4, ["s3", "s2"])
+    left = every.filter("source_id in ('s0', 's1')")
+    now = mentions.current(spark, path)
+    assert rows(mentions.counts(now)) == rows(analytics.mention_counts(left, cross_domain=True)) and "only3" not in str(rows(mentions.counts(now)))
+    assert rows(mentions.counts(now, "a")) == rows(analytics.mention_counts(left, "a"))
+    assert rows(mentions.velocity(now)) == rows(analytics.term_velocity(left))
+    plan = spark._jvm.PythonSQLUtils.explainString(mentions.current(spark, path, 9, ["s1"])._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [In(source_id" in plan or "EqualTo(source_id,s1)" in plan
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_pruned_topk_equals_all_vectors(spark, clustered):
+    """The same rows as scoring all; on clustered data under half of the pairs are scored. Ties, odd vectors and few vectors too."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 8))
+    points = [centres[i % 20] + rng.normal(size=8) * 0.05 if clustered else rng.normal(size=8) for i in range(1500)]
+    vectors = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    vectors += [(2000 + i, vectors[7][1]) for i in range(30)] + [(3000, None), (3001, [0.0] * 8), (3002, [1.0, None] + [0.0] * 6), (3003, [1.0, 2.0]), (3004, [-x for x in vectors[7][1]])]
+    v = spark.createDataFrame(vectors, "vec_id long, v array<double>").repartition(4)
+    queries = v.filter("vec_id % 50 = 0 or vec_id > 2998").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).filter("size(q) <> 2")
+    got, share = analytics.pruned_topk(queries, analytics.vector_cells(v, 40), 5)
+    assert rows(got.select("query_id", "rank", "vec_id", "score")) == rows(analytics.vector_topk(queries, v, 5).select("query_id", "rank", "vec_id", "score"))
+    assert 0 < share < 0.5 if clustered else 0 < share <= 1
+    few, _ = analytics.pruned_topk(queries, analytics.vector_cells(v.filter("vec_id < 3"), 40), 5)
+    assert rows(few.select("query_id", "rank", "vec_id")) == rows(analytics.vector_topk(queries, v.filter("vec_id < 3"), 5).select("query_id", "rank", "vec_id"))
+    assert analytics.pruned_topk(queries.limit(0), analytics.vector_cells(v, 4), 5)[0].count() == 0
+    assert analytics.pruned_topk(queries.limit(0), analytics.vector_cells(v.limit(0), 4), 5)[0].count() == 0

@@ -1,12 +1,13 @@
 """Streams against their batch twins."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakescribe.operators import analytics, usage
-from lakescribe.sources import lake
+from lakescribe.sources import dropped, intake, lake
 from lakescribe.streaming import jobs
 
 
@@ -249,3 +250,34 @@ def test_intake_stream(spark, tmp_path, twice):
         (drop / "b.json").write_text(json.dumps(["@ONE", "@three"]))
         jobs.intake_stream(spark, str(drop), path, str(tmp_path / "c")).awaitTermination(60)
     assert sorted(r.handle for r in spark.read.parquet(path).collect()) == ["@one", "@three", "@two"] if twice else ["@one", "@two"]
+
+
+def test_rewritten_files_give_their_new_rows(spark, tmp_path):
+    """Over restarts, as read_intake does with its ledger; what does not change is not read again."""
+    drop, path = tmp_path / "drop", str(tmp_path / "seeds")
+    drop.mkdir()
+
+    def put(name, refs, at):
+        (drop / name).write_text(json.dumps(refs))
+        os.utime(drop / name, (at, at))
+
+    def run():
+        assert jobs.intake_stream(spark, drop.as_uri(), path, str(tmp_path / "c"), rewritten=True).awaitTermination(60)
+        return sorted(r.handle for r in spark.read.parquet(path).collect())
+
+    put("a.json", ["@one", "@two"], 1_700_000_000)
+    put("b.json", ["@three"], 1_700_000_000)
+    ledger = spark.createDataFrame([], "path string, mtime timestamp")
+    seen = intake.read_intake(spark, str(drop), ledger)[0].cache()
+    assert seen.count() == 3  # the ledger is taken now
+    assert run() == ["@one", "@three", "@two"]
+    put("a.json", ["@one", "@TWO", "@four"], 1_700_000_500)  # a later time
+    put("b.json", ["@five"], 1_600_000_000)  # an earlier one
+    again = intake.read_intake(spark, str(drop), seen.select("path", "mtime").distinct())[0]
+    assert sorted(r.ref for r in again.collect()) == ["@TWO", "@five", "@four", "@one"]
+    assert run() == ["@five", "@four", "@one", "@three", "@two"] == run()
+    reader = dropped.DroppedReader(drop.as_uri())
+    end = reader.latestOffset()
+    assert reader.partitions(end, end) == [] and [f for p in reader.partitions(reader.initialOffset(), end) for f in p.files] == [("a.json", 1_700_000_500_000_000), ("b.json", 1_600_000_000_000_000)]
+    put("a.json", ["@six"], 1_700_000_900)
+    assert [r[0].rsplit("/", 1)[1] for p in reader.partitions(reader.initialOffset(), end) for r in reader.read(p)] == ["b.json"]

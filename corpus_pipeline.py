@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is
 written as Parquet and read back as the next one's docs. All stages but the last keep the columns of
 ``documents``. After the mixing a document may occur several times.
+
+In every stage a null text is the empty text, whole texts of any length count, rows with one id are documents of their own, columns that
+the stage does not know pass through whatever their names, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,22 +19,27 @@ from lakescribe.llm.scratch import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored under the threshold stay; the empty text has the bias's score, and without labels of both classes the base rate's."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space the longest stays, then the least id; empty texts equal each other, rows with one id share their fate."""
     return exact_dedup.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the least id stays; texts without words are linked with nothing and stay."""
     return near_dedup.dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's rate and a hash of its id say; a null source is a source, one without words gives nothing."""
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of ids and decoded bytes, a row per copy; the empty text has no ids."""
     return digests(bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
 
 

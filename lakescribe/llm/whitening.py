@@ -10,7 +10,8 @@ hash of x. The driver holds the matrix of dimension x dimension and nothing that
 Defined results: a vector that is null, empty, or holds a null or a non-finite entry is left out; so are
 vectors of another dimension than the commonest (of several, the largest). A component without variance
 (an eigenvalue under dimension x 2**-52 of the largest) has whitened NULL and explained 0, and no part in
-identity_error, which is NULL without any. A deviation beyond 64 bits is NULL. Repeated rows get equal
+identity_error, which is NULL without any. A deviation beyond 64 bits is NULL; entries of 2**62 / SCALE or more in size
+are beyond whole numbers of 64 bits, and not meant. Repeated rows get equal
 results each; an empty table gives no rows; extra columns are not read.
 """
 

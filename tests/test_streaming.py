@@ -191,7 +191,7 @@ def test_a_batch_reads_its_own_buckets(spark, tmp_path):
     for extra in (range(100, 120), range(200, 300)):
         now = lake.open_lake(spark, path)
         bucket = lake.buckets_of(own, now)
-        others = [r.external_id for r in raw(spark, *extra).filter(lake.bucket_of(F.col("external_id"), now.buckets) != bucket[0]).collect()]
+        others = [int(r.external_id) for r in raw(spark, *extra).filter(lake.bucket_of(F.col("external_id"), now.buckets) != bucket[0]).collect()]
         jobs.ingest_batch(raw(spark, *others), path)
         now = lake.open_lake(spark, path)
         looked_up, held = lake.archive(spark, now, schema, bucket), lake.held_documents(spark, now, bucket)

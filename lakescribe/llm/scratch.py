@@ -27,9 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back with the same schema."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in a folder per value of ``by`` if given, and read it back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakescribe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

@@ -46,10 +46,37 @@ def test_exact_dedup(spark, monkeypatch, bits):
     assert exact_dedup.dedup(df.limit(0)).count() == exact_dedup.duplicate_report(df.limit(0)).count() == 0
 
 
+def _shuffled(spark, run):
+    """Records that the shuffles of ``run`` write, by the status store of the session."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    total = lambda: sum(x.shuffleWriteRecords() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(none, False, False, quantiles, none)))
+    before = total()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
 def test_unique_rows_do_not_shuffle(spark):
-    df = docs_of(spark, [(i, f"text {i}", "s") for i in range(30_000)])
-    slim = exact_dedup.slim_rows(df, "doc_id", "text")
-    assert exact_dedup.probed(slim, 30_000).filter("maybe").count() < 0.03 * 30_000
+    slim = exact_dedup.slim_rows(docs_of(spark, [(i, f"text {i}", "s") for i in range(30_000)]), "doc_id", "text")
+    flagged = []
+    assert _shuffled(spark, lambda: flagged.append(exact_dedup.stored(exact_dedup.probed(slim, slim, 30_000, 2), "flagged"))) <= 64
+    assert flagged[0].filter("maybe").count() < 0.03 * 30_000
+    assert _shuffled(spark, lambda: slim.groupBy("key").count().collect()) >= 30_000  # what grouping all rows would take
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_bitmap_counts_marks(spark, monkeypatch, least):
+    monkeypatch.setattr(exact_dedup, "PIECE_WORDS", 4)
+    hits = spark.createDataFrame([(k * k % 700,) for k in range(1500)], "hash long").repartition(5)
+    times = {}
+    for row in hits.select(*exact_dedup._positions(F.col("hash"), 4096)).collect():
+        for p in row:
+            times[p] = times.get(p, 0) + 1
+    words = exact_dedup.bitmap(hits, 4096, least)
+    assert [p for p in range(4096) if int(words[p >> 6]) >> (p & 63) & 1] == sorted(p for p, n in times.items() if n >= least)
+    assert not exact_dedup.bitmap(hits.limit(0), 4096, least).any()
 
 
 def test_false_alarms_do_not_grow(monkeypatch, spark):
@@ -60,7 +87,7 @@ def test_false_alarms_do_not_grow(monkeypatch, spark):
     monkeypatch.setattr(exact_dedup, "BLOCK_BITS", 1 << 15)
     slim = exact_dedup.slim_rows(docs_of(spark, [(i, f"text {i % 19_000}", "s") for i in range(20_000)]), "doc_id", "text")
     assert exact_dedup.filter_shape(20_000) == (16, 1 << 15)
-    flagged = exact_dedup.probed(slim, 20_000)
+    flagged = exact_dedup.probed(slim, slim, 20_000, 2)
     assert flagged.count() == 20_000
     assert 2000 <= flagged.filter("maybe").count() < 2000 + 0.03 * 18_000
 

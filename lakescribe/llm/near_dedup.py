@@ -33,6 +33,7 @@ memory is in proportion to the longest text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, join_summary
-from .scratch import stored
+from .scratch import bound_batches, stored
 from .tokens import chunks, mix64, shingle_hashes
 
 SHINGLE = 5
@@ -247,22 +248,24 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
 def _prefix_pairs(sets: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b) not merged by ``labels`` that may be links.
 
-    Of a shingle's rows, those outside its most frequent component meet all others; a shingle of one component meets none.
+    Of a shingle's rows, those outside its most frequent component meet all others of near sizes; a shingle of one component meets none.
     """
     rows = prefixes(sets, sizes).join(_renamed(labels, doc_id="node", label="component").hint("merge"), "doc_id", "left")
     rows = stored(rows.withColumn("label", F.coalesce("label", "doc_id")), "prefixes")
     main = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
     main = main.filter("labels > 1").select("shingle", F.col("m.label").alias("main"))
     rows = stored(join_summary(rows, main, "shingle"), "open-prefixes")
-    left = rows.filter("label != main").select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("label").alias("lx"))
-    right = rows.select("shingle", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
+    # linked sizes lie within a band of each other, so rows of a shingle meet those of near sizes only
+    band = F.floor(F.log("n") / -math.log(PERCENT / 100 - 0.001))
+    left = rows.filter("label != main").select("shingle", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("label").alias("lx"))
+    right = rows.select("shingle", band.alias("band_y"), F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
     overlap = F.ceil(PERCENT * (F.col("nx") + F.col("ny")) / F.lit(100 + PERCENT) - 1e-9)
     fits = (
         (F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
         & (F.col("ax") <= F.col("nx") - overlap + 1) & (F.col("ay") <= F.col("ny") - overlap + 1)
     )
     renamed = right.withColumnRenamed("shingle", "shingle_y")
-    pairs = left.join(renamed.hint("merge"), (F.col("shingle") == F.col("shingle_y")) & fits)
+    pairs = left.join(renamed.hint("merge"), (F.col("shingle") == F.col("shingle_y")) & (F.col("band") == F.col("band_y")) & fits)
     return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "prefix-pairs")
 
 
@@ -273,6 +276,7 @@ def _grouped(docs: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row."""
+    bound_batches(docs.sparkSession)
     every = stored(sketches(docs, id_col, text_col), "sketches")
     slim = every.select("doc_id", "n", "d1", "d2")
     # equal sets have equal registers

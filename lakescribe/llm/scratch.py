@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+#: Bytes of one Arrow batch: a batch is held by the JVM and by the worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +36,10 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/lakescribe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` at most (or of one longer row) in this session, unless it asks for less."""
+    held = int(spark.conf.get(_BATCH, "-1").rstrip("b"))
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))

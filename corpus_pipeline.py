@@ -6,6 +6,8 @@ written as Parquet and read back as the next one's docs. All stages but the last
 
 In every stage a null text is the empty text, whole texts of any length count, rows with one id are documents of their own, columns that
 the stage does not know pass through whatever their names, and an empty table stays empty.
+
+Stages whose texts go through Python bound the bytes of the session's Arrow batches (``bound_batches``).
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakescribe.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from lakescribe.llm.queries import digests
-from lakescribe.llm.scratch import stored
+from lakescribe.llm.scratch import bound_batches, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored under the threshold stay; the empty text has the bias's score, and without labels of both classes the base rate's."""
+    bound_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -40,6 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of ids and decoded bytes, a row per copy; the empty text has no ids."""
+    bound_batches(spark)
     return digests(bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
 
 

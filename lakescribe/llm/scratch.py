@@ -40,6 +40,6 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of ``BATCH_BYTES`` at most (or of one longer row) in this session, unless it asks for less."""
-    held = int(spark.conf.get(_BATCH, "-1").rstrip("b"))
-    if not 0 < held <= BATCH_BYTES:
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if held > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))

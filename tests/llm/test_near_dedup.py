@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lakescribe.llm import near_dedup as nd
-from lakescribe.llm import queries
+from lakescribe.llm import queries, scratch
 from lakescribe.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,3 +151,14 @@ def test_repeated_rows_and_long_texts(spark):
     kept = nd.dedup(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 3, 5]
+
+
+def test_batches_are_bounded(spark):
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for asked, held in (("64m", scratch.BATCH_BYTES), ("1m", 1 << 20), (str(8 << 20), scratch.BATCH_BYTES)):
+            spark.conf.set(name, asked)
+            scratch.bound_batches(spark)
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) == held
+    finally:
+        spark.conf.set(name, before)

@@ -16,6 +16,7 @@ ITEM = ["tenant_id", "source_id", "external_id"]
 #: Columns of a document and of a transcript beside keys and status; NULL is unknown.
 DOCUMENT = {"url": "string", "title": "string", "description": "string", "duration_s": "bigint", "published_at": "timestamp", "published_at_precision": "string", "published_at_source": "string"}
 TRANSCRIPT = {"is_auto_generated": "boolean", "provenance_confidence": "string", "available_langs": "array<string>"}
+SEGMENTS = "array<struct<idx:int,text:string,offset_ms:bigint,duration_ms:bigint>>"
 #: What a record may carry beside key, payload and time.
 OPTIONAL = {"http_status": "int", "is_generated": "boolean", "available_langs": "array<string>"}
 #: Outcomes that end the failover.
@@ -139,50 +140,59 @@ def latest_records(records: DataFrame) -> DataFrame:
     return records.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("fetched_at", "key")).alias("_r")).select(*by, "_r.*")
 
 
-def normalized_items(records: DataFrame, order: Sequence[str] = tuple(TRANSCRIPTS)) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects) of bronze records of all providers: an item's transcript by failover in ``order``, and its metadata.
+def judged_answers(own: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Transcript records of the providers in ``order`` with segments, rejected, provider_unit and outcome.
 
-    A record without a transcript stands for the outcome of its http_status (none: unavailable), a
-    rejected one for an error, on which the next provider is asked. ``records`` may have http_status,
-    is_generated and available_langs. Missing metadata leaves NULLs, never a guess.
+    A record without a transcript stands for the outcome of its http_status (none: unavailable), a rejected one for an error.
     """
     check_order(order, tuple(TRANSCRIPTS))
-    own = latest_records(with_columns(records, OPTIONAL))
-    spoken = own.filter("endpoint = 'transcript'")
-    items, rejects = [], []
+    spoken, readers = own.filter("endpoint = 'transcript'"), {}
     for provider in order:
-        read, unit = TRANSCRIPTS[provider]
-        good, bad = read(spoken.filter(F.col("provider") == provider))
-        items.append(good.select(*ITEM, "provider", "lang", "segments", *OPTIONAL, F.lit(unit).alias("provider_unit")))
-        rejects.append(bad)
-    found, refused = reduce(DataFrame.unionByName, items), reduce(DataFrame.unionByName, rejects)
+        readers.setdefault(TRANSCRIPTS[provider], []).append(provider)
+    parts = [read(spoken.filter(F.col("provider").isin(*providers))).withColumn("provider_unit", F.lit(unit)) for (read, unit), providers in readers.items()]
     said = outcome_of(F.col("http_status"))
-    outcome = F.when(F.col("segments").isNotNull(), F.lit("ok")).when(F.col("http_status").isNotNull() & (said != "ok"), said).otherwise(F.lit("unavailable"))
-    tried = found.select(F.struct(*ITEM).alias("item"), "provider", outcome.alias("outcome")).union(refused.select(F.struct(*ITEM).alias("item"), "provider", F.lit("error")))
-    settled = resolve_attempts(tried, order).select("item.*", F.col("chosen_provider").alias("provider"), "error")
+    outcome = F.when(F.col("rejected"), F.lit("error")).when(F.col("segments").isNotNull(), F.lit("ok")).when(F.col("http_status").isNotNull() & (said != "ok"), said).otherwise(F.lit("unavailable"))
+    return reduce(DataFrame.unionByName, parts).withColumn("outcome", outcome)
 
+
+def settled_items(own: DataFrame, judged: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Every item of ``judged`` answers or of metadata among ``own`` records: the provider that settles it, or an error, and what the metadata say."""
+    settled = resolve_attempts(judged.select(F.struct(*ITEM).alias("item"), "provider", "outcome"), order).select("item.*", F.col("chosen_provider").alias("provider"), "error")
     dated = []
     for place, (provider, read) in enumerate(METADATA.items()):
         part = read(document_fields(own.filter((F.col("endpoint") == "metadata") & (F.col("provider") == provider))))
         renamed = part.withColumnsRenamed({"precision": "published_at_precision", "date_source": "published_at_source"})
         dated.append(renamed.select(*ITEM, F.lit(place).alias("_place"), F.struct(*DOCUMENT).alias("_d")))
     known = reduce(DataFrame.unionByName, dated).groupBy(*ITEM).agg(F.min_by("_d", "_place").alias("_d"))
-    every = settled.join(known, ITEM, "full_outer").select(*ITEM, "provider", F.coalesce("error", F.when(F.col("provider").isNull(), F.lit("no-provider-available"))).alias("error"), "_d.*")
-    joined = every.join(assign_provenance(found).drop("provider_unit", "http_status", "is_generated"), [*ITEM, "provider"], "left")
-    return joined, refused
+    return settled.join(known, ITEM, "full_outer").select(*ITEM, "provider", F.coalesce("error", F.when(F.col("provider").isNull(), F.lit("no-provider-available"))).alias("error"), "_d.*")
+
+
+def normalized_items(records: DataFrame, order: Sequence[str] = tuple(TRANSCRIPTS)) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of bronze records of all providers: an item's transcript by failover in ``order``, and its metadata.
+
+    A rejected record stands for an error, on which the next provider is asked. ``records`` may have http_status,
+    is_generated and available_langs. Missing metadata leaves NULLs, never a guess.
+    """
+    own = latest_records(with_columns(records, OPTIONAL))
+    judged = judged_answers(own, order)
+    found = judged.filter("not rejected").select(*ITEM, "provider", "lang", "segments", *OPTIONAL, "provider_unit")
+    joined = settled_items(own, judged, order).join(assign_provenance(found).drop("provider_unit", "http_status", "is_generated").hint("merge"), [*ITEM, "provider"], "left")
+    return joined, judged.filter("rejected").select(own.columns)
 
 
 def fan_out(items: DataFrame) -> Silver:
     """SNK3, PRJ8: documents (enriched with a transcript, else failed), transcripts, and segments of normalized items.
 
     Items may have the columns of ``DOCUMENT`` and ``TRANSCRIPT``; those they lack are NULL. Surrogate
-    ids hash the natural keys, so a replay writes the same rows.
+    ids hash the natural keys, so a replay writes the same rows. Items with the column ``spoken`` (whether there is a
+    transcript) need no segments for the other two tables.
     """
     document_id = F.sha2(F.concat_ws("|", *ITEM), 256)
-    keyed = with_columns(items, DOCUMENT | TRANSCRIPT).withColumn("document_id", document_id)
-    status = F.when(F.col("segments").isNotNull(), F.lit("enriched")).otherwise(F.lit("failed"))
+    keyed = with_columns(items, DOCUMENT | TRANSCRIPT | {"segments": SEGMENTS}).withColumn("document_id", document_id)
+    spoken = F.col("spoken") if "spoken" in items.columns else F.col("segments").isNotNull()
+    status = F.when(spoken, F.lit("enriched")).otherwise(F.lit("failed"))
     documents = keyed.select("document_id", *ITEM, *DOCUMENT, status.alias("status"))
-    version = keyed.filter("segments is not null").withColumn("transcript_id", F.sha2(F.concat_ws("|", "document_id", "provider", "lang"), 256))
+    version = keyed.filter(spoken).withColumn("transcript_id", F.sha2(F.concat_ws("|", "document_id", "provider", "lang"), 256))
     transcripts = version.select("transcript_id", "document_id", "tenant_id", "provider", "lang", *TRANSCRIPT)
     segments = version.select("transcript_id", "document_id", "tenant_id", F.explode("segments").alias("s")).select("transcript_id", "document_id", "tenant_id", "s.*")
     return Silver(documents, transcripts, segments)

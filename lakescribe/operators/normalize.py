@@ -26,8 +26,8 @@ def _parsed(bronze: DataFrame) -> DataFrame:
     return bronze.withColumn("_v", F.try_parse_json("payload"))
 
 
-def normalize_segments_ms(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects): ``bronze`` with has_transcript and segments, offsets being whole milliseconds.
+def judged_segments_ms(bronze: DataFrame) -> DataFrame:
+    """``bronze`` with segments, offsets being whole milliseconds, and whether the item is rejected; a payload is parsed once.
 
     ``content`` as an array gives a segment per element (idx from 0, missing duration 0), as a string
     one segment at 0; missing or null content means there is no transcript, an empty array a
@@ -42,13 +42,17 @@ def normalize_segments_ms(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = F.transform(
         "_list", lambda e, i: F.struct(i.alias("idx"), e["text"].alias("text"), e["offset"].cast("long").alias("offset_ms"), F.coalesce(e["duration"].cast("long"), F.lit(0)).alias("duration_ms"))
     )
-    parsed = parsed.withColumn("segments", F.when(F.col("_list").isNotNull(), many).when(F.col("_plain").isNotNull(), one))
-    parsed = parsed.withColumns({"has_transcript": F.col("segments").isNotNull(), "_bad": bad})
-    return parsed.filter(~F.col("_bad")).drop("_v", "_list", "_plain", "_bad"), parsed.filter("_bad").select(bronze.columns)
+    return parsed.withColumns({"segments": F.when(F.col("_list").isNotNull(), many).when(F.col("_plain").isNotNull(), one), "rejected": bad}).drop("_v", "_list", "_plain")
 
 
-def normalize_segments_s(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects): ``bronze`` with segments from ``snippets`` in seconds, rounded half to even; missing duration 0.
+def normalize_segments_ms(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of ``judged_segments_ms``, the items with has_transcript."""
+    judged = judged_segments_ms(bronze).withColumn("has_transcript", F.col("segments").isNotNull())
+    return judged.filter("not rejected").drop("rejected"), judged.filter("rejected").select(bronze.columns)
+
+
+def judged_segments_s(bronze: DataFrame) -> DataFrame:
+    """``bronze`` with segments from ``snippets`` in seconds, rounded half to even (missing duration 0), and whether the item is rejected.
 
     Without ``snippets`` there is no transcript; an element without text or start rejects the item.
     """
@@ -58,8 +62,13 @@ def normalize_segments_s(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = F.transform(
         "_list", lambda e, i: F.struct(i.alias("idx"), e["text"].alias("text"), ms_of(e["start"]).alias("offset_ms"), F.coalesce(ms_of(e["duration"]), F.lit(0)).alias("duration_ms"))
     )
-    parsed = parsed.withColumns({"segments": many, "_bad": bad})
-    return parsed.filter(~F.col("_bad")).drop("_v", "_list", "_bad"), parsed.filter("_bad").select(bronze.columns)
+    return parsed.withColumns({"segments": many, "rejected": bad}).drop("_v", "_list")
+
+
+def normalize_segments_s(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of ``judged_segments_s``."""
+    judged = judged_segments_s(bronze)
+    return judged.filter("not rejected").drop("rejected"), judged.filter("rejected").select(bronze.columns)
 
 
 def document_fields(bronze: DataFrame) -> DataFrame:
@@ -148,7 +157,7 @@ def assign_provenance(items: DataFrame) -> DataFrame:
     })
 
 
-#: Transcript normalizers by provider, with the unit of its times: (items, rejects) of records. Adding a source adds an entry.
-TRANSCRIPTS = {"supadata": (normalize_segments_ms, "ms"), "native": (normalize_segments_ms, "ms"), "ytapi": (normalize_segments_s, "s")}
+#: Transcript normalizers by provider, with the unit of its times: records with segments and rejected. Adding a source adds an entry.
+TRANSCRIPTS = {"supadata": (judged_segments_ms, "ms"), "native": (judged_segments_ms, "ms"), "ytapi": (judged_segments_s, "s")}
 #: Metadata normalizers by provider, the preferred one first.
 METADATA = {"ytdlp": normalize_metadata, "supadata": normalize_metadata_api}

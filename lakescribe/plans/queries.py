@@ -204,12 +204,17 @@ def src1_seed_by_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
 # normalizers
 
 
-def _segment_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of four shapes by doc_id % 4: elements (every other one without duration), a string, null, no elements."""
+def _segment_payloads(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    """Payloads of four shapes by doc_id % 4: elements (every other one without duration), a string, null, no elements; and ``more`` columns."""
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("text"), (i * 1000).alias("offset"), F.when(i % 2 == 0, F.length(t)).alias("duration")))
-    shapes = [F.to_json(F.struct(lines.alias("content"))), F.to_json(F.struct(F.col("text").alias("content"))), F.lit('{"content": null}'), F.lit('{"content": []}')]
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.col("doc_id").cast("string").alias("external_id"), F.element_at(F.array(*shapes), (F.col("doc_id") % 4 + 1).cast("int")).alias("payload"))
+    shape = F.col("doc_id") % 4  # a case, so that a row makes its own shape only
+    payload = (
+        F.when(shape == 0, F.to_json(F.struct(lines.alias("content"))))
+        .when(shape == 1, F.to_json(F.struct(F.col("text").alias("content"))))
+        .when(shape == 2, F.lit('{"content": null}'))
+        .otherwise(F.lit('{"content": []}'))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("external_id"), payload.alias("payload"), *more)
 
 
 @query("""
@@ -398,7 +403,8 @@ def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, blocked = d.withColumn("fetched_at", F.col("doc_id") % 3), F.col("doc_id") % 5 == 0
     none, langs = F.lit(None).cast("boolean"), F.lit(None).cast("array<string>")
     key = ["tenant_id", "source_id", "external_id", "lang", "fetched_at"]
-    one = _segment_payloads(spark, sf_dir).join(d, "doc_id").select(
+    more = [c.alias(name) for name, c in (("tenant_id", F.col("lang")), ("source_id", F.col("source")), ("lang", F.col("lang")), ("fetched_at", F.col("doc_id") % 3))]
+    one = _segment_payloads(spark, sf_dir, *more).select(
         F.lit("supadata").alias("provider"), F.lit("transcript").alias("endpoint"), *key, F.when(blocked, F.lit("{}")).otherwise(F.col("payload")).alias("payload"),
         F.when(blocked, 429).otherwise(200).alias("http_status"), none.alias("is_generated"), langs.alias("available_langs"),
     )
@@ -922,8 +928,8 @@ UNION ALL SELECT 'segments', (SELECT count(*) FROM v_segments WHERE item % 4 = 0
 def st4_ingest_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping batches and a replay leave every item once."""
     path = fresh_folder(spark, "lake")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("native").alias("provider"), F.lit("transcript").alias("endpoint"), F.col("lang").alias("tenant_id"), F.col("source").alias("source_id"), "lang", F.lit(1).cast("long").alias("fetched_at"))
-    raw = _segment_payloads(spark, sf_dir).join(d, "doc_id").select("provider", "endpoint", "tenant_id", "source_id", "external_id", "lang", "fetched_at", "payload", "doc_id")
+    more = [F.lit("native").alias("provider"), F.lit("transcript").alias("endpoint"), F.col("lang").alias("tenant_id"), F.col("source").alias("source_id"), "lang", F.lit(1).cast("long").alias("fetched_at")]
+    raw = _segment_payloads(spark, sf_dir, *more).select("provider", "endpoint", "tenant_id", "source_id", "external_id", "lang", "fetched_at", "payload", "doc_id")
     for part in ("doc_id % 6 < 3", "doc_id % 6 >= 2", "doc_id % 6 < 3"):
         jobs.ingest_batch(raw.filter(part).drop("doc_id"), path)
     silver = lake.read_silver(spark, path)

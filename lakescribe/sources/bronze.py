@@ -6,6 +6,7 @@ endpoint, external id and the canonical payload, so the same response has the sa
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,6 +56,13 @@ def bronze_append(incoming: DataFrame, bronze: DataFrame, on_conflict: str = "er
     return Appended(*[judged.filter(F.col("result") == r).drop("result") for r in Appended._fields])
 
 
+def new_places(incoming: DataFrame, bronze: DataFrame, place: Sequence[str]) -> DataFrame:
+    """Where (columns ``place``) the records lie that ``bronze_append`` with "keep_first" finds new, one per key; no payload is read."""
+    key = F.unhex("key").alias("key")  # half the length
+    first = incoming.groupBy(key).agg(F.min(F.struct("fetched_at", F.unhex("record_hash"), *place)).alias("_first"))
+    return first.join(bronze.select(key).hint("merge"), "key", "left_anti").select(*[F.col(f"_first.{c}").alias(c) for c in place])
+
+
 def bronze_exists(incoming: DataFrame, bronze: DataFrame) -> DataFrame:
     """Those of ``incoming`` whose key is archived."""
     return incoming.join(bronze.select("key"), "key", "left_semi")

@@ -28,6 +28,10 @@ from ..operators.ingest import DOCUMENT, TRANSCRIPT, Silver
 BUCKETS = 64
 #: Replaced documents that are broadcast at most, when tables are read.
 BROADCAST_REPLACED = 1_000_000
+#: Marks, of 64 rows each, that are broadcast at most.
+BROADCAST_MARKS = 1_000_000
+#: Where a row of a table in folders lies: the file's name (which a task may use in several folders) and the row in it.
+PLACE = ("_name", "_row")
 BRONZE, TABLES = "bronze", ("documents", "transcripts", "segments")
 
 
@@ -91,6 +95,34 @@ def write_run(rows: DataFrame, lake: Lake, table: str, run: int) -> None:
     writer.mode("overwrite").parquet(f"{lake.path}/{table}/run={run}")
 
 
+def located(rows: DataFrame) -> DataFrame:
+    """``rows`` of files with their PLACE."""
+    return rows.select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+
+
+class Marks(NamedTuple):
+    """Marked rows of files: a bit a row, 64 of them in a ``_mask``, by ``folder`` (the partition column below which files lie)."""
+
+    folder: str
+    masks: DataFrame
+    rows: int
+
+
+def mark(places: DataFrame, folder: str, path: str) -> Marks:
+    """Marks, written to ``path``, of ``places`` (``folder``, PLACE)."""
+    bit = F.expr("shiftleft(1L, cast(_row % 64 as int))")
+    places.groupBy(folder, "_name", F.expr("_row div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask")).write.parquet(path)
+    masks = places.sparkSession.read.parquet(path)
+    count, rows = masks.agg(F.count(F.lit(1)), F.sum(F.bit_count("_mask"))).first()
+    return Marks(folder, F.broadcast(masks) if count <= BROADCAST_MARKS else masks.hint("merge"), rows or 0)
+
+
+def marked(rows: DataFrame, marks: Marks) -> DataFrame:
+    """Those of ``rows``, read from files, that are marked. They are not shuffled unless there are very many marks."""
+    at = located(rows).withColumn("_word", F.expr("_row div 64"))
+    return at.join(marks.masks, [marks.folder, "_name", "_word"]).filter("getbit(_mask, cast(_row % 64 as int)) = 1").select(*rows.columns, *PLACE)
+
+
 def _runs(spark: SparkSession, lake: Lake, table: str, schema: StructType, first: int, last: int, buckets: Sequence[int] | None = None) -> DataFrame:
     own = [f for f in schema if f.name not in ("run", "bucket")]
     whole = StructType([*own, StructField("run", IntegerType()), *([StructField("bucket", IntegerType())] if table in (BRONZE, "documents") else [])])
@@ -100,6 +132,11 @@ def _runs(spark: SparkSession, lake: Lake, table: str, schema: StructType, first
     return rows if buckets is None else rows.filter(F.col("bucket").isin(*buckets))
 
 
+def run_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Archived records of the one run that lies at ``path``, whether it counts or not."""
+    return spark.read.schema(StructType([*[f for f in schema if f.name not in ("run", "bucket")], StructField("bucket", IntegerType())])).parquet(path)
+
+
 def archive(spark: SparkSession, lake: Lake, schema: StructType, buckets: Sequence[int] | None = None, after: int = 0) -> DataFrame:
     """Archived records of ``buckets`` (all if None), of runs after ``after``."""
     return _runs(spark, lake, BRONZE, schema, max(lake.first_bronze, after + 1), lake.bronze, buckets)

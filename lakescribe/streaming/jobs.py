@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.storage import exists, fresh_folder
-from ..operators.ingest import ITEM, OPTIONAL, fan_out, ingest_summary, known_items, normalized_items, with_columns
-from ..operators.normalize import TRANSCRIPTS
+from ..functions.storage import exists, fresh_folder, move, remove
+from ..operators.ingest import ITEM, OPTIONAL, fan_out, ingest_summary, judged_answers, known_items, settled_items, with_columns
+from ..operators.normalize import METADATA, TRANSCRIPTS, assign_provenance
 from ..operators.seeds import append_seeds, classify_ref, seed_defaults
 from ..sources import lake
-from ..sources.bronze import bronze_append, bronze_records
+from ..sources.bronze import bronze_records, new_places
 from ..sources.dropped import DroppedFiles
 from ..sources.intake import parse_intake
 
@@ -190,28 +190,41 @@ def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCR
     Archive and tables are each made visible by one pointer row (sources.lake). A run that breaks off
     between them is made good by the next batch, even an empty one.
 
+    Payloads are shuffled once, on their way into the archive's buckets, where the batch is written as the next run before it
+    counts. What is new in it, latest of an item and chosen by the failover is found over keys; marks, a bit a row of the files
+    (``lake.mark``), then pick the rows. Only a batch that is partly known is written again, without its known part.
+
     ``sink``: a table of progress rows; those of the batch, as ``run``, are appended last. They count what the run has written, not
     what tasks have seen, so tasks that ran twice do not tell; a run that breaks off before them leaves none.
     """
     spark, now = raw.sparkSession, lake.open_lake(raw.sparkSession, path)
-    batch = fresh_folder(spark, "ingest-batch")
-    bronze_records(with_columns(raw, OPTIONAL)).write.parquet(f"{batch}/records")
-    records = spark.read.parquet(f"{batch}/records")
+    batch, at = fresh_folder(spark, "ingest-batch"), f"{path}/{lake.BRONZE}/run={now.bronze + 1}"
+    arrived = bronze_records(with_columns(raw, OPTIONAL))
+    schema = arrived.schema
+    lake.write_run(arrived, now, lake.BRONZE, now.bronze + 1)
+    records, aside = lake.run_rows(spark, at, schema), None
     own = lake.buckets_of(records, now)
-    new = bronze_append(records, lake.archive(spark, now, records.schema, own).drop("run", "bucket"), "keep_first").new
-    new.write.parquet(f"{batch}/new")
-    if spark.read.parquet(f"{batch}/new").limit(1).count():
-        lake.write_run(spark.read.parquet(f"{batch}/new"), now, lake.BRONZE, now.bronze + 1)
+    place = ("bucket", *lake.PLACE)
+    new = lake.mark(new_places(lake.located(records), lake.archive(spark, now, schema, own), place), "bucket", f"{batch}/new")
+    if 0 < new.rows < records.count():
+        aside = f"{path}/aside/{uuid.uuid4().hex}"
+        move(spark, at, aside)
+        records = lake.run_rows(spark, aside, schema)
+        lake.write_run(lake.marked(records, new).drop(*lake.PLACE), now, lake.BRONZE, now.bronze + 1)
+    if new.rows:
         now = lake.commit(spark, now._replace(bronze=now.bronze + 1))
     settled = now.covered < now.bronze
     if settled:
-        now = settle(spark, now, records.schema, order)
+        now = settle(spark, now, schema, order)
     if sink:
         documents = spark.read.schema(lake.SHAPES["documents"]).parquet(f"{path}/documents/run={now.silver}") if settled else spark.createDataFrame([], lake.SHAPES["documents"])
         known = records.select(*ITEM).distinct().join(documents.select(*ITEM).hint("merge"), ITEM, "left_anti").select("source_id", F.lit("already").alias("outcome"))
         outcomes = documents.select("source_id", F.when(F.col("status") == "enriched", "fetched").otherwise("failed").alias("outcome")).unionByName(known)
-        paid = spark.read.schema(records.schema).parquet(f"{batch}/new").groupBy("source_id").agg(F.count(F.lit(1)).alias("credits"))
+        added = lake.run_rows(spark, at, schema) if new.rows else spark.createDataFrame([], schema)
+        paid = added.groupBy("source_id").agg(F.count(F.lit(1)).alias("credits"))
         progress_rows(outcomes, paid, run or uuid.uuid4().hex).write.mode("append").parquet(sink)
+    if aside:
+        remove(spark, aside)
     return now
 
 
@@ -222,14 +235,24 @@ def settle(spark: SparkSession, now: lake.Lake, schema: StructType, order: Seque
     touched.write.parquet(f"{batch}/touched")
     touched = spark.read.parquet(f"{batch}/touched")
     own = lake.buckets_of(touched, now)
-    # written once, as every provider's normalizer reads it
-    lake.archive(spark, now, schema, own).drop("run", "bucket").join(touched.hint("merge"), ITEM, "left_semi").write.parquet(f"{batch}/known")
-    items, _ = normalized_items(spark.read.schema(schema).parquet(f"{batch}/known"), order)
+    archive, place = lake.archive(spark, now, schema, own), ("bucket", *lake.PLACE)
+    asked = (F.col("endpoint") == "transcript") & F.col("provider").isin(*order) | (F.col("endpoint") == "metadata") & F.col("provider").isin(*METADATA)
+    slim = lake.located(archive).filter(asked).select(*ITEM, "provider", "endpoint", "fetched_at", F.unhex("key").alias("key"), *place).join(touched.hint("merge"), ITEM, "left_semi")
+    latest = slim.groupBy(*ITEM, "provider", "endpoint").agg(F.max_by(F.struct(*place), F.struct("fetched_at", "key")).alias("_l")).select("_l.*")
+    known = lake.marked(archive, lake.mark(latest, "bucket", f"{batch}/latest"))
+    # the failover, over what every answer came to
+    judged_answers(known, order).select(*ITEM, "provider", "outcome", "lang", *OPTIONAL, "provider_unit", *place).write.parquet(f"{batch}/judged")
+    judged = spark.read.parquet(f"{batch}/judged")
+    found = assign_provenance(judged.filter("outcome = 'ok'")).drop("outcome", "provider_unit", "http_status", "is_generated")
+    items = settled_items(known, judged, order).join(found.hint("merge"), [*ITEM, "provider"], "left").withColumn("spoken", F.col("_row").isNotNull())
     items.write.parquet(f"{batch}/items")
-    silver = fan_out(spark.read.parquet(f"{batch}/items"))
+    items = spark.read.parquet(f"{batch}/items")
+    spoken = lake.mark(items.filter("spoken").select(*place), "bucket", f"{batch}/spoken")
+    silver = fan_out(items)
+    segments = fan_out(judged_answers(lake.marked(archive, spoken), order)).segments
     held = lake.held_documents(spark, now, own)
     replaced = known_items(silver.documents, held.hint("merge")).select("document_id")
-    for table, rows in (("segments", silver.segments), ("transcripts", silver.transcripts), ("replaced", replaced), ("documents", silver.documents)):
+    for table, rows in (("segments", segments), ("transcripts", silver.transcripts), ("replaced", replaced), ("documents", silver.documents)):
         lake.write_run(rows, now, table, now.silver + 1)
     return lake.commit(spark, now._replace(silver=now.silver + 1, covered=now.bronze))
 

@@ -231,6 +231,25 @@ def test_failover_between_providers(spark, tmp_path):
     assert {r.offset_ms for r in silver.segments.collect()} == {2000}
 
 
+def test_payloads_lie_in_the_lake_only(spark, tmp_path, monkeypatch):
+    """What an ingest writes beside the lake holds keys and marks but no payload, and payloads are picked by marks without a shuffle; a batch that is partly known adds the rest."""
+    path, place = str(tmp_path / "lake"), ("bucket", *lake.PLACE)
+    monkeypatch.setattr(jobs, "fresh_folder", lambda _, name: str(tmp_path / f"beside/{name}-{os.urandom(4).hex()}"))
+
+    def long(*items):
+        return responses(spark, *[(i, "supadata", {"content": [{"text": os.urandom(50_000).hex(), "offset": 0}]}, 200) for i in items])
+
+    jobs.ingest_batch(long("a", "b"), path)
+    old = archived(spark, path).select("provider", "endpoint", "tenant_id", "source_id", "external_id", "lang", "fetched_at", "payload", "http_status").localCheckpoint()
+    jobs.ingest_batch(old.union(long("c")), path)
+    assert counts(spark, path) == [3, 3, 3, 3]
+    assert sum(f.stat().st_size for f in (tmp_path / "beside").rglob("*.parquet")) < 200_000 and not list((tmp_path / "lake" / "aside").iterdir())
+    rows = lake.archive(spark, lake.open_lake(spark, path), archived(spark, path).schema)
+    some = lake.located(rows).filter("external_id <> 'b'").select(*place)
+    picked = lake.marked(rows, lake.mark(some, "bucket", str(tmp_path / "marks")))
+    assert sorted(r.external_id for r in picked.collect()) == ["a", "c"] and "SortMergeJoin" not in picked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ingest_stream_equals_batches(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "lake")
     for part in ((1, 2), (2, 3), (4,)):

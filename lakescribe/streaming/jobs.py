@@ -75,35 +75,65 @@ def admit_stream(requests: DataFrame, budget: int) -> DataFrame:
     return requests.groupBy("tenant_id").transformWithStateInPandas(_Admission(budget), "tenant_id long, position long, cost long, admitted boolean", "Append", "None")
 
 
+#: Positions whose held costs are one value of the state.
+HELD = 1024
+
+
 class _OrderedAdmission(StatefulProcessor):
+    """Early rows are held in blocks of HELD positions, so that a call to the state store is for a block and not for a row."""
+
     def __init__(self, budget: int, first: int, patience_ms: int):
         self.budget, self.first, self.patience_ms = budget, first, patience_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", "spent long, next long")
-        self.held = handle.getMapState("held", "position long", "cost long")
+        self.progress = handle.getValueState("progress", "spent long, next long, held long")
+        self.blocks = handle.getMapState("held", "block long", "positions array<long>, costs array<long>")
 
     def _judge(self, cost: int) -> bool:
         fits = self.spent + cost <= self.budget
         self.spent += cost if fits else 0
         return bool(fits)
 
+    def _load(self, block: int) -> dict[int, int]:
+        """The held rows of a block. Blocks that are open are in memory, one while rows are drained and those of an Arrow batch while it is taken."""
+        if block not in self.open:
+            stored = self.blocks.getValue((block,)) if self.stored and self.blocks.containsKey((block,)) else None
+            self.open[block] = dict(zip(*stored, strict=True)) if stored else {}
+            self.before[block] = len(self.open[block])
+        return self.open[block]
+
+    def _save(self) -> None:
+        """Write the open blocks that have changed."""
+        for block in list(self.open):
+            rows, before = self.open.pop(block), self.before.pop(block)
+            if rows and (block in self.changed):
+                self.blocks.updateValue((block,), (list(rows), list(rows.values())))
+                self.stored = True
+            elif before and not rows:
+                self.blocks.removeKey((block,))
+            self.changed.discard(block)
+
     def _drain(self, out: list) -> None:
         """Take the held rows that are next in turn."""
-        while self.held.containsKey((self.next,)):
-            cost = self.held.getValue((self.next,))[0]
-            self.held.removeKey((self.next,))
+        while self.count and self.next in (rows := self._load(self.next // HELD)):
+            cost = rows.pop(self.next)
+            self.count -= 1
+            self.changed.add(self.next // HELD)
             out.append((self.next, cost, self._judge(cost)))
             self.next += 1
+            if self.next % HELD == 0:
+                self._save()
 
     def _restore(self) -> None:
-        self.spent, self.next = self.progress.get() if self.progress.exists() else (0, self.first)
+        self.spent, self.next, self.count = self.progress.get() if self.progress.exists() else (0, self.first, 0)
+        self.stored, self.open, self.before, self.changed = self.count > 0, {}, {}, set()
 
     def _result(self, key, out: list):
         import pandas as pd
 
-        self.progress.update((self.spent, self.next))
+        self._save()
+        self.progress.update((self.spent, self.next, self.count))
         return pd.DataFrame({"tenant_id": [key[0]] * len(out), "position": [p for p, *_ in out], "cost": [c for _, c, _ in out], "admitted": [a for *_, a in out]})
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
@@ -112,26 +142,33 @@ class _OrderedAdmission(StatefulProcessor):
             out: list = []
             for position, cost in sorted(zip(frame["position"].tolist(), frame["cost"].tolist(), strict=True)):
                 if position > self.next:
-                    self.held.updateValue((position,), (cost,))
+                    held = self._load(position // HELD)
+                    self.count += position not in held
+                    held[position] = cost
+                    self.changed.add(position // HELD)
                     continue
                 out.append((position, cost, self._judge(cost)))  # in turn, or given up and late
                 self.next = max(self.next, position + 1)
                 self._drain(out)
-            yield self._result(key, out)
-            if self.held.exists():
+            result = self._result(key, out)
+            if out:
+                yield result
+            if self.count:
                 self.handle.registerTimer(int(frame["at"].max().value // 10**6) + self.patience_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         """The gap's rows do not come: go on behind it."""
         self._restore()
         out: list = []
-        waiting = sorted(k[0] for k in self.held.keys())  # noqa: SIM118
-        if waiting:
-            self.next = waiting[0]
+        if self.count:
+            block = min(k[0] for k in self.blocks.keys())  # noqa: SIM118
+            self.next = min(self._load(block))
             self._drain(out)
-        if self.held.exists():
+        result = self._result(key, out)
+        if self.count:
             self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.patience_ms)
-        yield self._result(key, out)
+        if out:
+            yield result
 
     def close(self) -> None:
         pass
@@ -144,7 +181,7 @@ def admit_stream_ordered(requests: DataFrame, budget: int, first: int = 0, patie
     position in the state store, until its predecessors have come. If they don't by the time that the watermark is
     ``patience_ms`` past the rows that wait, a timer gives up the gap and goes on behind it; a row that still comes then is judged by
     what is spent. Rows are taken batch by batch of Arrow, so a task holds one batch, and the state one row for each that is
-    early: memory is bounded by the gap, not by the micro-batch. Needs the RocksDB state store.
+    early, in blocks of HELD positions: memory is bounded by the batch and a block, not by the micro-batch or the gap. Needs the RocksDB state store.
     """
     shape = "tenant_id long, position long, cost long, admitted boolean"
     return requests.groupBy("tenant_id").transformWithStateInPandas(_OrderedAdmission(budget, first, patience_ms), shape, "Append", "EventTime")

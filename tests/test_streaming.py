@@ -300,3 +300,63 @@ def test_rewritten_files_give_their_new_rows(spark, tmp_path):
     assert reader.partitions(end, end) == [] and [f for p in reader.partitions(reader.initialOffset(), end) for f in p.files] == [("a.json", 1_700_000_500_000_000), ("b.json", 1_600_000_000_000_000)]
     put("a.json", ["@six"], 1_700_000_900)
     assert [r[0].rsplit("/", 1)[1] for p in reader.partitions(reader.initialOffset(), end) for r in reader.read(p)] == ["b.json"]
+
+
+def test_held_rows_take_a_call_a_block():
+    """Early rows go to the state store and come back in blocks, whatever their number; results are those of the right order."""
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Blocks(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            Blocks.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            Blocks.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            Blocks.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            Blocks.calls += 1
+            del self[key]
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return Blocks()
+
+        def registerTimer(self, _):
+            pass
+
+    processor, n, got = jobs._OrderedAdmission(100, 0, 1000), 3 * jobs.HELD, []
+    processor.init(Handle())
+    for third in (2, 1, 0):
+        own = [p for p in range(n) if p % 3 == third]
+        frames = [pd.DataFrame({"position": part, "cost": [p % 5 + 1 for p in part], "at": pd.Timestamp(0)}) for part in (own[600:], own[:600])]
+        for frame in processor.handleInputRows((1,), iter(frames), None):
+            got += list(zip(frame["position"], frame["admitted"], strict=True))
+    spent, want = 0, []
+    for p in range(n):
+        fits = spent + p % 5 + 1 <= 100
+        spent += (p % 5 + 1) * fits
+        want.append((p, fits))
+    assert got == want and not processor.blocks and Blocks.calls < 60

@@ -18,6 +18,8 @@ from .ingest import fan_out, normalized_items
 PRECISION = ("exact", "date", "month", "year")
 #: Query vectors are broadcast in blocks of this number.
 BROADCAST_QUERIES = 10_000
+#: Hidden sources that are broadcast at most.
+BROADCAST_SOURCES = 1_000_000
 #: Pairs of a query and a vector that a task scores at once, and those whose scores it checks at once.
 PAIRS, CHECKED = 1 << 22, 1 << 16
 #: More than the rounding error of a cosine.
@@ -36,17 +38,42 @@ def content_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return hashed.groupBy("content_hash").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def tallied(documents: DataFrame, *by: str) -> DataFrame | None:
+    """Mentions and documents per (entity, *by) of rows that hold a document's mentions as ``entities``; None if a document has several rows.
+
+    Mentions and then the distinct entities are expanded together and summed at once, so that no row a document and entity is
+    shuffled or held: tasks hold sums, which are as many as entities.
+    """
+    if documents.groupBy("document").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        return None
+    rows = documents.select(*by, "entities").select(*by, F.size("entities").alias("_n"), F.concat("entities", F.array_distinct("entities")).alias("_all"))
+    every = rows.select(*by, "_n", F.posexplode("_all").alias("_pos", "entity"))
+    return every.groupBy("entity", *by).agg(F.count_if(F.col("_pos") < F.col("_n")).alias("mentions"), F.count_if(F.col("_pos") >= F.col("_n")).alias("documents"))
+
+
+def expanded(documents: DataFrame) -> DataFrame:
+    """A row a mention, of rows with ``entities``."""
+    return documents.select("*", F.explode("entities").alias("entity")).drop("entities")
+
+
 def mention_counts(mentions: DataFrame, domain: str | None = None, cross_domain: bool = False, hidden: DataFrame | None = None) -> DataFrame:
     """D3: mentions and documents per (entity, domain); one domain unless ``cross_domain``; documents of ``hidden`` sources (domain's source_id) do not count.
 
-    A count per (entity, document) comes first, so the distinct count needs no second expansion.
+    ``mentions`` has a row a mention (entity), or a row a document with all of its mentions (entities), which is cheaper.
+    Of the former a count per (entity, document) comes first, so the distinct count needs no second expansion.
     """
     if not cross_domain:
         if domain is None:
             raise ValueError("name a domain, or ask for cross_domain")
         mentions = mentions.filter(F.col("domain") == domain)
     if hidden is not None:
-        mentions = mentions.join(hidden.select("source_id").distinct().hint("merge"), "source_id", "left_anti")
+        sources = hidden.select("source_id").distinct()
+        mentions = mentions.join(F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources.hint("merge"), "source_id", "left_anti")
+    if "entities" in mentions.columns:
+        found = tallied(mentions, "domain")
+        if found is not None:
+            return found
+        mentions = expanded(mentions)
     by_document = mentions.groupBy("entity", "domain", "document").agg(F.count(F.lit(1)).alias("_n"))
     return by_document.groupBy("entity", "domain").agg(F.sum("_n").alias("mentions"), F.count(F.lit(1)).alias("documents"))
 

@@ -15,15 +15,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .analytics import PRECISION
+from .analytics import PRECISION, expanded, tallied
 
 KEY = ["entity", "domain", "source_id", "bucket"]
 _SHAPE = "entity string, domain string, source_id string, bucket timestamp, mentions long, documents long, step int"
 
 
 def counted(mentions: DataFrame, grain: str = "week", min_precision: str = "date") -> DataFrame:
-    """Mentions and documents per KEY; the bucket is NULL where the date is unknown or too coarse. A count per document comes first."""
+    """Mentions and documents per KEY; the bucket is NULL where the date is unknown or too coarse.
+
+    ``mentions`` has a row a mention (entity), of which a count per document comes first, or a row a document (entities), which is cheaper.
+    """
     fine = F.col("precision").isin(*PRECISION[: PRECISION.index(min_precision) + 1])
+    if "entities" in mentions.columns:
+        dated = mentions.select("domain", "source_id", F.when(fine, F.date_trunc(grain, "published_at")).alias("bucket"), "document", "entities")
+        found = tallied(dated, "domain", "source_id", "bucket")
+        if found is not None:
+            return found
+        mentions = expanded(mentions)
     keyed = mentions.select("entity", "domain", "source_id", F.when(fine, F.date_trunc(grain, "published_at")).alias("bucket"), "document")
     by_document = keyed.groupBy(*KEY, "document").agg(F.count(F.lit(1)).alias("_n"))
     return by_document.groupBy(*KEY).agg(F.sum("_n").alias("mentions"), F.count(F.lit(1)).alias("documents"))

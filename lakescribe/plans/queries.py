@@ -703,12 +703,12 @@ def d2_content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT entity, domain, count(*) AS mentions, count(DISTINCT document) AS documents FROM v_mentions WHERE domain = 'en' AND source_id <> 'src0' GROUP BY ALL")
 def d3_mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = table(spark, sf_dir, "documents").filter("source = 'src0'").select(F.col("source").alias("source_id")).distinct()
-    return analytics.mention_counts(views.v_mentions(spark, sf_dir), "en", hidden=hidden)
+    return analytics.mention_counts(views.v_entities(spark, sf_dir), "en", hidden=hidden)
 
 
 @query("SELECT entity, domain, count(*) AS mentions, count(DISTINCT document) AS documents FROM v_mentions GROUP BY ALL")
 def d3_mention_counts_cross_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.mention_counts(views.v_mentions(spark, sf_dir), cross_domain=True)
+    return analytics.mention_counts(views.v_entities(spark, sf_dir), cross_domain=True)
 
 
 @query("""
@@ -720,7 +720,7 @@ def d4_term_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mention counts after three batches, between which one source is hidden and restored, another hidden, and a third purged."""
-    path, rows = fresh_folder(spark, "mention-counts"), views.v_mentions(spark, sf_dir)
+    path, rows = fresh_folder(spark, "mention-counts"), views.v_entities(spark, sf_dir)
     for third in range(3):
         mentions.add_batch(rows.filter(F.col("document") % 3 == third), path, 10 * third)
         if third == 0:

@@ -70,13 +70,18 @@ def v_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.element_at(F.array(*shapes), (F.col("page_id") % 5 + 1).cast("int")).alias("raw"))
 
 
-def v_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower-cased words of documents; domain = language, published a day per document id."""
+def v_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower-cased words of documents, a row a document; domain = language, published a day per document id."""
     d = table(spark, sf_dir, "documents")
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
     precision = F.element_at(F.array(F.lit("exact"), F.lit("date"), F.lit("month")), (F.col("doc_id") % 3 + 1).cast("int"))
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 90 * 86400)
-    return d.select(word.alias("entity"), F.col("doc_id").alias("document"), F.col("lang").alias("domain"), F.col("source").alias("source_id"), at.alias("published_at"), precision.alias("precision"))
+    return d.select(words.alias("entities"), F.col("doc_id").alias("document"), F.col("lang").alias("domain"), F.col("source").alias("source_id"), at.alias("published_at"), precision.alias("precision"))
+
+
+def v_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a row a mention."""
+    return v_entities(spark, sf_dir).select(F.explode("entities").alias("entity"), "document", "domain", "source_id", "published_at", "precision")
 
 
 #: The same views as CTEs for DuckDB.

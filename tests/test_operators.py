@@ -400,3 +400,17 @@ def test_pruned_topk_equals_all_vectors(spark, clustered):
     assert rows(few.select("query_id", "rank", "vec_id")) == rows(analytics.vector_topk(queries, v.filter("vec_id < 3"), 5).select("query_id", "rank", "vec_id"))
     assert analytics.pruned_topk(queries.limit(0), analytics.vector_cells(v, 4), 5)[0].count() == 0
     assert analytics.pruned_topk(queries.limit(0), analytics.vector_cells(v.limit(0), 4), 5)[0].count() == 0
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_counts_of_whole_documents(spark, tmp_path, twice):
+    """Rows a document give what rows a mention give, without a shuffle by document; a document in several rows is counted once."""
+    words = [(d, ["a", "b", "a", None][: d % 5] if d else None, "xy"[d % 2], f"s{d % 3}", d) for d in range(30)]
+    words += [(4, ["a", "c"], "x", "s1", 4)] if twice else []
+    whole = spark.createDataFrame(words, "document int, entities array<string>, domain string, source_id string, at int").withColumns({"published_at": F.timestamp_seconds(1_700_000_000 + F.col("at") * 86400), "precision": F.lit("date")})
+    single, hidden = analytics.expanded(whole), whole.select("source_id").filter("source_id = 's0'")
+    got = analytics.mention_counts(whole, "x", hidden=hidden)
+    key = lambda df: sorted(map(str, rows(df.select(sorted(df.columns)))))
+    assert key(got) == key(analytics.mention_counts(single, "x", hidden=hidden)) and key(mentions.counted(whole)) == key(mentions.counted(single))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and (twice or plan.count("Exchange hashpartitioning(entity") == 1)

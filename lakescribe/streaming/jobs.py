@@ -98,7 +98,7 @@ class _OrderedAdmission(StatefulProcessor):
     def _load(self, block: int) -> dict[int, int]:
         """The held rows of a block. Blocks that are open are in memory, one while rows are drained and those of an Arrow batch while it is taken."""
         if block not in self.open:
-            stored = self.blocks.getValue((block,)) if self.stored and self.blocks.containsKey((block,)) else None
+            stored = self.blocks.getValue((block,)) if self.stored else None
             self.open[block] = dict(zip(*stored, strict=True)) if stored else {}
             self.before[block] = len(self.open[block])
         return self.open[block]
@@ -126,15 +126,16 @@ class _OrderedAdmission(StatefulProcessor):
                 self._save()
 
     def _restore(self) -> None:
-        self.spent, self.next, self.count = self.progress.get() if self.progress.exists() else (0, self.first, 0)
+        self.spent, self.next, self.count = self.progress.get() or (0, self.first, 0)
         self.stored, self.open, self.before, self.changed = self.count > 0, {}, {}, set()
 
-    def _result(self, key, out: list):
+    def _result(self, key, out: list) -> list:
+        """Store what is known; a frame of the rows that are judged, none where there are none."""
         import pandas as pd
 
         self._save()
         self.progress.update((self.spent, self.next, self.count))
-        return pd.DataFrame({"tenant_id": [key[0]] * len(out), "position": [p for p, *_ in out], "cost": [c for _, c, _ in out], "admitted": [a for *_, a in out]})
+        return [pd.DataFrame({"tenant_id": [key[0]] * len(out), "position": [p for p, *_ in out], "cost": [c for _, c, _ in out], "admitted": [a for *_, a in out]})] if out else []
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         self._restore()
@@ -150,9 +151,7 @@ class _OrderedAdmission(StatefulProcessor):
                 out.append((position, cost, self._judge(cost)))  # in turn, or given up and late
                 self.next = max(self.next, position + 1)
                 self._drain(out)
-            result = self._result(key, out)
-            if out:
-                yield result
+            yield from self._result(key, out)
             if self.count:
                 self.handle.registerTimer(int(frame["at"].max().value // 10**6) + self.patience_ms)
 
@@ -167,8 +166,7 @@ class _OrderedAdmission(StatefulProcessor):
         result = self._result(key, out)
         if self.count:
             self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.patience_ms)
-        if out:
-            yield result
+        yield from result
 
     def close(self) -> None:
         pass

@@ -327,7 +327,7 @@ def test_held_rows_take_a_call_a_block():
 
         def getValue(self, key):
             Blocks.calls += 1
-            return self[key]
+            return self.get(key)
 
         def updateValue(self, key, value):
             Blocks.calls += 1

@@ -192,9 +192,12 @@ def fan_out(items: DataFrame) -> Silver:
     spoken = F.col("spoken") if "spoken" in items.columns else F.col("segments").isNotNull()
     status = F.when(spoken, F.lit("enriched")).otherwise(F.lit("failed"))
     documents = keyed.select("document_id", *ITEM, *DOCUMENT, status.alias("status"))
-    version = keyed.filter(spoken).withColumn("transcript_id", F.sha2(F.concat_ws("|", "document_id", "provider", "lang"), 256))
-    transcripts = version.select("transcript_id", "document_id", "tenant_id", "provider", "lang", *TRANSCRIPT)
-    segments = version.select("transcript_id", "document_id", "tenant_id", F.explode("segments").alias("s")).select("transcript_id", "document_id", "tenant_id", "s.*")
+    transcript_id = F.sha2(F.concat_ws("|", "document_id", "provider", "lang"), 256)
+    transcripts = keyed.filter(spoken).select(transcript_id.alias("transcript_id"), "document_id", "tenant_id", "provider", "lang", *TRANSCRIPT)
+    # no condition on the segments themselves: Spark would move it below what makes them, and parse each payload again for every mention
+    ids, said = ["transcript_id", "document_id", "tenant_id"], F.when(spoken, F.col("segments")) if "spoken" in items.columns else F.col("segments")
+    exploded = keyed.withColumn("transcript_id", transcript_id).select(*ids, F.posexplode_outer(said).alias("_pos", "s"))
+    segments = exploded.filter("_pos is not null").select(*ids, "s.*")
     return Silver(documents, transcripts, segments)
 
 

@@ -101,25 +101,28 @@ def located(rows: DataFrame) -> DataFrame:
 
 
 class Marks(NamedTuple):
-    """Marked rows of files: a bit a row, 64 of them in a ``_mask``, by ``folder`` (the partition column below which files lie)."""
+    """Marked rows of files: a bit a row, 64 of them in a ``_mask``, by ``folder`` (the partition column below which files lie); the ``runs`` that they lie in, if known."""
 
     folder: str
     masks: DataFrame
     rows: int
+    runs: list[int] | None
 
 
 def mark(places: DataFrame, folder: str, path: str) -> Marks:
-    """Marks, written to ``path``, of ``places`` (``folder``, PLACE)."""
+    """Marks, written to ``path``, of ``places`` (``folder``, PLACE, and optionally run)."""
     bit = F.expr("shiftleft(1L, cast(_row % 64 as int))")
-    places.groupBy(folder, "_name", F.expr("_row div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask")).write.parquet(path)
-    masks = places.sparkSession.read.parquet(path)
-    count, rows = masks.agg(F.count(F.lit(1)), F.sum(F.bit_count("_mask"))).first()
-    return Marks(folder, F.broadcast(masks) if count <= BROADCAST_MARKS else masks.hint("merge"), rows or 0)
+    run = F.max("run") if "run" in places.columns else F.lit(None).cast("int")  # a file's name is in one run only
+    places.groupBy(folder, "_name", F.expr("_row div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask"), run.alias("_run")).write.parquet(path)
+    found = places.sparkSession.read.parquet(path)
+    count, rows, runs = found.agg(F.count(F.lit(1)), F.sum(F.bit_count("_mask")), F.sort_array(F.collect_set("_run"))).first()
+    masks = found.drop("_run")
+    return Marks(folder, F.broadcast(masks) if count <= BROADCAST_MARKS else masks.hint("merge"), rows or 0, runs if "run" in places.columns else None)
 
 
 def marked(rows: DataFrame, marks: Marks) -> DataFrame:
-    """Those of ``rows``, read from files, that are marked. They are not shuffled unless there are very many marks."""
-    at = located(rows).withColumn("_word", F.expr("_row div 64"))
+    """Those of ``rows``, read from files, that are marked. Only the marks' runs are read; rows are not shuffled unless there are very many marks."""
+    at = located(rows if marks.runs is None else rows.filter(F.col("run").isin(*marks.runs))).withColumn("_word", F.expr("_row div 64"))
     return at.join(marks.masks, [marks.folder, "_name", "_word"]).filter("getbit(_mask, cast(_row % 64 as int)) = 1").select(*rows.columns, *PLACE)
 
 

@@ -265,15 +265,14 @@ def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCR
 
 def settle(spark: SparkSession, now: lake.Lake, schema: StructType, order: Sequence[str] = tuple(TRANSCRIPTS)) -> lake.Lake:
     """Settle the items of the archive's runs that the silver tables don't cover yet, over all their records."""
-    touched = lake.archive(spark, now, schema, after=now.covered).select(*ITEM).distinct()
     batch = fresh_folder(spark, "settled")
-    touched.write.parquet(f"{batch}/touched")
-    touched = spark.read.parquet(f"{batch}/touched")
-    own = lake.buckets_of(touched, now)
-    archive, place = lake.archive(spark, now, schema, own), ("bucket", *lake.PLACE)
+    own = sorted(r[0] for r in lake.archive(spark, now, schema, after=now.covered).select("bucket").distinct().collect())
+    archive, place = lake.archive(spark, now, schema, own), ("run", "bucket", *lake.PLACE)
     asked = (F.col("endpoint") == "transcript") & F.col("provider").isin(*order) | (F.col("endpoint") == "metadata") & F.col("provider").isin(*METADATA)
-    slim = lake.located(archive).filter(asked).select(*ITEM, "provider", "endpoint", "fetched_at", F.unhex("key").alias("key"), *place).join(touched.hint("merge"), ITEM, "left_semi")
-    latest = slim.groupBy(*ITEM, "provider", "endpoint").agg(F.max_by(F.struct(*place), F.struct("fetched_at", "key")).alias("_l")).select("_l.*")
+    slim = lake.located(archive).dropna(subset=ITEM).select(*ITEM, "provider", "endpoint", "fetched_at", F.unhex("key").alias("key"), *place)
+    answers = slim.repartition(*ITEM).groupBy(*ITEM, "provider", "endpoint").agg(F.max_by(F.struct(*place), F.struct("fetched_at", "key")).alias("_l"), F.max("run").alias("_run"))
+    touched = answers.groupBy(*ITEM).agg(F.collect_list(F.when(asked, F.col("_l"))).alias("_l"), F.max("_run").alias("_run")).filter(F.col("_run") > now.covered)
+    latest = touched.select(F.explode("_l").alias("_l")).select("_l.*")
     known = lake.marked(archive, lake.mark(latest, "bucket", f"{batch}/latest"))
     # the failover, over what every answer came to
     judged_answers(known, order).select(*ITEM, "provider", "outcome", "lang", *OPTIONAL, "provider_unit", *place).write.parquet(f"{batch}/judged")

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lakescribe.operators import analytics, usage
+from lakescribe.operators import analytics, ingest, usage
 from lakescribe.sources import dropped, intake, lake
 from lakescribe.streaming import jobs
 
@@ -250,6 +250,21 @@ def test_payloads_lie_in_the_lake_only(spark, tmp_path, monkeypatch):
     assert sorted(r.external_id for r in picked.collect()) == ["a", "c"] and "SortMergeJoin" not in picked._jdf.queryExecution().executedPlan().toString()
 
 
+def test_settling_parses_a_payload_once_and_reads_the_marks_runs(spark, tmp_path):
+    """No condition on segments is moved below their parsing; payloads of runs without a marked row are not read. Transcripts without segments have none."""
+    path = str(tmp_path / "lake")
+    rows = responses(spark, ("a", "supadata", SAYS, 200), ("b", "supadata", {"content": []}, 200), ("c", "ytapi", SNIPPETS, 200), ("d", "supadata", {"content": "plain"}, 200))
+    segments = ingest.fan_out(ingest.judged_answers(ingest.with_columns(rows, ingest.OPTIONAL), ("supadata", "ytapi"))).segments
+    assert segments._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2  # one a reader
+    assert sorted((r.idx, r.text) for r in segments.collect()) == [(0, "one"), (0, "plain"), (0, "two")]
+    for item in ("a", "b"):
+        jobs.ingest_batch(rows.filter(F.col("external_id") == item), path)
+    archive = lake.archive(spark, lake.open_lake(spark, path), archived(spark, path).schema)
+    places = lake.located(archive).filter("external_id = 'b'").select("run", "bucket", *lake.PLACE)
+    picked = lake.marked(archive, lake.mark(places, "bucket", str(tmp_path / "marks")))
+    assert [r.external_id for r in picked.collect()] == ["b"] and files_read(archive) == 2 and files_read(picked.select("payload")) == 2  # a file of the archive, one of the marks
+
+
 def test_ingest_stream_equals_batches(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "lake")
     for part in ((1, 2), (2, 3), (4,)):

@@ -101,12 +101,13 @@ def located(rows: DataFrame) -> DataFrame:
 
 
 class Marks(NamedTuple):
-    """Marked rows of files: a bit a row, 64 of them in a ``_mask``, by ``folder`` (the partition column below which files lie); the ``runs`` that they lie in, if known."""
+    """Marked rows of files: a bit a row, 64 of them in a ``_mask``, by ``folder`` (the partition column below which files lie); the ``runs`` that they lie in, if known; ``few`` enough for a broadcast or not."""
 
     folder: str
     masks: DataFrame
     rows: int
     runs: list[int] | None
+    few: bool
 
 
 def mark(places: DataFrame, folder: str, path: str) -> Marks:
@@ -116,8 +117,8 @@ def mark(places: DataFrame, folder: str, path: str) -> Marks:
     places.groupBy(folder, "_name", F.expr("_row div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask"), run.alias("_run")).write.parquet(path)
     found = places.sparkSession.read.parquet(path)
     count, rows, runs = found.agg(F.count(F.lit(1)), F.sum(F.bit_count("_mask")), F.sort_array(F.collect_set("_run"))).first()
-    masks = found.drop("_run")
-    return Marks(folder, F.broadcast(masks) if count <= BROADCAST_MARKS else masks.hint("merge"), rows or 0, runs if "run" in places.columns else None)
+    masks, few = found.drop("_run"), count <= BROADCAST_MARKS
+    return Marks(folder, F.broadcast(masks) if few else masks.hint("merge"), rows or 0, runs if "run" in places.columns else None, few)
 
 
 def marked(rows: DataFrame, marks: Marks) -> DataFrame:
@@ -126,6 +127,18 @@ def marked(rows: DataFrame, marks: Marks) -> DataFrame:
     return at.join(marks.masks, [marks.folder, "_name", "_word"]).filter("getbit(_mask, cast(_row % 64 as int)) = 1").select(*rows.columns, *PLACE)
 
 
+def copy_run(rows: DataFrame, marks: Marks, lake: Lake, run: int) -> None:
+    """Write the marked ones of bronze ``rows``, read from a run's folder, as ``run``.
+
+    Where no join deals them anew, a task holds the rows of the few files that it reads, and so of few buckets: it writes them without a shuffle.
+    """
+    kept = marked(rows, marks).drop(*PLACE)
+    if marks.few:
+        kept.write.partitionBy("bucket").mode("overwrite").parquet(f"{lake.path}/{BRONZE}/run={run}")
+    else:
+        write_run(kept, lake, BRONZE, run)
+
+
 def _runs(spark: SparkSession, lake: Lake, table: str, schema: StructType, first: int, last: int, buckets: Sequence[int] | None = None) -> DataFrame:
     own = [f for f in schema if f.name not in ("run", "bucket")]
     whole = StructType([*own, StructField("run", IntegerType()), *([StructField("bucket", IntegerType())] if table in (BRONZE, "documents") else [])])

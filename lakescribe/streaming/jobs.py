@@ -227,7 +227,7 @@ def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCR
 
     Payloads are shuffled once, on their way into the archive's buckets, where the batch is written as the next run before it
     counts. What is new in it, latest of an item and chosen by the failover is found over keys; marks, a bit a row of the files
-    (``lake.mark``), then pick the rows. Only a batch that is partly known is written again, without its known part.
+    (``lake.mark``), then pick the rows. Only a batch that is partly known is written again, without its known part and without a shuffle.
 
     ``sink``: a table of progress rows; those of the batch, as ``run``, are appended last. They count what the run has written, not
     what tasks have seen, so tasks that ran twice do not tell; a run that breaks off before them leaves none.
@@ -245,7 +245,7 @@ def ingest_batch(raw: DataFrame, path: str, order: Sequence[str] = tuple(TRANSCR
         aside = f"{path}/aside/{uuid.uuid4().hex}"
         move(spark, at, aside)
         records = lake.run_rows(spark, aside, schema)
-        lake.write_run(lake.marked(records, new).drop(*lake.PLACE), now, lake.BRONZE, now.bronze + 1)
+        lake.copy_run(records, new, now, now.bronze + 1)
     if new.rows:
         now = lake.commit(spark, now._replace(bronze=now.bronze + 1))
     settled = now.covered < now.bronze

@@ -250,6 +250,18 @@ def test_payloads_lie_in_the_lake_only(spark, tmp_path, monkeypatch):
     assert sorted(r.external_id for r in picked.collect()) == ["a", "c"] and "SortMergeJoin" not in picked._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most, shuffled", [(lake.BROADCAST_MARKS, 1), (0, 2)])
+def test_a_partly_known_batch_is_shuffled_once(spark, tmp_path, monkeypatch, most, shuffled):
+    """Its new part is copied without dealing rows to buckets again, unless there are very many marks."""
+    path, write, written = str(tmp_path / "lake"), lake.write_run, []
+    jobs.ingest_batch(raw(spark, 1, 2), path)
+    monkeypatch.setattr(lake, "BROADCAST_MARKS", most)
+    monkeypatch.setattr(lake, "write_run", lambda rows, now, table, run: written.append(table) or write(rows, now, table, run))
+    jobs.ingest_batch(raw(spark, 2, 3, 4, 4, 5), path)
+    assert written.count("bronze") == shuffled and counts(spark, path) == [5, 5, 3, 3]
+    assert len(list((tmp_path / "lake" / "bronze").glob("run=2/*/*.parquet"))) == archived(spark, path).filter("external_id in ('3', '4', '5')").select(lake.bucket_of(F.col("external_id"), 64)).distinct().count()
+
+
 def test_settling_parses_a_payload_once_and_reads_the_marks_runs(spark, tmp_path):
     """No condition on segments is moved below their parsing; payloads of runs without a marked row are not read. Transcripts without segments have none."""
     path = str(tmp_path / "lake")

@@ -250,6 +250,27 @@ def test_payloads_lie_in_the_lake_only(spark, tmp_path, monkeypatch):
     assert sorted(r.external_id for r in picked.collect()) == ["a", "c"] and "SortMergeJoin" not in picked._jdf.queryExecution().executedPlan().toString()
 
 
+def moved(spark, after=-1):
+    """The last stage that has run, and the bytes shuffled or spilled and the bytes written by stages after ``after``."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [s for s in map(found.apply, range(found.size())) if s.stageId() > after]
+    return max((s.stageId() for s in stages), default=after), sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in stages), sum(s.outputBytes() for s in stages)
+
+
+def test_an_ingest_moves_a_payload_once(spark, tmp_path):
+    """Two batches by item, the second replayed: a batch's payloads are shuffled once and written once, new segments are written once, and little else is moved."""
+    path, size = str(tmp_path / "lake"), 1_000_000
+    batches = [responses(spark, *[(i, "supadata", {"content": [{"text": os.urandom(size // 2).hex(), "offset": 0}]}, 200) for i in items]).localCheckpoint() for items in ("ab", "cd")]
+    before, *_ = moved(spark)
+    for batch in (*batches, batches[1]):
+        jobs.ingest_batch(batch, path)
+    _, shuffled, written = moved(spark, before)
+    assert counts(spark, path) == [4, 4, 4, 4]
+    assert 5 * size < shuffled < 7 * size and 8 * size < written < 11 * size  # six records came, whose segments are four; compression takes a little
+
+
 @pytest.mark.parametrize("most, shuffled", [(lake.BROADCAST_MARKS, 1), (0, 2)])
 def test_a_partly_known_batch_is_shuffled_once(spark, tmp_path, monkeypatch, most, shuffled):
     """Its new part is copied without dealing rows to buckets again, unless there are very many marks."""
